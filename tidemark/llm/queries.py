@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import media
+from tidemark.llm import media, sentencepiece_sampling
 
 QUERIES = {
     "op9_media_columns": media.query,
+    "op10_sentencepiece": sentencepiece_sampling.query,
 }
 ORACLES: dict[str, str] = {}
