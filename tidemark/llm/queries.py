@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, media, sentencepiece_sampling
+from tidemark.llm import language_id, media, sentencepiece_sampling, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
     "op9_media_columns": media.query,
     "op10_sentencepiece": sentencepiece_sampling.query,
