@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, media, sentencepiece_sampling, toxicity
+from tidemark.llm import language_id, media, sentencepiece_sampling, substring_dedup, toxicity
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.query,
     "op3_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
     "op9_media_columns": media.query,
