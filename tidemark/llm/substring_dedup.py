@@ -9,8 +9,8 @@ Their suffixes are split by variable-length prefixes. The prefix is the anchor (
 group fits in memory (GROUP suffix runs); such groups go whole to tasks, which build each group's suffix
 subtree down to WINDOW words, as its suffix array with the lengths of common prefixes: an internal node at
 depth WINDOW is a run of neighbours with WINDOW words in common, and all its leaves but the earliest are
-repeats. A larger group is split by longer prefixes, up to WINDOW words; there each group is one
-node, whose earliest leaf is a minimum that needs no tree, no task that holds the group, and no pairs.
+repeats. A larger group is split by longer prefixes: all words of a run, and then, for the earliest of each kind of run, WINDOW
+words; there each group is one node, whose earliest leaf is a minimum that needs no tree, no task that holds the group, and no pairs.
 
 Decisions return to the documents as runs of repeated windows; words under them are removed. Windows are
 judged on the input. Compared words are the words themselves in the subtrees and 128-bit hashes of them in
@@ -115,7 +115,7 @@ def as_slice(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def suffix_runs(found: DataFrame, id_type: str) -> DataFrame:
     """From (id, rank, z, hits ARRAY<STRUCT<pos, large>>): (id, rank, pos, n, anchor, words), where words are the run's text
-    from its first window to its last one's end, or null for large groups, whose windows are in keys ARRAY<BINARY> instead."""
+    from its first window to its last one's end, or null for large groups, which have hashes of their windows in keys and of all their words in run_key instead."""
 
     def build(batches):
         for batch in batches:
@@ -131,19 +131,20 @@ def suffix_runs(found: DataFrame, id_type: str) -> DataFrame:
                 want = at[row] + hits.field(0).to_numpy(zero_copy_only=False)
                 large = hits.field(1).to_numpy(zero_copy_only=False)
                 at_run = np.searchsorted(first, want)
-                raw, words, keys = data.tobytes(), [], []
+                raw, words, keys, whole = data.tobytes(), [], [], []
                 one = wordhash.gram_hashes(hashes, WINDOW)
                 two = wordhash.gram_hashes(hashes ^ np.uint64(0x5DEECE66D1234567), WINDOW)
                 for w, c, big in zip(want.tolist(), count[at_run].tolist(), large.tolist(), strict=True):
                     words.append(None if big else raw[starts[w] : ends[w + c + WINDOW - 2]])
+                    whole.append(hashlib.blake2b(b"\0".join([raw[starts[i] : ends[i]] for i in range(w, w + c + WINDOW - 1)]), digest_size=16).digest() if big else None)
                     keys.append([x.tobytes() + y.tobytes() for x, y in zip(one[w : w + c], two[w : w + c], strict=True)] if big else None)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(take), part.column(1).take(take), hits.field(0), pa.array(count[at_run].astype(np.int32)),
-                    pa.array(a[at_run].view(np.int64)), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.binary())),
-                ], ["id", "rank", "pos", "n", "anchor", "words", "keys"])
+                    pa.array(a[at_run].view(np.int64)), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(whole, pa.binary()),
+                ], ["id", "rank", "pos", "n", "anchor", "words", "keys", "run_key"])
 
-    return found.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int, anchor bigint, words binary, keys array<binary>")
+    return found.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int, anchor bigint, words binary, keys array<binary>, run_key binary")
 
 
 def subtree(runs: list[tuple]) -> list[tuple[int, int]]:
@@ -177,7 +178,7 @@ def small_groups(runs: DataFrame, id_type: str) -> DataFrame:
         def flush(rows):
             order = [((r["id"] is not None, r["id"] if r["id"] is not None else 0, r["rank"], r["pos"]), r["n"], r["words"]) for r in rows]
             out = [(rows[i]["id"], rows[i]["rank"], rows[i]["pos"] + w) for i, w in subtree(order)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_arrow), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], ["id", "rank", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_arrow), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([1] * len(out), pa.int32())], ["id", "rank", "pos", "n"])
 
         for batch in batches:
             id_arrow = batch.schema.field(0).type
@@ -189,25 +190,29 @@ def small_groups(runs: DataFrame, id_type: str) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    some = runs.where("words IS NOT NULL").drop("keys").repartition("anchor").sortWithinPartitions("anchor")
-    return some.mapInArrow(build, f"id {id_type}, rank bigint, pos int")
+    some = runs.where("words IS NOT NULL").drop("keys", "run_key").repartition("anchor").sortWithinPartitions("anchor")
+    return some.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int")
 
 
 def large_groups(runs: DataFrame) -> DataFrame:
-    """(id, rank, pos) of repeats: nodes of whole windows, each with its earliest leaf."""
-    each = runs.where("keys IS NOT NULL").select("id", "rank", F.posexplode("keys").alias("k", "key"), "pos").select("key", F.struct("id", "rank", (F.col("pos") + F.col("k")).alias("pos")).alias("leaf"))
-    node = each.groupBy("key").agg(F.min("leaf").alias("earliest"))
-    return each.join(node, "key").where("leaf > earliest").select("leaf.*")
+    """(id, rank, pos, n) of repeats, by the longest prefixes first. A run of windows that also stands earlier as a whole is all repeats;
+    of the runs that are the earliest with their words, each window is a node with its earliest leaf."""
+    each = runs.where("keys IS NOT NULL").select("run_key", F.struct("id", "rank", "pos").alias("leaf"), "n", "keys")
+    node = cut(each.groupBy("run_key").agg(F.min("leaf").alias("earliest"), F.first("keys").alias("keys")), "nodes")
+    whole = each.select("run_key", "leaf", "n").join(node.select("run_key", "earliest"), "run_key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", "n")
+    single = node.select(F.posexplode("keys").alias("k", "key"), "earliest").select("key", F.struct("earliest.id", "earliest.rank", (F.col("earliest.pos") + F.col("k")).alias("pos")).alias("leaf"))
+    first = single.groupBy("key").agg(F.min("leaf").alias("earliest"))
+    return whole.unionByName(single.join(first, "key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", F.lit(1).alias("n")))
 
 
 def removals(data: np.ndarray, off: np.ndarray, repeats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Word counts, removed counts and kept texts."""
     starts, ends, at = wordhash.word_spans(data, off)
     cover = np.zeros(len(starts) + 1, np.int64)
-    for i, pos in enumerate(repeats):
-        if len(pos):
-            np.add.at(cover, at[i] + pos, 1)
-            np.add.at(cover, at[i] + pos + WINDOW, -1)
+    for i, own in enumerate(repeats):
+        if len(own):
+            np.add.at(cover, at[i] + own[:, 0], 1)
+            np.add.at(cover, at[i] + own[:, 0] + own[:, 1] + WINDOW - 1, -1)
     gone = np.cumsum(cover)[:-1] > 0
     raw, kept = data.tobytes(), []
     s, e, g = starts.tolist(), ends.tolist(), gone.tolist()
@@ -221,14 +226,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """Per row: key, n_words, n_removed and kept_text (the kept words joined by one space)."""
     own = _identity(docs, key, text)
     id_type = own.schema["id"].dataType.simpleString()
-    repeated = anchor_counts(own).where("n > 1").select("anchor", (F.col("n") > GROUP).alias("large"))
+    # a table of its own, so that the join's both sides are shuffled for it and a frequent anchor's part can be split
+    repeated = cut(anchor_counts(own).where("n > 1").select("anchor", (F.col("n") > GROUP).alias("large")), "anchors")
     hits = anchor_runs(own, id_type).join(repeated, "anchor").select("id", "rank", F.struct("pos", "large").alias("hit"))
     # equal rows are one document: its hits come once
     hits = hits.groupBy("id", "rank").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     texts = packed(own, id_type)
     found = texts.alias("t").join(hits.alias("h"), (F.col("t.rank") == F.col("h.rank")) & F.col("t.id").eqNullSafe(F.col("h.id"))).select("t.id", "t.rank", "z", "hits")
     runs = cut(suffix_runs(found, id_type), "suffix-runs")
-    gone = small_groups(runs, id_type).unionByName(large_groups(runs)).groupBy("id", "rank").agg(F.collect_set("pos").alias("repeats"))
+    gone = small_groups(runs, id_type).unionByName(large_groups(runs)).groupBy("id", "rank").agg(F.collect_list(F.struct("pos", "n")).alias("repeats"))
     joined = texts.alias("t").join(gone.alias("g"), (F.col("t.rank") == F.col("g.rank")) & F.col("t.id").eqNullSafe(F.col("g.id")), "left").select("t.id", "z", "repeats")
 
     def build(batches):
@@ -236,7 +242,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 data, off = as_slice([unpack(z) for z in part.column(1).to_pylist()])
-                n, removed, kept = removals(data, off, [np.array(x or [], np.int64) for x in part.column(2).to_pylist()])
+                n, removed, kept = removals(data, off, [np.array([(r["pos"], r["n"]) for r in x or ()], np.int64) for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], [key, "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     return joined.mapInArrow(build, f"`{key}` {id_type}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
