@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +51,23 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int)
             to = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+
+
+#: Bits of a bitmap() at most: 8 MB.
+MOST_BITS = 1 << 26
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Bits of the low bits of a column of well-mixed 64-bit hashes, at most MOST_BITS of them, whatever the rows' number.
+
+    Rows whose bit is not set are not in df; what passes is still joined, so the bitmap saves shuffling and decides nothing.
+    When df outgrows it more rows pass."""
+    words = df.select(F.expr(f"({column} & {MOST_BITS - 1}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(MOST_BITS // 64, np.uint64)
+    out[words["w"].to_numpy().astype(np.int64)] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.astype(np.int64, copy=False).view(np.uint64) if h.dtype != np.uint64 else h
+    return (bits[((h & np.uint64(MOST_BITS - 1)) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)

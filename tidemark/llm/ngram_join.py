@@ -9,7 +9,7 @@ costs more lookups, and the number of candidates that share l of them falls, so
 taken, from the counts of classes per prefix shingle (all of them; counts come by a map-side combined aggregation).
 
 Verification takes place in two steps that lose no link. First every list of classes with a common prefix shingle
-and like sizes links to its hub only, as a star. Then only candidates whose ends are still in different components
+and like sizes has a hub, and each class is held against the hub that it shares most with, as a star. Then only candidates whose ends are still in different components
 are generated, by the multi-match rule, and verified; pairs inside one component are never made. Components
 come from least labels with pointer jumping.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
-from tidemark.llm.common import cut, table, text_slices
+from tidemark.llm.common import bitmap, cut, in_bitmap, table, text_slices
 from tidemark.llm.components import components
 from tidemark.llm.lattice import mix
 
@@ -113,18 +113,53 @@ def rows_with_prefixes(docs: DataFrame, id_type: str, k: int, t: tuple[int, int]
     return docs.select("id", "text").mapInArrow(build, f"id {id_type}, n bigint, sig binary, prefix array<bigint>")
 
 
-def texts_by_class(docs: DataFrame, id_type: str, k: int) -> DataFrame:
-    """(id, sig, z): compressed texts."""
+def class_number(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(s[:8] for s in sigs), np.int64)
+
+
+def texts_by_class(docs: DataFrame, id_type: str, k: int, wanted: np.ndarray) -> DataFrame:
+    """(id, sig, z): compressed texts of the classes that the bitmap lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def build(batches):
         press = zstandard.ZstdCompressor(level=3)
         for part, data, off in text_slices(batches, "text", SLICE):
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signatures(*shingle_sets(data, off, k)), pa.binary()), pa.array([press.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["id", "sig", "z"])
+            raw, sigs = data.tobytes(), signatures(*shingle_sets(data, off, k))
+            at = np.flatnonzero(in_bitmap(sent.value, class_number(sigs)))
+            z = [press.compress(raw[off[i] : off[i + 1]]) for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([sigs[i] for i in at.tolist()], pa.binary()), pa.array(z, pa.binary())], ["id", "sig", "z"])
 
     return docs.select("id", "text").mapInArrow(build, f"id {id_type}, sig binary, z binary")
 
 
+def repeated_shingles(classes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(number, pos, s): prefix shingles that the bitmap lets through, with the class's number (the first half of its sig;
+    were two classes to share one, each would get both's shingles, which adds candidates and loses none)."""
+    sent = classes.sparkSession.sparkContext.broadcast(bits)
+
+    def build(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            s = lists.flatten().to_numpy()
+            n = np.diff(lists.offsets.to_numpy())
+            at = np.flatnonzero(in_bitmap(sent.value, s))
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(class_number(batch.column(0).to_pylist())[row[at]]), pa.array(pos[at].astype(np.int32)), pa.array(s[at])], ["number", "pos", "s"])
+
+    return classes.select("sig", "prefix").mapInArrow(build, "number bigint, pos int, s bigint")
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """With the class's number, as class_number() has it."""
+
+    def build(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(class_number(batch.column(0).to_pylist()))], [*batch.schema.names, "number"])
+
+    return classes.mapInArrow(build, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", number bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """Those of pairs (a, b) that link."""
     both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
@@ -164,23 +199,25 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     rows = cut(rows_with_prefixes(own, id_type, k, t, (h[by], often["n"].to_numpy()[by])), "prefixes")
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = classes.select("sig", "n", "first_id", F.posexplode("prefix").alias("pos", "s"))
-    counts = classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    found = cut(each.join(counts, "s").groupBy("sig", "n", "first_id").agg(F.sort_array(F.collect_list(F.struct("pos", "s", "df"))).alias("shared")), "shared")
+    classes = cut(classes, "classes")
+    counts = cut(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    each = repeated_shingles(classes, bitmap(counts, "s")).join(counts, "s").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "s", "df"))).alias("shared"))
+    found = cut(numbered(classes.select("sig", "n", "first_id")).join(each, "number"), "shared")
     # the least l-prefix length but for l; lookups, and candidates (at most lookups / l), by l
     least = f"(n - (n * {t0} + {t1 - 1}) div {t1})"
     cost = f"array_min(transform(sequence(1, greatest(1, least({MOST_L}, cast((n * {t0} + {t1 - 1}) div {t1} AS int)))), l -> struct(aggregate(filter(shared, x -> x.pos < {least} + l), 0D, (s, x) -> s + x.df - 1) * (1 + {VERIFY_COST} / l) AS cost, l AS l))).l"
     chosen = found.withColumn("l", F.expr(cost))
     lists = cut(chosen.select("sig", "n", "l", F.explode(F.expr(f"filter(shared, x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", F.col("x.s").alias("s")), "lists")
     firsts = found.select("sig", "first_id")
-    texts = texts_by_class(own, id_type, k).alias("t").join(firsts.alias("f"), (F.col("t.sig") == F.col("f.sig")) & F.col("t.id").eqNullSafe(F.col("f.first_id")), "left_semi").select("sig", "z")
+    texts = texts_by_class(own, id_type, k, bitmap(found, "number")).alias("t").join(firsts.alias("f"), (F.col("t.sig") == F.col("f.sig")) & F.col("t.id").eqNullSafe(F.col("f.first_id")), "left_semi").select("sig", "z")
     texts = cut(texts.dropDuplicates(["sig"]), "texts")
 
     # stars: lists of like sizes, in buckets that overlap by half
     size = F.log("n") / math.log(t1 / t0)
     starred = lists.withColumn("bucket", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + 100_000)))
     hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("sig", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    pairs = starred.join(hubs, ["s", "bucket"]).where(f"sig != hub.sig AND least(n, hub.n) * {t1} >= greatest(n, hub.n) * {t0}").groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
+    pairs = starred.join(hubs, ["s", "bucket"]).where(f"sig != hub.sig AND least(n, hub.n) * {t1} >= greatest(n, hub.n) * {t0}").groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b")  # each class's nearest hub
     stars = cut(verified(pairs, texts, k, t), "stars")
     labels = components(stars)
 
