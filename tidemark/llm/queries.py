@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language_id, media, ngram_join, sentencepiece_sampling, substring_dedup, toxicity
+from tidemark.llm import decontamination, language_id, media, ngram_join, sentencepiece_sampling, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_ngram_join": ngram_join.query,
     "op5_language_id": language_id.query,
+    "op6_decontamination": decontamination.query,
     "op9_media_columns": media.query,
     "op10_sentencepiece": sentencepiece_sampling.query,
 }
