@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language_id, media, ngram_join, sentencepiece_sampling, substring_dedup, toxicity
+from tidemark.llm import decontamination, language_id, media, ngram_join, pii, sentencepiece_sampling, substring_dedup, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.query,
     "op5_language_id": language_id.query,
     "op6_decontamination": decontamination.query,
+    "op8_pii": pii.query,
     "op9_media_columns": media.query,
     "op10_sentencepiece": sentencepiece_sampling.query,
 }
