@@ -62,7 +62,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 
     Rows whose bit is not set are not in df; what passes is still joined, so the bitmap saves shuffling and decides nothing.
     When df outgrows it more rows pass."""
-    words = df.select(F.expr(f"({column} & {MOST_BITS - 1}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = df.select(F.expr(f"({column} & {MOST_BITS - 1}) div 64").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # not as Python rows
     out = np.zeros(MOST_BITS // 64, np.uint64)
     out[words["w"].to_numpy().astype(np.int64)] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out

@@ -87,7 +87,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> list:
     each = docs.select("text").mapInArrow(build, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
     each = cut(each, "shingles")
     rows = each.where("s IS NULL").agg(F.sum("n")).first()[0] or 0
-    return each.where("s IS NOT NULL").where(F.col("n") >= max(4, FREQUENT * rows)).toPandas()
+    return each.where("s IS NOT NULL").where(F.col("n") >= max(4, FREQUENT * rows)).toArrow()
 
 
 def rows_with_prefixes(docs: DataFrame, id_type: str, k: int, t: tuple[int, int], order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
