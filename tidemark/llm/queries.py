@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language_id, media, ngram_join, pii, sentencepiece_sampling, substring_dedup, toxicity
+from tidemark.llm import decontamination, language_id, media, ngram_join, pii, sentencepiece_sampling, substring_dedup, toxicity, warc_zip
 
 QUERIES = {
+    "op1_warc_zip": warc_zip.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_ngram_join": ngram_join.query,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_sentencepiece": sentencepiece_sampling.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_zip": warc_zip.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
 }
