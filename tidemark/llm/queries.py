@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language_id, media, ngram_join, pii, sentencepiece_sampling, substring_dedup, toxicity, warc_zip
+from tidemark.llm import decontamination, html_extraction, language_id, media, ngram_join, pii, sentencepiece_sampling, substring_dedup, toxicity, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.query,
     "op5_language_id": language_id.query,
     "op6_decontamination": decontamination.query,
+    "op7_html_extraction": html_extraction.query,
     "op8_pii": pii.query,
     "op9_media_columns": media.query,
     "op10_sentencepiece": sentencepiece_sampling.query,
