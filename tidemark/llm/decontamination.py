@@ -56,10 +56,9 @@ def items_table(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 
 def index(items: DataFrame) -> DataFrame:
     """(item, n_words, b, value): every block value within NEAR bits of an item's own."""
-    masks = items.sparkSession.range(1 << 16).where(F.bit_count("id") <= NEAR).select(F.col("id").cast("long").alias("mask"))
-    own = items.select("item", "n_words", "print", F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "v"))
-    near = masks.agg(F.collect_list("mask").alias("masks"))  # one row of a fixed number of masks
-    return own.join(F.broadcast(near), F.lit(True)).select("item", "n_words", "b", F.explode("masks").alias("mask"), "v").select("item", "n_words", "b", F.expr("v ^ mask").alias("value"))
+    masks = ",".join(str(m) for m in range(1 << 16) if m.bit_count() <= NEAR)
+    own = items.select("item", "n_words", F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "v"))
+    return own.select("item", "n_words", "b", "v", F.explode(F.split(F.lit(masks), ",")).alias("mask")).select("item", "n_words", "b", F.expr("v ^ cast(mask AS bigint)").alias("value"))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
