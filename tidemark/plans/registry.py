@@ -1,4 +1,184 @@
-"""Names of the queries over the driver tables and their DuckDB counterparts."""
+"""Queries over the driver tables, each with its DuckDB counterpart. Events play the samples: a user is a recording."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scales
+from tidemark.operators import aggregates as ag
+from tidemark.operators import intervals as iv
+from tidemark.operators import relational as rel
+from tidemark.operators import vectors as vec
+from tidemark.operators import windows as win
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """(rec_id, seq, t, x, label) of events; t in seconds."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf, "events").select(F.col("user_id").alias("rec_id"), (F.row_number().over(w) - 1).cast("bigint").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("x"), F.col("event_type").alias("label"))
+
+
+def axes(df: DataFrame) -> DataFrame:
+    """Three axes: a sample and the two before it, less 50."""
+    return df.withColumns({"y": F.lag("x", 1, 0.0).over(win.SEQ()) - 50, "z": F.lag("x", 2, 0.0).over(win.SEQ()) - 50}).withColumn("x", F.col("x") - 50)
+
+
+def orders_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as intervals of days per customer: from the order date, as long as the order's key says; label by key."""
+    d = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("rec_id"), d.alias("begin"), (d + F.col("o_orderkey") % 90).cast("int").alias("end"), (F.col("o_orderkey") % 3).alias("label"), F.col("o_orderkey").alias("row"))
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    return orders_spans(spark, sf).where("row % 2 = 0").dropDuplicates(["rec_id", "begin", "end"]).select("rec_id", "begin", "end", F.lit(1).alias("label"))
+
+
+def guess(spark: SparkSession, sf: str) -> DataFrame:
+    return orders_spans(spark, sf).where("row % 2 = 1").dropDuplicates(["rec_id", "begin", "end"]).select("rec_id", "begin", "end", F.lit(1).alias("label"))
+
+
+def speech(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations laid end to end, as long as their texts."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn"), F.col("role").alias("label"), F.greatest(F.length("text"), F.lit(1)).cast("bigint").alias("length"))
+    return win.track_regions(t)
+
+
+#: Shared parts of the SQL.
+S = "s AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) / 1e6 AS t, value AS x, event_type AS label FROM events)"
+SPANS = "o AS (SELECT o_custkey AS rec_id, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS \"begin\", datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 90 AS \"end\", o_orderkey % 3 AS label, o_orderkey AS row FROM orders)"
+TG = SPANS + ", tr AS (SELECT DISTINCT rec_id, \"begin\", \"end\" FROM o WHERE row % 2 = 0), gu AS (SELECT DISTINCT rec_id, \"begin\", \"end\" FROM o WHERE row % 2 = 1)"
+AXES = S + ", a AS (SELECT rec_id, seq, x - 50 AS x, lag(x, 1, 0.0) OVER w - 50 AS y, lag(x, 2, 0.0) OVER w - 50 AS z FROM s WINDOW w AS (PARTITION BY rec_id ORDER BY seq))"
+FR = ", n AS (SELECT rec_id, count(*) AS n FROM {0} GROUP BY 1), f AS (SELECT v.*, g.frame, v.seq - g.frame * {2} AS k FROM {0} v JOIN n USING (rec_id), LATERAL (SELECT unnest(range(0, CAST(floor((n - {1}) / {2}) AS BIGINT) + 1)) AS frame) g WHERE v.seq BETWEEN g.frame * {2} AND g.frame * {2} + {1} - 1)"
+SPEECH = "sp AS (SELECT conv_id AS rec_id, turn, role AS label, greatest(length(text), 1) AS length, sum(greatest(length(text), 1)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM conversations)"
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles to so many digits, as the oracle has them; no negative zero."""
+    return df.select(*(F.round(F.col(c), digits).alias(c) + F.lit(0.0) if k in ("double", "float") else F.col(c) for c, k in df.dtypes)).toDF(*df.columns)
+
+
+def add(name: str, query, sql: str) -> None:
+    QUERIES[name] = query
+    ORACLES[name] = sql
+
+
+def over_samples(name: str, op, cols: str, sql: str, digits: int = 4) -> None:
+    """A query of samples that keeps rec_id, seq and the named columns."""
+    add(name, lambda s, d: rounded(op(samples(s, d)).select("rec_id", "seq", *cols.split()), digits), f"WITH {S} {sql}")
+
+
+W = "WINDOW w AS (PARTITION BY rec_id ORDER BY seq)"
+
+# windows
+over_samples("moving_mean", lambda d: win.moving_mean(d, 8), "mean", ", q AS (SELECT *, avg(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS mean FROM s) SELECT rec_id, seq, round(mean, 7) AS mean FROM q", 7)
+over_samples("median3", win.median3, "median", f"SELECT rec_id, seq, round(list_sort([lag(x, 1, 0.0) OVER w, x, lead(x, 1, 0.0) OVER w])[2], 4) AS median FROM s {W}")
+over_samples("teager", win.teager, "teager", f", e AS (SELECT *, x * x - lag(x) OVER w * lead(x) OVER w AS e, row_number() OVER w AS j, count(*) OVER (PARTITION BY rec_id) AS n FROM s {W}) SELECT rec_id, seq, round(CASE WHEN j = 1 THEN 2 * lead(e, 1) OVER w - lead(e, 2) OVER w WHEN j = n THEN 2 * lag(e, 1) OVER w - lag(e, 2) OVER w ELSE e END, 7) + 0.0 AS teager FROM e {W}", 7)
+over_samples("schmitt", lambda d: win.schmitt(d, 20.0, 60.0), "state", "SELECT rec_id, seq, CAST(coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x < 20 THEN -1 END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS state FROM s")
+over_samples("moving_max", lambda d: win.moving_max(d, 5), "running_max", "SELECT rec_id, seq, round(max(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS 4 PRECEDING), 4) AS running_max FROM s")
+over_samples("moving_moments", lambda d: win.moving_moments(d, 2, 6), "m1 m2", "SELECT rec_id, seq, round(avg(x) OVER v, 7) AS m1, round(avg(x * x) OVER v, 7) AS m2 FROM s WINDOW v AS (PARTITION BY rec_id ORDER BY seq ROWS 5 PRECEDING)", 7)
+over_samples("signed_power", lambda d: win.signed_power(d.withColumn("x", F.col("x") - 50), 0.5), "powered", "SELECT rec_id, seq, round(sign(x - 50) * pow(abs(x - 50), 0.5), 4) + 0.0 AS powered FROM s")
+over_samples("rr_intervals", win.rr_intervals, "rr", f", q AS (SELECT rec_id, seq, lead(t) OVER w - t AS rr FROM s {W}) SELECT rec_id, seq, round(rr, 3) AS rr FROM q WHERE rr IS NOT NULL", 3)
+over_samples("beat_time", lambda d: win.beat_time(d.withColumn("rr", F.col("x") / 100), True), "t", "SELECT rec_id, seq, round(sum(x / 100) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - first_value(x / 100) OVER (PARTITION BY rec_id ORDER BY seq), 4) + 0.0 AS t FROM s")
+over_samples("trim_edges", lambda d: win.trim_edges(d, 3), "x", f", q AS (SELECT *, row_number() OVER w AS j, count(*) OVER (PARTITION BY rec_id) AS n FROM s {W}) SELECT rec_id, seq, round(x, 4) AS x FROM q WHERE j > 3 AND j <= n - 3")
+over_samples("deltas", win.deltas, "delta", ", q AS (SELECT *, " + " + ".join(f"{k} * (coalesce(lead(x, {k}) OVER w, last_value(x) OVER v) - coalesce(lag(x, {k}) OVER w, first_value(x) OVER v))" for k in range(1, 5)) + " AS d FROM s WINDOW w AS (PARTITION BY rec_id ORDER BY seq), v AS (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT rec_id, seq, round(d / 60, 4) + 0.0 AS delta FROM q")
+over_samples("nearest_nonzero", lambda d: win.nearest_nonzero(d.withColumn("x", F.when(F.col("x") > 40, F.col("x")).otherwise(0.0))), "nearest offset",
+             ", z AS (SELECT rec_id, seq, CASE WHEN x > 40 THEN x ELSE 0 END AS x FROM s), p AS (SELECT a.rec_id, a.seq, arg_min(b.x, abs(b.seq - a.seq) * 2 + (b.seq < a.seq)::INT) AS nearest, arg_min(b.seq - a.seq, abs(b.seq - a.seq) * 2 + (b.seq < a.seq)::INT) AS \"offset\" FROM z a LEFT JOIN z b ON a.rec_id = b.rec_id AND b.x <> 0 GROUP BY 1, 2) SELECT rec_id, seq, round(nearest, 4) AS nearest, \"offset\" FROM p")
+over_samples("outlier_flags", lambda d: win.outlier_flags(d, 16, 1.5), "outlier",
+             ", j AS (SELECT *, row_number() OVER w AS j, count(*) OVER (PARTITION BY rec_id) AS n FROM s WINDOW w AS (PARTITION BY rec_id ORDER BY seq)), b AS (SELECT *, CASE WHEN j = 1 THEN 1 WHEN j < 8.5 THEN 1 WHEN j = n THEN n - 1 WHEN j > n - 7.5 THEN 2 * j - n ELSE j - 7 END AS lo, CASE WHEN j = 1 THEN 2 WHEN j < 8.5 THEN 2 * j - 1 WHEN j = n THEN n WHEN j > n - 7.5 THEN n ELSE j + 8 END AS hi FROM j), c AS (SELECT a.rec_id, a.seq, a.x, a.n AS total, list_sort(list(v.x)) AS l FROM b a JOIN j v ON v.rec_id = a.rec_id AND v.j BETWEEN greatest(a.lo, 1) AND least(a.hi, a.n) GROUP BY ALL), q AS (SELECT *, len(l) AS m FROM c), r AS (SELECT *, CASE WHEN (m + 1) // 4 = 0 THEN l[1] WHEN (m + 1) % 4 = 0 THEN l[(m + 1) // 4] ELSE (l[(m + 1) // 4] + l[(m + 1) // 4 + 1]) / 2 END AS q1, CASE WHEN 3 * (m + 1) % 4 = 0 THEN l[3 * (m + 1) // 4] WHEN 3 * (m + 1) // 4 >= m THEN l[2] ELSE (l[3 * (m + 1) // 4] + l[3 * (m + 1) // 4 + 1]) / 2 END AS q3 FROM q) SELECT rec_id, seq, total >= 2 AND (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outlier FROM r")
+add("split_gravity", lambda s, d: rounded(win.split_gravity(axes(samples(s, d)), 6).select("rec_id", "seq", "gravity_x", "body_x", "body_y", "body_z"), 7),
+    f"WITH {AXES} SELECT rec_id, seq, round(avg(x) OVER v, 7) AS gravity_x, round(x - avg(x) OVER v, 7) + 0.0 AS body_x, round(y - avg(y) OVER v, 7) + 0.0 AS body_y, round(z - avg(z) OVER v, 7) + 0.0 AS body_z FROM a WINDOW v AS (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)")
+add("zero_crossings", lambda s, d: rounded(win.zero_crossings(axes(samples(s, d)))), f"WITH {AXES}, q AS (SELECT rec_id, seq, x, lead(x) OVER w AS m FROM a {W}) SELECT rec_id, seq, round(seq - x / (m - x), 4) AS at, round(m - x, 4) AS slope FROM q WHERE (x < 0 AND m >= 0) OR (x >= 0 AND m < 0)")
+RUNS = ", c AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS c FROM s WINDOW w AS (PARTITION BY rec_id ORDER BY seq)), u AS (SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c)"
+add("label_runs", lambda s, d: win.label_runs(samples(s, d)), f"WITH {S}{RUNS} SELECT rec_id, run, min(label) AS label, min(seq) AS \"begin\", max(seq) AS \"end\", count(*) AS n FROM u GROUP BY rec_id, run")
+add("find_peaks", lambda s, d: rounded(win.find_peaks(samples(s, d).withColumn("x", F.floor(F.col("x") / 20).cast("double")))),
+    f"WITH {S.replace('value AS x, event_type AS label', 'floor(value / 20) AS label')}{RUNS}, g AS (SELECT rec_id, run, min(label) AS v, min(seq) AS b, max(seq) AS e, count(*) AS n FROM u GROUP BY 1, 2), h AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM g WINDOW w AS (PARTITION BY rec_id ORDER BY run)), i AS (SELECT *, CASE WHEN n = 1 THEN (q - p) / (2 * (2 * v - p - q)) ELSE 0 END AS sh FROM h WHERE p < v AND q < v) SELECT rec_id, round((b + e) / 2 + sh, 4) AS at, round(v + CASE WHEN n = 1 THEN (q - p) * sh / 4 ELSE 0 END, 4) AS height FROM i")
+add("amplitude_gate", lambda s, d: rounded(win.amplitude_gate(samples(s, d).withColumn("height", F.col("x")), samples(s, d)).select("rec_id", "seq", "height")), f"WITH {S}, r AS (SELECT rec_id, sqrt(avg(x * x)) AS m FROM s GROUP BY 1) SELECT rec_id, seq, round(x, 4) AS height FROM s JOIN r USING (rec_id) WHERE abs(x) >= m")
+
+# relations
+add("sample_rate", lambda s, d: rel.sample_rate(samples(s, d).withColumn("t", F.col("t") / 60)), f"WITH {S} SELECT rec_id, round(CASE WHEN max(t) > min(t) THEN (count(*) - 1) / (max(t / 60) - min(t / 60)) END, 2) AS fs FROM s GROUP BY 1")
+add("having_enough", lambda s, d: rel.having_enough(samples(s, d), "rec_id", 70).groupBy("rec_id").count(), f"WITH {S} SELECT rec_id, count(*) AS count FROM s GROUP BY 1 HAVING count(*) >= 70")
+add("binarize_label", lambda s, d: rel.binarize_label(samples(s, d), positive=["click", "view"]).groupBy("rec_id").agg(F.sum("binary").alias("n")), f"WITH {S} SELECT rec_id, CAST(sum(CASE WHEN label IN ('click', 'view') THEN 1 ELSE 0 END) AS BIGINT) AS n FROM s GROUP BY 1")
+add("drop_labels", lambda s, d: rel.drop_labels(samples(s, d).withColumn("label", F.col("seq") % 8)).groupBy("label").count(), f"WITH {S} SELECT seq % 8 AS label, count(*) AS count FROM s WHERE seq % 8 NOT IN (0, 5, 6, 7) GROUP BY 1")
+add("scale", lambda s, d: rounded(rel.scale(samples(s, d), ["x"]).select("rec_id", "seq", "x"), 6), f"WITH {S} SELECT rec_id, seq, round(x / 1000, 6) AS x FROM s")
+add("holdout", lambda s, d: rel.folds(rel.holdout(table(s, d, "labels"), "doc_id"), "doc_id").groupBy("quality").agg(F.count("*").alias("n")), "SELECT quality, count(*) AS n FROM labels GROUP BY 1")
+add("best", lambda s, d: rounded(rel.best(samples(s, d), "rec_id", "x", "seq")), f"WITH {S} SELECT rec_id, arg_min(seq, x) AS seq, round(min(x), 4) AS x FROM s GROUP BY 1")
+add("worst_rows", lambda s, d: table(s, d, "events").transform(lambda e: rel.worst_rows(e, "value", 20, "event_id")).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 20")
+add("compact_labels", lambda s, d: rel.compact_labels(orders_spans(s, d)).select("row", "compact"), f"WITH {SPANS} SELECT row, CAST(dense_rank() OVER (PARTITION BY rec_id ORDER BY label) AS INTEGER) AS compact FROM o")
+add("merge_classes", lambda s, d: rel.merge_classes(orders_spans(s, d), {2: 1}).groupBy("label").count(), f"WITH {SPANS} SELECT CASE WHEN label = 2 THEN 1 ELSE label END AS label, count(*) AS count FROM o GROUP BY 1")
+add("min_duration", lambda s, d: rel.min_duration(orders_spans(s, d), 45).groupBy("label").count(), f"WITH {SPANS} SELECT label, count(*) AS count FROM o WHERE \"end\" - \"begin\" >= 45 GROUP BY 1")
+
+# frames and aggregates
+add("frames", lambda s, d: rounded(ag.frames(samples(s, d), 10, 4).select("rec_id", "frame", "k", "x")), f"WITH {S}{FR.format('s', 10, 4)} SELECT rec_id, frame, k, round(x, 4) AS x FROM f")
+add("frame_energy", lambda s, d: rounded(ag.frame_energy(ag.frames(samples(s, d), 10, 4)), 6), f"WITH {S}{FR.format('s', 10, 4)} SELECT rec_id, frame, round(sum(x * x), 6) AS energy FROM f GROUP BY 1, 2")
+add("zcr", lambda s, d: rounded(ag.zcr(ag.frames(axes(samples(s, d)), 10, 4))), f"WITH {AXES}{FR.format('a', 10, 4)}, c AS (SELECT rec_id, frame, CASE WHEN sign(x) <> sign(lag(x) OVER (PARTITION BY rec_id, frame ORDER BY k)) THEN 1.0 WHEN k > 0 THEN 0.0 END AS c FROM f) SELECT rec_id, frame, round(avg(c), 4) AS zcr FROM c GROUP BY 1, 2")
+add("overlap_add", lambda s, d: rounded(ag.overlap_add(ag.frames(samples(s, d), 10, 5).withColumn("v", F.col("x") * ag.window_weight("hann", 10)), 5)), f"WITH {S}{FR.format('s', 10, 5)} SELECT rec_id, frame * 5 + k AS seq, round(sum(x * (0.5 - 0.5 * cos(2 * pi() * k / 10))), 4) + 0.0 AS x FROM f GROUP BY 1, 2")
+HAM = "(0.54 - 0.46 * cos(2 * pi() * k / 25))"
+FEATS = f"WITH {AXES}{FR.format('a', 25, 13)}, v AS (SELECT rec_id, frame, x * {HAM} AS x, y * {HAM} AS y, z * {HAM} AS z FROM f), q AS (SELECT rec_id, frame, (sum(x * x) + sum(y * y) + sum(z * z)) / 25 AS e, avg(abs(x)) + avg(abs(y)) + avg(abs(z)) AS m, stddev_samp(x) + stddev_samp(y) + stddev_samp(z) AS d FROM v GROUP BY 1, 2)"
+add("acc_features", lambda s, d: rounded(ag.acc_features(axes(samples(s, d)))), FEATS + " SELECT rec_id, frame, round(e, 4) AS body_energy_ave, round(m, 4) AS body_abs_mean, round(d, 4) AS body_std FROM q")
+VOTE = {"body_energy_ave": 3500.0, "body_abs_mean": 72.0, "body_std": 80.0}
+add("threshold_vote", lambda s, d: rel.threshold_vote(ag.acc_features(axes(samples(s, d))), VOTE).select("rec_id", "frame", "movement"), FEATS + " SELECT rec_id, frame, CAST((e >= 3500)::INT + (m >= 72)::INT + (d >= 80)::INT >= 2 AS INTEGER) AS movement FROM q")
+add("movement_regions", lambda s, d: win.label_runs(rel.threshold_vote(ag.acc_features(axes(samples(s, d))), VOTE).select("rec_id", F.col("frame").alias("seq"), F.col("movement").alias("label"))),
+    FEATS + ", s AS (SELECT rec_id, frame AS seq, CAST((e >= 3500)::INT + (m >= 72)::INT + (d >= 80)::INT >= 2 AS INTEGER) AS label FROM q)".replace("s AS", "s2 AS") + RUNS.replace("FROM s ", "FROM s2 ") + " SELECT rec_id, run, min(label) AS label, min(seq) AS \"begin\", max(seq) AS \"end\", count(*) AS n FROM u GROUP BY rec_id, run")
+add("majority_label", lambda s, d: ag.majority_label(ag.frames(samples(s, d), 6, 2), 6, 0.5), f"WITH {S}{FR.format('s', 6, 2)}, c AS (SELECT rec_id, frame, label, count(*) AS n FROM f GROUP BY 1, 2, 3) SELECT rec_id, frame, label FROM c WHERE n > 3")
+add("assign_windows", lambda s, d: iv.assign_windows(_relative(s, d), 300.0, 75.0).groupBy("rec_id", "win").agg(F.count("*").alias("n")),
+    f"WITH {S}, z AS (SELECT rec_id, seq, (t - min(t) OVER (PARTITION BY rec_id)) / 1000 AS t FROM s), m AS (SELECT rec_id, max(t) AS m FROM z GROUP BY 1), k AS (SELECT rec_id, unnest(range(0, 1 + CAST(floor(m / 75) AS BIGINT))) AS win, m FROM m) SELECT z.rec_id, win, count(*) AS n FROM z JOIN k ON k.rec_id = z.rec_id AND win * 75 + 300 < m AND ceil(t) > win * 75 AND floor(t) <= win * 75 + 300 GROUP BY 1, 2")
+add("hrv_time_features", lambda s, d: rounded(ag.hrv_time_features(samples(s, d).withColumns({"win": F.floor(F.col("seq") / 20), "rr": 0.6 + F.col("x") / 500}))),
+    f"WITH {S}, r AS (SELECT rec_id, seq // 20 AS win, seq, 0.6 + x / 500 AS rr FROM s), g AS (SELECT *, rr - lag(rr) OVER (PARTITION BY rec_id, win ORDER BY seq) AS d, rr - avg(rr) OVER (PARTITION BY rec_id, win) AS c FROM r) SELECT rec_id, win, round(avg(rr) * 1000, 4) AS mean_rr, round(sqrt(avg(d * d)) * 1000, 4) AS rmssd, round(avg(CASE WHEN abs(d) >= 0.05 THEN 1.0 WHEN d IS NOT NULL THEN 0 END) * 100, 4) AS pnn50, round(CASE WHEN avg(c * c) > 1e-20 THEN avg(c * c * c) / pow(avg(c * c), 1.5) END, 4) AS skewness FROM g GROUP BY 1, 2")
+add("quantile_n1", lambda s, d: rounded(ag.quantile_n1(samples(s, d), "label", "x", 0.3), 7), f"WITH {S}, r AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * CAST(0.3 AS DOUBLE), n), 1) AS m FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(m) THEN x END) AS a, max(CASE WHEN rn = least(floor(m) + 1, n) THEN x END) AS b, max(m) AS m FROM m GROUP BY 1) SELECT label, round(a + (b - a) * (m - floor(m)), 7) AS quantile FROM q")
+add("quartiles_mid", lambda s, d: rounded(ag.quartiles_mid(samples(s, d), "rec_id", "x"), 7), f"WITH {S}, q AS (SELECT rec_id, list_sort(list(x)) AS l, count(*) AS m FROM s GROUP BY 1 HAVING count(*) > 1) SELECT rec_id, round(CASE WHEN (m + 1) // 4 = 0 THEN l[1] WHEN (m + 1) % 4 = 0 THEN l[(m + 1) // 4] ELSE (l[(m + 1) // 4] + l[(m + 1) // 4 + 1]) / 2 END, 7) AS q1, round(CASE WHEN 3 * (m + 1) % 4 = 0 THEN l[3 * (m + 1) // 4] WHEN 3 * (m + 1) // 4 >= m THEN l[2] ELSE (l[3 * (m + 1) // 4] + l[3 * (m + 1) // 4 + 1]) / 2 END, 7) AS q3 FROM q")
+add("confusion", lambda s, d: ag.confusion(table(s, d, "labels"), "quality", "toxic"), "SELECT CAST(sum((quality = 1 AND toxic = 1)::INT) AS BIGINT) AS tp, CAST(sum((quality = 1 AND toxic = 0)::INT) AS BIGINT) AS fp, CAST(sum((quality = 0 AND toxic = 1)::INT) AS BIGINT) AS fn, CAST(sum((quality = toxic)::INT) AS BIGINT) AS correct, count(*) AS total FROM labels")
+add("hist_nd", lambda s, d: ag.hist_nd(table(s, d, "lineitem"), ["l_quantity", "l_discount"], [10, 5], [0.0, -0.01], [51.0, 0.12]), "SELECT CAST(ceil(l_quantity * 10 / 51.0) AS BIGINT) AS bin_l_quantity, CAST(ceil((l_discount + 0.01) * 5 / (CAST(0.12 AS DOUBLE) + 0.01)) AS BIGINT) AS bin_l_discount, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING bin_l_quantity BETWEEN 1 AND 10 AND bin_l_discount BETWEEN 1 AND 5")
+add("entropy", lambda s, d: rounded(ag.entropy(table(s, d, "lineitem"), ["l_returnflag"], ["l_linestatus"]), 6), "WITH j AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY 1) SELECT round((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM j) - (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM g), 6) AS entropy")
+add("log_sum_exp", lambda s, d: rounded(ag.log_sum_exp(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 6), "WITH m AS (SELECT l_returnflag, max(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(max(m) + ln(sum(exp(l_quantity - m))), 6) AS lse FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
+add("moments", lambda s, d: rounded(ag.moments(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 2), "WITH r AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), c AS (SELECT l_returnflag, max(m) AS m, avg(pow(l_quantity - m, 2)) AS c2, avg(pow(l_quantity - m, 3)) AS c3, avg(pow(l_quantity - m, 4)) AS c4 FROM lineitem JOIN r USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, round(m, 2) AS mean, round(c2, 2) AS c2, round(c3, 2) + 0.0 AS c3, round(c4, 2) AS c4, round(c4 - 3 * c2 * c2, 2) AS k4 FROM c")
+add("energy_confidence", lambda s, d: ag.energy_confidence(samples(s, d).withColumn("energy", F.col("x") * F.col("x"))).groupBy("label", "level").count(), f"WITH {S}, r AS (SELECT label, x * x AS e, row_number() OVER (PARTITION BY label ORDER BY x * x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * 0.25::DOUBLE, n), 1) AS a, greatest(least((n + 1) * 0.75::DOUBLE, n), 1) AS b FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(a) THEN e END) AS l1, max(CASE WHEN rn = least(floor(a) + 1, n) THEN e END) AS h1, max(CASE WHEN rn = floor(b) THEN e END) AS l3, max(CASE WHEN rn = least(floor(b) + 1, n) THEN e END) AS h3, max(a) AS a, max(b) AS b FROM m GROUP BY 1), t AS (SELECT label, l1 + (h1 - l1) * (a - floor(a)) AS q1, l3 + (h3 - l3) * (b - floor(b)) AS q3 FROM q) SELECT label, CAST((e > q3 + 1.5 * (q3 - q1))::INT + (e > q3 + 3 * (q3 - q1))::INT AS INTEGER) AS level, count(*) AS count FROM r JOIN t USING (label) GROUP BY 1, 2")
+add("normalize_balanced", lambda s, d: rounded(ag.normalize_balanced(table(s, d, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_returnflag", "l_quantity", "o").groupBy("l_returnflag").agg(F.avg("z").alias("z"))),
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem), k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag)), t AS (SELECT avg(l_quantity) AS mu, stddev_samp(l_quantity) AS sd FROM r, k WHERE rn <= k), z AS (SELECT l_returnflag, (l_quantity - mu) / sd AS z FROM lineitem, t) SELECT l_returnflag, round(avg(z) - (SELECT avg(z) FROM z), 4) + 0.0 AS z FROM z GROUP BY 1")
+add("snr_seg", lambda s, d: rounded(ag.snr_seg(samples(s, d), samples(s, d).withColumn("x", F.col("x") * 0.9 + F.col("seq") % 3), 8)), f"WITH {S}, r AS (SELECT rec_id, seq // 8 AS f, x, x * 0.9 + seq % 3 AS r FROM s), g AS (SELECT rec_id, f, sum(r * r) AS a, sum(pow(x - r, 2)) AS e FROM r GROUP BY 1, 2 HAVING count(*) = 8) SELECT rec_id, round(avg(CASE WHEN a = 0 THEN -100 WHEN e = 0 THEN 100 ELSE greatest(least(10 * log10(a / e), 100), -100) END), 4) AS seg_snr, round(10 * log10(sum(a) / sum(e)), 4) AS glo_snr FROM g GROUP BY 1")
+
+# intervals
+add("label_points", lambda s, d: iv.label_points(_ship_days(s, d), orders_spans(s, d), "seq", 32), f"WITH {SPANS}, p AS (SELECT DISTINCT o_custkey AS rec_id, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT p.rec_id, CAST(seq AS INTEGER) AS seq, arg_max(label, row) AS label FROM p JOIN o ON p.rec_id = o.rec_id AND seq BETWEEN \"begin\" AND \"end\" GROUP BY 1, 2")
+add("overlap_join", lambda s, d: iv.overlap_join(truth(s, d), guess(s, d), 64).select("rec_id", "a_begin", "b_begin", "begin", "end"), f"WITH {TG} SELECT t.rec_id, t.\"begin\" AS a_begin, g.\"begin\" AS b_begin, greatest(t.\"begin\", g.\"begin\") AS \"begin\", least(t.\"end\", g.\"end\") AS \"end\" FROM tr t JOIN gu g ON t.rec_id = g.rec_id AND t.\"begin\" <= g.\"end\" AND g.\"begin\" <= t.\"end\"")
+add("contain_join", lambda s, d: iv.contain_join(truth(s, d).select("rec_id", "begin", "end", "label"), guess(s, d), 64).select("rec_id", "begin", "end", "outer_label"), f"WITH {TG} SELECT t.rec_id, t.\"begin\", t.\"end\", CAST(EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = t.rec_id AND g.\"begin\" <= t.\"begin\" AND g.\"end\" >= t.\"end\") AS INTEGER) AS outer_label FROM tr t")
+HIT = "EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = t.rec_id AND g.\"begin\" <= t.\"end\" AND t.\"begin\" <= g.\"end\")"
+add("hit_segments", lambda s, d: iv.hit_segments(truth(s, d), guess(s, d), 64).select("rec_id", "begin", "end"), f"WITH {TG} SELECT * FROM tr t WHERE {HIT}")
+add("missed_segments", lambda s, d: iv.missed_segments(truth(s, d), guess(s, d), 64).select("rec_id", "begin", "end"), f"WITH {TG} SELECT * FROM tr t WHERE NOT {HIT}")
+add("coalesce_intervals", lambda s, d: iv.coalesce_intervals(orders_spans(s, d), 30), f"WITH {SPANS}, m AS (SELECT *, max(\"end\") OVER (PARTITION BY rec_id ORDER BY \"begin\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o), i AS (SELECT *, sum(CASE WHEN p IS NULL OR \"begin\" - p > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY \"begin\", \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT rec_id, min(\"begin\") AS \"begin\", max(\"end\") AS \"end\" FROM i GROUP BY rec_id, k")
+add("subtract_intervals", lambda s, d: iv.subtract_intervals(truth(s, d), guess(s, d), 64).groupBy("rec_id").agg(F.sum(F.col("end") - F.col("begin") + 1).alias("days"), F.count("*").alias("parts")).select("rec_id", "days"), f"WITH {TG}, d AS (SELECT t.rec_id, t.\"begin\", t.\"end\", unnest(range(t.\"begin\", t.\"end\" + 1)) AS x FROM tr t) SELECT d.rec_id, count(*) AS days FROM d WHERE NOT EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = d.rec_id AND d.x BETWEEN g.\"begin\" AND g.\"end\") GROUP BY 1")
+add("speak_stats", lambda s, d: rounded(iv.speak_stats(speech(s, d))), f"WITH {SPEECH}, r AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS c FROM sp WINDOW w AS (PARTITION BY rec_id ORDER BY turn)), u AS (SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM r), g AS (SELECT rec_id, label, k, sum(length) AS d, max(length) AS p FROM u GROUP BY 1, 2, 3) SELECT rec_id, label, count(*) AS turns, CAST(sum(d) AS DOUBLE) AS total, CAST(max(p) AS DOUBLE) AS longest_phrase, CAST(max(d) AS DOUBLE) AS longest_turn FROM g GROUP BY 1, 2")
+add("track_regions", lambda s, d: speech(s, d).select("rec_id", "turn", "begin", "end"), f"WITH {SPEECH} SELECT rec_id, turn, CAST(e - length + 1 AS BIGINT) AS \"begin\", CAST(e AS BIGINT) AS \"end\" FROM sp")
+add("peak_in_interval", lambda s, d: rounded(iv.peak_in_interval(samples(s, d), samples(s, d).where("seq % 10 = 0").select("rec_id", F.col("seq").alias("begin"), (F.col("seq") + 6).alias("end")), 16)), f"WITH {S} SELECT a.rec_id, a.seq AS \"begin\", a.seq + 6 AS \"end\", arg_max(b.seq, abs(b.x) * 1e6 - b.seq * 1e-3) AS at, round(max(b.x), 4) AS height FROM s a JOIN s b ON a.rec_id = b.rec_id AND b.seq BETWEEN a.seq AND a.seq + 6 WHERE a.seq % 10 = 0 GROUP BY 1, 2")
+add("gaussians_per_cluster", lambda s, d: rounded(ag.gaussians_per_cluster(speech(s, d), 10.0)), f"WITH {SPEECH}, g AS (SELECT rec_id, label, sum(length) / 10 AS seconds FROM sp GROUP BY 1, 2) SELECT rec_id, label, round(seconds, 4) AS seconds, CAST(greatest(3, floor(seconds / ((0.01 * seconds + 2.6) * count(*) OVER (PARTITION BY rec_id)))) AS BIGINT) AS g FROM g")
+add("n_clusters", lambda s, d: ag.n_clusters(speech(s, d)), f"WITH {SPEECH} SELECT rec_id, count(DISTINCT label) AS k FROM sp GROUP BY 1")
+add("stitch_chunks", lambda s, d: win.stitch_chunks(samples(s, d).select("rec_id", F.floor(F.col("seq") / 25).alias("chunk"), (F.col("seq") % 25).alias("begin"), (F.col("seq") % 25 + 1).alias("end"), (F.col("seq") % (2 + F.floor(F.col("seq") / 25) % 3)).alias("label")), 25), f"WITH {S}, c AS (SELECT rec_id, seq // 25 AS chunk, seq % 25 AS b, seq % (2 + seq // 25 % 3) AS label FROM s), k AS (SELECT rec_id, chunk, count(DISTINCT label) AS k FROM c GROUP BY 1, 2), p AS (SELECT rec_id, chunk, coalesce(sum(k) OVER (PARTITION BY rec_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM k) SELECT rec_id, chunk, b + chunk * 25 AS \"begin\", b + 1 + chunk * 25 AS \"end\", CAST(label + p AS BIGINT) AS label FROM c JOIN p USING (rec_id, chunk)")
+
+# scalars
+add("shex2dec", lambda s, d: table(s, d, "events").select("event_id", scales.shex2dec(F.lpad(F.hex(F.col("event_id") * 37 % 65536), 4, "0")).alias("v")), "SELECT event_id, CASE WHEN event_id * 37 % 65536 > 32768 THEN event_id * 37 % 65536 - 65536 ELSE event_id * 37 % 65536 END AS v FROM events")
+add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f")).alias("bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
+    "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(69 + 12 * log2(abs(f) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
+
+# vectors
+E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
+add("distances", lambda s, d: rounded(vec.nearest(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(center, d) AS center, round(min(d), 4) AS distance FROM d GROUP BY 1")
+add("kmeans", lambda s, d: rounded(vec.kmeans_step(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding").select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), n AS (SELECT vec_id, arg_min(center, d) AS center FROM d GROUP BY 1) SELECT center, CAST(k AS INTEGER) AS k, round(avg(v), 4) + 0.0 AS m FROM e JOIN n USING (vec_id) GROUP BY 1, 2")
+add("class_scatter", lambda s, d: rounded(vec.scatter_traces(table(s, d, "embeddings"), "embedding", "label"), 3), f"WITH {E}, g AS (SELECT k, avg(v) AS g FROM e GROUP BY 1) SELECT round(sum(pow(v - m, 2)), 3) AS within, round(sum(pow(m - g, 2)), 3) AS between FROM e JOIN c USING (label, k) JOIN g USING (k)")
+add("score_gmm", lambda s, d: rounded(vec.score_gmm(table(s, d, "embeddings"), vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 3), f"WITH {E.replace('avg(v) AS m', 'avg(v) AS m, var_pop(v) AS s, count(*) AS n')}, t AS (SELECT count(*) AS t FROM embeddings), l AS (SELECT vec_id, c.label AS comp, ln(max(n) / max(t)) - 0.5 * sum(ln(2 * pi() * s) + pow(v - m, 2) / s) AS l FROM e JOIN c USING (k), t GROUP BY 1, 2), m AS (SELECT vec_id, max(l) AS m FROM l GROUP BY 1) SELECT vec_id, round(max(m) + ln(sum(exp(l - m))), 3) AS log_density, arg_max(comp, l) AS comp FROM l JOIN m USING (vec_id) GROUP BY 1")
+add("gmm_kl", lambda s, d: rounded(vec.gmm_kl(vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label")), 3), f"WITH {E.replace('avg(v) AS m', 'avg(v) AS m, var_pop(v) AS s')} SELECT a.label AS a, b.label AS b, round(0.5 * sum(a.s / b.s + pow(a.m - b.m, 2) / b.s - 1 + ln(b.s / a.s)), 3) AS kl FROM c a JOIN c b USING (k) WHERE a.label <> b.label GROUP BY 1, 2")
+
+
+def _relative(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with t in thousands of seconds since the recording's first."""
+    return samples(spark, sf).withColumn("t", (F.col("t") - F.min("t").over(win.REC())) / 1000)
+
+
+def _ship_days(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    return table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("rec_id"), day.alias("seq")).distinct()
