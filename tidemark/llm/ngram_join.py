@@ -2,8 +2,8 @@
 
 Two documents link when the Jaccard similarity of their sets of SHINGLE-word shingles reaches t (the operator's
 default is five words and 0.8; the query takes three and 0.9). Documents with equal sets are one class from the
-start, so copies are never paired. Each class orders its shingles by one order for all: those that many
-documents share last, the rest by hash. With n shingles, its l-prefix are the first n - ceil(t n) + l; two
+start, so copies are never paired. Each class orders its shingles by one order for all: those that likely many
+documents have last, by counts over all rows, and by hash. With n shingles, its l-prefix are the first n - ceil(t n) + l; two
 classes that link share at least min(l, l') shingles of their prefixes. l is chosen per class: a longer prefix
 costs more lookups, and the number of candidates that share l of them falls, so the l of least estimated cost is
 taken, from the counts of classes per prefix shingle (all of them; counts come by a map-side combined aggregation).
@@ -36,11 +36,14 @@ from tidemark.llm.lattice import mix
 SLICE = 4 << 20
 #: A shingle is frequent when so large a share of the rows has it, so there are at most (mean set size / FREQUENT) of them.
 FREQUENT = 3e-4
+#: A word is common when it makes up so large a share of all words, so there are at most 1 / COMMON of them.
+COMMON = 1e-5
 MOST_L, VERIFY_COST = 8, 50
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, back to back, and their bounds."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, expected=None) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each text, back to back, and their bounds; and, if expected gives the log share of each
+    of some words, the sums of their logs over each shingle."""
     starts, ends, at = wordhash.word_spans(data, off)
     words = wordhash.word_hashes(data, starts, ends, lower=True)
     grams = wordhash.gram_hashes(words, k)
@@ -60,7 +63,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.searchsorted(row[new], np.arange(len(off)))
+    bounds = np.searchsorted(row[new], np.arange(len(off)))
+    if expected is None:
+        return h[new], bounds
+    total = np.concatenate([[0.0], np.cumsum(expected(words))])
+    logs = np.concatenate([(total[k:] - total[:-k])[: len(ok)][ok] if len(ok) else np.zeros(0), np.full(len(h) - int(ok.sum()), -np.inf)])
+    return h[new], bounds, logs[order][new]
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -72,38 +80,59 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [a + b for a, b in zip(*([x.tobytes() for x in s] for s in sums), strict=True)]
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> list:
-    """(shingle, weight) of those that often stand several times in one slice: frequent ones do in many slices. It only orders shingles."""
+def corpus_counts(docs: DataFrame, k: int) -> dict:
+    """Counts over all rows that order shingles by how many documents likely have them; they only order.
+
+    Words with a share of COMMON or more (at most 1 / COMMON of them) give the share expected of a shingle, as the product of its
+    words' shares. Shingles that stand several times in one slice, and in sum in FREQUENT of the rows, are counted themselves."""
 
     def build(batches):
-        rows = 0
+        rows = n_words = 0
         for _, data, off in text_slices(batches, "text", SLICE):
-            h, bounds = shingle_sets(data, off, k)
-            a, n = np.unique(h, return_counts=True)
-            rows += len(off) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(a[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows])], ["s", "n"])
-
-    each = docs.select("text").mapInArrow(build, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    each = cut(each, "shingles")
-    rows = each.where("s IS NULL").agg(F.sum("n")).first()[0] or 0
-    return each.where("s IS NOT NULL").where(F.col("n") >= max(4, FREQUENT * rows)).toArrow()
-
-
-def rows_with_prefixes(docs: DataFrame, id_type: str, k: int, t: tuple[int, int], order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+            a, n = np.unique(shingle_sets(data, off, k)[0], return_counts=True)
+            starts, ends, _ = wordhash.word_spans(data, off)
+            w, m = np.unique(wordhash.word_hashes(data, starts, ends, lower=True), return_counts=True)
+            rows, n_words = rows + len(off) - 1, n_words + len(starts)
+            for kind, key, count in ((0, a[n > 1], n[n > 1]), (1, w[m > 2], m[m > 2])):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["kind", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2, 3], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([rows, n_words], pa.int64())], ["kind", "s", "n"])
+
+    each = cut(docs.select("text").mapInArrow(build, "kind int, s bigint, n bigint").groupBy("kind", "s").agg(F.sum("n").alias("n")), "corpus-counts")
+    size = {r["kind"]: r["n"] for r in each.where("kind >= 2").collect()}
+    rows, n_words = size.get(2, 0), size.get(3, 0)
+    out = {"n_words": n_words}
+    for kind, name, least in ((0, "shingle", max(4, FREQUENT * rows)), (1, "word", COMMON * n_words)):
+        got = each.where((F.col("kind") == kind) & (F.col("n") >= least)).select("s", "n").toArrow()
+        h = got["s"].to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        out[name] = (h[by], got["n"].to_numpy()[by])
+    return out
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(h), other)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], other)
+
+
+def rows_with_prefixes(docs: DataFrame, id_type: str, k: int, t: tuple[int, int], counts: dict) -> DataFrame:
     """(id, n, sig, prefix): prefix has the shingles of the longest prefix, in the order for all."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def build(batches):
-        often, weight = sent.value
+        c = sent.value
+        share = np.log(c["word"][1] / max(1, c["n_words"]))
+
+        def expected(words):
+            return looked_up(c["word"][0], share, words, np.log(COMMON))
+
         for part, data, off in text_slices(batches, "text", SLICE):
-            h, bounds = shingle_sets(data, off, k)
+            h, bounds, logs = shingle_sets(data, off, k, expected)
             n = np.diff(bounds)
             row = np.repeat(np.arange(len(n)), n)
-            w = np.zeros(len(h), np.int64)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                w = np.where(often[at] == h, weight[at], 0)
+            # eighths of a doubling of the number of documents; equal ones by hash
+            w = np.floor(8 * np.log2(1 + np.maximum(looked_up(*c["shingle"], h, 0), c["n_words"] * np.exp(logs)))).astype(np.int64)
             by = np.lexsort((h, w, row))
             longest = np.minimum(n, n + (-n * t[0] // t[1]) + MOST_L)  # -n * t0 // t1 is minus the least overlap
             keep = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(longest, n)
@@ -193,10 +222,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     t0, t1 = t
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    often = frequent_shingles(own, k)
-    h = often["s"].to_numpy().astype(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    rows = cut(rows_with_prefixes(own, id_type, k, t, (h[by], often["n"].to_numpy()[by])), "prefixes")
+    rows = cut(rows_with_prefixes(own, id_type, k, t, corpus_counts(own, k)), "prefixes")
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = cut(classes, "classes")
@@ -207,26 +233,29 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     least = f"(n - (n * {t0} + {t1 - 1}) div {t1})"
     cost = f"array_min(transform(sequence(1, greatest(1, least({MOST_L}, cast((n * {t0} + {t1 - 1}) div {t1} AS int)))), l -> struct(aggregate(filter(shared, x -> x.pos < {least} + l), 0D, (s, x) -> s + x.df - 1) * (1 + {VERIFY_COST} / l) AS cost, l AS l))).l"
     chosen = found.withColumn("l", F.expr(cost))
-    lists = cut(chosen.select("sig", "n", "l", F.explode(F.expr(f"filter(shared, x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", F.col("x.s").alias("s")), "lists")
+    lists = cut(chosen.select("sig", "n", "l", F.explode(F.expr(f"filter(transform(shared, (x, i) -> named_struct('s', x.s, 'pos', x.pos, 'u', x.pos - i)), x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", F.col("x.s").alias("s"), F.col("x.u").alias("u")), "lists")
     firsts = found.select("sig", "first_id")
     texts = texts_by_class(own, id_type, k, bitmap(found, "number")).alias("t").join(firsts.alias("f"), (F.col("t.sig") == F.col("f.sig")) & F.col("t.id").eqNullSafe(F.col("f.first_id")), "left_semi").select("sig", "z")
     texts = cut(texts.dropDuplicates(["sig"]), "texts")
 
+    # u counts the shingles before a shared one that no other prefix has: its class's partners in that list can't have them
+    # either (they would come before the shared one in their prefixes, too), so they count as differences from the start.
     # stars: lists of like sizes, in buckets that overlap by half
     size = F.log("n") / math.log(t1 / t0)
     starred = lists.withColumn("bucket", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + 100_000)))
-    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("sig", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    pairs = starred.join(hubs, ["s", "bucket"]).where(f"sig != hub.sig AND least(n, hub.n) * {t1} >= greatest(n, hub.n) * {t0}").groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("sig", "n", "u")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    near = lambda n, m, u, v: F.expr(f"least({n}, {m}) * {t1} >= greatest({n}, {m}) * {t0} AND ({n} + {m} - {u} - {v}) * {t0 + t1} >= 2 * {t0} * ({n} + {m})")
+    pairs = starred.join(hubs, ["s", "bucket"]).where((F.col("sig") != F.col("hub.sig")) & near("n", "hub.n", "u", "hub.u")).groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
     pairs = pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b")  # each class's nearest hub
     stars = cut(verified(pairs, texts, k, t), "stars")
     labels = components(stars)
 
     # what is left: candidates in different components
-    at = lists.join(labels, lists["sig"] == labels["v"], "left").select("s", "sig", "n", "l", F.coalesce("c", "sig").alias("c"))
+    at = lists.join(labels, lists["sig"] == labels["v"], "left").select("s", "sig", "n", "l", "u", F.coalesce("c", "sig").alias("c"))
     mixed = at.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     at = cut(at.join(mixed, "s"), "mixed")
     x, y = at.alias("x"), at.alias("y")
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.least("x.n", "y.n") * t1 >= F.greatest("x.n", "y.n") * t0))
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & near("x.n", "y.n", "x.u", "y.u"))
     rest = rest.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.l", "y.l").alias("l")).agg(F.count("*").alias("m")).where("m >= l").select("a", "b")
     more = cut(verified(rest, texts, k, t), "links")
     labels = components(stars.unionByName(more))
