@@ -137,3 +137,38 @@ def cut_segments(chunks: DataFrame, segs: DataFrame, chunk_len: int) -> DataFram
     lo = F.greatest(F.col("begin") - F.col("chunk_id") * chunk_len, F.lit(0))
     hi = F.least(F.col("end") - F.col("chunk_id") * chunk_len, F.lit(chunk_len - 1))
     return s.join(chunks.select("rec_id", "chunk_id", "pcm"), ["rec_id", "chunk_id"]).select("rec_id", "label", "begin", F.col("chunk_id").alias("part"), F.slice("pcm", (lo + 1).cast("int"), (hi - lo + 1).cast("int")).alias("pcm"))
+
+
+def regrid_decisions(decisions: DataFrame, grid: DataFrame, width: int = BUCKET) -> DataFrame:
+    """grid segments with flag = 1 where more than half of their length lies under active (label 1) decision segments."""
+    over = overlap_join(grid.withColumn("label", F.lit(0)), decisions.where("label = 1"), width)
+    hit = over.groupBy("rec_id", F.col("a_begin").alias("begin"), F.col("a_end").alias("end")).agg(F.sum(F.col("end") - F.col("begin") + 1).alias("_n"))
+    out = grid.join(hit.select("rec_id", "begin", "end", "_n"), ["rec_id", "begin", "end"], "left")
+    return out.withColumn("flag", (F.coalesce("_n", F.lit(0)) * 2 > F.col("end") - F.col("begin") + 1).cast("int")).drop("_n")
+
+
+def label_windows(samples: DataFrame, size: float, step: float, frac: float = 0.7) -> DataFrame:
+    """(rec_id, win, label): windows of time where one label has more than frac of the samples; others are left out."""
+    n = assign_windows(samples, size, step).groupBy("rec_id", "win", "label").agg(F.count("*").alias("n"))
+    m = n.groupBy("rec_id", "win").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
+    return m.where(F.col("m.n") > F.floor(F.lit(frac) * F.col("total"))).select("rec_id", "win", "m.label")
+
+
+def cluster_pairs(models: DataFrame) -> DataFrame:
+    """(rec_id, a, b): each two clusters of a recording once; a recording has few clusters."""
+    x, y = models.select("rec_id", F.col("label").alias("a")).distinct(), models.select("rec_id", F.col("label").alias("b")).distinct()
+    return x.join(y, "rec_id").where("a < b")
+
+
+def with_subject(feats: DataFrame, patients: DataFrame, key: str = "device_id") -> DataFrame:
+    """Features with their subject's metadata; rows without a subject keep nulls."""
+    return feats.join(patients, key, "left")
+
+
+def long_windows(segs: DataFrame, size: int) -> DataFrame:
+    """(rec_id, seg_begin, begin, end): windows of size samples, half overlapping, inside each segment; the last one ends with the segment. Shorter segments have none."""
+    n = F.col("end") - F.col("begin") + 1
+    hop = size // 2
+    w = segs.where(n >= size).withColumn("_k", F.floor((n - size) / hop)).select("rec_id", F.col("begin").alias("seg_begin"), F.col("end").alias("_e"), "_k", F.explode(F.sequence(F.lit(0), F.col("_k").cast("int"))).alias("k"))
+    begin = F.col("seg_begin") + F.col("k") * hop
+    return w.select("rec_id", "seg_begin", begin.alias("begin"), F.when(F.col("k") == F.col("_k"), F.col("_e")).otherwise(begin + size - 1).alias("end"))
