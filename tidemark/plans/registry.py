@@ -160,6 +160,21 @@ add("gaussians_per_cluster", lambda s, d: rounded(ag.gaussians_per_cluster(speec
 add("n_clusters", lambda s, d: ag.n_clusters(speech(s, d)), f"WITH {SPEECH} SELECT rec_id, count(DISTINCT label) AS k FROM sp GROUP BY 1")
 add("stitch_chunks", lambda s, d: win.stitch_chunks(samples(s, d).select("rec_id", F.floor(F.col("seq") / 25).alias("chunk"), (F.col("seq") % 25).alias("begin"), (F.col("seq") % 25 + 1).alias("end"), (F.col("seq") % (2 + F.floor(F.col("seq") / 25) % 3)).alias("label")), 25), f"WITH {S}, c AS (SELECT rec_id, seq // 25 AS chunk, seq % 25 AS b, seq % (2 + seq // 25 % 3) AS label FROM s), k AS (SELECT rec_id, chunk, count(DISTINCT label) AS k FROM c GROUP BY 1, 2), p AS (SELECT rec_id, chunk, coalesce(sum(k) OVER (PARTITION BY rec_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM k) SELECT rec_id, chunk, b + chunk * 25 AS \"begin\", b + 1 + chunk * 25 AS \"end\", CAST(label + p AS BIGINT) AS label FROM c JOIN p USING (rec_id, chunk)")
 
+add("best_lag", lambda s, d: rounded(iv.best_lag(samples(s, d), samples(s, d).withColumn("x", F.col("x") * 2).withColumn("seq", F.col("seq") - 2), 0, 4)),
+    f"WITH {S}, j AS (SELECT a.rec_id, b.seq - 2 + l.lag AS at, l.lag, a.x, b.x * 2 AS r FROM s a JOIN s b ON a.rec_id = b.rec_id, (SELECT unnest(range(0, 5)) AS lag) l WHERE a.seq = b.seq - 2 + l.lag), g AS (SELECT rec_id, lag, sum(x * r) AS rs, sum(r * r) AS rr, sum(x * x) AS ss FROM j GROUP BY 1, 2) SELECT rec_id, CAST(arg_max(lag, rs / sqrt(rr * ss)) AS INTEGER) AS lag, round(arg_max(rs / rr, rs / sqrt(rr * ss)), 4) AS gain FROM g GROUP BY 1")
+GAPS = "SELECT t.rec_id, t.\"begin\" AS b, t.\"end\" AS e, greatest(t.\"begin\", g.\"begin\") AS x, least(t.\"end\", g.\"end\") AS y FROM {0} t JOIN {1} g ON t.rec_id = g.rec_id AND t.\"begin\" <= g.\"end\" AND g.\"begin\" <= t.\"end\""
+OPEN = "SELECT sum(CASE WHEN p.b IS NULL AND t.\"end\" - t.\"begin\" + 1 >= 20 THEN greatest(t.\"end\" - t.\"begin\" + 1 - 5, 0) WHEN p.b IS NOT NULL THEN p.gaps + p.tail ELSE 0 END) AS o, sum(CASE WHEN p.b IS NULL AND t.\"end\" - t.\"begin\" + 1 < 20 THEN greatest(t.\"end\" - t.\"begin\" + 1 - 5, 0) ELSE 0 END) AS k, sum(t.\"end\" - t.\"begin\" + 1) AS total FROM {0} t LEFT JOIN {1} p ON p.rec_id = t.rec_id AND p.b = t.\"begin\" AND p.e = t.\"end\""
+PER = "SELECT rec_id, b, e, sum(gap) AS gaps, greatest(max(e) - max(y) - 5, 0) AS tail FROM (SELECT *, greatest(x - coalesce(lag(y) OVER (PARTITION BY rec_id, b, e ORDER BY x, y), b - 1) - 1 - 5, 0) AS gap FROM {0}) GROUP BY 1, 2, 3"
+add("diarization_error", lambda s, d: rounded(iv.diarization_error(truth(s, d), guess(s, d), 5, 20, 64)),
+    f"WITH {TG}, c1 AS ({GAPS.format('tr', 'gu')}), c2 AS ({GAPS.format('gu', 'tr')}), p1 AS ({PER.format('c1')}), p2 AS ({PER.format('c2')}), m AS ({OPEN.format('tr', 'p1')}), f AS ({OPEN.format('gu', 'p2')}) SELECT round(100 * m.o / m.total, 4) AS miss, round(100 * f.o / m.total, 4) AS fa, round(100 * m.k / m.total, 4) AS se, round(100 * m.o / m.total + 100 * f.o / m.total + 100 * m.k / m.total, 4) AS der FROM m, f")
+add("regrid_decisions", lambda s, d: iv.regrid_decisions(win.label_runs(samples(s, d).withColumn("label", (F.col("x") > 30).cast("int"))), samples(s, d).where("seq % 7 = 0").select("rec_id", F.col("seq").alias("begin"), (F.col("seq") + 6).alias("end")), 32).select("rec_id", "begin", "flag"),
+    f"WITH {S} SELECT a.rec_id, a.seq AS \"begin\", CAST(2 * sum(CASE WHEN b.x > 30 THEN 1 ELSE 0 END) > 7 AS INTEGER) AS flag FROM s a JOIN s b ON a.rec_id = b.rec_id AND b.seq BETWEEN a.seq AND a.seq + 6 WHERE a.seq % 7 = 0 GROUP BY 1, 2")
+add("label_windows", lambda s, d: iv.label_windows(_relative(s, d).withColumn("label", (F.col("x") > 15).cast("int")), 300.0, 150.0),
+    f"WITH {S}, z AS (SELECT rec_id, (t - min(t) OVER (PARTITION BY rec_id)) / 1000 AS t, CAST(x > 15 AS INTEGER) AS label FROM s), m AS (SELECT rec_id, max(t) AS m FROM z GROUP BY 1), k AS (SELECT rec_id, unnest(range(0, 1 + CAST(floor(m / 150) AS BIGINT))) AS win, m FROM m), c AS (SELECT z.rec_id, win, label, count(*) AS n FROM z JOIN k ON k.rec_id = z.rec_id AND win * 150 + 300 < m AND ceil(t) > win * 150 AND floor(t) <= win * 150 + 300 GROUP BY 1, 2, 3) SELECT rec_id, win, label FROM (SELECT *, sum(n) OVER (PARTITION BY rec_id, win) AS total FROM c) WHERE n > floor(CAST(0.7 AS DOUBLE) * total)")
+add("cluster_pairs", lambda s, d: iv.cluster_pairs(orders_spans(s, d)).groupBy("a", "b").count(), f"WITH {SPANS}, l AS (SELECT DISTINCT rec_id, label FROM o) SELECT a.label AS a, b.label AS b, count(*) AS count FROM l a JOIN l b ON a.rec_id = b.rec_id AND a.label < b.label GROUP BY 1, 2")
+add("with_subject", lambda s, d: iv.with_subject(table(s, d, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("device_id")), table(s, d, "nation").select(F.col("n_nationkey").alias("device_id"), "n_name")).groupBy("n_name").count(), "SELECT n_name, count(*) AS count FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+add("long_windows", lambda s, d: iv.long_windows(truth(s, d), 20).select("rec_id", "seg_begin", "begin", "end").distinct(), f"WITH {TG}, w AS (SELECT rec_id, \"begin\" AS b, \"end\" AS e, unnest(range(0, CAST(floor((\"end\" - \"begin\" + 1 - 20) / 10) AS BIGINT) + 1)) AS k FROM tr WHERE \"end\" - \"begin\" + 1 >= 20) SELECT DISTINCT rec_id, b AS seg_begin, CAST(b + k * 10 AS BIGINT) AS \"begin\", CASE WHEN k = floor((e - b + 1 - 20) / 10) THEN e ELSE b + k * 10 + 19 END AS \"end\" FROM w")
+
 # scalars
 add("shex2dec", lambda s, d: table(s, d, "events").select("event_id", scales.shex2dec(F.lpad(F.hex(F.col("event_id") * 37 % 65536), 4, "0")).alias("v")), "SELECT event_id, CASE WHEN event_id * 37 % 65536 > 32768 THEN event_id * 37 % 65536 - 65536 ELSE event_id * 37 % 65536 END AS v FROM events")
 add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f")).alias("bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
@@ -169,6 +184,7 @@ add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f
 E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
 add("distances", lambda s, d: rounded(vec.nearest(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(center, d) AS center, round(min(d), 4) AS distance FROM d GROUP BY 1")
 add("kmeans", lambda s, d: rounded(vec.kmeans_step(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding").select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), n AS (SELECT vec_id, arg_min(center, d) AS center FROM d GROUP BY 1) SELECT center, CAST(k AS INTEGER) AS k, round(avg(v), 4) + 0.0 AS m FROM e JOIN n USING (vec_id) GROUP BY 1, 2")
+add("gmm_global", lambda s, d: rounded(vec.gmm_global(vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label")), 5), f"WITH {E} SELECT CAST(k AS INTEGER) AS k, round(avg(v), 5) + 0.0 AS mean, round(var_pop(v), 5) AS var FROM e GROUP BY 1")
 add("class_scatter", lambda s, d: rounded(vec.scatter_traces(table(s, d, "embeddings"), "embedding", "label"), 3), f"WITH {E}, g AS (SELECT k, avg(v) AS g FROM e GROUP BY 1) SELECT round(sum(pow(v - m, 2)), 3) AS within, round(sum(pow(m - g, 2)), 3) AS between FROM e JOIN c USING (label, k) JOIN g USING (k)")
 add("score_gmm", lambda s, d: rounded(vec.score_gmm(table(s, d, "embeddings"), vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 3), f"WITH {E.replace('avg(v) AS m', 'avg(v) AS m, var_pop(v) AS s, count(*) AS n')}, t AS (SELECT count(*) AS t FROM embeddings), l AS (SELECT vec_id, c.label AS comp, ln(max(n) / max(t)) - 0.5 * sum(ln(2 * pi() * s) + pow(v - m, 2) / s) AS l FROM e JOIN c USING (k), t GROUP BY 1, 2), m AS (SELECT vec_id, max(l) AS m FROM l GROUP BY 1) SELECT vec_id, round(max(m) + ln(sum(exp(l - m))), 3) AS log_density, arg_max(comp, l) AS comp FROM l JOIN m USING (vec_id) GROUP BY 1")
 add("gmm_kl", lambda s, d: rounded(vec.gmm_kl(vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label")), 3), f"WITH {E.replace('avg(v) AS m', 'avg(v) AS m, var_pop(v) AS s')} SELECT a.label AS a, b.label AS b, round(0.5 * sum(a.s / b.s + pow(a.m - b.m, 2) / b.s - 1 + ln(b.s / a.s)), 3) AS kl FROM c a JOIN c b USING (k) WHERE a.label <> b.label GROUP BY 1, 2")
