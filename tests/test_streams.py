@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import signal, windows
+from tidemark.operators import audio, signal, windows
 from tidemark.streaming import streams
 
 
@@ -28,6 +28,14 @@ def test_state_over_batches_equals_one_pass(spark, tmp_path):
     want = {(r.rec_id, r.seq): r.noise for r in signal.noise_mmse(power).collect()}
     assert all(np.allclose(got[k], want[k]) for k in want) and got.keys() == want.keys()
 
+    wave = power.withColumn("v", F.array(*(F.sin(F.col("seq") * 8 + k) * F.col("x") for k in range(8)))).select("rec_id", "seq", "v", F.array(F.lit(1.0), "x", F.col("x") * 3).alias("power"))
+    got = {(r.rec_id, r.seq): r.v for r in played(spark, tmp_path / "d", wave, [(0, 11), (12, 99)], streams.stream_enhance)}
+    want = {(r.rec_id, r.seq): r.v for r in audio.enhance(wave.select("rec_id", "seq", "v")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    got = {(r.rec_id, r.seq): r.p for r in played(spark, tmp_path / "e", wave, [(0, 11), (12, 99)], streams.stream_vad)}
+    want = {(r.rec_id, r.seq): r.p for r in audio.vad(wave.select("rec_id", "seq", "power")).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
 
 def test_sliding_windows(spark, tmp_path):
     df = spark.range(40).select(F.lit(1).cast("bigint").alias("rec_id"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 50_000).alias("ts"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))

@@ -28,14 +28,16 @@ def expint(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def noise_minstat(power: np.ndarray, span: int = 60, smooth: float = 0.85, bias: float = 2.0) -> np.ndarray:
-    """Noise spectra as bias times the least smoothed power of the last span frames."""
-    s, out = np.empty_like(power), np.empty_like(power)
-    last = power[:10].mean(axis=0)
+def noise_minstat(power: np.ndarray, span: int = 60, smooth: float = 0.85, bias: float = 2.0, state: list | None = None) -> tuple[np.ndarray, list]:
+    """Noise spectra as bias times the least smoothed power of the last span frames, and the state to go on from (those frames' smoothed powers).
+    The first frames are smoothed from the mean of the first ten."""
+    recent, out = list(state or []), np.empty_like(power)
+    last = recent[-1] if recent else power[:10].mean(axis=0)
     for i, y in enumerate(power):
-        s[i] = last = smooth * last + (1 - smooth) * y
-        out[i] = bias * s[max(0, i - span + 1) : i + 1].min(axis=0)
-    return out
+        last = smooth * last + (1 - smooth) * y
+        recent = [*recent[-(span - 1) :], last]
+        out[i] = bias * np.min(recent, axis=0)
+    return out, recent
 
 
 def log_mmse_gain(power: np.ndarray, noise: np.ndarray, before: np.ndarray | None = None, a: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +61,18 @@ def enhance(frames: DataFrame, kind: str = "mmse") -> DataFrame:
         if kind == "mmse":
             gain, _ = log_mmse_gain(power, noise_step(power, None)[0])
         else:
-            gain = np.sqrt(np.maximum(1 - noise_minstat(power) / np.maximum(power, 1e-30), 0.01))
+            gain = np.sqrt(np.maximum(1 - noise_minstat(power)[0] / np.maximum(power, 1e-30), 0.01))
         return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "v": list(np.fft.irfft(spec * gain, x.shape[1], axis=1))})
 
     return per_recording(frames, run, "seq bigint, v array<double>", ["v"])
 
 
-def vad_probabilities(power: np.ndarray, state: float = 0.0, stay: float = 0.98, enter: float = 0.02) -> tuple[np.ndarray, float]:
-    """Speech probabilities of frames by a likelihood ratio with a two-state chain, and the log odds to go on from."""
-    noise = noise_minstat(power)
+def vad_probabilities(power: np.ndarray, state: tuple | None = None, stay: float = 0.98, enter: float = 0.02) -> tuple[np.ndarray, tuple]:
+    """Speech probabilities of frames by a likelihood ratio with a two-state chain, and the state to go on from."""
+    odds, u, recent = state or (0.0, None, None)
+    noise, recent = noise_minstat(power, state=recent)
     post = np.minimum(power / np.maximum(noise, 1e-30), 1000.0)[:, 1:]
-    prior, out, odds, u = np.ones(post.shape[1]), np.empty(len(post)), state, None
+    out = np.empty(len(post))
     for i, g in enumerate(post):
         prior = np.full(len(g), 3e-3) if u is None else np.maximum(0.98 * u + 0.02 * np.maximum(g - 1, 0), 3e-3)
         ratio = float(np.mean(g * prior / (1 + prior) - np.log1p(prior)))
@@ -78,7 +81,7 @@ def vad_probabilities(power: np.ndarray, state: float = 0.0, stay: float = 0.98,
         before = p * stay + (1 - p) * enter
         odds = float(np.clip(np.log(before / (1 - before)) + ratio, -30, 30))
         out[i] = 1 / (1 + np.exp(-odds))
-    return out, odds
+    return out, (odds, u, recent)
 
 
 def vad(frames: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.audio import log_mmse_gain, vad_probabilities
 from tidemark.operators.signal import noise_step
 
 
@@ -77,3 +78,27 @@ def stream_ema(stream: DataFrame, lam: float) -> DataFrame:
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "ema": out}), y
 
     return _with_state(stream, ["x"], "seq bigint, ema double", step)
+
+
+def stream_enhance(stream: DataFrame) -> DataFrame:
+    """Frames (rec_id, seq, v) with noise taken out by the log-spectral estimator; noise and gains go on from batch to batch."""
+
+    def step(rows, state):
+        x = np.stack(rows["v"].to_numpy()).astype(float)
+        spec = np.fft.rfft(x, axis=1)
+        power = np.abs(spec) ** 2
+        noise, tracker = noise_step(power, state[0] if state else None)
+        gain, before = log_mmse_gain(power, noise, state[1] if state else None)
+        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "v": list(np.fft.irfft(spec * gain, x.shape[1], axis=1))}), (tracker, before)
+
+    return _with_state(stream, ["v"], "seq bigint, v array<double>", step)
+
+
+def stream_vad(stream: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Speech probabilities and labels of frames (rec_id, seq, power)."""
+
+    def step(rows, state):
+        p, state = vad_probabilities(np.stack(rows["power"].to_numpy()).astype(float), state)
+        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "p": p, "label": (p > threshold).astype(int)}), state
+
+    return _with_state(stream, ["power"], "seq bigint, p double, label int", step)
