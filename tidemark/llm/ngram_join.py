@@ -9,7 +9,8 @@ costs more lookups, and the number of candidates that share l of them falls, so
 taken, from the counts of classes per prefix shingle (all of them; counts come by a map-side combined aggregation).
 
 Verification takes place in two steps that lose no link. First every list of classes with a common prefix shingle
-and like sizes has a hub, and each class is held against the hub that it shares most with, as a star. Then only candidates whose ends are still in different components
+and like sizes has a hub (the class with the fewest shingles of its own before the common one, so the one in the middle of
+its copies), and each class is held against the hub that it shares most with, as a star. Then only candidates whose ends are still in different components
 are generated, by the multi-match rule, and verified; pairs inside one component are never made. Components
 come from least labels with pointer jumping.
 
@@ -243,7 +244,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     # stars: lists of like sizes, in buckets that overlap by half
     size = F.log("n") / math.log(t1 / t0)
     starred = lists.withColumn("bucket", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + 100_000)))
-    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("sig", "n", "u")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("u", "sig", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     near = lambda n, m, u, v: F.expr(f"least({n}, {m}) * {t1} >= greatest({n}, {m}) * {t0} AND ({n} + {m} - {u} - {v}) * {t0 + t1} >= 2 * {t0} * ({n} + {m})")
     pairs = starred.join(hubs, ["s", "bucket"]).where((F.col("sig") != F.col("hub.sig")) & near("n", "hub.n", "u", "hub.u")).groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
     pairs = pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b")  # each class's nearest hub
