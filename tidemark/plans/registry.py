@@ -178,7 +178,7 @@ add("long_windows", lambda s, d: iv.long_windows(truth(s, d), 20).select("rec_id
 # scalars
 add("shex2dec", lambda s, d: table(s, d, "events").select("event_id", scales.shex2dec(F.lpad(F.hex(F.col("event_id") * 37 % 65536), 4, "0")).alias("v")), "SELECT event_id, CASE WHEN event_id * 37 % 65536 > 32768 THEN event_id * 37 % 65536 - 65536 ELSE event_id * 37 % 65536 END AS v FROM events")
 add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f")).alias("bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
-    "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(69 + 12 * log2(abs(f) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
+    "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(69 + 12 * log2(nullif(abs(f), 0) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
 
 # vectors
 E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
