@@ -13,8 +13,8 @@ repeats. A larger group is split by longer prefixes: all words of a run, and the
 words; there each group is one node, whose earliest leaf is a minimum that needs no tree, no task that holds the group, and no pairs.
 
 Decisions return to the documents as runs of repeated windows; words under them are removed. Windows are
-judged on the input. Compared words are the words themselves in the subtrees and 128-bit hashes of them in
-the split groups; anchors (64-bit) only select.
+judged on the input. Words are compared by 64-bit hashes inside a group of equal anchors, and windows of the split groups by
+128-bit ones; anchors (64-bit) only select.
 
 Null and empty texts: no words. Null ids count as smaller than all ids. Rows with equal id and equal text
 count as one document, and each of them is returned with that document's result; rows with equal ids and
@@ -153,9 +153,7 @@ def subtree(runs: list[tuple]) -> list[tuple[int, int]]:
     The suffixes' words, numbered, are sorted as rows up to WINDOW words; neighbours with all of them in common are one deep node."""
     data, off = as_slice([r[2] for r in runs])
     starts, ends, at = wordhash.word_spans(data, off)
-    raw = data.tobytes()
-    number: dict[bytes, int] = {}
-    words = np.array([number.setdefault(raw[s:e], len(number)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
+    words = np.unique(wordhash.word_hashes(data, starts, ends), return_inverse=True)[1].astype(np.int32)
     count = np.array([r[1] for r in runs])
     run = np.repeat(np.arange(len(runs)), count)
     window = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
@@ -173,24 +171,24 @@ def small_groups(runs: DataFrame, id_type: str) -> DataFrame:
     """(id, rank, pos, n) of repeats: subtrees of the groups of each anchor, read in order of anchors."""
 
     def build(batches):
-        rows: list[dict] = []
+        rows: list[tuple] = []  # (id, rank, pos, n, anchor, words)
 
-        def flush(rows):
-            order = [((r["id"] is not None, r["id"] if r["id"] is not None else 0, r["rank"], r["pos"]), r["n"], r["words"]) for r in rows]
-            out = [(rows[i]["id"], rows[i]["rank"], rows[i]["pos"] + w) for i, w in subtree(order)]
+        def flush(rows, id_arrow):
+            out = [(rows[i][0], rows[i][1], rows[i][2] + w) for i, w in subtree([((r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2]), r[3], r[5]) for r in rows])]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_arrow), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([1] * len(out), pa.int32())], ["id", "rank", "pos", "n"])
 
+        id_arrow = None
         for batch in batches:
             id_arrow = batch.schema.field(0).type
-            for r in batch.to_pylist():
-                if len(rows) >= 2 * GROUP and r["anchor"] != rows[-1]["anchor"]:
-                    yield flush(rows)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= 2 * GROUP and r[4] != rows[-1][4]:
+                    yield flush(rows, id_arrow)
                     rows = []
                 rows.append(r)
         if rows:
-            yield flush(rows)
+            yield flush(rows, id_arrow)
 
-    some = runs.where("words IS NOT NULL").drop("keys", "run_key").repartition("anchor").sortWithinPartitions("anchor")
+    some = runs.where("words IS NOT NULL").select("id", "rank", "pos", "n", "anchor", "words").repartition("anchor").sortWithinPartitions("anchor")
     return some.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int")
 
 
