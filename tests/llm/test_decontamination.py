@@ -81,3 +81,12 @@ def test_index_covers_the_radius(spark):
         for bit in rng.sample(range(64), dc.RADIUS):
             other ^= 1 << bit
         assert any((b, other >> 16 * b & 65535) in entries for b in range(dc.BLOCKS))
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    assert sorted(map(tuple, dc.query(spark, "/root/testdata/sf0.01").collect())) == sorted(c.sql(dc.ORACLE).fetchall())

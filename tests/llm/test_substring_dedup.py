@@ -57,3 +57,12 @@ def test_tables(spark, sf):
     got = sd.query(spark, f"/root/testdata/{sf}").collect()
     assert len(got) == len(want) and sum(r.n_removed for r in got) > 1000
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[(True, r.doc_id)] for r in got)
+
+
+def test_sql():
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = brute(c.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert {(True, r[0]): r[1:] for r in c.sql(sd.ORACLE).fetchall()} == want

@@ -105,3 +105,20 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity", F.col("at").cast("bigint").alias("at"))
+
+
+#: The query's rows, by exact similarity of every window that begins with a shared shingle.
+ORACLE = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+l AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM t),
+w AS (SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM l),
+g AS (SELECT kind, id, pos, count(*) OVER v AS n, string_agg(word, ' ') OVER v AS g FROM w WINDOW v AS (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT kind, id, pos, g FROM g WHERE n = 5),
+size AS (SELECT kind, id, count(*) AS n FROM s GROUP BY 1, 2),
+item AS (SELECT id, g, count(*) AS tf FROM s WHERE kind = 'i' GROUP BY 1, 2),
+hit AS (SELECT s.id AS doc_id, s.pos, s.g, item.id AS item_id, tf FROM s JOIN item USING (g) WHERE kind = 'd'),
+win AS (SELECT a.doc_id, a.item_id, a.pos AS p, b.g, max(b.tf) AS tf, count(*) AS m FROM hit a JOIN size i ON i.kind = 'i' AND i.id = a.item_id JOIN hit b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.pos BETWEEN a.pos AND a.pos + i.n - 1 GROUP BY 1, 2, 3, 4),
+sim AS (SELECT doc_id, item_id, p, sum(least(m, tf)) AS shared FROM win GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, item_id, p, CAST(shared AS DOUBLE) / (i.n + least(i.n, d.n - p) - shared) AS similarity FROM sim JOIN size i ON i.kind = 'i' AND i.id = item_id JOIN size d ON d.kind = 'd' AND d.id = doc_id)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(p, similarity * 1e9 - p) AS BIGINT) AS "at" FROM r WHERE similarity >= 0.8 GROUP BY 1, 2
+"""

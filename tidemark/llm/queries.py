@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_warc_zip": warc_zip.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
 }
