@@ -50,6 +50,16 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, rows[:0] + [(1, None)])
 
 
+@pytest.mark.parametrize("group", [sd.GROUP, 3])
+def test_repeated_rows_keep_the_earliest_text(spark, monkeypatch, group):
+    monkeypatch.setattr(sd, "GROUP", group)
+    one, two, three = (" ".join(f"{p}{i}" for i in range(45)) for p in "abc")
+    rows = [(7, one)] * 5 + [(None, two)] * 3 + [(8, "x " + one + " y")] * 2 + [(9, two)] + [(11, None)] * 2 + [(10, three)]
+    check(spark, rows)
+    kept = {(r.doc_id, r.n_words): r.n_removed for r in sd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {(7, 45): 0, (None, 45): 0, (8, 47): 45, (9, 45): 45, (11, 0): 0, (10, 45): 0}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_tables(spark, sf):
     docs = table(spark, f"/root/testdata/{sf}", "documents")

@@ -226,11 +226,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     id_type = own.schema["id"].dataType.simpleString()
     # a table of its own, so that the join's both sides are shuffled for it and a frequent anchor's part can be split
     repeated = cut(anchor_counts(own).where("n > 1").select("anchor", (F.col("n") > GROUP).alias("large")), "anchors")
-    hits = anchor_runs(own, id_type).join(repeated, "anchor").select("id", "rank", F.struct("pos", "large").alias("hit"))
-    # equal rows are one document: its hits come once
-    hits = hits.groupBy("id", "rank").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
+    # equal rows are one document: its hits and its text come once, or its leaves would be repeats of themselves. Both are
+    # grouped by what they are joined by (a struct, as ids may be null), so each is shuffled once
+    one = F.struct("id", "rank").alias("one")
+    hits = anchor_runs(own, id_type).join(repeated, "anchor").select(one, F.struct("pos", "large").alias("hit")).groupBy("one").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     texts = packed(own, id_type)
-    found = texts.alias("t").join(hits.alias("h"), (F.col("t.rank") == F.col("h.rank")) & F.col("t.id").eqNullSafe(F.col("h.id"))).select("t.id", "t.rank", "z", "hits")
+    found = texts.select(one, "z").groupBy("one").agg(F.first("z").alias("z")).join(hits, "one").select("one.id", "one.rank", "z", "hits")
     runs = cut(suffix_runs(found, id_type), "suffix-runs")
     gone = small_groups(runs, id_type).unionByName(large_groups(runs)).groupBy("id", "rank").agg(F.collect_list(F.struct("pos", "n")).alias("repeats"))
     joined = texts.alias("t").join(gone.alias("g"), (F.col("t.rank") == F.col("g.rank")) & F.col("t.id").eqNullSafe(F.col("g.id")), "left").select("t.id", "z", "repeats")
