@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, ngram_join, pii, sentencepiece_sampling, toxicity
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import cut, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +16,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked ones (five-word shingles, similarity of 0.8 or more)."""
-    groups = ngram_join.join_groups(docs)
-    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """One row of each group of linked ones (five-word shingles, similarity of 0.8 or more), decided per row: the one with the least
+    doc_id (nulls last), then the least hash of its text, then, of rows equal in both, the least by all columns. A doc_id with
+    several texts can lose some and keep others. Rows without words are linked with nothing and all stay."""
+    identity = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("rank"))
+    groups = ngram_join.join_groups(docs.select(identity.alias("_row"), "text"), "_row").where("n_shingles > 0")
+    # rows to remove, and rows to keep once; an identity has one text, so it has one component
+    marks = groups.groupBy("_row").agg(F.first("component_id").alias("_kept"), F.count("*").alias("_copies")).where("_row != _kept OR _copies > 1")
+    marks = cut(marks.select("_row", (F.col("_row") == F.col("_kept")).alias("_once")), "marks")
+    rows = docs.select(identity.alias("_row"), F.struct(*docs.columns).alias("_all"))
+    once = rows.join(marks.where("_once"), "_row", "left_semi").groupBy("_row").agg(F.min("_all").alias("_all"))
+    return rows.join(marks, "_row", "left_anti").select("_all.*").unionByName(once.select("_all.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

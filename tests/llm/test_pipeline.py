@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline as cp
 from tidemark.llm import pii, toxicity
@@ -42,3 +44,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert untouched and all(rows[4][k].text == rows[3][k].text for k in untouched)
     assert all(r.lossless and r.n_chars == len(r.text) for r in rows[5].values())
     assert sps.MODEL and len(rows[5]) > 50
+
+
+def test_near_duplicates_are_decided_per_row(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randint(0, 99999)}" for _ in range(60)) for _ in range(5))
+    near = a + " end"
+    rows = [(1, a), (1, a), (1, a), (5, near)]  # repeated rows, and a near copy
+    rows += [(2, b), (None, b), (None, b + " end")]  # copies without an id
+    rows += [(5, c)]  # the clean text of an id whose other text is a copy
+    rows += [(None, d), (None, d), (None, d + " end")]  # a group without ids
+    rows += [(7, e), (7, e + " end"), (8, e)]  # two near texts of one id
+    rows += [(9, None), (9, None), (None, ""), (10, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars").repartition(3)
+    got = cp.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    least = dict(spark.createDataFrame([(t,) for _, t in rows if t], "text string").selectExpr("text", "xxhash64(text)").collect())
+    want = Counter([(1, a), (2, b), (5, c), (9, None), (9, None), (None, ""), (10, " ")])
+    want[None, min((d, d + " end"), key=least.get)] = 1
+    want[7, min((e, e + " end"), key=least.get)] = 1
+    assert kept == want
