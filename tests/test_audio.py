@@ -78,3 +78,16 @@ def test_models(spark):
     assert np.allclose(step[1], [6, 6], atol=0.5) and np.allclose(step[0], [1.5, 0], atol=1.6)
     t = models.lda_fit(frames, "v", "label", 1)
     assert abs(t[1, 0]) > abs(t[0, 0])  # the first place varies within clusters
+
+
+def test_drop_worst_by_exact_rank(spark):
+    n = 300_007
+    x = spark.range(n).select("id", F.array(F.pmod(F.hash("id"), F.lit(1 << 30)) / float(1 << 28)).alias("v"))
+    params = spark.createDataFrame([(0, 1.0, [0.0], [1.0])], "comp int, weight double, mean array<double>, var array<double>")
+    values = np.sort([r[0] for r in x.select(F.col("v")[0]).collect()])[::-1]  # the farther, the worse
+    for share in (0.1, 0.00001, 0.0):
+        rank = int(np.ceil(share * n - 1e-9))
+        want = int((values < values[rank - 1]).sum()) if rank else n
+        assert models.drop_worst(x, params, "id", "v", share).count() == want
+    same = x.limit(100).select("id", F.array(F.lit(1.0)).alias("v"))
+    assert models.drop_worst(same, params, "id", "v").count() == 0  # all tie with the last to go

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import folds
@@ -78,7 +78,11 @@ def merge_clusters(frames: DataFrame, g: int, rounds: int = 25) -> DataFrame:
 def drop_worst(feats: DataFrame, params: DataFrame, key: str, vector: str, share: float = 0.1) -> DataFrame:
     """Rows but those whose log density under a mixture is in its lowest share, by exact rank within the whole."""
     s = score_gmm(feats, params, key, vector)
-    cut = s.agg(F.percentile_approx("log_density", share, 10_000).alias("_c"))
+    # the rank's value is within a band around the approximate one (10 times its error to each side); only the band's values are sorted in one task
+    band = s.agg(F.ceil(F.lit(share) * F.count("log_density") - 1e-9).alias("_rank"), *(F.percentile_approx("log_density", min(1.0, max(0.0, share + d)), 10_000).alias(n) for n, d in (("_lo", -1e-3), ("_hi", 1e-3))))
+    counts = s.groupBy("log_density").agg(F.count("*").alias("_m")).join(F.broadcast(band), F.col("log_density") <= F.col("_hi"))
+    counts = counts.groupBy(F.greatest("log_density", "_lo").alias("_c"), "_rank").agg(F.sum("_m").alias("_m"))  # all below the band as one
+    cut = counts.withColumn("_m", F.sum("_m").over(Window.orderBy("_c"))).where("_m >= _rank AND _rank > 0").agg(F.coalesce(F.min("_c"), F.lit(float("-inf"))).alias("_c"))
     return feats.join(s.join(F.broadcast(cut), F.col("log_density") > F.col("_c")).select(key), key, "left_semi")
 
 
