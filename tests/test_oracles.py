@@ -36,3 +36,8 @@ def test_equals_sql(spark, duck, name):
     assert len(got) == len(want) and got
     bad = [(g, w) for g, w in zip(got, want, strict=True) if not all(map(close, g, w))]
     assert not bad, (len(bad), bad[:3])
+
+
+def test_kmeans_rounds_go_beyond_one(spark):
+    rows = [{(r.center, r.k): r.m for r in registry.QUERIES[name](spark, SF).collect()} for name in ("kmeans", "kmeans_rounds")]
+    assert rows[0] != rows[1]

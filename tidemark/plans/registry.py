@@ -184,6 +184,10 @@ add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f
 E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
 add("distances", lambda s, d: rounded(vec.nearest(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(center, d) AS center, round(min(d), 4) AS distance FROM d GROUP BY 1")
 add("kmeans", lambda s, d: rounded(vec.kmeans_step(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding").select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), n AS (SELECT vec_id, arg_min(center, d) AS center FROM d GROUP BY 1) SELECT center, CAST(k AS INTEGER) AS k, round(avg(v), 4) + 0.0 AS m FROM e JOIN n USING (vec_id) GROUP BY 1, 2")
+#: Rounds of a codebook's k-means, as kmeans_lbg has them.
+ROUNDS = 5
+ROUND = "d{i} AS (SELECT vec_id, c{i}.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c{i} USING (k) GROUP BY 1, 2), n{i} AS (SELECT vec_id, arg_min(center, d) AS center FROM d{i} GROUP BY 1), c{j} AS (SELECT center AS label, k, avg(v) AS m FROM e JOIN n{i} USING (vec_id) GROUP BY 1, 2)"
+add("kmeans_rounds", lambda s, d: rounded(vec.kmeans(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding", ROUNDS).select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, c0 AS (SELECT * FROM c), {', '.join(ROUND.format(i=i, j=i + 1) for i in range(ROUNDS))} SELECT label AS center, CAST(k AS INTEGER) AS k, round(m, 4) + 0.0 AS m FROM c{ROUNDS}")
 add("gmm_global", lambda s, d: rounded(vec.gmm_global(vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label")), 5), f"WITH {E} SELECT CAST(k AS INTEGER) AS k, round(avg(v), 5) + 0.0 AS mean, round(var_pop(v), 5) AS var FROM e GROUP BY 1")
 add("class_scatter", lambda s, d: rounded(vec.scatter_traces(table(s, d, "embeddings"), "embedding", "label"), 3), f"WITH {E}, g AS (SELECT k, avg(v) AS g FROM e GROUP BY 1) SELECT round(sum(pow(v - m, 2)), 3) AS within, round(sum(pow(m - g, 2)), 3) AS between FROM e JOIN c USING (label, k) JOIN g USING (k)")
 add("score_gmm", lambda s, d: rounded(vec.score_gmm(table(s, d, "embeddings"), vec.class_gaussians(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 3), f"WITH {E.replace('avg(v) AS m', 'avg(v) AS m, var_pop(v) AS s, count(*) AS n')}, t AS (SELECT count(*) AS t FROM embeddings), l AS (SELECT vec_id, c.label AS comp, ln(max(n) / max(t)) - 0.5 * sum(ln(2 * pi() * s) + pow(v - m, 2) / s) AS l FROM e JOIN c USING (k), t GROUP BY 1, 2), m AS (SELECT vec_id, max(l) AS m FROM l GROUP BY 1) SELECT vec_id, round(max(m) + ln(sum(exp(l - m))), 3) AS log_density, arg_max(comp, l) AS comp FROM l JOIN m USING (vec_id) GROUP BY 1")
