@@ -8,11 +8,18 @@ classes that link share at least min(l, l') shingles of their prefixes. l is cho
 costs more lookups, and the number of candidates that share l of them falls, so the l of least estimated cost is
 taken, from the counts of classes per prefix shingle (all of them; counts come by a map-side combined aggregation).
 
-Verification takes place in two steps that lose no link. First every list of classes with a common prefix shingle
-and like sizes has a hub (the class with the fewest shingles of its own before the common one, so the one in the middle of
-its copies), and each class is held against the hub that it shares most with, as a star. Then only candidates whose ends are still in different components
-are generated, by the multi-match rule, and verified; pairs inside one component are never made. Components
-come from least labels with pointer jumping.
+Groups of near copies, which may hold thousands of classes that mostly don't link, are decided without meeting pairwise.
+Every list of classes with a common prefix shingle and like sizes has a hub, the class with the fewest shingles of its own
+(the one in the middle of its copies); each class takes the hub that it shares most with, hubs take theirs, and so whole
+groups come to one star. A member is held as its differences from the hub. Elements in which most members differ from the hub
+are turned over, so that the differences are those from the star's middle. With d differences and n shingles, let
+f = d (1 + t) - n (1 - t). Two members link exactly when f + f' <= 2 (1 + t) times the number of differences that they share, so those
+with f + f' <= 0 link as they are, all of them by way of the member with the least f, and any others must share rare edits:
+they are joined on prefixes of their differences, rarest in the star first, and counted exactly. A difference that one
+member alone has is never shared; most members have so many of those that they are known to have no partner.
+
+Then only candidates of different stars whose ends are still in different components are generated, by the
+multi-match rule, and verified on their texts. Components come from least labels with pointer jumping.
 
 Null and empty texts, and texts without words: empty set, linked with nothing. With fewer words than a shingle
 has, the whole sequence is the one shingle. Null ids: such rows never name a component, unless it has no other id.
@@ -34,7 +41,7 @@ from tidemark.llm.common import bitmap, cut, in_bitmap, table, text_slices
 from tidemark.llm.components import components
 from tidemark.llm.lattice import mix
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: A shingle is frequent when so large a share of the rows has it, so there are at most (mean set size / FREQUENT) of them.
 FREQUENT = 3e-4
 #: A word is common when it makes up so large a share of all words, so there are at most 1 / COMMON of them.
@@ -42,15 +49,21 @@ COMMON = 1e-5
 MOST_L, VERIFY_COST = 8, 50
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, expected=None) -> tuple[np.ndarray, ...]:
-    """Sorted distinct shingle hashes of each text, back to back, and their bounds; and, if expected gives the log share of each
-    of some words, the sums of their logs over each shingle."""
+def by_row(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Order by (row, h)."""
+    order = np.argsort(h)
+    return order[np.argsort(row[order].astype(np.uint16 if rows < 1 << 16 else np.int64), kind="stable")]
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, eighths=None) -> tuple[np.ndarray, ...]:
+    """Sorted distinct shingle hashes of each text, back to back, and their bounds; and, if eighths gives the binary log of the
+    share of each of some words, in eighths, the sums of these over each shingle: integers, so that they follow from the shingle alone."""
     starts, ends, at = wordhash.word_spans(data, off)
     words = wordhash.word_hashes(data, starts, ends, lower=True)
     grams = wordhash.gram_hashes(words, k)
     n_words = np.diff(at)
-    row = np.searchsorted(at, np.arange(len(grams)), "right") - 1
-    ok = np.arange(len(grams)) + k <= at[row + 1]
+    row = np.repeat(np.arange(len(n_words)), n_words)[: len(grams)]
+    ok = np.arange(len(grams)) + k <= at[row + 1] if len(grams) else np.zeros(0, bool)
     h, row = [grams[ok]], [row[ok]]
     for short in range(1, k):  # a whole sequence; its length is part of its hash
         some = np.flatnonzero(n_words == short)
@@ -60,15 +73,15 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int, expected=None) -> tu
         h.append(own)
         row.append(some)
     h, row = np.concatenate(h), np.concatenate(row)
-    order = np.lexsort((h, row))
+    order = by_row(h, row, len(off))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     bounds = np.searchsorted(row[new], np.arange(len(off)))
-    if expected is None:
+    if eighths is None:
         return h[new], bounds
-    total = np.concatenate([[0.0], np.cumsum(expected(words))])
-    logs = np.concatenate([(total[k:] - total[:-k])[: len(ok)][ok] if len(ok) else np.zeros(0), np.full(len(h) - int(ok.sum()), -np.inf)])
+    total = np.concatenate([[0], np.cumsum(eighths(words))])
+    logs = np.concatenate([(total[k:] - total[:-k])[ok] if len(ok) else np.zeros(0, np.int64), np.full(len(h) - int(ok.sum()), -(1 << 20))])
     return h[new], bounds, logs[order][new]
 
 
@@ -85,14 +98,20 @@ def corpus_counts(docs: DataFrame, k: int) -> dict:
     """Counts over all rows that order shingles by how many documents likely have them; they only order.
 
     Words with a share of COMMON or more (at most 1 / COMMON of them) give the share expected of a shingle, as the product of its
-    words' shares. Shingles that stand several times in one slice, and in sum in FREQUENT of the rows, are counted themselves."""
+    words' shares. Shingles that stand several times in one slice, and in sum as often as FREQUENT of the rows, are counted themselves.
+    Values are eighths of a doubling, as integers."""
 
     def build(batches):
         rows = n_words = 0
         for _, data, off in text_slices(batches, "text", SLICE):
-            a, n = np.unique(shingle_sets(data, off, k)[0], return_counts=True)
-            starts, ends, _ = wordhash.word_spans(data, off)
-            w, m = np.unique(wordhash.word_hashes(data, starts, ends, lower=True), return_counts=True)
+            starts, ends, at = wordhash.word_spans(data, off)
+            words = wordhash.word_hashes(data, starts, ends, lower=True)
+            inside = np.ones(max(0, len(words) - k + 1), bool)
+            for i in range(1, k):  # not over a text's end
+                over = at[1:-1] - i
+                inside[over[(over >= 0) & (over < len(inside))]] = False
+            a, n = np.unique(wordhash.gram_hashes(words, k)[inside], return_counts=True)
+            w, m = np.unique(words, return_counts=True)
             rows, n_words = rows + len(off) - 1, n_words + len(starts)
             for kind, key, count in ((0, a[n > 1], n[n > 1]), (1, w[m > 2], m[m > 2])):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["kind", "s", "n"])
@@ -101,16 +120,20 @@ def corpus_counts(docs: DataFrame, k: int) -> dict:
     each = cut(docs.select("text").mapInArrow(build, "kind int, s bigint, n bigint").groupBy("kind", "s").agg(F.sum("n").alias("n")), "corpus-counts")
     size = {r["kind"]: r["n"] for r in each.where("kind >= 2").collect()}
     rows, n_words = size.get(2, 0), size.get(3, 0)
-    out = {"n_words": n_words}
-    for kind, name, least in ((0, "shingle", max(4, FREQUENT * rows)), (1, "word", COMMON * n_words)):
+    out = {"words": eighths_of(max(1, n_words))}
+    for kind, name, least, share in ((0, "shingle", max(4, FREQUENT * rows), 1), (1, "word", COMMON * n_words, max(1, n_words))):
         got = each.where((F.col("kind") == kind) & (F.col("n") >= least)).select("s", "n").toArrow()
         h = got["s"].to_numpy().view(np.uint64)
         by = np.argsort(h)
-        out[name] = (h[by], got["n"].to_numpy()[by])
+        out[name] = (h[by], eighths_of(got["n"].to_numpy()[by] / share))
     return out
 
 
-def looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other: float) -> np.ndarray:
+def eighths_of(x):
+    return np.round(8 * np.log2(x)).astype(np.int64)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other: int) -> np.ndarray:
     if not len(keys):
         return np.full(len(h), other)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -118,48 +141,46 @@ def looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other: float)
 
 
 def rows_with_prefixes(docs: DataFrame, id_type: str, k: int, t: tuple[int, int], counts: dict) -> DataFrame:
-    """(id, n, sig, prefix): prefix has the shingles of the longest prefix, in the order for all."""
+    """(id, t1, t2, n, sig, prefix): prefix has the shingles of the longest prefix, in the order for all."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def build(batches):
         c = sent.value
-        share = np.log(c["word"][1] / max(1, c["n_words"]))
-
-        def expected(words):
-            return looked_up(c["word"][0], share, words, np.log(COMMON))
-
+        rare = int(eighths_of(COMMON))
         for part, data, off in text_slices(batches, "text", SLICE):
-            h, bounds, logs = shingle_sets(data, off, k, expected)
+            h, bounds, logs = shingle_sets(data, off, k, lambda words: looked_up(*c["word"], words, rare))
             n = np.diff(bounds)
             row = np.repeat(np.arange(len(n)), n)
-            # eighths of a doubling of the number of documents; equal ones by hash
-            w = np.floor(8 * np.log2(1 + np.maximum(looked_up(*c["shingle"], h, 0), c["n_words"] * np.exp(logs)))).astype(np.int64)
-            by = np.lexsort((h, w, row))
+            # the number of documents that it is likely in; equal ones by hash, by which they are sorted
+            w = np.minimum(np.maximum(looked_up(*c["shingle"], h, 0), logs + c["words"]).clip(0), 65_535).astype(np.uint16)
+            by = np.argsort(w, kind="stable")
+            by = by[np.argsort(row[by].astype(np.uint16 if len(off) < 1 << 16 else np.int64), kind="stable")]
             longest = np.minimum(n, n + (-n * t[0] // t[1]) + MOST_L)  # -n * t0 // t1 is minus the least overlap
             keep = np.arange(len(h)) - np.repeat(bounds[:-1], n) < np.repeat(longest, n)
             offsets = np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(signatures(h, bounds), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[by][keep].view(np.int64)))], ["id", "n", "sig", "prefix"])
+            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[by][keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n), pa.array(signatures(h, bounds), pa.binary()), prefix], ["id", "t1", "t2", "n", "sig", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(build, f"id {id_type}, n bigint, sig binary, prefix array<bigint>")
+    return docs.select("id", "text", "t1", "t2").mapInArrow(build, f"id {id_type}, t1 bigint, t2 bigint, n bigint, sig binary, prefix array<bigint>")
 
 
 def class_number(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(s[:8] for s in sigs), np.int64)
 
 
-def texts_by_class(docs: DataFrame, id_type: str, k: int, wanted: np.ndarray) -> DataFrame:
-    """(id, sig, z): compressed texts of the classes that the bitmap lets through."""
+def packed_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(t1, t2, z): compressed texts that the bitmap lets through."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def build(batches):
         press = zstandard.ZstdCompressor(level=3)
         for part, data, off in text_slices(batches, "text", SLICE):
-            raw, sigs = data.tobytes(), signatures(*shingle_sets(data, off, k))
-            at = np.flatnonzero(in_bitmap(sent.value, class_number(sigs)))
+            raw = data.tobytes()
+            at = np.flatnonzero(in_bitmap(sent.value, part.column(1).to_numpy()))
             z = [press.compress(raw[off[i] : off[i + 1]]) for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([sigs[i] for i in at.tolist()], pa.binary()), pa.array(z, pa.binary())], ["id", "sig", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(z, pa.binary())], ["t1", "t2", "z"])
 
-    return docs.select("id", "text").mapInArrow(build, f"id {id_type}, sig binary, z binary")
+    return docs.select("text", "t1", "t2").mapInArrow(build, "t1 bigint, t2 bigint, z binary")
 
 
 def repeated_shingles(classes: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -190,73 +211,181 @@ def numbered(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(build, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", number bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) that link."""
-    both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
+def both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return pairs.join(texts.select(F.col("sig").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("sig").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
 
-    def build(batches):
-        press = zstandard.ZstdDecompressor()
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            ok = []
-            for a, b, za, zb in zip(*cols, strict=True):
+
+def shared_and_sizes(batches, k: int):
+    """For (a, b, za, zb), lists of (place in the batch, sorted shingles of both together) for each batch. Texts met again soon are read once."""
+    press = zstandard.ZstdDecompressor()
+    known: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            found = []
+            for a, b, za, zb in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                sets = []
                 for key, z in ((a, za), (b, zb)):
                     if key not in known:
-                        if len(known) >= 512:
+                        if len(known) >= 256:
                             known.clear()
                         raw = np.frombuffer(press.decompress(z), np.uint8)
                         known[key] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
-                    if key == a:
-                        x = known[a]
-                y = known[b]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(t[1] * shared >= t[0] * (len(x) + len(y) - shared))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                    sets.append(known[key])
+                found.append((len(sets[0]), len(sets[1]), np.sort(np.concatenate(sets))))
+            yield part, found
+
 
-    return both.mapInArrow(build, "a binary, b binary")
+def verified(pairs: DataFrame, texts: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) that link."""
+
+    def build(batches):
+        for part, found in shared_and_sizes(batches, k):
+            shared = np.array([int((s[1:] == s[:-1]).sum()) for _, _, s in found])
+            mask = pa.array(t[1] * shared >= t[0] * (np.array([len(s) for _, _, s in found]) - shared))
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
+
+    return both_texts(pairs, texts).mapInArrow(build, "a binary, b binary")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(star, star_n, sig, n, delta) for pairs (a, b) of a hub and a class: the shingles that one of them has alone. Classes that differ
+    from the hub in more than a third of both sizes' sum (a similarity under a half) are left out."""
+
+    def build(batches):
+        for part, found in shared_and_sizes(batches, k):
+            take, n, deltas = [], [], []
+            for i, (na, nb, s) in enumerate(found):
+                twice = s[1:] == s[:-1]
+                if 3 * (len(s) - 2 * int(twice.sum())) <= len(s):
+                    alone = np.ones(len(s), bool)
+                    alone[1:] &= ~twice
+                    alone[:-1] &= ~twice
+                    take.append(i)
+                    n.append((na, nb))
+                    deltas.append(s[alone].view(np.int64))
+            at = pa.array(take, pa.int64())
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in deltas])]).astype(np.int32)
+            delta = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *deltas])))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([x for x, _ in n], pa.int64()), part.column(1).take(at), pa.array([x for _, x in n], pa.int64()), delta], ["star", "star_n", "sig", "n", "delta"])
+
+    return both_texts(pairs, texts).mapInArrow(build, "star binary, star_n bigint, sig binary, n bigint, delta array<bigint>")
+
+
+def centred(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(star, sig, f, k, gs) from (star, sig, n, d, m, shared, flips): k and gs count and list the differences from the star's middle that
+    another member has, too, the rarest first; f is as in the module's docstring, times the threshold's denominator."""
+
+    def build(batches):
+        for batch in batches:
+            n, d, m = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            f, ks, lists = [], [], []
+            for i, (shared, flips) in enumerate(zip(batch.column(5), batch.column(6), strict=True)):
+                g, df = pairs_of(shared)
+                turned, their = pairs_of(flips)
+                most = 2 * df > m[i]
+                added = ~np.isin(turned, g[most])
+                size = d[i] - int(most.sum()) + int(added.sum())
+                left = m[i] - their[added]
+                g = np.concatenate([g[~most], turned[added][left > 1]])
+                df = np.concatenate([df[~most], left[left > 1]])
+                f.append(size * (t[0] + t[1]) - n[i] * (t[1] - t[0]))
+                ks.append(len(g))
+                lists.append(g[np.lexsort((g, df))])
+            offsets = np.concatenate([[0], np.cumsum(ks)]).astype(np.int32)
+            gs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.int64()), pa.array(ks, pa.int64()), gs], ["star", "sig", "f", "k", "gs"])
+
+    def pairs_of(x) -> tuple[np.ndarray, np.ndarray]:
+        if not x.is_valid:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return x.values.field(0).to_numpy(), x.values.field(1).to_numpy()
+
+    return members.select("star", "sig", "n", "d", "m", "shared", "flips").mapInArrow(build, "star binary, sig binary, f bigint, k bigint, gs array<bigint>")
+
+
+def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join all members (star, sig, n, delta) of each star that links join; a star's hub is a member without differences."""
+    c2 = 2 * (t[0] + t[1])
+    sized = members.groupBy("star").agg(F.count("*").alias("m"))
+    each = members.where("size(delta) > 0").select("star", "sig", F.explode("delta").alias("g"))
+    again = cut(each.groupBy("star", "g").agg(F.count("*").alias("df")).where("df > 1"), "differences")
+    shared = each.join(again, ["star", "g"]).groupBy("star", "sig").agg(F.collect_list(F.struct("g", "df")).alias("shared"))
+    flips = again.join(sized, "star").where("2 * df > m").groupBy("star").agg(F.collect_list(F.struct("g", "df")).alias("flips"))
+    whole = members.select("star", "sig", "n", F.size("delta").cast("bigint").alias("d")).join(shared, ["star", "sig"], "left").join(sized.join(flips, "star", "left"), "star")
+    own = cut(centred(whole, t), "centred")
+    middle = own.groupBy("star").agg(F.min(F.struct("f", "sig")).alias("low"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
+    placed = own.join(middle, "star")
+    near = placed.where("f + low.f <= 0 AND sig != low.sig").select(F.col("low.sig").alias("a"), F.col("sig").alias("b"))
+
+    # pairs with a far end must share differences
+    far = placed.where(f"f + low.f > 0 AND f + best <= 0 AND f - {c2} * k + low.f <= 0").select("star", "sig", "f", "k", "gs", F.col("low.f").alias("least"), F.lit(True).alias("far"))
+    far = cut(far, "far")
+    among = far.groupBy("star").agg(F.min("f").alias("least"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
+    other = placed.where("f + low.f <= 0").select("star", "sig", "f", "k", "gs").join(among, "star").where(f"f + best <= 0 AND f - {c2} * k + least <= 0").select("star", "sig", "f", "k", "gs", "least", F.lit(False).alias("far"))
+    alive = cut(far.unionByName(other), "alive")
+    listed = alive.select("star", "sig", "f", "k", "far", F.posexplode(F.expr(f"slice(gs, 1, cast(k + 1 - greatest(1, ceil((f + least) / {c2})) AS int))")).alias("i", "g"))
+    x, y = listed.alias("x"), listed.alias("y")
+    # the first difference that two share has at most so many after it
+    like = F.expr(f"x.sig < y.sig AND (x.far OR y.far) AND x.f + y.f <= {c2} * least(x.k - x.i, y.k - y.i)")
+    pairs = x.join(y, (F.col("x.star") == F.col("y.star")) & (F.col("x.g") == F.col("y.g")) & like).select("x.star", F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    ends = [alive.select("star", F.col("sig").alias(s), F.col("f").alias(f"f{s}"), F.col("gs").alias(f"g{s}")) for s in ("a", "b")]
+    rest = pairs.join(ends[0], ["star", "a"]).join(ends[1], ["star", "b"]).where(f"fa + fb <= {c2} * size(array_intersect(ga, gb))").select("a", "b")
+    return near.unionByName(rest)
+
+
+def roots(hubs: DataFrame) -> DataFrame:
+    """(b, a, root) from (a, b): a is b's hub, and root the hub of hubs that four steps lead to. Hubs have less order than their classes, so there are no cycles."""
+    up = cut(hubs.join(hubs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("v"), F.col("a").alias("r")), "hubs")
+    for _ in range(2):
+        up = cut(up.join(up.select(F.col("v").alias("r"), F.col("r").alias("s")), "r", "left").select("v", F.coalesce("s", "r").alias("r")), "hubs")
+    return hubs.join(up.select(F.col("v").alias("a"), "r"), "a", "left").select("b", "a", F.coalesce("r", "a").alias("root"))
 
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row: key, n_shingles, component_id (least key reachable by links). t is the threshold as a fraction (numerator, denominator)."""
     t0, t1 = t
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
     id_type = own.schema["id"].dataType.simpleString()
     rows = cut(rows_with_prefixes(own, id_type, k, t, corpus_counts(own, k)), "prefixes")
 
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = cut(classes, "classes")
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first(F.struct("n", "prefix", "t1", "t2")).alias("x"))
+    classes = cut(classes.select("sig", "first_id", "x.*"), "classes")
     counts = cut(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     each = repeated_shingles(classes, bitmap(counts, "s")).join(counts, "s").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "s", "df"))).alias("shared"))
-    found = cut(numbered(classes.select("sig", "n", "first_id")).join(each, "number"), "shared")
+    found = cut(numbered(classes.select("sig", "n", "t1", "t2", F.size("prefix").alias("longest"))).join(each, "number"), "shared")
     # the least l-prefix length but for l; lookups, and candidates (at most lookups / l), by l
     least = f"(n - (n * {t0} + {t1 - 1}) div {t1})"
     cost = f"array_min(transform(sequence(1, greatest(1, least({MOST_L}, cast((n * {t0} + {t1 - 1}) div {t1} AS int)))), l -> struct(aggregate(filter(shared, x -> x.pos < {least} + l), 0D, (s, x) -> s + x.df - 1) * (1 + {VERIFY_COST} / l) AS cost, l AS l))).l"
-    chosen = found.withColumn("l", F.expr(cost))
-    lists = cut(chosen.select("sig", "n", "l", F.explode(F.expr(f"filter(transform(shared, (x, i) -> named_struct('s', x.s, 'pos', x.pos, 'u', x.pos - i)), x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", F.col("x.s").alias("s"), F.col("x.u").alias("u")), "lists")
-    firsts = found.select("sig", "first_id")
-    texts = texts_by_class(own, id_type, k, bitmap(found, "number")).alias("t").join(firsts.alias("f"), (F.col("t.sig") == F.col("f.sig")) & F.col("t.id").eqNullSafe(F.col("f.first_id")), "left_semi").select("sig", "z")
-    texts = cut(texts.dropDuplicates(["sig"]), "texts")
+    chosen = found.withColumn("l", F.expr(cost)).withColumn("alone", F.col("longest") - F.size("shared"))
+    lists = cut(chosen.select("sig", "n", "l", "alone", F.explode(F.expr(f"filter(transform(shared, (x, i) -> named_struct('s', x.s, 'pos', x.pos, 'u', x.pos - i)), x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", "alone", F.col("x.s").alias("s"), F.col("x.u").alias("u")), "lists")
+    texts = packed_texts(own, bitmap(found, "t1")).dropDuplicates(["t1", "t2"]).join(found.select("sig", "t1", "t2"), ["t1", "t2"]).select("sig", "z")
+    texts = cut(texts, "texts")
 
     # u counts the shingles before a shared one that no other prefix has: its class's partners in that list can't have them
-    # either (they would come before the shared one in their prefixes, too), so they count as differences from the start.
-    # stars: lists of like sizes, in buckets that overlap by half
+    # either (they would come before the shared one in their prefixes, too), so what two share is among their others.
+    near = lambda n, m, u, v: F.expr(f"least({n}, {m}) * {t1} >= greatest({n}, {m}) * {t0} AND least({n} - {u}, {m} - {v}) * {t0 + t1} >= {t0} * ({n} + {m})")
+    # hubs: of lists of like sizes, in buckets that overlap by half
     size = F.log("n") / math.log(t1 / t0)
     starred = lists.withColumn("bucket", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + 100_000)))
-    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("u", "sig", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    near = lambda n, m, u, v: F.expr(f"least({n}, {m}) * {t1} >= greatest({n}, {m}) * {t0} AND ({n} + {m} - {u} - {v}) * {t0 + t1} >= 2 * {t0} * ({n} + {m})")
+    hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("alone", "sig", "n", "u")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     pairs = starred.join(hubs, ["s", "bucket"]).where((F.col("sig") != F.col("hub.sig")) & near("n", "hub.n", "u", "hub.u")).groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
-    pairs = pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b")  # each class's nearest hub
-    stars = cut(verified(pairs, texts, k, t), "stars")
+    hubs = roots(cut(pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "nearest"))
+    hubs = cut(hubs, "roots")
+    first = cut(differences(hubs.select(F.col("root").alias("a"), "b"), texts, k), "stars")
+    second = differences(hubs.where("a != root").join(first.select(F.col("sig").alias("b")), "b", "left_anti").select("a", "b"), texts, k)
+    members = cut(first.unionByName(second), "members")
+    centres = members.groupBy("star").agg(F.first("star_n").alias("n")).select("star", F.col("star").alias("sig"), "n", F.expr("cast(array() AS array<bigint>)").alias("delta"))
+    stars = cut(star_links(members.select("star", "sig", "n", "delta").unionByName(centres), t), "star-links")
     labels = components(stars)
 
-    # what is left: candidates in different components
-    at = lists.join(labels, lists["sig"] == labels["v"], "left").select("s", "sig", "n", "l", "u", F.coalesce("c", "sig").alias("c"))
-    mixed = at.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
+    # what is left: candidates in different stars and components
+    homes = members.select("sig", "star").unionByName(centres.select("sig", "star").join(members.select("sig"), "sig", "left_anti"))
+    at = lists.join(homes, "sig", "left").join(labels, lists["sig"] == labels["v"], "left").select("s", lists["sig"], "n", "l", "u", F.coalesce("c", lists["sig"]).alias("c"), F.coalesce("star", lists["sig"]).alias("star"))
+    mixed = at.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("star").alias("one"), F.max("star").alias("two")).where("lo != hi AND one != two").select("s")
     at = cut(at.join(mixed, "s"), "mixed")
     x, y = at.alias("x"), at.alias("y")
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & near("x.n", "y.n", "x.u", "y.u"))
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.star") != F.col("y.star")) & near("x.n", "y.n", "x.u", "y.u"))
     rest = rest.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.l", "y.l").alias("l")).agg(F.count("*").alias("m")).where("m >= l").select("a", "b")
     more = cut(verified(rest, texts, k, t), "links")
     labels = components(stars.unionByName(more))
