@@ -50,6 +50,36 @@ def test_against_brute_force(spark, k, t):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, k, *t)
 
 
+@pytest.mark.parametrize(("k", "t"), [(3, (9, 10)), (5, (4, 5))])
+def test_large_star_of_copies_that_mostly_do_not_link(spark, k, t):
+    """Near copies with up to five edits each, some of them shared: few link, and those that do share rare edits."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows, families = [], [[(rng.randrange(150), f"f{j}x{i}") for i in range(6)] for j in range(12)]
+    for i in range(260):
+        w = list(base)
+        for at, x in rng.choice(families)[: rng.choice([0, 0, 4, 6])]:
+            w[at] = x
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[f"e{rng.randrange(3000)}"], [], ["in", w[at]]])
+        rows.append((i, " ".join(w)))
+    got = nj.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=k, t=t).collect()
+    want = brute(rows, k, *t)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert 20 < len({r[2] for r in want}) < 250
+
+
+def test_order_of_shingles_follows_from_them_alone(spark):
+    """A shingle has one place in the order, whatever texts come with it in its slice."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.randrange(3, 200))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("*", "xxhash64(text) AS t1", "id AS t2")
+    counts = nj.corpus_counts(docs, 3)
+    one, other = (nj.rows_with_prefixes(d, "bigint", 3, (9, 10), counts).orderBy("id").collect() for d in (docs.coalesce(1), docs.orderBy(docs["id"].desc()).repartition(7)))
+    assert one == other and len(one) == 120
+
+
 def test_empty(spark):
     assert nj.join_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -47,6 +47,7 @@ FREQUENT = 3e-4
 #: A word is common when it makes up so large a share of all words, so there are at most 1 / COMMON of them.
 COMMON = 1e-5
 MOST_L, VERIFY_COST = 8, 50
+SALTS = 8
 
 
 def by_row(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -312,10 +313,13 @@ def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     again = cut(each.groupBy("star", "g").agg(F.count("*").alias("df")).where("df > 1"), "differences")
     shared = each.join(again, ["star", "g"]).groupBy("star", "sig").agg(F.collect_list(F.struct("g", "df")).alias("shared"))
     flips = again.join(sized, "star").where("2 * df > m").groupBy("star").agg(F.collect_list(F.struct("g", "df")).alias("flips"))
-    whole = members.select("star", "sig", "n", F.size("delta").cast("bigint").alias("d")).join(shared, ["star", "sig"], "left").join(sized.join(flips, "star", "left"), "star")
-    own = cut(centred(whole, t), "centred")
+    # a star may have a large share of all members: its one row is met in SALTS places
+    dealt = F.pmod(F.hash("sig"), F.lit(SALTS)).alias("salt")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = members.select("star", "sig", "n", F.size("delta").cast("bigint").alias("d")).join(shared, ["star", "sig"], "left").withColumn("salt", dealt)
+    own = cut(centred(whole.join(salted(sized.join(flips, "star", "left")), ["star", "salt"]), t), "centred")
     middle = own.groupBy("star").agg(F.min(F.struct("f", "sig")).alias("low"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
-    placed = own.join(middle, "star")
+    placed = own.withColumn("salt", dealt).join(salted(middle), ["star", "salt"])
     near = placed.where("f + low.f <= 0 AND sig != low.sig").select(F.col("low.sig").alias("a"), F.col("sig").alias("b"))
 
     # pairs with a far end must share differences
