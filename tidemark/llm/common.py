@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below spark.checkpoint.dir, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # only where the cluster names none, as in tests
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder; executors need one that they share")
+    if not root:  # on one machine, as in tests
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
