@@ -4,10 +4,10 @@ Each archive is a ZIP file with two stored members: archive/data.warc.gz, of one
 indexes/index.cdxj, of one line per record with its offset and length in the data member. The writer marks the data
 member as ZIP64. The reader never extracts: from the file's tail it reads the end record, the ZIP64 end record where there is
 one, and the central directory; local headers give where members' bytes begin; the index is read as a range; and
-spans of records of about SPAN bytes are dealt out as tasks, each of which range-reads and parses its own.
+spans of records of about SPAN bytes are dealt out evenly to as many tasks as the archives' bytes need (read_tasks()), each of which range-reads and parses its own.
 
 Of records with equal payloads of at least LEAST_REVISIT bytes, the one with the largest key is a response and the others
-are revisits that refer to it, without their payload; smaller ones are all responses. Rows that tie on the largest key are all responses. Null
+are revisits that refer to it, without their payload; smaller ones are all responses. Rows that tie on the largest key are all responses. Other columns of pages, whatever their names, are not read. Null
 keys are less than all others; if all keys are null, all are responses. A null html is an empty payload. Urls may be null.
 
 Archives are written below the shared scratch folder, under names of their own for each attempt; the manifest table names
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, scratch, table
 
 LEAST_REVISIT = 1000
-ARCHIVE_BYTES, SPAN = 64 << 20, 4 << 20
+#: A task reads about TASK_BYTES of archives, or less while there are cores without work.
+ARCHIVE_BYTES, SPAN, TASK_BYTES = 64 << 20, 1 << 20, 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -139,7 +140,7 @@ def ranges(uri: str):
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the rows as records; returns the manifest (uri, records)."""
+    """Writes the rows as records; returns the manifest (uri, records, bytes)."""
     folder = folder or scratch(pages.sparkSession, "warc")
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
@@ -169,9 +170,9 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     def finish(writer, sink, name):
         writer.close()
         sink.close()
-        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(writer.lines)], pa.int64())], ["uri", "records"])
+        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(writer.lines)], pa.int64()), pa.array([writer.at], pa.int64())], ["uri", "records", "bytes"])
 
-    return cut(plan.mapInArrow(build, "uri string, records bigint"), "manifest")
+    return cut(plan.mapInArrow(build, "uri string, records bigint, bytes bigint"), "manifest")
 
 
 class Sink(io.RawIOBase):
@@ -188,6 +189,11 @@ class Sink(io.RawIOBase):
         return len(data)
 
 
+def read_tasks(total_bytes: int, cores: int) -> int:
+    """Tasks that read so many bytes of archives. Spark can't tell from the spans' rows, which are small whatever they stand for."""
+    return max(1, -(-total_bytes // TASK_BYTES), min(cores, -(-total_bytes // SPAN)))
+
+
 def read_records(manifest: DataFrame, key_type: str = "bigint", span: int = SPAN) -> DataFrame:
     """(key, url, record_type, refers_to, payload_bytes, payload_digest, payload) of all records of the manifest's archives. A
     revisit's payload is null, its size and digest those of its header; a response's digest is computed and held against its header."""
@@ -229,8 +235,10 @@ def read_records(manifest: DataFrame, key_type: str = "bigint", span: int = SPAN
                 types = [key_arrow, pa.string(), pa.string(), key_arrow, pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    spans = manifest.select("uri").repartition(F.col("uri")).mapInArrow(locate, "uri string, at bigint, lengths array<bigint>")
-    return spans.repartition(F.col("uri"), F.col("at")).mapInArrow(parse_span, f"key {key_type}, url string, record_type string, refers_to {key_type}, payload_bytes bigint, payload_digest string, payload binary")
+    total = manifest.agg(F.count("*").alias("archives"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    spans = manifest.select("uri").repartition(max(1, min(total["archives"], max(cores, total["archives"] // 8)))).mapInArrow(locate, "uri string, at bigint, lengths array<bigint>")
+    return spans.repartition(read_tasks(total["bytes"], cores)).mapInArrow(parse_span, f"key {key_type}, url string, record_type string, refers_to {key_type}, payload_bytes bigint, payload_digest string, payload binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
