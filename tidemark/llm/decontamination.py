@@ -7,7 +7,8 @@ can be taken to begin with a shared shingle (a shift up to the next one loses no
 begin where a run of positions with shingles of items of one length begins, or at an item's first shingle.
 
 A window's 64-bit SimHash has bit i set when the weights of shingles with that bit outweigh the rest. Each item's
-fingerprint is entered in BLOCKS tables, one for each block of its bits, under all block values within NEAR bits;
+fingerprint is entered in BLOCKS tables, one for each block of its bits, under all block values within NEAR bits (10068 rows an
+item, so that is a table that is shuffled and sorted by block, never broadcast); distinct fingerprints of windows look up their blocks;
 two fingerprints within RADIUS = BLOCKS * (NEAR + 1) - 1 bits agree to within NEAR in some block, so looking up a
 window's own blocks finds all items within RADIUS. Candidates are verified by exact weighted Jaccard similarity,
 the sum of the lesser weights over the sum of the greater ones, against THRESHOLD.
@@ -15,7 +16,9 @@ the sum of the lesser weights over the sum of the greater ones, against THRESHOL
 SimHash is random beyond the radius: at a similarity of exactly 0.8 a pair's distance is about 10 with a deviation of
 3, so over 99 of 100 pairs lie within 19 bits, and equal passages always do. Items or documents with fewer words than a shingle, nulls and empty texts match nothing. Null ids are kept as
 null. Repeated documents are each reported; repeated items once. The shingles of the items are broadcast only while
-they number at most BROADCAST_ROWS; beyond, documents' shingles are joined by a shuffle.
+they number at most BROADCAST_ROWS; beyond, documents' shingles are joined by a shuffle. Other columns of either table, whatever their
+names, are not read (and stay, in drop_contaminated()). A script without spaces has one word a sentence, so that only whole equal
+sentences match there.
 """
 
 from __future__ import annotations
@@ -57,8 +60,8 @@ def items_table(benchmark: DataFrame, key: str, text: str) -> DataFrame:
 def index(items: DataFrame) -> DataFrame:
     """(item, n_words, b, value): every block value within NEAR bits of an item's own."""
     masks = ",".join(str(m) for m in range(1 << 16) if m.bit_count() <= NEAR)
-    own = items.select("item", "n_words", F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "v"))
-    return own.select("item", "n_words", "b", "v", F.explode(F.split(F.lit(masks), ",")).alias("mask")).select("item", "n_words", "b", F.expr("v ^ cast(mask AS bigint)").alias("value"))
+    own = items.select("item", "n_words", F.col("print").alias("item_print"), F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "v"))
+    return own.select("item", "n_words", "item_print", "b", "v", F.explode(F.split(F.lit(masks), ",")).alias("mask")).select("item", "n_words", "item_print", "b", F.expr("v ^ cast(mask AS bigint)").alias("value"))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -86,10 +89,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     own_size = F.col("n_words") - (SHINGLE - 1)
     cutout = begins.join(texts, "row").select("row", "doc_id", "at", "n_words", F.slice("hs", F.col("at") + 1, own_size).alias("hs"))
     prints = cut(cutout.withColumn("print", simhash("hs")), "windows")
-    looked = prints.select("row", "at", "n_words", F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "value"))
-    pairs = looked.join(index(items), ["n_words", "b", "value"]).select("row", "at", "n_words", "item").distinct()
-    both = pairs.join(prints, ["row", "at", "n_words"]).join(items.select("item", "item_id", F.col("n_words"), F.col("hs").alias("item_hs"), F.col("print").alias("item_print")), ["item", "n_words"])
-    both = both.withColumn("distance", F.expr("bit_count(print ^ item_print)")).where(F.col("distance") <= RADIUS)
+    # copies of a passage have one fingerprint, which is looked up once
+    looked = prints.select("n_words", "print").distinct().select("n_words", "print", F.posexplode(F.array(*(block("print", i) for i in range(BLOCKS)))).alias("b", "value"))
+    pairs = looked.join(index(items).hint("merge"), ["n_words", "b", "value"]).withColumn("distance", F.expr("bit_count(print ^ item_print)")).where(F.col("distance") <= RADIUS)
+    both = prints.join(pairs.select("n_words", "print", "item", "distance").distinct(), ["n_words", "print"]).join(items.select("item", "item_id", F.col("hs").alias("item_hs")), "item")
     shared = F.expr("aggregate(array_distinct(hs), 0, (s, h) -> s + least(size(filter(hs, x -> x = h)), size(filter(item_hs, x -> x = h))))")
     scored = both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("hs") + F.size("item_hs") - F.col("shared")))
     found = scored.where(F.col("similarity") >= THRESHOLD)
