@@ -1,7 +1,9 @@
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from tidemark.llm import language_id as li
 from tidemark.llm import lattice
@@ -32,6 +34,54 @@ def test_forward_equals_all_segmentations():
     assert ok.all() and np.allclose(got[0], want)
 
 
+def pieces_by_text(p):
+    spelled = set(p.byte_id.tolist())
+    return {p.bytes[i].decode().replace(" ", "▁"): i for i in range(p.size) if p.bytes[i] and i not in spelled}
+
+
+def brute_sums(p, ids, word, prob):
+    """(sum over all segmentations, expected pieces), exactly, by fractions over prefixes and suffixes; each character is a piece or bytes."""
+
+    def ways(a, b):
+        if word[a:b] in ids:
+            return Fraction(prob[ids[word[a:b]]])
+        return math.prod(Fraction(prob[i]) for i in p.byte_id[list(word[a].encode())]) if b == a + 1 else Fraction(0)
+
+    n = len(word)
+    left, right = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for b in range(1, n + 1):
+        left[b] = sum(left[a] * ways(a, b) for a in range(max(0, b - p.longest), b))
+    for a in range(n - 1, -1, -1):
+        right[a] = sum(ways(a, b) * right[b] for b in range(a + 1, min(n, a + p.longest) + 1))
+    counts = {}
+    for a in range(n):
+        for b in range(a + 1, min(n, a + p.longest) + 1):
+            if word[a:b] in ids:
+                counts[ids[word[a:b]]] = counts.get(ids[word[a:b]], 0) + float(left[a] * ways(a, b) * right[b] / left[n])
+    return left[n], counts
+
+
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+@pytest.mark.parametrize("word", ["the", "donaudampfschifffahrtsgesellschaftskapitaenswitwenundwaisen", "ꦏꦕꦠꦤ" * 12, "straße" * 30])
+def test_words_of_any_length_are_summed_whole(word):
+    p = lattice.load(li.MODEL)
+    ids = pieces_by_text(p)
+    prob = np.stack([p.prior, np.random.default_rng(2).dirichlet(np.full(p.size, 0.5)).clip(1e-12)])
+    raw = word.encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    got, _ = li.log_likelihoods(p, prob, data, off)
+    want = [brute_sums(p, ids, "▁" + word, x) for x in prob]
+    assert np.allclose(got[0], [log_of(x) for x, _ in want], rtol=1e-9)
+    counts = li.expected_counts(p, data, off, np.array([0]), 1)[0]
+    expected = np.zeros(p.size)
+    for i, x in want[0][1].items():
+        expected[i] = x
+    assert np.allclose(counts, expected, atol=1e-9)
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = li.query(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in table(spark, SF, "documents").collect()}

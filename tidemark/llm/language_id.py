@@ -10,6 +10,8 @@ Training reads all rows that may be learnt from: expected piece counts under the
 probabilities (one step of expectation-maximisation, by forward and backward sums) are summed per language
 on the executors and by Spark. What reaches the driver is bounded by vocabulary x languages.
 
+Words of any length are summed whole; those over SHORT characters, or with characters that only bytes spell, in logarithms.
+
 Nulls and texts without a letter: `und` with score 0. Null lang rows are not learnt from. With no training
 row at all every text is `und`. Null keys: not held out, not learnt from. Ties: the language name first in order. Repeated rows: equal results.
 """
@@ -26,6 +28,8 @@ from tidemark.llm.common import table, text_slices
 from tidemark.llm.sentencepiece_sampling import MODEL
 
 SLICE = 3 << 20
+#: Cells (characters x piece lengths) of long words that are summed at once; a longer word has an array of its own.
+MOST_CELLS = 1 << 21
 #: Pseudo-counts of the vocabulary's own probabilities for each language.
 PRIOR_COUNTS = 2000.0
 
@@ -104,26 +108,48 @@ def blocks(size: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(size[order[a]]), order[a:b]) for a, b in zip(bound, [*bound[1:], len(order)], strict=True)]
 
 
-def spans(starts: np.ndarray, ends: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words over SHORT characters become several spans."""
-    long = np.flatnonzero(ends - starts > lattice.SHORT)
-    if not len(long):
-        return starts, ends, text_of
-    rest = np.setdiff1d(np.arange(len(starts)), long)
-    s, e, t = [starts[rest]], [ends[rest]], [text_of[rest]]
-    for i in long:
-        a = np.arange(starts[i], ends[i], lattice.SHORT)
-        s.append(a)
-        e.append(np.minimum(a + lattice.SHORT, ends[i]))
-        t.append(np.full(len(a), text_of[i]))
-    return np.concatenate(s), np.concatenate(e), np.concatenate(t)
+def log_forward(weight: np.ndarray) -> np.ndarray:
+    """As forward(), logarithms of weights in and of sums out: for units of any length, and characters of little weight."""
+    *lead, n, width = weight.shape
+    alpha = np.full((*lead, n + 1), -np.inf)
+    alpha[..., 0] = 0
+    for e in range(n):
+        w = min(e + 1, width)
+        alpha[..., e + 1] = np.logaddexp.reduce(alpha[..., e - w + 1 : e + 1][..., ::-1] + weight[..., e, :w], axis=-1)
+    return alpha
+
+
+def log_backward(weight: np.ndarray) -> np.ndarray:
+    *lead, n, width = weight.shape
+    beta = np.full((*lead, n + 1), -np.inf)
+    beta[..., n] = 0
+    for e in range(n, 0, -1):
+        w = min(e, width)
+        beta[..., e - w : e] = np.logaddexp(beta[..., e - w : e], (weight[..., e - 1, :w] + beta[..., e, None])[..., ::-1])
+    return beta
+
+
+def lattices(p: lattice.Pieces, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, down: np.ndarray):
+    """(indexes of words, their pieces as group() has them, whether sums must be taken in logarithms) for words of one length at a time.
+    Logarithms are for words over SHORT characters and for words with spelled characters, whose products may be too small."""
+    for n, some in blocks(ends - starts):
+        if n > lattice.SHORT:
+            step = max(1, MOST_CELLS // (n * p.longest))
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                yield part, p.long_group(chars, starts[part], n, h, down), True
+            continue
+        ids = p.group(chars, starts[some], n, h, down)
+        odd = (ids[:, :, 0] < -1).any(axis=1)
+        for own, logs in ((~odd, False), (odd, True)):
+            if own.any():
+                yield (some, ids, logs) if own.all() else (some[own], ids[own], logs)
 
 
 def expected_counts(p: lattice.Pieces, data: np.ndarray, off: np.ndarray, lang_of: np.ndarray, n_langs: int) -> np.ndarray:
     """Expected pieces per language over the words of texts back to back; lang_of[text] is -1 for texts not to learn from."""
     out = np.zeros((n_langs, p.size))
     chars, starts, ends, text_of = words(data, off)
-    starts, ends, text_of = spans(starts, ends, text_of)
     if not len(starts):
         return out
     h, down = lattice.rolling(chars)
@@ -131,16 +157,25 @@ def expected_counts(p: lattice.Pieces, data: np.ndarray, off: np.ndarray, lang_o
     lang = lang_of[text_of]
     use = lang >= 0
     times = np.bincount(kind[use] * n_langs + lang[use], minlength=len(first) * n_langs).reshape(-1, n_langs)
-    for n, some in blocks((ends - starts)[first]):
-        ids = p.group(chars, starts[first[some]], n, h, down)
+    for some, ids, logs in lattices(p, chars, starts[first], ends[first], h, down):
+        n = ids.shape[1]
         prob = p.weights(ids, p.prior)
-        alpha, beta = forward(prob), backward(prob)
-        for e in range(n):
-            for w in range(min(e + 1, ids.shape[2])):
-                share = alpha[:, e - w] * prob[:, e, w] * beta[:, e + 1] / np.maximum(alpha[:, n], 1e-300)
-                got = ids[:, e, w] >= 0
-                for k in range(n_langs):
-                    out[k] += np.bincount(ids[got, e, w], weights=share[got] * times[some][got, k], minlength=p.size)
+        if logs:
+            with np.errstate(divide="ignore"):
+                prob = np.log(prob)
+            alpha, beta = log_forward(prob), log_backward(prob)
+        else:
+            alpha, beta = forward(prob), backward(prob)
+        own = times[some]
+        for w in range(ids.shape[2]):  # pieces of w + 1 characters, by their ends
+            if logs:
+                share = np.exp(alpha[:, : n - w] + prob[:, w:, w] + beta[:, w + 1 :] - alpha[:, n:])
+            else:
+                share = alpha[:, : n - w] * prob[:, w:, w] * beta[:, w + 1 :] / np.maximum(alpha[:, n:], 1e-300)
+            row, at = np.nonzero(ids[:, w:, w] >= 0)
+            piece, share = ids[row, at + w, w], share[row, at]
+            for k in range(n_langs):
+                out[k] += np.bincount(piece, weights=share * own[row, k], minlength=p.size)
     return out
 
 
@@ -182,17 +217,20 @@ def log_likelihoods(p: lattice.Pieces, prob: np.ndarray, data: np.ndarray, off:
     chars, starts, ends, text_of = words(data, off)
     n_texts, n_langs = len(off) - 1, len(prob)
     some_letter = np.bincount(text_of, minlength=n_texts) > 0
-    starts, ends, text_of = spans(starts, ends, text_of)
     out = np.zeros((n_texts, n_langs))
     if not len(starts) or not n_langs:
         return out, some_letter
     h, down = lattice.rolling(chars)
     first, kind = lattice.distinct(h, down, starts, ends)
     each = np.zeros((len(first), n_langs))
-    for n, some in blocks((ends - starts)[first]):
-        ids = p.group(chars, starts[first[some]], n, h, down)
+    for some, ids, logs in lattices(p, chars, starts[first], ends[first], h, down):
         for k in range(n_langs):
-            each[some, k] = np.log(np.maximum(forward(p.weights(ids, prob[k]))[:, n], 1e-300))
+            weight = p.weights(ids, prob[k])
+            if logs:
+                with np.errstate(divide="ignore"):
+                    each[some, k] = log_forward(np.log(weight))[:, -1]
+            else:
+                each[some, k] = np.log(forward(weight)[:, -1])
     for k in range(n_langs):
         out[:, k] = np.bincount(text_of, weights=each[kind, k], minlength=n_texts)
     return out, some_letter

@@ -129,6 +129,18 @@ class Pieces:
         np.copyto(one, (-2 - c).astype(np.int32), where=one < 0)
         return ids
 
+    def long_group(self, chars: np.ndarray, starts: np.ndarray, n: int, h: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """As group(), for units of many characters: by lengths of pieces only."""
+        width = min(n, self.longest)
+        ids = np.full((len(starts), n, width), -1, np.int32)
+        at = starts[:, None] + np.arange(n + 1)
+        for w in range(width):
+            a, b = at[:, : n - w], at[:, w + 1 :]
+            ids[:, w:, w] = self.find(piece_key(h[b] - h[a], down[a], w + 1).ravel()).reshape(a.shape)
+        one = ids[:, :, 0]
+        np.copyto(one, (-2 - chars[at[:, :-1]].astype(np.int64)).astype(np.int32), where=one < 0)
+        return ids
+
     def spelled(self, c: int) -> bytes:
         return chr(c).encode("utf-8", "surrogatepass")
 
