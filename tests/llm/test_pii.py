@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -47,6 +48,60 @@ def test_base_spans_and_network(spark):
     assert hit > 0.6 * total
 
 
+def test_decoding_against_all_tag_sequences():
+    """Viterbi's tags and the marginals, held against every sequence of four tags."""
+    r = np.random.default_rng(4)
+    net = pii.Network(1)
+    for k in net.p:
+        net.p[k] = net.p[k] + r.normal(0, 0.8, net.p[k].shape)
+    x = r.integers(40, 70, (4, 3))
+    tags, prob = net.decode(x)
+    score, tr = net.scores(x).astype(float), net.transitions().astype(float)
+    for row in range(3):
+        all_of = {}
+        for seq in itertools.product(range(pii.TAGS), repeat=4):
+            all_of[seq] = sum(score[i, row, c] for i, c in enumerate(seq)) + sum(tr[a, b] for a, b in itertools.pairwise(seq))
+        best = max(all_of, key=all_of.get)
+        assert all_of[tuple(tags[:, row].tolist())] >= all_of[best] - 1e-4
+        weight = {k: np.exp(v - all_of[best]) for k, v in all_of.items()}
+        total = sum(weight.values())
+        if (tags[:, row] > 0).any():
+            want = [sum(w for k, w in weight.items() if k[i] == tags[i, row]) / total for i in range(4)]
+            assert np.allclose(prob[:, row], want, atol=1e-4)
+
+
+def test_reconcile_against_a_plain_rule():
+    """Each character has the tag of the window in which it lies farthest from an edge (the first window's first half is its own)."""
+    r = np.random.default_rng(9)
+    for n in (5, 64, 100, 333):
+        starts = pii.window_starts(n)
+        tags, prob = r.choice([0, 0, 1, 2, 2, 3, 4], (pii.WINDOW, len(starts))), r.random((pii.WINDOW, len(starts)))
+        tag, p = [], []
+        for c in range(n):
+            inside = [(min(c - a, a + pii.WINDOW - 1 - c) + pii.WINDOW * (a == 0 and c < pii.STRIDE), -j) for j, a in enumerate(starts) if a <= c < a + pii.WINDOW]
+            j = -max(inside)[1]
+            tag.append(int(tags[c - starts[j], j]))
+            p.append(prob[c - starts[j], j])
+        want, c = [], 0
+        while c < n:
+            if tag[c] == 0:
+                c += 1
+                continue
+            end = c + 1
+            while end < n and tag[end] and (tag[end] + 1) // 2 == (tag[c] + 1) // 2 and tag[end] % 2 == 0:
+                end += 1
+            want.append((pii.KINDS[(tag[c] + 1) // 2 - 1], c, end, float(np.mean(p[c:end]))))
+            c = end
+        got = pii.reconcile(n, starts, tags, prob)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_addresses_with_digit_runs_of_any_length(spark):
+    texts = ["9" * 100_000 + ".1.1.1", "0" * 5000 + "12.1.1.1 and 1.2.3." + "8" * 5000, "0.0.0." + "0" * 9000]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), None).orderBy("doc_id").collect()
+    assert [r.n_ip for r in got] == [0, 1, 1]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "mail a.b@c.de, ip 1.2.3.4 +49 (30) 1234567, 4111 1111 1111 1111"), (3, "9" * 70000), (3, "9" * 70000), (4, "ü 300.1.1.1 é@x")], "doc_id long, text string").selectExpr("*", "'s' AS spans")
     got = pii.find(docs, None, masked="text").collect()
