@@ -45,11 +45,33 @@ def test_against_brute_force(spark, monkeypatch):
         rows.append((i * 3, rng.choice([" ", "\n", "\t "]).join(parts)))
     rows += [(1000, None), (1001, ""), (1002, "a " * 500), (None, shared[0] + " z"), (1003, rows[4][1]), (1003, rows[4][1]), (1004, " ".join(["w"] * 30))]
     check(spark, rows)
-    monkeypatch.setattr(sd, "GROUP", 3)  # most groups are split to whole windows
+    monkeypatch.setattr(sd, "GROUP", 3)  # most groups are split to whole runs, and many to windows
     check(spark, rows)
     check(spark, rows[:0] + [(1, None)])
 
 
+def test_subtree_gives_maximal_repeats():
+    """Against all pairs of suffixes: which windows also start earlier, and that no returned repeat can be longer."""
+    rng = random.Random(8)
+    for trial in range(20):
+        shared = [rng.choices("abc", k=rng.randint(20, 40)) for _ in range(3)]
+        texts = [[*rng.choices("abcd", k=rng.randint(0, 4)), *rng.choice(shared), *rng.choices("xyz", k=rng.randint(0, 6))] for _ in range(14)]
+        runs = [((rng.random(),), len(t) - 19, " ".join(t).encode()) for t in texts]
+        leaves = [(runs[i][0], w, i) for i, t in enumerate(texts) for w in range(len(t) - 19)]
+        longest = {}
+        for o, w, i in leaves:
+            for q, v, j in leaves:
+                if (q, v) < (o, w):
+                    n = 0
+                    while w + n < len(texts[i]) and v + n < len(texts[j]) and texts[i][w + n] == texts[j][v + n]:
+                        n += 1
+                    longest[i, w] = max(longest.get((i, w), 0), n)
+        got = sd.subtree(runs)
+        windows = {(i, w + k) for i, w, n in got for k in range(n)}
+        assert windows == {k for k, n in longest.items() if n >= 20} and (windows or trial)
+        assert all(longest[i, w] == n + 19 for i, w, n in got)
+
+
 @pytest.mark.parametrize("group", [sd.GROUP, 3])
 def test_repeated_rows_keep_the_earliest_text(spark, monkeypatch, group):
     monkeypatch.setattr(sd, "GROUP", group)

@@ -6,15 +6,18 @@ anchor, so equal windows have equal anchors, and a window whose anchor is found
 nothing. Counting anchors is a map-side combined aggregation, and only windows with a repeated anchor go on.
 
 Their suffixes are split by variable-length prefixes. The prefix is the anchor (ANCHOR words) as long as its
-group fits in memory (GROUP suffix runs); such groups go whole to tasks, which build each group's suffix
-subtree down to WINDOW words, as its suffix array with the lengths of common prefixes: an internal node at
-depth WINDOW is a run of neighbours with WINDOW words in common, and all its leaves but the earliest are
-repeats. A larger group is split by longer prefixes: all words of a run, and then, for the earliest of each kind of run, WINDOW
-words; there each group is one node, whose earliest leaf is a minimum that needs no tree, no task that holds the group, and no pairs.
+group fits in memory (GROUP suffix runs). In a larger group the prefix is lengthened to all words of a run: runs with equal
+words are one leaf, the earliest, and all others repeat it as a whole; mostly what is left fits. Where it doesn't, the prefix is
+lengthened to a window; there each group is one node at depth WINDOW, whose earliest leaf is a minimum that needs no task that holds the group, and no pairs.
+
+Groups that fit go whole to tasks, which build each group's suffix subtree as its suffix array, by doubling, with the lengths of common
+prefixes of neighbours. Suffixes go on to the end of their run. An internal node of depth d is a stretch of neighbours with d words in
+common. Nodes of WINDOW words and more are the deep ones: of the deepest node that holds a leaf and an earlier one, d - WINDOW + 1
+windows from that leaf on repeat, and leaves whose left neighbour in the text says so already are left out, so what is returned are the maximal repeats.
 
 Decisions return to the documents as runs of repeated windows; words under them are removed. Windows are
-judged on the input. Words are compared by 64-bit hashes inside a group of equal anchors, and windows of the split groups by
-128-bit ones; anchors (64-bit) only select.
+judged on the input. Words are compared by 64-bit hashes inside a group of equal anchors, and runs and windows of the split groups by
+128-bit ones; anchors (64-bit) only select. Other columns, whatever their names, are not read.
 
 Null and empty texts: no words. Null ids count as smaller than all ids. Rows with equal id and equal text
 count as one document, and each of them is returned with that document's result; rows with equal ids and
@@ -24,6 +27,7 @@ different texts are ordered by the text's hash.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +118,8 @@ def as_slice(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_runs(found: DataFrame, id_type: str) -> DataFrame:
-    """From (id, rank, z, hits ARRAY<STRUCT<pos, large>>): (id, rank, pos, n, anchor, words), where words are the run's text
-    from its first window to its last one's end, or null for large groups, which have hashes of their windows in keys and of all their words in run_key instead."""
+    """From (id, rank, z, hits ARRAY<STRUCT<pos, large>>): (id, rank, pos, n, anchor, words, run_key), where words are the run's text
+    from its first window to its last one's end, and run_key, for large groups only, the hash of these words."""
 
     def build(batches):
         for batch in batches:
@@ -124,58 +128,85 @@ def suffix_runs(found: DataFrame, id_type: str) -> DataFrame:
                 texts = [unpack(z) for z in part.column(2).to_pylist()]
                 data, off = as_slice(texts)
                 starts, ends, at = wordhash.word_spans(data, off)
-                hashes = wordhash.word_hashes(data, starts, ends)
-                a, place, first, count = anchors(hashes, at)
+                a, place, first, count = anchors(wordhash.word_hashes(data, starts, ends), at)
                 hits = part.column(3).flatten()
                 row = np.repeat(np.arange(part.num_rows), np.diff(part.column(3).offsets.to_numpy()))
                 want = at[row] + hits.field(0).to_numpy(zero_copy_only=False)
                 large = hits.field(1).to_numpy(zero_copy_only=False)
                 at_run = np.searchsorted(first, want)
-                raw, words, keys, whole = data.tobytes(), [], [], []
-                one = wordhash.gram_hashes(hashes, WINDOW)
-                two = wordhash.gram_hashes(hashes ^ np.uint64(0x5DEECE66D1234567), WINDOW)
-                for w, c, big in zip(want.tolist(), count[at_run].tolist(), large.tolist(), strict=True):
-                    words.append(None if big else raw[starts[w] : ends[w + c + WINDOW - 2]])
-                    whole.append(hashlib.blake2b(b"\0".join([raw[starts[i] : ends[i]] for i in range(w, w + c + WINDOW - 1)]), digest_size=16).digest() if big else None)
-                    keys.append([x.tobytes() + y.tobytes() for x, y in zip(one[w : w + c], two[w : w + c], strict=True)] if big else None)
+                last = want + count[at_run] + WINDOW - 2
+                raw, words, whole = data.tobytes(), [], []
+                for u, v, w, z, big in zip(starts[want].tolist(), ends[last].tolist(), want.tolist(), last.tolist(), large.tolist(), strict=True):
+                    words.append(raw[u:v])
+                    whole.append(run_hash([raw[starts[i] : ends[i]] for i in range(w, z + 1)]) if big else None)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(take), part.column(1).take(take), hits.field(0), pa.array(count[at_run].astype(np.int32)),
-                    pa.array(a[at_run].view(np.int64)), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(whole, pa.binary()),
-                ], ["id", "rank", "pos", "n", "anchor", "words", "keys", "run_key"])
+                    pa.array(a[at_run].view(np.int64)), pa.array(words, pa.binary()), pa.array(whole, pa.binary()),
+                ], ["id", "rank", "pos", "n", "anchor", "words", "run_key"])
+
+    return found.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int, anchor bigint, words binary, run_key binary")
+
 
-    return found.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int, anchor bigint, words binary, keys array<binary>, run_key binary")
+def run_hash(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
 
 
-def subtree(runs: list[tuple]) -> list[tuple[int, int]]:
-    """Repeats among the windows of runs (order, n, words), orders being comparable: (run, window) of all but each node's earliest leaf.
+def suffix_array(words: np.ndarray, longest: int, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at leaves, and the lengths of common prefixes of neighbours in it; no two suffixes have
+    longest words in common. By doubling: ranks of 1, 2, 4, ... words."""
+    ranks = [words]
+    while 1 << (len(ranks) - 1) < longest:
+        r, step = ranks[-1], 1 << (len(ranks) - 1)
+        after = np.zeros(len(r), np.int64)
+        after[:-step] = r[step:] + 1
+        ranks.append(np.unique(r * (int(after.max()) + 1) + after, return_inverse=True)[1])
+    order = np.argsort(ranks[-1][leaves])
+    a, b = leaves[order[:-1]], leaves[order[1:]]
+    common = np.zeros(len(a), np.int64)
+    for j in range(len(ranks) - 2, -1, -1):
+        common += (ranks[j][a + common] == ranks[j][b + common]).astype(np.int64) << j
+    return order, common
 
-    The suffixes' words, numbered, are sorted as rows up to WINDOW words; neighbours with all of them in common are one deep node."""
+
+def subtree(runs: list[tuple]) -> list[tuple[int, int, int]]:
+    """Maximal repeats among runs (order, n, words), orders being comparable, as (run, window, windows): those that start earlier, too."""
     data, off = as_slice([r[2] for r in runs])
     starts, ends, at = wordhash.word_spans(data, off)
-    words = np.unique(wordhash.word_hashes(data, starts, ends), return_inverse=True)[1].astype(np.int32)
+    numbers = np.unique(wordhash.word_hashes(data, starts, ends), return_inverse=True)[1]
+    sizes = np.diff(at)
+    head = at[:-1] + np.arange(len(runs))  # an end of its own after each run
+    words = np.empty(len(numbers) + len(runs), np.int64)
+    words[np.arange(len(numbers)) + np.repeat(np.arange(len(runs)), sizes)] = numbers
+    words[head + sizes] = len(numbers) + np.arange(len(runs))
     count = np.array([r[1] for r in runs])
     run = np.repeat(np.arange(len(runs)), count)
     window = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    rows = words[(at[run] + window)[:, None] + np.arange(WINDOW)]
-    by_text = np.ascontiguousarray(rows.byteswap()).view(f"V{4 * WINDOW}").ravel()
+    order, common = suffix_array(words, int(sizes.max()) + 1, head[run] + window)
     rank = np.empty(len(runs), np.int64)
     rank[sorted(range(len(runs)), key=lambda i: runs[i][0])] = np.arange(len(runs))
-    order = np.lexsort((window, rank[run], np.unique(by_text, return_inverse=True)[1]))
-    common = (rows[order][1:] == rows[order][:-1]).cumprod(axis=1).sum(axis=1)  # lengths of common prefixes
-    again = order[1:][common >= WINDOW]
-    return [(int(run[i]), int(window[i])) for i in again]
-
-
-def small_groups(runs: DataFrame, id_type: str) -> DataFrame:
+    place = (rank[run] * (int(count.max()) + 1) + window)[order]
+    depth = np.zeros(len(run), np.int64)
+    for d in range(WINDOW, int(common.max(initial=0)) + 1):
+        node = np.concatenate([[0], np.flatnonzero(common < d) + 1])
+        inner = np.diff(np.append(node, len(order))) > 1
+        later = place > np.repeat(np.where(inner, np.minimum.reduceat(place, node), np.iinfo(np.int64).max), np.diff(np.append(node, len(order))))
+        depth[order[later]] = d
+    told = np.zeros(len(run), bool)
+    told[1:] = (run[1:] == run[:-1]) & (depth[:-1] > depth[1:])
+    return [(int(run[i]), int(window[i]), int(depth[i]) - WINDOW + 1) for i in np.flatnonzero((depth > 0) & ~told)]
+
+
+def subtrees(runs: DataFrame, id_type: str) -> DataFrame:
     """(id, rank, pos, n) of repeats: subtrees of the groups of each anchor, read in order of anchors."""
 
     def build(batches):
         rows: list[tuple] = []  # (id, rank, pos, n, anchor, words)
 
         def flush(rows, id_arrow):
-            out = [(rows[i][0], rows[i][1], rows[i][2] + w) for i, w in subtree([((r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2]), r[3], r[5]) for r in rows])]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], id_arrow), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([1] * len(out), pa.int32())], ["id", "rank", "pos", "n"])
+            out = [(*rows[i][:2], rows[i][2] + w, n) for i, w, n in subtree([((r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2]), r[3], r[5]) for r in rows])]
+            types = (id_arrow, pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["id", "rank", "pos", "n"])
 
         id_arrow = None
         for batch in batches:
@@ -188,19 +219,44 @@ def small_groups(runs: DataFrame, id_type: str) -> DataFrame:
         if rows:
             yield flush(rows, id_arrow)
 
-    some = runs.where("words IS NOT NULL").select("id", "rank", "pos", "n", "anchor", "words").repartition("anchor").sortWithinPartitions("anchor")
-    return some.mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int")
+    return runs.select("id", "rank", "pos", "n", "anchor", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, f"id {id_type}, rank bigint, pos int, n int")
+
 
+def windows_of(runs: DataFrame) -> DataFrame:
+    """(key, leaf) of each window of runs (leaf, words)."""
 
-def large_groups(runs: DataFrame) -> DataFrame:
-    """(id, rank, pos, n) of repeats, by the longest prefixes first. A run of windows that also stands earlier as a whole is all repeats;
-    of the runs that are the earliest with their words, each window is a node with its earliest leaf."""
-    each = runs.where("keys IS NOT NULL").select("run_key", F.struct("id", "rank", "pos").alias("leaf"), "n", "keys")
-    node = cut(each.groupBy("run_key").agg(F.min("leaf").alias("earliest"), F.first("keys").alias("keys")), "nodes")
-    whole = each.select("run_key", "leaf", "n").join(node.select("run_key", "earliest"), "run_key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", "n")
-    single = node.select(F.posexplode("keys").alias("k", "key"), "earliest").select("key", F.struct("earliest.id", "earliest.rank", (F.col("earliest.pos") + F.col("k")).alias("pos")).alias("leaf"))
+    def build(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                row, at, keys = [], [], []
+                for i, text in enumerate(part.column(0).to_pylist()):
+                    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+                    for k in range(len(words) - WINDOW + 1):
+                        row.append(i)
+                        at.append(k)
+                        keys.append(run_hash(words[k : k + WINDOW]))
+                leaf = part.column(1).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.int32()), leaf], ["key", "k", "leaf"])
+
+    leaf_type = runs.schema["leaf"].dataType.simpleString()
+    each = runs.select("words", "leaf").mapInArrow(build, f"key binary, k int, leaf {leaf_type}")
+    return each.select("key", F.struct("leaf.id", "leaf.rank", (F.col("leaf.pos") + F.col("k")).alias("pos")).alias("leaf"))
+
+
+def repeats(runs: DataFrame, id_type: str) -> DataFrame:
+    """(id, rank, pos, n) of repeats in all groups."""
+    # large groups: leaves with the words of a whole run in common are one, the earliest; the others are repeats
+    large = runs.where("run_key IS NOT NULL").select("run_key", F.struct("id", "rank", "pos").alias("leaf"), "n", "anchor", "words")
+    node = cut(large.groupBy("run_key").agg(F.min("leaf").alias("leaf"), F.first(F.struct("n", "anchor", "words")).alias("x")).select("run_key", "leaf", "x.*"), "nodes")
+    whole = large.select("run_key", "leaf", "n").join(node.select("run_key", F.col("leaf").alias("earliest")), "run_key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", "n")
+    most = node.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > GROUP).select("anchor")
+    fit = node.join(most, "anchor", "left_anti").select("leaf.id", "leaf.rank", "leaf.pos", "n", "anchor", "words")
+    single = cut(windows_of(node.join(most, "anchor", "left_semi")), "windows")
     first = single.groupBy("key").agg(F.min("leaf").alias("earliest"))
-    return whole.unionByName(single.join(first, "key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", F.lit(1).alias("n")))
+    again = single.join(first, "key").where("leaf > earliest").select("leaf.id", "leaf.rank", "leaf.pos", F.lit(1).alias("n"))
+    small = runs.where("run_key IS NULL").select("id", "rank", "pos", "n", "anchor", "words")
+    return subtrees(small.unionByName(fit), id_type).unionByName(whole).unionByName(again)
 
 
 def removals(data: np.ndarray, off: np.ndarray, repeats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -233,7 +289,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     texts = packed(own, id_type)
     found = texts.select(one, "z").groupBy("one").agg(F.first("z").alias("z")).join(hits, "one").select("one.id", "one.rank", "z", "hits")
     runs = cut(suffix_runs(found, id_type), "suffix-runs")
-    gone = small_groups(runs, id_type).unionByName(large_groups(runs)).groupBy("id", "rank").agg(F.collect_list(F.struct("pos", "n")).alias("repeats"))
+    gone = repeats(runs, id_type).groupBy("id", "rank").agg(F.collect_list(F.struct("pos", "n")).alias("repeats"))
     joined = texts.alias("t").join(gone.alias("g"), (F.col("t.rank") == F.col("g.rank")) & F.col("t.id").eqNullSafe(F.col("g.id")), "left").select("t.id", "z", "repeats")
 
     def build(batches):
