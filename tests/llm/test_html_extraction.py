@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from tidemark.llm import html_extraction as hx
 from tidemark.llm.common import table
@@ -39,6 +40,41 @@ def test_a_page_with_everything():
     assert hx.main_text(plain) == "Head\nSome words of a text that goes on for a while.\nAnd so on."
 
 
+def test_neighbourhood_decides():
+    """One line, by itself boilerplate: content between paragraphs of its parent, and not between links."""
+    line = "<div>Forty two or so</div>"
+    element, text, linked = hx.blocks(line)[0]
+    assert hx.log_odds(element, text, linked, False) < 0
+    text = "<p>A paragraph that has a good number of words, goes on for some time and then ends.</p>"
+    link = "<div><a href=x>Some link</a></div>"
+    assert "Forty two" in hx.main_text(f"<div>{text}{text}{line}{text}{text}</div>")
+    assert "Forty two" not in hx.main_text(f"<div>{link}{link}{line}{link}{link}</div>")
+    assert hx.main_text(line) == ""
+
+
+def test_weights_are_learnt(spark):
+    """Pages without names that tell are read by the weights that pages with names gave: all content stays, and lists of links go. Whole
+    sentences of an advert are left where nothing names them."""
+    rows = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    weights = hx.train(spark.createDataFrame([(x,) for x in rows], "html string"))
+    assert weights != hx.TEXT_WEIGHTS and weights[2] < 0 < weights[1]
+    assert hx.train(spark.createDataFrame([("<p>x",), (None,)], "html string")) == hx.TEXT_WEIGHTS
+    same = wanted = extra = boilerplate = 0
+    for x in rows[:100]:
+        bare = re.sub(r'class="[^"]*"|id="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main)\b[^>]*>", r"<\1div>", x))
+        want, got = hx.main_text(x, weights).split("\n"), hx.main_text(bare, weights).split("\n")
+        same, wanted = same + len(set(want) & set(got)), wanted + len(set(want))
+        extra, boilerplate = extra + len(set(got) - set(want)), boilerplate + len({t for _, t, _ in hx.blocks(x)} - set(want))
+    assert same > 0.99 * wanted and extra < 0.4 * boilerplate, (same, wanted, extra, boilerplate)
+
+
+def test_time_grows_with_length():
+    for page in ("<div>" * 20000 + "x", "<a " * 20000, '<a "' * 20000, "<p><span>" * 20000, "<ul><li>" * 10000 + "y", "<b>" * 20000 + "</i>" * 20000):
+        at = time.perf_counter()
+        hx.main_text(page)
+        assert time.perf_counter() - at < 6, page[:9]
+
+
 def test_tables_and_edges(spark):
     rows = hx.query(spark, "/root/testdata/sf0.01").collect()
     raw = {r.page_id: r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()}

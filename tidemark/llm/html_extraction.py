@@ -1,14 +1,17 @@
 """Main text of web pages by a minimum cut over their blocks.
 
 A page is read into blocks: stretches of text between block-level tags, with character references decoded and white
-space made one space. A logistic classifier with fixed weights (below) gives each block log odds of being content,
-from its ancestors' tags, roles and class names, its share of link text, length and ending. These become the capacities
+space made one space. A logistic classifier gives each block log odds of being content: from its length, share of link text, ending and
+being a heading, by weights that train() learns from a bounded sample of pages whose structure tells (they have an article or main element; blocks
+in it, and not in boilerplate, against all others), and from its ancestors' tags, roles and class names, by fixed weights (below). These become the capacities
 of its terminal edges: to the source if content is likelier, to the sink if not. Smoothness edges join each block
-to the next ones on the page, the more strongly the nearer they are in the document tree, and blocks with one parent.
+to the next ones on the page, the more strongly the nearer they are in the document tree, and blocks with one parent. They decide where
+nothing names a block: a short line between paragraphs of one parent is content, and the same line between links is not.
 The maximum flow's cut with the least cost labels the blocks; those on the source's side are joined by line feeds.
 
 Null and empty html: empty text. Text in scripts, styles, templates, form controls and comments never is a block. A line break inside a
-block is white space. Unclosed and stray tags are closed as browsers do in the common cases. Ties of the cut go to boilerplate. Whole pages are read.
+block is white space. Unclosed and stray tags are closed as browsers do in the common cases. Ties of the cut go to boilerplate. Whole pages are read, in time that grows with
+their length however deep or broken their tags are. With too few pages to learn from, TEXT_WEIGHTS are taken. Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import html as entities
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +40,12 @@ FOR = frozenset("article content post entry main story text body prose".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Weights of the log odds.
-W = {"base": -0.5, "words": 1.5, "links": -4.0, "ending": 1.0, "heading": 0.5, "inside": 3.0, "outside": -5.0, "for": 1.5, "bad_tag": -9.0, "header": -7.0, "against": -8.0, "hidden": -8.0}
-NEXT, NEAR, SIBLING = 0.4, 0.8, 0.3
+W = {"inside": 3.0, "outside": -5.0, "for": 1.5, "bad_tag": -9.0, "header": -7.0, "against": -8.0, "hidden": -8.0}
+#: Of a block's text, where they can't be learnt: a base, words (in 40ths, up to 40), share of link text, an ending, a heading.
+TEXT_WEIGHTS = (-0.5, 1.5, -4.0, 1.0, 0.5)
+NEXT, NEAR, SIBLING = 0.6, 1.2, 0.4
+#: Pages that weights are learnt from, those with the least hashes; blocks of a page, evenly spread; and blocks of each kind at least.
+MOST_PAGES, MOST_BLOCKS, LEAST_BLOCKS = 1000, 60, 40
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -74,14 +82,23 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
     """(element, text, share of link text) of a page, in order; texts aren't empty."""
     root = Element("", "", None)
     stack, found, block, links, skipped, at = [root], [], Block(root), 0, 0, 0
+    open_at: dict[str, list[int]] = {}  # where each tag is open in the stack, and all block tags
+    holders, last_end = [0], html.rfind(">")
+
+    def last(tag: str) -> int:
+        """The place of the innermost open tag, 0 for none."""
+        got = open_at.get(tag)
+        return got[-1] if got else 0
+
+    def innermost(tags) -> int:
+        return max(map(last, tags))
 
     def close() -> None:
         nonlocal block
         text = " ".join("".join(block.parts).split())
         if text:
             found.append((block.element, text, block.linked / max(1, block.size)))
-        holder = next(e for e in reversed(stack) if e.tag in BLOCK_TAGS or e.depth == 0)
-        block = Block(holder)
+        block = Block(stack[holders[-1]])
 
     def add(raw: str) -> None:
         if raw and not skipped:
@@ -97,6 +114,9 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
         broke = False
         while len(stack) > k:
             e = stack.pop()
+            open_at[e.tag].pop()
+            if holders[-1] == len(stack):
+                holders.pop()
             links -= e.tag == "a"
             skipped -= e.tag in SKIPPED_TAGS
             broke |= e.tag in BLOCK_TAGS
@@ -104,7 +124,7 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
             close()
 
     while True:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at <= last_end else None  # no tag ends after the last >
         if not m:
             add(html[at:])
             break
@@ -117,8 +137,8 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
             continue
         tag, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if ending:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k and (tag in BLOCK_TAGS or tag in SKIPPED_TAGS or not any(e.tag in BLOCK_TAGS for e in stack[k + 1 :])):
+            k = last(tag)
+            if k and (tag in BLOCK_TAGS or tag in SKIPPED_TAGS or holders[-1] <= k):
                 pop_to(k)
             elif not k and tag in ("br", "p"):
                 close() if tag == "p" else add(" ")
@@ -127,25 +147,27 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
             add(" ")
             continue
         if tag in BLOCK_TAGS:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("table", "td", "th", "caption", "object", "button")), 0)
-            if k and stack[k].tag == "p" and tag not in ("body", "html", "head"):
+            k = last("p")
+            if k > innermost(("table", "td", "th", "caption", "object", "button")) and tag not in ("body", "html", "head"):
                 pop_to(k)
             if tag in CLOSES:
                 shut, within = CLOSES[tag]
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in shut or stack[i].tag in within), 0)
-                if k and stack[k].tag in shut:
+                k = innermost(shut)
+                if k > innermost(within):
                     pop_to(k)
             if tag == "body":
-                k = next((i for i in range(1, len(stack)) if stack[i].tag == "head"), 0)
-                if k:
-                    pop_to(k)
+                if last("head"):
+                    pop_to(open_at["head"][0])
             close()
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
         if tag == "a" and links:  # links don't nest
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "a"), 0)
-            if k and not any(e.tag in BLOCK_TAGS for e in stack[k + 1 :]):
+            k = last("a")
+            if k and holders[-1] <= k:
                 pop_to(k)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            holders.append(len(stack))
         stack.append(Element(tag, attributes, stack[-1]))
         links += tag == "a"
         skipped += tag in SKIPPED_TAGS
@@ -158,14 +180,51 @@ def blocks(html: str) -> list[tuple[Element, str, float]]:
     return found
 
 
-def log_odds(element: Element, text: str, linked: float, has_main: bool) -> float:
-    e = element
-    s = W["base"] + W["words"] * min(text.count(" ") + 1, 40) / 40 + W["links"] * linked
-    s += W["ending"] * (text[-1] in ".!?…:\"'”»)") + W["heading"] * (e.tag[:1] == "h" and e.tag[1:].isdigit())
-    s += (W["inside"] if e.main else W["outside"]) if has_main else 0.0
+def text_features(element: Element, text: str, linked: float) -> tuple[float, ...]:
+    return (1.0, min(text.count(" ") + 1, 40) / 40, linked, float(text[-1] in ".!?…:\"'”»)"), float(element.tag[:1] == "h" and element.tag[1:].isdigit()))
+
+
+def named(e: Element, has_main: bool) -> float:
+    """Log odds from the names of a block's ancestors."""
+    s = (W["inside"] if e.main else W["outside"]) if has_main else 0.0
     return s + W["for"] * (e.favour and not e.main) + W["bad_tag"] * e.bad + W["header"] * e.header + W["against"] * e.against + W["hidden"] * e.hidden
 
 
+def log_odds(element: Element, text: str, linked: float, has_main: bool, weights=TEXT_WEIGHTS) -> float:
+    return sum(w * x for w, x in zip(weights, text_features(element, text, linked), strict=True)) + named(element, has_main)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Weights of a logistic regression, by Newton's steps; the ridge holds them within bounds where the classes part."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+    return tuple(w.tolist())
+
+
+def train(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
+    """Weights of text_features() from at most MOST_PAGES pages, MOST_BLOCKS blocks of each."""
+    some = pages.select(F.col(html).alias("html")).where(F.lower(html).rlike("<(article|main)[ >]")).distinct()
+    some = some.orderBy(F.xxhash64("html"), "html").limit(MOST_PAGES)
+
+    def build(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.column(0).to_pylist():
+                found = blocks(t)
+                if any(e.main for e, _, _ in found):
+                    step = -(-len(found) // MOST_BLOCKS)
+                    rows += [(*text_features(e, x, k), float(named(e, True) > 0)) for e, x, k in found[::step]]
+            cols = np.array(rows, float).reshape(-1, len(TEXT_WEIGHTS) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols), pa.list_(pa.float64()))], ["x"])
+
+    got = some.mapInArrow(build, "x array<double>").toArrow()["x"].to_pylist()
+    rows = np.array(sorted(got), float).reshape(-1, len(TEXT_WEIGHTS) + 1)
+    x, y = rows[:, :-1], rows[:, -1]
+    return fitted(x, y) if min(y.sum(), len(y) - y.sum()) >= LEAST_BLOCKS else TEXT_WEIGHTS
+
+
 def tree_distance(a: Element, b: Element) -> int:
     n = 0
     while a is not b:
@@ -245,15 +304,16 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights=TEXT_WEIGHTS) -> str:
     found = blocks(html or "")
     has_main = any(e.main for e, _, _ in found)
-    content = minimum_cut([log_odds(e, t, k, has_main) for e, t, k in found], smoothness([e for e, _, _ in found]))
+    content = minimum_cut([log_odds(e, t, k, has_main, weights) for e, t, k in found], smoothness([e for e, _, _ in found]))
     return "\n".join(t for (_, t, _), c in zip(found, content, strict=True) if c)
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """All columns of pages but html, with text and n_chars (columns of these names are replaced)."""
+def extract(pages: DataFrame, weights=None, html: str = "html") -> DataFrame:
+    """All columns of pages but html, with text and n_chars (columns of these names are replaced). Weights are train()'s, learnt from these pages if not given."""
+    weights = train(pages, html) if weights is None else weights
     source = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars") or c == html))
     keep = [f for f in source.schema.fields if f.name != html]
     types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string, n_chars bigint"])
@@ -262,7 +322,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                texts = [main_text(t) for t in part.column(part.schema.get_field_index(html)).to_pylist()]
+                texts = [main_text(t, weights) for t in part.column(part.schema.get_field_index(html)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in keep), "text", "n_chars"])
 
     return source.mapInArrow(build, types)
