@@ -44,7 +44,7 @@ W = {"inside": 3.0, "outside": -5.0, "for": 1.5, "bad_tag": -9.0, "header": -7.0
 #: Of a block's text, where they can't be learnt: a base, words (in 40ths, up to 40), share of link text, an ending, a heading.
 TEXT_WEIGHTS = (-0.5, 1.5, -4.0, 1.0, 0.5)
 NEXT, NEAR, SIBLING = 0.6, 1.2, 0.4
-#: Pages that weights are learnt from, those with the least hashes; blocks of a page, evenly spread; and blocks of each kind at least.
+#: About so many pages that weights are learnt from; blocks of a page, evenly spread; and blocks of each kind at least.
 MOST_PAGES, MOST_BLOCKS, LEAST_BLOCKS = 1000, 60, 40
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -204,9 +204,10 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...
 
 
 def train(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
-    """Weights of text_features() from at most MOST_PAGES pages, MOST_BLOCKS blocks of each."""
-    some = pages.select(F.col(html).alias("html")).where(F.lower(html).rlike("<(article|main)[ >]")).distinct()
-    some = some.orderBy(F.xxhash64("html"), "html").limit(MOST_PAGES)
+    """Weights of text_features() from about MOST_PAGES pages (by hash, equal ones once), MOST_BLOCKS blocks of each."""
+    share = min(1.0, MOST_PAGES / max(pages.count(), 1))
+    some = pages.select(F.col(html).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = some.where(F.lower("html").rlike("<(article|main)[ >]")).distinct()
 
     def build(batches):
         for batch in batches:
