@@ -65,3 +65,25 @@ def test_near_duplicates_are_decided_per_row(spark):
     want[None, min((d, d + " end"), key=least.get)] = 1
     want[7, min((e, e + " end"), key=least.get)] = 1
     assert kept == want
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, names that the operators use themselves, and empty tables."""
+    long = " ".join(f"x{i}" for i in range(30000))
+    rows = [(None, None, None, None, None), (1, None, "en", None, None), (2, "", None, "s", 0), (2, "", None, "s", 0), (3, "Some words here", "en", "s", 15), (3, "Some words here", "en", "s", 15), (None, "Some words here", None, None, 15), (4, long, "en", "s", len(long)), (5, "ask a.b@c.de", None, "s", 12)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'k' AS score", "1 AS _row", "2 AS sig", "'i' AS id", "'p' AS spans", "3 AS row", "'q' AS n_email", "4 AS t1")
+    stages = dict(cp.STAGES)
+    key = lambda r: (str(r.doc_id), str(r.text))
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert set(got.columns) <= set(odd.columns) and {"doc_id", "text", "lang", "source", "n_chars"} <= set(got.columns), name
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        kept = Counter(map(key, got.collect()))
+        if name == "n-gram Jaccard join":
+            assert kept == Counter({("None", "None"): 1, ("1", "None"): 1, ("2", ""): 2, ("3", "Some words here"): 1, ("4", long): 1, ("5", "ask a.b@c.de"): 1})
+        elif name == "PII":
+            assert sum(kept.values()) == len(rows) and kept[("5", "ask [email]")] == 1 and kept[("4", long)] == 1
+        else:
+            assert kept == Counter(map(key, odd.collect())), name
+    last = stages["SentencePiece encoding and decoding"]
+    assert last(spark, odd, SF).count() == len(rows) and last(spark, odd.limit(0), SF).count() == 0

@@ -10,7 +10,7 @@ the learnt words.
 
 Words and word beginnings of the restored text are the features. Learning counts, per feature, labelled
 texts and toxic ones, over a sample of at most about MOST_ROWS labelled rows (by hash, copies once); a
-feature is kept when it stands in toxic texts far beyond chance, at most MOST_FEATURES of them. The score
+feature is kept when it stands in toxic texts far beyond chance; the sample bounds their number. The score
 is the noisy-or of the kept features and the base rate.
 
 Null and empty texts, and any text without a kept feature, have the base rate's score. Null labels and null keys are not learnt from.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_slices
 
-MOST_ROWS, MOST_FEATURES = 16_000, 20_000
+MOST_ROWS = 16_000
 THRESHOLD = 0.7
 #: Word beginnings of these lengths are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str =
     base = (toxic + 0.5) / (rows + 10) if rows else 0.05
     # beyond chance: the expected number of features as toxic as this one, were labels dealt at random, is under 0.1
     odds = F.col("k") * F.log((F.col("k") / F.col("n")) / base) + F.when(F.col("k") < F.col("n"), (F.col("n") - F.col("k")) * F.log((1 - F.col("k") / F.col("n")) / (1 - base))).otherwise(0.0)
-    kept = each.where("f != '' AND k >= 3 AND k / n >= 0.85").withColumn("odds", odds).where(F.col("odds") > math.log(10 * max(total["features"], 1))).orderBy(F.desc("odds"), "f").limit(MOST_FEATURES).collect()
+    kept = each.where("f != '' AND k >= 3 AND k / n >= 0.85").withColumn("odds", odds).where(F.col("odds") > math.log(10 * max(total["features"], 1))).orderBy("f").collect()
     each.unpersist()
     prob = {r["f"]: (r["k"] + base) / (r["n"] + 1) for r in kept}
     words = {r["f"]: float(r["k"]) for r in kept if not r["f"].endswith("*")}
