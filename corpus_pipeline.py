@@ -1,4 +1,10 @@
-"""A corpus pipeline over documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A corpus pipeline over documents: five stages, each written as Parquet and read again as the next one's input.
+
+Rows are judged one by one, but for near duplicates. Null and empty texts pass all stages; null ids too. Repeated rows stay, but for those with words, of
+which near duplicates leave one. Columns beside those of documents stay as they are, but where a stage's operator returns a column of that name and
+the pipeline keeps it (the last stage's). Empty tables give empty tables. Near duplicates are those of five words and 0.8, the rule for such stages; the operator's
+query takes three and 0.9, as its contract says.
+"""
 
 from __future__ import annotations
 
