@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system, as the worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most so many text bytes (one row at least).
 
@@ -53,6 +63,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int)
             to = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    col = data = off = batch = None
+    give_back()
 
 
 #: Bits of a bitmap() at most: 8 MB.

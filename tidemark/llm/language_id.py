@@ -27,7 +27,7 @@ from tidemark.llm import lattice
 from tidemark.llm.common import table, text_slices
 from tidemark.llm.sentencepiece_sampling import MODEL
 
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Cells (characters x piece lengths) of long words that are summed at once; a longer word has an array of its own.
 MOST_CELLS = 1 << 21
 #: Pseudo-counts of the vocabulary's own probabilities for each language.

@@ -27,12 +27,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _R, np.uint64)
-    down = np.full(n, _RINV, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; one pair is kept, the longest needed so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        each = []
+        for base in (_R, _RINV):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            each.append(np.cumprod(x, out=x))
+        _POWERS[:] = each
+    return _POWERS
 
 
 def rolling(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from tidemark.llm.common import table, text_slices
 
 #: The vocabulary's file; pass another path where it lies elsewhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def with_marks(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

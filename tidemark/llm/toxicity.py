@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_slices
+from tidemark.llm.common import give_back, table, text_slices
 
 MOST_ROWS = 16_000
 THRESHOLD = 0.7
@@ -64,7 +64,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def build(batches):
         codes, total = byte_codes(), np.zeros(ALPHABET**3, np.int64)
-        for _, data, off in text_slices(batches, text, 4 << 20):
+        for _, data, off in text_slices(batches, text, 1 << 20):
             c = codes[data]
             c = c[c < 255].astype(np.int32)
             c = np.concatenate([[0], c[(c > 0) | (np.concatenate([[1], c[:-1]]) > 0)], [0, 0]])
@@ -146,7 +146,7 @@ def features(text: str, decode) -> set[str]:
 
 
 def decoder(cost: np.ndarray):
-    return lru_cache(maxsize=50_000)(lambda span: restore(span, cost))
+    return lru_cache(maxsize=20_000)(lambda span: restore(span, cost))
 
 
 def collect_counts(docs: DataFrame, text: str) -> np.ndarray:
@@ -202,6 +202,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     rest *= 1 - prob[f]
                 out.append(1 - rest)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+        give_back()
 
     return docs.mapInArrow(build, types)
 
