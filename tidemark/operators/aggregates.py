@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -180,3 +181,20 @@ def zcr(framed: DataFrame, col: str = "x") -> DataFrame:
 
 def frame_energy(framed: DataFrame, col: str = "x") -> DataFrame:
     return framed.groupBy("rec_id", "frame").agg(F.sum(F.col(col) * F.col(col)).alias("energy"))
+
+
+def peak_normalize(df: DataFrame, key: str = "rec_id", x: str = "x") -> DataFrame:
+    """Samples over their key's largest magnitude; a key without any magnitude stays as it is."""
+    peak = df.groupBy(key).agg(F.max(F.abs(x)).alias("_peak"))
+    return df.join(peak, key).withColumn(x, F.when(F.col("_peak") > 0, F.col(x) / F.col("_peak")).otherwise(F.col(x))).drop("_peak")
+
+
+def add_noise(df: DataFrame, snr_db: float, seed: int = 0, key: str = "rec_id", x: str = "x") -> DataFrame:
+    """Samples with white normal noise at snr_db below their key's mean power. The noise follows from (seed, key, seq), so a repeated task gives the same, but for the last bits of the mean power."""
+    power = df.groupBy(key).agg(F.avg(F.col(x) * F.col(x)).alias("_power"))
+
+    def uniform(k: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), key, "seq"), 11) + 0.5) / float(1 << 53)
+
+    normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+    return df.join(power, key).withColumn(x, F.col(x) + F.sqrt(F.col("_power") / 10 ** (snr_db / 10)) * normal).drop("_power")

@@ -81,6 +81,7 @@ W = "WINDOW w AS (PARTITION BY rec_id ORDER BY seq)"
 over_samples("moving_mean", lambda d: win.moving_mean(d, 8), "mean", ", q AS (SELECT *, avg(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS mean FROM s) SELECT rec_id, seq, round(mean, 7) AS mean FROM q", 7)
 over_samples("median3", win.median3, "median", f"SELECT rec_id, seq, round(list_sort([lag(x, 1, 0.0) OVER w, x, lead(x, 1, 0.0) OVER w])[2], 4) AS median FROM s {W}")
 over_samples("teager", win.teager, "teager", f", e AS (SELECT *, x * x - lag(x) OVER w * lead(x) OVER w AS e, row_number() OVER w AS j, count(*) OVER (PARTITION BY rec_id) AS n FROM s {W}) SELECT rec_id, seq, round(CASE WHEN j = 1 THEN 2 * lead(e, 1) OVER w - lead(e, 2) OVER w WHEN j = n THEN 2 * lag(e, 1) OVER w - lag(e, 2) OVER w ELSE e END, 7) + 0.0 AS teager FROM e {W}", 7)
+over_samples("peak_normalize", ag.peak_normalize, "x", ", m AS (SELECT rec_id, max(abs(x)) AS p FROM s GROUP BY 1) SELECT s.rec_id, seq, round(CASE WHEN p > 0 THEN x / p ELSE x END, 7) + 0.0 AS x FROM s JOIN m ON m.rec_id = s.rec_id", 7)
 over_samples("schmitt", lambda d: win.schmitt(d, 20.0, 60.0), "state", "SELECT rec_id, seq, CAST(coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x < 20 THEN -1 END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS state FROM s")
 over_samples("moving_max", lambda d: win.moving_max(d, 5), "running_max", "SELECT rec_id, seq, round(max(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS 4 PRECEDING), 4) AS running_max FROM s")
 over_samples("moving_moments", lambda d: win.moving_moments(d, 2, 6), "m1 m2", "SELECT rec_id, seq, round(avg(x) OVER v, 7) AS m1, round(avg(x * x) OVER v, 7) AS m2 FROM s WINDOW v AS (PARTITION BY rec_id ORDER BY seq ROWS 5 PRECEDING)", 7)
