@@ -105,16 +105,18 @@ add("amplitude_gate", lambda s, d: rounded(win.amplitude_gate(samples(s, d).with
 
 # relations
 add("sample_rate", lambda s, d: rel.sample_rate(samples(s, d).withColumn("t", F.col("t") / 60)), f"WITH {S} SELECT rec_id, round(CASE WHEN max(t) > min(t) THEN (count(*) - 1) / (max(t / 60) - min(t / 60)) END, 2) AS fs FROM s GROUP BY 1")
-add("having_enough", lambda s, d: rel.having_enough(samples(s, d), "rec_id", 70).groupBy("rec_id").count(), f"WITH {S} SELECT rec_id, count(*) AS count FROM s GROUP BY 1 HAVING count(*) >= 70")
-add("binarize_label", lambda s, d: rel.binarize_label(samples(s, d), positive=["click", "view"]).groupBy("rec_id").agg(F.sum("binary").alias("n")), f"WITH {S} SELECT rec_id, CAST(sum(CASE WHEN label IN ('click', 'view') THEN 1 ELSE 0 END) AS BIGINT) AS n FROM s GROUP BY 1")
-add("drop_labels", lambda s, d: rel.drop_labels(samples(s, d).withColumn("label", F.col("seq") % 8)).groupBy("label").count(), f"WITH {S} SELECT seq % 8 AS label, count(*) AS count FROM s WHERE seq % 8 NOT IN (0, 5, 6, 7) GROUP BY 1")
+add("having_enough", lambda s, d: rel.having_enough(samples(s, d), "rec_id", 70).select("rec_id", "seq"), f"WITH {S}, n AS (SELECT rec_id FROM s GROUP BY 1 HAVING count(*) >= 70) SELECT rec_id, seq FROM s JOIN n USING (rec_id)")
+add("binarize_label", lambda s, d: rel.binarize_label(samples(s, d), positive=["click", "view"]).select("rec_id", "seq", "binary"), f"WITH {S} SELECT rec_id, seq, CAST(label IN ('click', 'view') AS INTEGER) AS binary FROM s")
+add("drop_labels", lambda s, d: rel.drop_labels(samples(s, d).withColumn("label", F.col("seq") % 8)).select("rec_id", "seq", "label"), f"WITH {S} SELECT rec_id, seq, seq % 8 AS label FROM s WHERE seq % 8 NOT IN (0, 5, 6, 7)")
 add("scale", lambda s, d: rounded(rel.scale(samples(s, d), ["x"]).select("rec_id", "seq", "x"), 6), f"WITH {S} SELECT rec_id, seq, round(x / 1000, 6) AS x FROM s")
-add("holdout", lambda s, d: rel.folds(rel.holdout(table(s, d, "labels"), "doc_id"), "doc_id").groupBy("quality").agg(F.count("*").alias("n")), "SELECT quality, count(*) AS n FROM labels GROUP BY 1")
+#: Checksums of the digits of a key, by a table of 256 remainders of eight halvings each.
+CRC = "h AS (SELECT list(v ORDER BY i) AS h FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(i))), k AS (SELECT DISTINCT doc_id FROM labels), crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, h[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM k, h)"
+add("holdout", lambda s, d: rel.folds(rel.holdout(table(s, d, "labels"), "doc_id"), "doc_id", 7).select("doc_id", "quality", "held_out", "fold"), f"WITH {CRC} SELECT doc_id, quality, crc % 5 = 0 AS held_out, crc % 7 AS fold FROM labels JOIN crc USING (doc_id)")
 add("best", lambda s, d: rounded(rel.best(samples(s, d), "rec_id", "x", "seq")), f"WITH {S} SELECT rec_id, arg_min(seq, x) AS seq, round(min(x), 4) AS x FROM s GROUP BY 1")
 add("worst_rows", lambda s, d: table(s, d, "events").transform(lambda e: rel.worst_rows(e, "value", 20, "event_id")).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 20")
 add("compact_labels", lambda s, d: rel.compact_labels(orders_spans(s, d)).select("row", "compact"), f"WITH {SPANS} SELECT row, CAST(dense_rank() OVER (PARTITION BY rec_id ORDER BY label) AS INTEGER) AS compact FROM o")
-add("merge_classes", lambda s, d: rel.merge_classes(orders_spans(s, d), {2: 1}).groupBy("label").count(), f"WITH {SPANS} SELECT CASE WHEN label = 2 THEN 1 ELSE label END AS label, count(*) AS count FROM o GROUP BY 1")
-add("min_duration", lambda s, d: rel.min_duration(orders_spans(s, d), 45).groupBy("label").count(), f"WITH {SPANS} SELECT label, count(*) AS count FROM o WHERE \"end\" - \"begin\" >= 45 GROUP BY 1")
+add("merge_classes", lambda s, d: rel.merge_classes(orders_spans(s, d), {2: 1}).select("row", F.col("label").cast("bigint").alias("label")), f"WITH {SPANS} SELECT row, CASE WHEN label = 2 THEN 1 ELSE label END AS label FROM o")
+add("min_duration", lambda s, d: rel.min_duration(orders_spans(s, d), 45).select("row", "begin", "end", "label"), f"WITH {SPANS} SELECT row, CAST(\"begin\" AS INTEGER) AS \"begin\", CAST(\"end\" AS INTEGER) AS \"end\", label FROM o WHERE \"end\" - \"begin\" >= 45")
 
 # frames and aggregates
 add("frames", lambda s, d: rounded(ag.frames(samples(s, d), 10, 4).select("rec_id", "frame", "k", "x")), f"WITH {S}{FR.format('s', 10, 4)} SELECT rec_id, frame, k, round(x, 4) AS x FROM f")
@@ -129,8 +131,8 @@ add("threshold_vote", lambda s, d: rel.threshold_vote(ag.acc_features(axes(sampl
 add("movement_regions", lambda s, d: win.label_runs(rel.threshold_vote(ag.acc_features(axes(samples(s, d))), VOTE).select("rec_id", F.col("frame").alias("seq"), F.col("movement").alias("label"))),
     FEATS + ", s AS (SELECT rec_id, frame AS seq, CAST((e >= 3500)::INT + (m >= 72)::INT + (d >= 80)::INT >= 2 AS INTEGER) AS label FROM q)".replace("s AS", "s2 AS") + RUNS.replace("FROM s ", "FROM s2 ") + " SELECT rec_id, run, min(label) AS label, min(seq) AS \"begin\", max(seq) AS \"end\", count(*) AS n FROM u GROUP BY rec_id, run")
 add("majority_label", lambda s, d: ag.majority_label(ag.frames(samples(s, d), 6, 2), 6, 0.5), f"WITH {S}{FR.format('s', 6, 2)}, c AS (SELECT rec_id, frame, label, count(*) AS n FROM f GROUP BY 1, 2, 3) SELECT rec_id, frame, label FROM c WHERE n > 3")
-add("assign_windows", lambda s, d: iv.assign_windows(_relative(s, d), 300.0, 75.0).groupBy("rec_id", "win").agg(F.count("*").alias("n")),
-    f"WITH {S}, z AS (SELECT rec_id, seq, (t - min(t) OVER (PARTITION BY rec_id)) / 1000 AS t FROM s), m AS (SELECT rec_id, max(t) AS m FROM z GROUP BY 1), k AS (SELECT rec_id, unnest(range(0, 1 + CAST(floor(m / 75) AS BIGINT))) AS win, m FROM m) SELECT z.rec_id, win, count(*) AS n FROM z JOIN k ON k.rec_id = z.rec_id AND win * 75 + 300 < m AND ceil(t) > win * 75 AND floor(t) <= win * 75 + 300 GROUP BY 1, 2")
+add("assign_windows", lambda s, d: iv.assign_windows(_relative(s, d), 300.0, 75.0).select("rec_id", "seq", "win"),
+    f"WITH {S}, z AS (SELECT rec_id, seq, (t - min(t) OVER (PARTITION BY rec_id)) / 1000 AS t FROM s), m AS (SELECT rec_id, max(t) AS m FROM z GROUP BY 1), k AS (SELECT rec_id, unnest(range(0, 1 + CAST(floor(m / 75) AS BIGINT))) AS win, m FROM m) SELECT z.rec_id, seq, win FROM z JOIN k ON k.rec_id = z.rec_id AND win * 75 + 300 < m AND ceil(t) > win * 75 AND floor(t) <= win * 75 + 300")
 add("hrv_time_features", lambda s, d: rounded(ag.hrv_time_features(samples(s, d).withColumns({"win": F.floor(F.col("seq") / 20), "rr": 0.6 + F.col("x") / 500}))),
     f"WITH {S}, r AS (SELECT rec_id, seq // 20 AS win, seq, 0.6 + x / 500 AS rr FROM s), g AS (SELECT *, rr - lag(rr) OVER (PARTITION BY rec_id, win ORDER BY seq) AS d, rr - avg(rr) OVER (PARTITION BY rec_id, win) AS c FROM r) SELECT rec_id, win, round(avg(rr) * 1000, 4) AS mean_rr, round(sqrt(avg(d * d)) * 1000, 4) AS rmssd, round(avg(CASE WHEN abs(d) >= 0.05 THEN 1.0 WHEN d IS NOT NULL THEN 0 END) * 100, 4) AS pnn50, round(CASE WHEN avg(c * c) > 1e-20 THEN avg(c * c * c) / pow(avg(c * c), 1.5) END, 4) AS skewness FROM g GROUP BY 1, 2")
 add("quantile_n1", lambda s, d: rounded(ag.quantile_n1(samples(s, d), "label", "x", 0.3), 7), f"WITH {S}, r AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * CAST(0.3 AS DOUBLE), n), 1) AS m FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(m) THEN x END) AS a, max(CASE WHEN rn = least(floor(m) + 1, n) THEN x END) AS b, max(m) AS m FROM m GROUP BY 1) SELECT label, round(a + (b - a) * (m - floor(m)), 7) AS quantile FROM q")
@@ -140,9 +142,9 @@ add("hist_nd", lambda s, d: ag.hist_nd(table(s, d, "lineitem"), ["l_quantity", "
 add("entropy", lambda s, d: rounded(ag.entropy(table(s, d, "lineitem"), ["l_returnflag"], ["l_linestatus"]), 6), "WITH j AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY 1) SELECT round((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM j) - (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM g), 6) AS entropy")
 add("log_sum_exp", lambda s, d: rounded(ag.log_sum_exp(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 6), "WITH m AS (SELECT l_returnflag, max(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(max(m) + ln(sum(exp(l_quantity - m))), 6) AS lse FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
 add("moments", lambda s, d: rounded(ag.moments(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 2), "WITH r AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), c AS (SELECT l_returnflag, max(m) AS m, avg(pow(l_quantity - m, 2)) AS c2, avg(pow(l_quantity - m, 3)) AS c3, avg(pow(l_quantity - m, 4)) AS c4 FROM lineitem JOIN r USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, round(m, 2) AS mean, round(c2, 2) AS c2, round(c3, 2) + 0.0 AS c3, round(c4, 2) AS c4, round(c4 - 3 * c2 * c2, 2) AS k4 FROM c")
-add("energy_confidence", lambda s, d: ag.energy_confidence(samples(s, d).withColumn("energy", F.col("x") * F.col("x"))).groupBy("label", "level").count(), f"WITH {S}, r AS (SELECT label, x * x AS e, row_number() OVER (PARTITION BY label ORDER BY x * x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * 0.25::DOUBLE, n), 1) AS a, greatest(least((n + 1) * 0.75::DOUBLE, n), 1) AS b FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(a) THEN e END) AS l1, max(CASE WHEN rn = least(floor(a) + 1, n) THEN e END) AS h1, max(CASE WHEN rn = floor(b) THEN e END) AS l3, max(CASE WHEN rn = least(floor(b) + 1, n) THEN e END) AS h3, max(a) AS a, max(b) AS b FROM m GROUP BY 1), t AS (SELECT label, l1 + (h1 - l1) * (a - floor(a)) AS q1, l3 + (h3 - l3) * (b - floor(b)) AS q3 FROM q) SELECT label, CAST((e > q3 + 1.5 * (q3 - q1))::INT + (e > q3 + 3 * (q3 - q1))::INT AS INTEGER) AS level, count(*) AS count FROM r JOIN t USING (label) GROUP BY 1, 2")
-add("normalize_balanced", lambda s, d: rounded(ag.normalize_balanced(table(s, d, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_returnflag", "l_quantity", "o").groupBy("l_returnflag").agg(F.avg("z").alias("z"))),
-    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem), k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag)), t AS (SELECT avg(l_quantity) AS mu, stddev_samp(l_quantity) AS sd FROM r, k WHERE rn <= k), z AS (SELECT l_returnflag, (l_quantity - mu) / sd AS z FROM lineitem, t) SELECT l_returnflag, round(avg(z) - (SELECT avg(z) FROM z), 4) + 0.0 AS z FROM z GROUP BY 1")
+add("energy_confidence", lambda s, d: ag.energy_confidence(samples(s, d).withColumn("energy", F.col("x") * F.col("x"))).select("rec_id", "seq", "label", "level"), f"WITH {S}, r AS (SELECT rec_id, seq, label, x * x AS e, row_number() OVER (PARTITION BY label ORDER BY x * x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * 0.25::DOUBLE, n), 1) AS a, greatest(least((n + 1) * 0.75::DOUBLE, n), 1) AS b FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(a) THEN e END) AS l1, max(CASE WHEN rn = least(floor(a) + 1, n) THEN e END) AS h1, max(CASE WHEN rn = floor(b) THEN e END) AS l3, max(CASE WHEN rn = least(floor(b) + 1, n) THEN e END) AS h3, max(a) AS a, max(b) AS b FROM m GROUP BY 1), t AS (SELECT label, l1 + (h1 - l1) * (a - floor(a)) AS q1, l3 + (h3 - l3) * (b - floor(b)) AS q3 FROM q) SELECT rec_id, seq, label, CAST((e > q3 + 1.5 * (q3 - q1))::INT + (e > q3 + 3 * (q3 - q1))::INT AS INTEGER) AS level FROM r JOIN t USING (label)")
+add("normalize_balanced", lambda s, d: rounded(ag.normalize_balanced(table(s, d, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_returnflag", "l_quantity", "o").select("o", "z")),
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem), k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag)), t AS (SELECT avg(l_quantity) AS mu, stddev_samp(l_quantity) AS sd FROM r, k WHERE rn <= k), z AS (SELECT l_orderkey * 10 + l_linenumber AS o, (l_quantity - mu) / sd AS z FROM lineitem, t) SELECT o, round(z - (SELECT avg(z) FROM z), 4) + 0.0 AS z FROM z")
 add("snr_seg", lambda s, d: rounded(ag.snr_seg(samples(s, d), samples(s, d).withColumn("x", F.col("x") * 0.9 + F.col("seq") % 3), 8)), f"WITH {S}, r AS (SELECT rec_id, seq // 8 AS f, x, x * 0.9 + seq % 3 AS r FROM s), g AS (SELECT rec_id, f, sum(r * r) AS a, sum(pow(x - r, 2)) AS e FROM r GROUP BY 1, 2 HAVING count(*) = 8) SELECT rec_id, round(avg(CASE WHEN a = 0 THEN -100 WHEN e = 0 THEN 100 ELSE greatest(least(10 * log10(a / e), 100), -100) END), 4) AS seg_snr, round(10 * log10(sum(a) / sum(e)), 4) AS glo_snr FROM g GROUP BY 1")
 
 # intervals
@@ -153,7 +155,8 @@ HIT = "EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = t.rec_id AND g.\"begin\" <= t
 add("hit_segments", lambda s, d: iv.hit_segments(truth(s, d), guess(s, d), 64).select("rec_id", "begin", "end"), f"WITH {TG} SELECT * FROM tr t WHERE {HIT}")
 add("missed_segments", lambda s, d: iv.missed_segments(truth(s, d), guess(s, d), 64).select("rec_id", "begin", "end"), f"WITH {TG} SELECT * FROM tr t WHERE NOT {HIT}")
 add("coalesce_intervals", lambda s, d: iv.coalesce_intervals(orders_spans(s, d), 30), f"WITH {SPANS}, m AS (SELECT *, max(\"end\") OVER (PARTITION BY rec_id ORDER BY \"begin\", \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o), i AS (SELECT *, sum(CASE WHEN p IS NULL OR \"begin\" - p > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY \"begin\", \"end\" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT rec_id, min(\"begin\") AS \"begin\", max(\"end\") AS \"end\" FROM i GROUP BY rec_id, k")
-add("subtract_intervals", lambda s, d: iv.subtract_intervals(truth(s, d), guess(s, d), 64).groupBy("rec_id").agg(F.sum(F.col("end") - F.col("begin") + 1).alias("days"), F.count("*").alias("parts")).select("rec_id", "days"), f"WITH {TG}, d AS (SELECT t.rec_id, t.\"begin\", t.\"end\", unnest(range(t.\"begin\", t.\"end\" + 1)) AS x FROM tr t) SELECT d.rec_id, count(*) AS days FROM d WHERE NOT EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = d.rec_id AND d.x BETWEEN g.\"begin\" AND g.\"end\") GROUP BY 1")
+add("subtract_intervals", lambda s, d: iv.subtract_intervals(truth(s, d), guess(s, d), 64).select("rec_id", "begin", "end"),
+    f"WITH {TG}, x AS (SELECT t.rec_id, t.\"begin\" AS b, t.\"end\" AS e, unnest(range(t.\"begin\", t.\"end\" + 1)) AS x FROM tr t), d AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM gu g WHERE g.rec_id = x.rec_id AND x.x BETWEEN g.\"begin\" AND g.\"end\")), r AS (SELECT *, x - row_number() OVER (PARTITION BY rec_id, b, e ORDER BY x) AS part FROM d) SELECT rec_id, CAST(min(x) AS INTEGER) AS \"begin\", CAST(max(x) AS INTEGER) AS \"end\" FROM r GROUP BY rec_id, b, e, part")
 add("speak_stats", lambda s, d: rounded(iv.speak_stats(speech(s, d))), f"WITH {SPEECH}, r AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS c FROM sp WINDOW w AS (PARTITION BY rec_id ORDER BY turn)), u AS (SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM r), g AS (SELECT rec_id, label, k, sum(length) AS d, max(length) AS p FROM u GROUP BY 1, 2, 3) SELECT rec_id, label, count(*) AS turns, CAST(sum(d) AS DOUBLE) AS total, CAST(max(p) AS DOUBLE) AS longest_phrase, CAST(max(d) AS DOUBLE) AS longest_turn FROM g GROUP BY 1, 2")
 add("track_regions", lambda s, d: speech(s, d).select("rec_id", "turn", "begin", "end"), f"WITH {SPEECH} SELECT rec_id, turn, CAST(e - length + 1 AS BIGINT) AS \"begin\", CAST(e AS BIGINT) AS \"end\" FROM sp")
 add("peak_in_interval", lambda s, d: rounded(iv.peak_in_interval(samples(s, d), samples(s, d).where("seq % 10 = 0").select("rec_id", F.col("seq").alias("begin"), (F.col("seq") + 6).alias("end")), 16)), f"WITH {S} SELECT a.rec_id, a.seq AS \"begin\", a.seq + 6 AS \"end\", arg_max(b.seq, abs(b.x) * 1e6 - b.seq * 1e-3) AS at, round(max(b.x), 4) AS height FROM s a JOIN s b ON a.rec_id = b.rec_id AND b.seq BETWEEN a.seq AND a.seq + 6 WHERE a.seq % 10 = 0 GROUP BY 1, 2")
@@ -172,8 +175,8 @@ add("regrid_decisions", lambda s, d: iv.regrid_decisions(win.label_runs(samples(
     f"WITH {S} SELECT a.rec_id, a.seq AS \"begin\", CAST(2 * sum(CASE WHEN b.x > 30 THEN 1 ELSE 0 END) > 7 AS INTEGER) AS flag FROM s a JOIN s b ON a.rec_id = b.rec_id AND b.seq BETWEEN a.seq AND a.seq + 6 WHERE a.seq % 7 = 0 GROUP BY 1, 2")
 add("label_windows", lambda s, d: iv.label_windows(_relative(s, d).withColumn("label", (F.col("x") > 15).cast("int")), 300.0, 150.0),
     f"WITH {S}, z AS (SELECT rec_id, (t - min(t) OVER (PARTITION BY rec_id)) / 1000 AS t, CAST(x > 15 AS INTEGER) AS label FROM s), m AS (SELECT rec_id, max(t) AS m FROM z GROUP BY 1), k AS (SELECT rec_id, unnest(range(0, 1 + CAST(floor(m / 150) AS BIGINT))) AS win, m FROM m), c AS (SELECT z.rec_id, win, label, count(*) AS n FROM z JOIN k ON k.rec_id = z.rec_id AND win * 150 + 300 < m AND ceil(t) > win * 150 AND floor(t) <= win * 150 + 300 GROUP BY 1, 2, 3) SELECT rec_id, win, label FROM (SELECT *, sum(n) OVER (PARTITION BY rec_id, win) AS total FROM c) WHERE n > floor(CAST(0.7 AS DOUBLE) * total)")
-add("cluster_pairs", lambda s, d: iv.cluster_pairs(orders_spans(s, d)).groupBy("a", "b").count(), f"WITH {SPANS}, l AS (SELECT DISTINCT rec_id, label FROM o) SELECT a.label AS a, b.label AS b, count(*) AS count FROM l a JOIN l b ON a.rec_id = b.rec_id AND a.label < b.label GROUP BY 1, 2")
-add("with_subject", lambda s, d: iv.with_subject(table(s, d, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("device_id")), table(s, d, "nation").select(F.col("n_nationkey").alias("device_id"), "n_name")).groupBy("n_name").count(), "SELECT n_name, count(*) AS count FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+add("cluster_pairs", lambda s, d: iv.cluster_pairs(orders_spans(s, d)).select("rec_id", "a", "b"), f"WITH {SPANS}, l AS (SELECT DISTINCT rec_id, label FROM o) SELECT a.rec_id, a.label AS a, b.label AS b FROM l a JOIN l b ON a.rec_id = b.rec_id AND a.label < b.label")
+add("with_subject", lambda s, d: iv.with_subject(table(s, d, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("device_id")), table(s, d, "nation").select(F.col("n_nationkey").alias("device_id"), "n_name")).select("c_custkey", "n_name"), "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 add("long_windows", lambda s, d: iv.long_windows(truth(s, d), 20).select("rec_id", "seg_begin", "begin", "end").distinct(), f"WITH {TG}, w AS (SELECT rec_id, \"begin\" AS b, \"end\" AS e, unnest(range(0, CAST(floor((\"end\" - \"begin\" + 1 - 20) / 10) AS BIGINT) + 1)) AS k FROM tr WHERE \"end\" - \"begin\" + 1 >= 20) SELECT DISTINCT rec_id, b AS seg_begin, CAST(b + k * 10 AS BIGINT) AS \"begin\", CASE WHEN k = floor((e - b + 1 - 20) / 10) THEN e ELSE b + k * 10 + 19 END AS \"end\" FROM w")
 
 # scalars
@@ -181,9 +184,25 @@ add("shex2dec", lambda s, d: table(s, d, "events").select("event_id", scales.she
 add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f")).alias("bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
     "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(69 + 12 * log2(nullif(abs(f), 0) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
 
+add("file_names", lambda s, d: table(s, d, "customer").withColumn("f", F.concat(F.lit("acc_exp"), "c_custkey", F.lit("_user"), "c_nationkey", F.lit(".v1.txt"))).select("c_custkey", F.element_at(scales.name_numbers(F.col("f")), 1).alias("exp"), F.element_at(scales.name_numbers(F.col("f")), 2).alias("user"), scales.strip_ext(F.col("f")).alias("stem")), "SELECT c_custkey, c_custkey AS exp, CAST(c_nationkey AS BIGINT) AS \"user\", 'acc_exp' || c_custkey || '_user' || c_nationkey || '.v1' AS stem FROM customer")
+add("at_offset", lambda s, d: table(s, d, "events").select("event_id", F.unix_micros(scales.at_offset(F.col("ts").cast("timestamp"), F.col("value"))).alias("us")), "SELECT event_id, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS us FROM events")
+PAIRS = "p AS (SELECT rec_id, seq // 8 AS g, x + 1 AS a, lead(x, 1, 50.0) OVER (PARTITION BY rec_id ORDER BY seq) + 2 AS b, CASE WHEN seq % 8 IN (0, 7) THEN 0.5 ELSE 1 END AS w FROM s)"
+add("spectral_distances", lambda s, d: rounded(_spectra(s, d), 6), f"WITH {S}, {PAIRS} SELECT rec_id, g, round(sum(w * (a / b - ln(a / b))) / 7 - 1, 6) AS itakura_saito, round(ln(sum(w * a / b) / 7) - sum(w * ln(a / b)) / 7, 6) AS itakura, round(sum(w * (a / b + b / a) / 2) / 7 - 1, 6) AS cosh FROM p GROUP BY 1, 2 HAVING count(*) = 8")
+add("band_powers", lambda s, d: rounded(ag.band_powers(samples(s, d).select("rec_id", F.floor(F.col("seq") / 32).alias("win"), (F.col("seq") % 32 / 64).alias("f"), F.col("x").alias("p")), 1.0), 2), f"WITH {S}, p AS (SELECT rec_id, seq // 32 AS win, seq % 32 / 64 AS f, x AS p FROM s), b AS (SELECT rec_id, win, avg(p) FILTER (f <= 0.04) * 0.04 * 1e6 AS vlf, avg(p) FILTER (f > 0.04 AND f <= 0.15) * (0.15 - 0.04)::DOUBLE * 1e6 AS lf, avg(p) FILTER (f > 0.15 AND f <= 0.4) * (0.4 - 0.15)::DOUBLE * 1e6 AS hf, avg(p) / 2 * 1e6 AS tp FROM p GROUP BY 1, 2) SELECT rec_id, win, round(vlf, 2) AS vlf, round(lf, 2) AS lf, round(hf, 2) AS hf, round(tp, 2) AS tp, round(CASE WHEN hf <> 0 THEN lf / hf END, 2) AS lf_hf FROM b")
+add("select_label", lambda s, d: rel.select_label(orders_spans(s, d), 1).select("row"), f"WITH {SPANS} SELECT row FROM o WHERE label = 1")
+add("drop_unlabelled", lambda s, d: rel.drop_unlabelled(orders_spans(s, d)).select("row", "label"), f"WITH {SPANS} SELECT row, label FROM o WHERE label <> 0")
+add("keep_beats", lambda s, d: rel.keep_beats(table(s, d, "lineitem"), "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag"), "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IN ('N', 'L', 'R', 'B', 'A', 'a', 'J', 'S', 'V', 'r', 'F', 'e', 'j', 'n', 'E')")
+add("union_all", lambda s, d: rel.union_all([truth(s, d), guess(s, d)]).select("rec_id", "begin", "end"), f"WITH {TG} SELECT rec_id, CAST(\"begin\" AS INTEGER) AS \"begin\", CAST(\"end\" AS INTEGER) AS \"end\" FROM tr UNION ALL SELECT rec_id, \"begin\", \"end\" FROM gu")
+Q = "l[CAST(floor({m}) AS BIGINT)] + (l[CAST(least(floor({m}) + 1, n) AS BIGINT)] - l[CAST(floor({m}) AS BIGINT)]) * ({m} - floor({m}))"
+M = "greatest(least((n + 1) * CAST({p} AS DOUBLE), n), 1)"
+QUANTILE = {p: Q.format(m=M.format(p=p)) for p in (0.5, 0.05)}
+add("prosody_summary", lambda s, d: rounded(ag.prosody_summary(samples(s, d).select("rec_id", F.col("x").alias("pitch"), (F.col("x") * 2).alias("harmonicity"), (F.col("x") * 3).alias("f4"), (F.col("x") + 7).alias("f5"), (F.col("x") - 5).alias("dispersion")), "rec_id")),
+    f"WITH {S}, q AS (SELECT rec_id, list_sort(list(x)) AS l, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM s GROUP BY 1), r AS (SELECT *, {QUANTILE[0.5]} AS p50, {QUANTILE[0.05]} AS p05 FROM q) SELECT rec_id, round(m, 4) AS pitch_mean, round(2 * m, 4) AS harmonicity_mean, round(3 * sd, 4) AS f4_std, round(3 * m, 4) AS f4_mean, round(sd, 4) AS f5_std, round(m + 7, 4) AS f5_mean, round(m - 5, 4) AS dispersion_mean, round(p50, 4) AS pitch_median, round(p05, 4) AS pitch_p05, round(3 * p05, 4) AS f4_p05, round(p05 + 7, 4) AS f5_p05 FROM r")
+
 # vectors
 E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
 add("distances", lambda s, d: rounded(vec.nearest(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(center, d) AS center, round(min(d), 4) AS distance FROM d GROUP BY 1")
+add("all_distances", lambda s, d: rounded(vec.distances(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "embedding").select("vec_id", "center", "distance"), 4), f"WITH {E} SELECT vec_id, c.label AS center, round(sum(pow(v - m, 2)), 4) AS distance FROM e JOIN c USING (k) GROUP BY 1, 2")
 add("kmeans", lambda s, d: rounded(vec.kmeans_step(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding").select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), n AS (SELECT vec_id, arg_min(center, d) AS center FROM d GROUP BY 1) SELECT center, CAST(k AS INTEGER) AS k, round(avg(v), 4) + 0.0 AS m FROM e JOIN n USING (vec_id) GROUP BY 1, 2")
 #: Rounds of a codebook's k-means, as kmeans_lbg has them.
 ROUNDS = 5
@@ -203,3 +222,10 @@ def _relative(spark: SparkSession, sf: str) -> DataFrame:
 def _ship_days(spark: SparkSession, sf: str) -> DataFrame:
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
     return table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("rec_id"), day.alias("seq")).distinct()
+
+
+def _spectra(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of eight samples in a row, as a spectrum, to the eight one later."""
+    p = samples(spark, sf).withColumn("b", F.lead("x", 1, 50.0).over(win.SEQ()) + 2).groupBy("rec_id", F.floor(F.col("seq") / 8).alias("g")).agg(F.sort_array(F.collect_list(F.struct("seq", (F.col("x") + 1).alias("a"), "b"))).alias("p"))
+    a, b = F.col("p.a"), F.col("p.b")
+    return p.where(F.size("p") == 8).select("rec_id", "g", scales.dist_is(a, b).alias("itakura_saito"), scales.dist_itakura(a, b).alias("itakura"), scales.dist_cosh(a, b).alias("cosh"))
