@@ -37,6 +37,17 @@ def test_state_over_batches_equals_one_pass(spark, tmp_path):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_short_first_batches_change_nothing(spark, tmp_path):
+    power = spark.range(60).select((F.col("id") % 2).alias("rec_id"), (F.col("id") / 2).cast("bigint").alias("seq"), F.array(F.lit(1.0), F.abs(F.sin("id")) + 0.1, F.abs(F.cos("id")) + 0.1).alias("power"))
+    parts = [(0, 0), (1, 2), (3, 7), (8, 12), (13, 99)]
+    got = {(r.rec_id, r.seq): r.noise for r in played(spark, tmp_path / "a", power, parts, streams.stream_noise)}
+    want = {(r.rec_id, r.seq): r.noise for r in signal.noise_mmse(power).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    got = {(r.rec_id, r.seq): r.p for r in played(spark, tmp_path / "b", power, parts, streams.stream_vad)}
+    want = {(r.rec_id, r.seq): r.p for r in audio.vad(power).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_sliding_windows(spark, tmp_path):
     df = spark.range(40).select(F.lit(1).cast("bigint").alias("rec_id"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 50_000).alias("ts"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
     rows = played(spark, tmp_path, df, [(0, 99)], streams.stream_acc_features, "complete")

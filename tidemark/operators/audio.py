@@ -28,11 +28,15 @@ def expint(x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Frames from whose mean the smoothing starts.
+MINSTAT_START = 10
+
+
 def noise_minstat(power: np.ndarray, span: int = 60, smooth: float = 0.85, bias: float = 2.0, state: list | None = None) -> tuple[np.ndarray, list]:
     """Noise spectra as bias times the least smoothed power of the last span frames, and the state to go on from (those frames' smoothed powers).
-    The first frames are smoothed from the mean of the first ten."""
+    The first frames are smoothed from the mean of the first MINSTAT_START."""
     recent, out = list(state or []), np.empty_like(power)
-    last = recent[-1] if recent else power[:10].mean(axis=0)
+    last = recent[-1] if recent else power[:MINSTAT_START].mean(axis=0)
     for i, y in enumerate(power):
         last = smooth * last + (1 - smooth) * y
         recent = [*recent[-(span - 1) :], last]

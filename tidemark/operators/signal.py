@@ -372,11 +372,15 @@ def viterbi(df: DataFrame, min_len: int) -> DataFrame:
     return per_recording(df, run, "begin bigint, end bigint, label int", ["loglik"])
 
 
+#: Frames whose mean is the first noise estimate.
+NOISE_START = 5
+
+
 def noise_step(power: np.ndarray, state: dict | None, smooth: float = 0.8, presence: float = 0.9, xi_db: float = 15.0) -> tuple[np.ndarray, dict]:
     """Noise spectra of frames [frame, bin] by speech presence probabilities, and the state to go on from."""
     xi = 10 ** (xi_db / 10)
     ratio = 1 / (1 + xi) - 1
-    noise = state["noise"] if state else power[:5].mean(axis=0)
+    noise = state["noise"] if state else power[:NOISE_START].mean(axis=0)
     mean = state["mean"] if state else np.full(power.shape[1], 0.5)
     out = np.empty_like(power)
     for i, y in enumerate(power):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.audio import log_mmse_gain, vad_probabilities
-from tidemark.operators.signal import noise_step
+from tidemark.operators.audio import MINSTAT_START, log_mmse_gain, vad_probabilities
+from tidemark.operators.signal import NOISE_START, noise_step
 
 
 def stream_acc_features(stream: DataFrame, size: str = "500 milliseconds", slide: str = "250 milliseconds", delay: str = "10 seconds", cols: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -29,15 +29,21 @@ def stream_chunks(stream: DataFrame, minutes: int = 5, delay: str = "10 minutes"
     return g.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).select("rec_id", F.col("w.start").alias("begin"), "n", "first", "last")
 
 
-def _with_state(stream: DataFrame, cols: list[str], out: str, step) -> DataFrame:
-    """step(rows in order, state or None) -> (frame without rec_id, state); state is kept as bytes."""
+def _with_state(stream: DataFrame, cols: list[str], out: str, step, start: int = 1) -> DataFrame:
+    """step(rows in order, state or None) -> (frame without rec_id, state); state is kept as bytes. A recording's first rows are held back in the
+    state until there are so many as the step's start needs, whatever the micro-batches; a recording that ends before gives no rows."""
     kind = stream.schema["rec_id"].dataType.simpleString()
 
     def run(key, batches, state: GroupState):
         rows = pd.concat(list(batches)).sort_values("seq")
-        had = pickle.loads(state.get[0]) if state.exists else None
+        held, had = pickle.loads(state.get[0]) if state.exists else (rows.iloc[:0], None)
+        if held is not None:  # not started yet
+            rows = pd.concat([held, rows]).sort_values("seq") if len(held) else rows
+            if len(rows) < start:
+                state.update((pickle.dumps((rows, None)),))
+                return
         got, now = step(rows, had)
-        state.update((pickle.dumps(now),))
+        state.update((pickle.dumps((None, now)),))
         got.insert(0, "rec_id", key[0])
         yield got
 
@@ -51,7 +57,7 @@ def stream_noise(stream: DataFrame) -> DataFrame:
         out, state = noise_step(np.stack(rows["power"].to_numpy()), state)
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "noise": list(out)}), state
 
-    return _with_state(stream, ["power"], "seq bigint, noise array<double>", step)
+    return _with_state(stream, ["power"], "seq bigint, noise array<double>", step, NOISE_START)
 
 
 def stream_running_max(stream: DataFrame, forget: float = 1.0) -> DataFrame:
@@ -91,7 +97,7 @@ def stream_enhance(stream: DataFrame) -> DataFrame:
         gain, before = log_mmse_gain(power, noise, state[1] if state else None)
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "v": list(np.fft.irfft(spec * gain, x.shape[1], axis=1))}), (tracker, before)
 
-    return _with_state(stream, ["v"], "seq bigint, v array<double>", step)
+    return _with_state(stream, ["v"], "seq bigint, v array<double>", step, NOISE_START)
 
 
 def stream_vad(stream: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -101,4 +107,4 @@ def stream_vad(stream: DataFrame, threshold: float = 0.7) -> DataFrame:
         p, state = vad_probabilities(np.stack(rows["power"].to_numpy()).astype(float), state)
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "p": p, "label": (p > threshold).astype(int)}), state
 
-    return _with_state(stream, ["power"], "seq bigint, p double, label int", step)
+    return _with_state(stream, ["power"], "seq bigint, p double, label int", step, MINSTAT_START)
