@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import SEQ
+
 
 def per_recording(df: DataFrame, run, added: str, cols: list[str]) -> DataFrame:
     """(rec_id, *added) from run(rows ordered by seq) -> DataFrame without rec_id."""
@@ -235,6 +237,27 @@ def mfcc(v: Column | str, fs: float, n: int = 12) -> Column:
     return cepstra(v)
 
 
+def vad_features(frames: DataFrame, fs: float, n: int = 12) -> DataFrame:
+    """(rec_id, seq, feats) of frames (rec_id, seq, v ARRAY): n cepstral coefficients and the zero-crossing rate, their slopes over nine frames, and the slopes of
+    those over three, as one array (39 values for n = 12). A recording's ends are repeated. A frame of one sample crosses nothing."""
+    crossed = F.expr("aggregate(sequence(1, size(v) - 1, 1), 0D, (s, i) -> s + if(signum(v[i]) != signum(v[i - 1]), 1D, 0D)) / (size(v) - 1)")
+    base = frames.select("rec_id", "seq", F.concat(mfcc("v", fs, n), F.array(F.when(F.size("v") > 1, crossed).otherwise(0.0))).alias("_f"))
+    each = SEQ()
+    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def slope(c: str, width: int) -> Column:
+        first, last = F.first(c).over(whole), F.last(c).over(whole)
+        out = None
+        for k in range(1, width + 1):
+            d = F.zip_with(F.coalesce(F.lead(c, k).over(each), last), F.coalesce(F.lag(c, k).over(each), first), lambda a, b: (a - b) * k)  # noqa: B023 (called at once)
+            out = d if out is None else F.zip_with(out, d, lambda a, b: a + b)
+        total = 2.0 * sum(k * k for k in range(1, width + 1))
+        return F.transform(out, lambda a: a / total)
+
+    d = base.withColumn("_d", slope("_f", 4)).withColumn("_dd", slope("_d", 1))
+    return d.select("rec_id", "seq", F.concat("_f", "_d", "_dd").alias("feats"))
+
+
 def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0) -> DataFrame:
     """Samples with outliers of their window replaced by the mean of their neighbours, from left to right, repaired ones counting in later windows."""
 
@@ -449,6 +472,12 @@ def fit_gmm(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0)
     return each.groupBy(key, "k").applyInPandas(group, f"{key} {kind}, k int, comp int, weight double, mean array<double>, var array<double>, loglik double, bic double")
 
 
+def aic_table(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
+    """(key, k, loglik, aic, bic) of one mixture per key and number of components: AIC is twice the free parameters less twice the log likelihood."""
+    free = 2 * F.col("k") * F.size("mean") + F.col("k") - 1
+    return fit_gmm(df, key, vector, ks, seed).where("comp = 0").select(key, "k", "loglik", (2 * free - 2 * F.col("loglik")).alias("aic"), "bic")
+
+
 def select_gmm(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
     """The mixtures of the least BIC per key: of ks, and then, while BIC falls below the least so far, of one component more than
     the most of ks, two more, and so on up to MOST_COMPONENTS (and to the number of the key's rows)."""

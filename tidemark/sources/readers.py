@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,20 @@ def load_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_features(df: DataFrame, path: str) -> None:
+    """Features, or a mixture's parameters, as Parquet; what stood there is replaced."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline of train_movement() or train_stress(), in the format of Spark's own writer; what stood there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def wav_samples(raw: bytes) -> tuple[np.ndarray, int]:
     """Mono samples in -1..1 and the rate, of PCM data of 8, 16, 24 or 32 bits."""
     import io
