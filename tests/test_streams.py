@@ -53,3 +53,12 @@ def test_sliding_windows(spark, tmp_path):
     rows = played(spark, tmp_path, df, [(0, 99)], streams.stream_acc_features, "complete")
     full = [r for r in rows if r.n == 10]
     assert len(full) == 7 and all(abs(r.body_abs_mean - (r.begin.timestamp() * 20 + 4.5 + 1)) < 1e-9 for r in full)
+
+
+def test_level_so_far_ends_as_one_pass(spark, tmp_path):
+    df = spark.range(4000).select((F.col("id") % 2).alias("rec_id"), F.expr("id div 2").alias("seq"), (F.sin(F.col("id") / 7.0) * F.when(F.col("id") % 1000 < 600, 1.0).otherwise(0.01) * (1 + F.col("id") % 2)).alias("x"))
+    rows = played(spark, tmp_path, df, [(0, 99), (100, 1100), (1101, 1999)], lambda s: streams.stream_active_level(s, 400.0))
+    got = {r.rec_id: r for r in sorted(rows, key=lambda r: r.seq)}
+    want = {r.rec_id: r for r in audio.active_level(df, 400.0).collect()}
+    assert got.keys() == want.keys() == {0, 1}
+    assert all(got[k].seq == 1999 and abs(got[k].level_db - want[k].level_db) < 1e-9 and abs(got[k].activity - want[k].activity) < 1e-9 for k in want)

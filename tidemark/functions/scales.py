@@ -26,17 +26,45 @@ def mel_to_hz(m: Column) -> Column:
     return F.signum(m) * MEL_KNEE * (F.exp(F.abs(m) / MEL_SCALE) - 1)
 
 
-def hz_to_bark(f: Column) -> Column:
-    """Critical bands with corrections under 2 and over 20.1 bark."""
-    b = 26.81 * F.abs(f) / (1960 + F.abs(f)) - 0.53
-    b = F.when(b < 2, b + 0.15 * (2 - b)).when(b > 20.1, b + 0.22 * (b - 20.1)).otherwise(b)
-    return F.signum(f) * b
+#: Fixed values of the bark scale: b = BARK_A f / (BARK_B + f) + BARK_C, made to be 0 at 0 Hz by a parabola under BARK_LOW, and of slope
+#: 1 + BARK_RISE past BARK_MIDDLE, with a parabola over one bark to each side.
+BARK_A, BARK_B, BARK_C = 26.81, 1960.0, -0.53
+BARK_LOW, BARK_RISE, BARK_MIDDLE = 3.0, 0.25, 20.4
+_DIP, _BEND = 0.53 / 3.53**2, BARK_RISE / 4
+
+
+def hz_to_bark(f: Column, low: str = "smooth", high: str = "smooth") -> Column:
+    """Critical bands, odd in f. low and high: "smooth" corrections (no step of the slope), "linear" ones (under 2 and over 20.1 bark) or "none"."""
+    r = BARK_A * F.abs(f) / (BARK_B + F.abs(f)) + BARK_C
+    b = {"smooth": F.when(r < BARK_LOW, r + _DIP * (BARK_LOW - r) * (BARK_LOW - r)).otherwise(r), "linear": F.when(r < 2, r + 0.15 * (2 - r)).otherwise(r), "none": r}[low]
+    over = r - (BARK_MIDDLE - 1)
+    bent = F.when(r > BARK_MIDDLE + 1, r + BARK_RISE * (r - BARK_MIDDLE)).when(over > 0, r + _BEND * over * over).otherwise(b)
+    return F.signum(f) * {"smooth": bent, "linear": F.when(r > 20.1, r + 0.22 * (r - 20.1)).otherwise(b), "none": b}[high]
+
+
+def bark_to_hz(b: Column, low: str = "smooth", high: str = "smooth") -> Column:
+    """The inverse of hz_to_bark with the same corrections; null where no frequency has so many bark."""
+    x = F.abs(b)
+    r = {
+        "smooth": F.when(x < BARK_LOW, BARK_LOW - (1 - F.sqrt(F.greatest(1 - 4 * _DIP * (BARK_LOW - x), F.lit(0.0)))) / (2 * _DIP)).otherwise(x),
+        "linear": F.when(x < 2, (x - 0.3) / 0.85).otherwise(x),
+        "none": x,
+    }[low]
+    over = x - (BARK_MIDDLE - 1)
+    bent = F.when(x > BARK_MIDDLE + 1 + BARK_RISE, (x + BARK_RISE * BARK_MIDDLE) / (1 + BARK_RISE)).when(over > 0, BARK_MIDDLE - 1 + (F.sqrt(1 + 4 * _BEND * F.abs(over)) - 1) / (2 * _BEND)).otherwise(r)
+    r = {"smooth": bent, "linear": F.when(x > 20.1, (x + 0.22 * 20.1) / 1.22).otherwise(r), "none": r}[high]
+    return F.when(r < BARK_A + BARK_C, F.signum(b) * BARK_B * (r - BARK_C) / F.nullif(BARK_A + BARK_C - r, F.lit(0.0)))
 
 
 def hz_to_cent(f: Column) -> Column:
     return F.signum(f) * 1200 * F.log2(F.abs(f) / (440 * 2 ** (3 / 12 - 5)))
 
 
+def cent_to_hz(c: Column) -> Column:
+    """The inverse of hz_to_cent over 0 cents; a negative value is taken as one of a negative frequency."""
+    return F.signum(c) * (440 * 2 ** (3 / 12 - 5)) * F.pow(F.lit(2.0), F.abs(c) / 1200)
+
+
 def hz_to_midi(f: Column) -> Column:
     return 69 + 12 * F.log2(F.abs(f) / 440)
 

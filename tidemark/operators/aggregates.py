@@ -11,8 +11,26 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import REC, q1_of, q3_of
 
 
-def frames(df: DataFrame, size: int, hop: int) -> DataFrame:
-    """Samples (seq from 0) once for each full frame that holds them: frame, k (place in the frame)."""
+def with_tail(df: DataFrame, size: int, hop: int, tail: str, col: str = "x") -> DataFrame:
+    """Samples (seq from 0) with rows after the end, as many as one more frame needs that the full ones leave samples for: zeros ("zero"), or the last samples
+    in turned order, the last one first ("reflect"). Columns but rec_id, seq and col are null in added rows."""
+    end = df.groupBy("rec_id").agg(F.count("*").alias("_n"))
+    full = F.greatest(F.floor((F.col("_n") - size) / hop) + 1, F.lit(0))
+    need = end.withColumn("_f", full).where((F.col("_n") > F.col("_f") * hop + size - hop) & (F.col("_n") < F.col("_f") * hop + size))
+    added = need.select("rec_id", "_n", F.explode(F.sequence("_n", F.col("_f") * hop + size - 1)).alias("seq"))
+    if tail == "zero":
+        added = added.select("rec_id", "seq", F.lit(0).cast(df.schema[col].dataType).alias(col))
+    else:
+        place = F.col("seq") % (2 * F.col("_n"))
+        added = added.withColumn("_from", F.when(place < F.col("_n"), place).otherwise(2 * F.col("_n") - 1 - place)).select("rec_id", "seq", "_from")
+        added = added.join(df.select("rec_id", F.col("seq").alias("_from"), col), ["rec_id", "_from"]).drop("_from")
+    return df.unionByName(added.withColumn("seq", F.col("seq").cast(df.schema["seq"].dataType)), allowMissingColumns=True)
+
+
+def frames(df: DataFrame, size: int, hop: int, tail: str | None = None) -> DataFrame:
+    """Samples (seq from 0) once for each full frame that holds them: frame, k (place in the frame). tail fills a last frame up, as with_tail does."""
+    if tail:
+        df = with_tail(df, size, hop, tail)
     d = df.withColumn("_n", F.count("*").over(REC())).where(F.col("_n") >= size)
     lo = F.greatest(F.ceil((F.col("seq") - size + 1) / hop), F.lit(0))
     hi = F.least(F.floor(F.col("seq") / hop), F.floor((F.col("_n") - size) / hop))
@@ -131,17 +149,26 @@ def hist_nd(df: DataFrame, cols: list[str], bins: list[int], lo: list[float] | N
     return out.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy())) if prob else out
 
 
-def entropy(df: DataFrame, cols: list[str], given: list[str] | None = None) -> DataFrame:
-    """Entropy in bits of the joint counts of cols, or the conditional one given others."""
+def bernoulli_entropy(p: Column) -> Column:
+    """Entropy in bits of a variable that is true with probability p; 0 at 0 and 1."""
+    part = lambda q: F.when(q > 0, -q * F.log2(q)).otherwise(0.0)
+    return F.when(p.isNotNull(), part(p) + part(1 - p))
 
-    def h(keys: list[str]) -> DataFrame:
-        n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-        return n.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s")).select((F.log2("t") - F.col("s") / F.col("t")).alias("h"))
 
-    if not given:
-        return h(cols).withColumnRenamed("h", "entropy")
-    joint, base = h([*cols, *given]), h(given).withColumnRenamed("h", "g")
-    return joint.join(F.broadcast(base), F.lit(True)).select((F.col("h") - F.col("g")).alias("entropy"))
+def entropy(df: DataFrame, cols: list[str], given: list[str] | None = None, by: list[str] | None = None, steps: list[float] | None = None) -> DataFrame:
+    """Entropy in bits of the joint counts of cols, or the conditional one given others; one for each value of by, if given. With steps, the widths of the bins that
+    cols count, the differential entropy of what they cut up."""
+    by = by or []
+
+    def h(keys: list[str], name: str) -> DataFrame:
+        n = df.groupBy(*by, *keys).agg(F.count("*").alias("n"))
+        return n.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s")).select(*by, (F.log2("t") - F.col("s") / F.col("t")).alias(name))
+
+    out = h([*cols, *(given or [])], "entropy")
+    if given:
+        base = h(given, "_g")
+        out = (out.join(base, by) if by else out.join(F.broadcast(base), F.lit(True))).withColumn("entropy", F.col("entropy") - F.col("_g")).drop("_g")
+    return out.withColumn("entropy", F.col("entropy") + sum(math.log2(s) for s in steps)) if steps else out
 
 
 def log_sum_exp(df: DataFrame, key: str, x: str, k: str | None = None) -> DataFrame:
@@ -158,11 +185,26 @@ def moments(df: DataFrame, key: str, col: str) -> DataFrame:
     return r.selectExpr(key, "r1 AS mean", f"{c2} AS c2", f"{c3} AS c3", f"{c4} AS c4", f"{c4} - 3 * {c2} * {c2} AS k4")
 
 
-def snr_seg(sig: DataFrame, ref: DataFrame, size: int, limit: float = 100.0) -> DataFrame:
-    """(rec_id, seg_snr, glo_snr): mean over frames, each clipped, and overall, in dB."""
+def snr_seg(sig: DataFrame, ref: DataFrame, size: int, limit: float = 100.0, active: DataFrame | None = None, shifted: bool = False) -> DataFrame:
+    """(rec_id, seg_snr, glo_snr): mean over frames, each clipped, and overall, in dB. Of active samples (rec_id, seq), if given, a frame must hold more than half
+    its size. If shifted, each frame's signal is moved by up to one sample, to the side and as far as leaves the least error; frames then begin at sample 1."""
     both = sig.select("rec_id", "seq", "x").join(ref.select("rec_id", "seq", F.col("x").alias("r")), ["rec_id", "seq"])
-    f = both.groupBy("rec_id", F.floor(F.col("seq") / size).alias("frame")).agg(F.sum(F.col("r") * F.col("r")).alias("s"), F.sum(F.pow(F.col("x") - F.col("r"), 2)).alias("e"), F.count("*").alias("n"))
-    f = f.where(F.col("n") == size)
+    if active is not None:
+        both = both.join(active.select("rec_id", "seq").distinct().withColumn("_on", F.lit(1)), ["rec_id", "seq"], "left")
+    else:
+        both = both.withColumn("_on", F.lit(1))
+    parts = [F.sum(F.col("r") * F.col("r")).alias("s"), F.sum(F.pow(F.col("x") - F.col("r"), 2)).alias("e"), F.count("*").alias("n"), F.count("_on").alias("on")]
+    if shifted:
+        w = Window.partitionBy("rec_id").orderBy("seq")
+        both = both.withColumns({"_a": F.col("x") - F.lead("x").over(w), "_b": F.col("x") - F.lag("x").over(w)}).where("_a IS NOT NULL AND _b IS NOT NULL")
+        parts += [F.sum((F.col("x") - F.col("r")) * F.col(c)).alias(f"d{c}") for c in ("_a", "_b")] + [F.sum(F.col(c) * F.col(c)).alias(f"q{c}") for c in ("_a", "_b")]
+    f = both.groupBy("rec_id", F.floor((F.col("seq") - int(shifted)) / size).alias("frame")).agg(*parts)
+    f = f.where((F.col("n") == size) & (F.col("on") > (size / 2)))
+    if shifted:
+        for c in ("_a", "_b"):  # how far to move, and the error's fall
+            f = f.withColumn("m", F.least(F.greatest(F.coalesce(F.try_divide(f"d{c}", f"q{c}"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+            f = f.withColumn(f"f{c}", F.col("m") * (2 * F.col(f"d{c}") - F.col("m") * F.col(f"q{c}")))
+        f = f.withColumn("e", F.greatest(F.col("e") - F.greatest("f_a", "f_b"), F.lit(0.0)))
     db = F.when(F.col("s") == 0, -limit).when(F.col("e") == 0, limit).otherwise(F.greatest(F.least(10 * F.log10(F.col("s") / F.col("e")), F.lit(limit)), F.lit(-limit)))
     return f.groupBy("rec_id").agg(F.avg(db).alias("seg_snr"), (10 * F.log10(F.expr("try_divide(sum(s), sum(e))"))).alias("glo_snr"))
 

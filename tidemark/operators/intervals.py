@@ -123,11 +123,12 @@ def peak_in_interval(samples: DataFrame, bounds: DataFrame, width: int = BUCKET)
     return m.select("rec_id", "begin", "end", (-F.col("m.k")).alias("at"), F.col("m.x").alias("height"))
 
 
-def best_lag(sig: DataFrame, ref: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(rec_id, lag, gain): the lag with the largest correlation coefficient of the signal with the shifted reference, and sum(rs) / sum(rr)."""
+def best_lag(sig: DataFrame, ref: DataFrame, lo: int, hi: int, mode: str = "correlation") -> DataFrame:
+    """(rec_id, lag, gain): the lag with the largest correlation coefficient of the signal with the shifted reference (mode "correlation"), or with the
+    largest product of the two whatever its sign, the most energy in common (mode "energy"), and sum(rs) / sum(rr); of equal lags the least."""
     shifted = ref.select("rec_id", "seq", F.col("x").alias("r")).withColumn("lag", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("seq", F.col("seq") + F.col("lag"))
     sums = sig.join(shifted, ["rec_id", "seq"]).groupBy("rec_id", "lag").agg(F.sum(F.col("x") * F.col("r")).alias("rs"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    scored = sums.withColumn("c", F.expr("try_divide(rs, sqrt(rr * ss))"))
+    scored = sums.withColumn("c", F.expr({"correlation": "try_divide(rs, sqrt(rr * ss))", "energy": "abs(rs)"}[mode]))
     return scored.groupBy("rec_id").agg(F.max(F.struct("c", (-F.col("lag")).alias("k"), "rs", "rr")).alias("m")).select("rec_id", (-F.col("m.k")).alias("lag"), F.expr("try_divide(m.rs, m.rr)").alias("gain"))
 
 

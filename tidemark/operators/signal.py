@@ -258,8 +258,11 @@ def vad_features(frames: DataFrame, fs: float, n: int = 12) -> DataFrame:
     return d.select("rec_id", "seq", F.concat("_f", "_d", "_dd").alias("feats"))
 
 
-def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0) -> DataFrame:
-    """Samples with outliers of their window replaced by the mean of their neighbours, from left to right, repaired ones counting in later windows."""
+def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0, mode: str = "neighbours", seed: int = 0) -> DataFrame:
+    """Samples with outliers of their window replaced, from left to right, repaired ones counting in later windows: by the mean of their neighbours (mode "neighbours"),
+    or by the mean of the earlier samples of their window plus or minus their deviation, the sign drawn by a seeded checksum (mode "earlier"; a recording's first
+    sample stays)."""
+    sign = F.when(F.crc32(F.concat_ws("|", "rec_id", "seq", F.lit(seed))) % 2 == 0, 1.0).otherwise(-1.0)
 
     def bounds(j: int, n: int) -> tuple[int, int]:
         half = (width + 1) / 2
@@ -282,16 +285,21 @@ def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0) -> DataFrame:
 
     def run(pdf):
         x = pdf["x"].to_numpy(float).copy()
-        n, fixed = len(x), np.zeros(len(x), bool)
+        n, fixed, side = len(x), np.zeros(len(x), bool), pdf["_sign"].to_numpy()
         for j in range(1, n + 1) if n > 1 else ():
             lo, hi = bounds(j, n)
             q1, q3 = quartiles(np.sort(x[max(lo, 1) - 1 : min(hi, n)]))
             if x[j - 1] < q1 - k * (q3 - q1) or x[j - 1] > q3 + k * (q3 - q1):
-                near = [x[i] for i in (j - 2, j) if 0 <= i < n]
-                x[j - 1], fixed[j - 1] = sum(near) / len(near), True
+                if mode == "neighbours":
+                    near = [x[i] for i in (j - 2, j) if 0 <= i < n]
+                    x[j - 1], fixed[j - 1] = sum(near) / len(near), True
+                elif j > 1:
+                    before = x[max(lo, 1) - 1 : j - 1]
+                    spread = before.std(ddof=1) if len(before) > 1 else 0.0
+                    x[j - 1], fixed[j - 1] = before.mean() + side[j - 1] * spread, True
         return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "x": x, "repaired": fixed})
 
-    return per_recording(df, run, "seq bigint, x double, repaired boolean", ["x"])
+    return per_recording(df.withColumn("_sign", sign), run, "seq bigint, x double, repaired boolean", ["x", "_sign"])
 
 
 def group_events(df: DataFrame, width: float, inner: float) -> DataFrame:
@@ -317,39 +325,62 @@ def group_events(df: DataFrame, width: float, inner: float) -> DataFrame:
     return per_recording(df, run, "begin bigint, end bigint", ["event"])
 
 
-def align_markers(x: DataFrame, y: DataFrame, most: float) -> DataFrame:
-    """(rec_id, x, y): one-to-one pairs of neighbours in the merged order of two time lists (rec_id, t) that gain most^2 - (x - y)^2 in sum."""
-    both = x.select("rec_id", "t", F.lit(0).alias("which")).unionByName(y.select("rec_id", "t", F.lit(1).alias("which"))).withColumn("seq", F.struct("t", "which"))
+def matched_markers(t: list[float], which: list[int], most: float) -> list[tuple[int, int]]:
+    """Places (x, y) of the pairs of neighbours that gain most^2 less their squared distance in sum; t in order, which 0 for x and 1 for y."""
+    n = len(t)
+    gain, pair = [0.0] * (n + 1), [False] * (n + 1)
+    for i in range(2, n + 1):
+        gain[i] = gain[i - 1]
+        new = gain[i - 2] + most * most - (t[i - 1] - t[i - 2]) ** 2
+        if which[i - 1] != which[i - 2] and new >= gain[i]:
+            gain[i], pair[i] = new, True
+    out, i = [], n
+    while i > 1:
+        if pair[i]:
+            out.append((i - 1, i - 2) if which[i - 1] == 0 else (i - 2, i - 1))
+        i -= 2 if pair[i] else 1
+    return out[::-1]
+
+
+def align_markers(x: DataFrame, y: DataFrame, most: float, deviations: float | None = None) -> DataFrame:
+    """(rec_id, x, y): one-to-one pairs of neighbours in the merged order of two time lists (rec_id, t) that gain most^2 - (x - y)^2 in sum. Markers further apart than
+    most never pair, so a recording is cut into chains there. With deviations, most is only the first threshold: as long as pairs get fewer, x is moved by
+    the mean difference and the threshold is so many standard deviations of the last pairs' differences; a recording's markers then fit in a task."""
+    both = x.select("rec_id", "t", F.lit(0).alias("which")).unionByName(y.select("rec_id", "t", F.lit(1).alias("which"))).where("t IS NOT NULL")
     kind = x.schema["rec_id"].dataType.simpleString()
+    keys = ["rec_id"]
+    if deviations is None:
+        w = Window.partitionBy("rec_id").orderBy("t", "which")
+        far = F.coalesce((F.col("t") - F.lag("t").over(w) > most).cast("int"), F.lit(1))
+        both = both.withColumn("_far", far).withColumn("_chain", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        keys.append("_chain")
 
     def group(pdf):
-        pdf = pdf.sort_values(["t", "which"])
-        t, w, n = pdf["t"].tolist(), pdf["which"].tolist(), len(pdf)
-        gain, pair = [0.0] * (n + 1), [False] * (n + 1)
-        for i in range(2, n + 1):
-            gain[i] = gain[i - 1]
-            if w[i - 1] != w[i - 2] and gain[i - 2] + most * most - (t[i - 1] - t[i - 2]) ** 2 >= gain[i]:
-                gain[i], pair[i] = gain[i - 2] + most * most - (t[i - 1] - t[i - 2]) ** 2, True
-        out, i = [], n
-        while i > 1:
-            if pair[i]:
-                a, b = (i - 1, i - 2) if w[i - 1] == 0 else (i - 2, i - 1)
-                out.append((t[a], t[b]))
-            i -= 2 if pair[i] else 1
-        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "x": [a for a, _ in out][::-1], "y": [b for _, b in out][::-1]})
-
-    return both.drop("seq").groupBy("rec_id").applyInPandas(group, f"rec_id {kind}, x double, y double")
+        def pairs(shift, limit):
+            p = pdf.assign(m=pdf["t"] + np.where(pdf["which"] == 0, shift, 0.0)).sort_values(["m", "which"])
+            t = p["t"].tolist()
+            return [(t[a], t[b]) for a, b in matched_markers(p["m"].tolist(), p["which"].tolist(), limit)]
+
+        got, before = pairs(0.0, most), None
+        while deviations is not None and got and (before is None or len(got) < before):
+            d = np.array([b - a for a, b in got])
+            before, got = len(got), pairs(d.mean(), deviations * d.std())
+        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "x": [a for a, _ in got], "y": [b for _, b in got]})
+
+    return both.groupBy(*keys).applyInPandas(group, f"rec_id {kind}, x double, y double")
 
 
 def marker_stats(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("rec_id").agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("x")).alias("mean"), F.stddev_pop(F.col("y") - F.col("x")).alias("std"))
 
 
-def build_hmm(n_classes: int, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and transition probabilities of chains of min_len sub-states; a chain's end goes to itself or to any chain's start."""
-    n = n_classes * min_len
+def build_hmm(n_classes: int, min_len: int | list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and transition probabilities of chains of min_len sub-states (one length, or one a class); a chain's end goes to itself or to any chain's start."""
+    lens = np.broadcast_to(np.asarray(min_len), n_classes)
+    tails = np.cumsum(lens) - 1
+    heads = tails - lens + 1
+    n = int(lens.sum())
     start, trans = np.zeros(n), np.zeros((n, n))
-    heads, tails = np.arange(n_classes) * min_len, np.arange(1, n_classes + 1) * min_len - 1
     start[heads] = 1 / n_classes
     for h, t in zip(heads, tails, strict=True):
         for s in range(h, t):
@@ -359,23 +390,30 @@ def build_hmm(n_classes: int, min_len: int) -> tuple[np.ndarray, np.ndarray]:
     return start, trans
 
 
-def viterbi_runs(loglik: np.ndarray, min_len: int) -> list[tuple[int, int, int]]:
-    """(begin, end, class) of the likeliest sequence where each stay has min_len frames or more; only chain ends branch, so the work is classes x frames."""
+def viterbi_runs(loglik: np.ndarray, min_len: int | list[int]) -> list[tuple[int, int, int]]:
+    """(begin, end, class) of the likeliest sequence where each stay has min_len frames (one length, or one a class) or more; only chain ends branch, so the work is
+    classes x frames. With fewer frames than any class needs, the class of the largest sum."""
     n, k = loglik.shape
+    lens = np.broadcast_to(np.asarray(min_len), k)
     total = np.concatenate([np.zeros((1, k)), np.cumsum(loglik, axis=0)])
     step = -np.log(k + 1)
     end, came, begin = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k), int), np.zeros((n + 1, k), int)
-    for t in range(min_len, n + 1):
-        best = int(np.argmax(end[t - min_len])) if t > min_len else -1
-        enter = (-np.log(k) if t == min_len else end[t - min_len, best] + step) + total[t] - total[t - min_len]
+    top, best = np.full(n + 1, -np.inf), np.zeros(n + 1, int)
+    classes = np.arange(k)
+    for t in range(1, n + 1):
+        at = np.maximum(t - lens, 0)
+        enter = np.where(at > 0, top[at] + step, -np.log(k)) + total[t] - total[at, classes]
+        enter = np.where(t >= lens, enter, -np.inf)
         stay = end[t - 1] + step + loglik[t - 1]
         new = enter > stay
         end[t] = np.where(new, enter, stay)
-        begin[t] = np.where(new, t - min_len, begin[t - 1])
-        came[t] = np.where(new, best, came[t - 1])
-    if n < min_len:
+        begin[t] = np.where(new, at, begin[t - 1])
+        came[t] = np.where(new, best[at], came[t - 1])
+        best[t] = int(np.argmax(end[t]))
+        top[t] = end[t, best[t]]
+    if n < lens.min():
         return [(0, n - 1, int(np.argmax(total[-1])))] if n else []
-    out, t, c = [], n, int(np.argmax(end[n]))
+    out, t, c = [], n, int(best[n])
     while t > 0:
         b = int(begin[t, c])
         if out and out[-1][2] == c:  # a chain's end may go to its own start: one stay
@@ -386,7 +424,7 @@ def viterbi_runs(loglik: np.ndarray, min_len: int) -> list[tuple[int, int, int]]
     return out[::-1]
 
 
-def viterbi(df: DataFrame, min_len: int) -> DataFrame:
+def viterbi(df: DataFrame, min_len: int | list[int]) -> DataFrame:
     """(rec_id, begin, end, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>)."""
 
     def run(pdf):
@@ -395,6 +433,19 @@ def viterbi(df: DataFrame, min_len: int) -> DataFrame:
     return per_recording(df, run, "begin bigint, end bigint, label int", ["loglik"])
 
 
+def viterbi_labels(df: DataFrame) -> DataFrame:
+    """(rec_id, seq, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>, classes ARRAY<STRING>, lens ARRAY<INT>): the class of each frame on the likeliest sequence,
+    each stay as long as its class asks for. classes and lens are equal within a recording."""
+
+    def run(pdf):
+        names, label = list(pdf["classes"].iloc[0]), np.empty(len(pdf), dtype=object)
+        for b, e, c in viterbi_runs(np.stack(pdf["loglik"].to_numpy()), list(pdf["lens"].iloc[0])):
+            label[b : e + 1] = names[c]
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "label": label})
+
+    return per_recording(df, run, "seq bigint, label string", ["loglik", "classes", "lens"])
+
+
 #: Frames whose mean is the first noise estimate.
 NOISE_START = 5
 

@@ -37,9 +37,21 @@ def squared_distance(a: Column, b: Column, w: Column | None = None) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
 
 
-def distances(x: DataFrame, centers: DataFrame, vector: str) -> DataFrame:
-    """Each row of x with each of few centres and the squared distance."""
-    return x.join(_few(centers), F.lit(True)).withColumn("distance", squared_distance(F.col(vector).cast("array<double>"), F.col("mean")))
+def distances(x: DataFrame, centers: DataFrame, vector: str, weights: list[float] | None = None, root: bool = False) -> DataFrame:
+    """Each row of x with each of few centres (more than FEW raise) and the squared distance, with a weight for each place if given, or its root."""
+    if centers.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} centres: their distances to all rows are an all-pairs join; use nearest on groups of centres")
+    w = F.array(*(F.lit(float(v)) for v in weights)) if weights else None
+    d = squared_distance(F.col(vector).cast("array<double>"), F.col("mean"), w)
+    return x.join(F.broadcast(centers), F.lit(True)).withColumn("distance", F.sqrt(d) if root else d)
+
+
+def row_distances(x: DataFrame, y: DataFrame, key: str, vector: str, weights: list[float] | None = None, root: bool = False) -> DataFrame:
+    """(key, distance) of the rows of x and y with one key: squared, weighted by place if weights are given, or its root."""
+    w = F.array(*(F.lit(float(v)) for v in weights)) if weights else None
+    both = x.select(key, F.col(vector).cast("array<double>").alias("_a")).join(y.select(key, F.col(vector).cast("array<double>").alias("_b")), key)
+    d = squared_distance(F.col("_a"), F.col("_b"), w)
+    return both.select(key, (F.sqrt(d) if root else d).alias("distance"))
 
 
 def nearest(x: DataFrame, centers: DataFrame, key: str, vector: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,20 +85,54 @@ def zero_crossings(df: DataFrame, mode: str = "b", col: str = "x") -> DataFrame:
     return kept.select("rec_id", "seq", (F.col("seq") - F.col(col) / (F.col("_next") - F.col(col))).alias("at"), (F.col("_next") - F.col(col)).alias("slope"))
 
 
-def find_peaks(df: DataFrame, valleys: bool = False, col: str = "x") -> DataFrame:
-    """(rec_id, at, height): local maxima; a plateau counts once, at its middle; a single peak is placed by a parabola through its neighbours."""
+def find_peaks(df: DataFrame, valleys: bool = False, col: str = "x", width: float = 0.0) -> DataFrame:
+    """(rec_id, at, height): local maxima; a plateau counts once, at its middle; a single peak is placed by a parabola through its neighbours. With a width,
+    of two neighbouring peaks that lie no further apart the lower one (of equal ones the second) goes, until none lie so near."""
     s = -1 if valleys else 1
     runs = label_runs(df.select("rec_id", "seq", (F.col(col) * s).alias("label")))
     w = Window.partitionBy("rec_id").orderBy("run")
     runs = runs.withColumns({"p": F.lag("label").over(w), "q": F.lead("label").over(w)}).where("p < label AND q < label")
     shift = F.when(F.col("n") == 1, (F.col("q") - F.col("p")) / (2 * (2 * F.col("label") - F.col("p") - F.col("q")))).otherwise(0.0)
     rise = F.when(F.col("n") == 1, (F.col("q") - F.col("p")) * shift / 4).otherwise(0.0)
-    return runs.select("rec_id", ((F.col("begin") + F.col("end")) / 2 + shift).alias("at"), ((F.col("label") + rise) * s).alias("height"))
+    peaks = runs.select("rec_id", ((F.col("begin") + F.col("end")) / 2 + shift).alias("at"), ((F.col("label") + rise) * s).alias("height"))
+    return peaks if width <= 0 else apart_peaks(peaks, width, s)
 
 
-def moving_moments(df: DataFrame, r: int, k: int, col: str = "x") -> DataFrame:
-    """Raw moments 1..r over the last k samples."""
+def apart_peaks(peaks: DataFrame, width: float, sign: int = 1) -> DataFrame:
+    """Peaks (rec_id, at, height) thinned by width. Peaks further apart than width never meet, so a recording falls into chains, each a group of its own."""
+    w = Window.partitionBy("rec_id").orderBy("at")
+    far = F.coalesce((F.col("at") - F.lag("at").over(w) > width).cast("int"), F.lit(1))
+    chains = peaks.withColumn("_far", far).withColumn("_chain", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def thin(pdf):
+        pdf = pdf.sort_values("at")
+        while True:
+            at, h = pdf["at"].to_numpy(), pdf["height"].to_numpy() * sign
+            near = np.flatnonzero(np.diff(at) <= width)
+            if not len(near):
+                return pdf[["rec_id", "at", "height"]]
+            pdf = pdf.drop(pdf.index[np.where(h[near] >= h[near + 1], near + 1, near)])
+
+    return chains.groupBy("rec_id", "_chain").applyInPandas(thin, peaks.schema)
+
+
+def moving_moments(df: DataFrame, r: int, k: int, col: str = "x", weights: list[float] | None = None, central: bool = False) -> DataFrame:
+    """Moments 1..r over the last k samples; weights (k of them, the last for the newest sample) if given, and from the second on about the mean if central.
+    A recording's first samples have those weights that meet samples; nulls are left out with theirs."""
     w = SEQ().rowsBetween(-(k - 1), 0)
+    if weights or central:
+        weights = weights or [1.0] * k
+        near = df.withColumn("_a", F.collect_list(F.struct(F.col(col).cast("double").alias("x"))).over(w))
+        wa = F.slice(F.array(*(F.lit(float(v)) for v in weights)), F.lit(k + 1) - F.size("_a"), F.size("_a"))
+        near = near.withColumn("_w", F.filter(F.zip_with("_a", wa, lambda s, v: F.struct(s["x"].alias("x"), v.alias("w"))), lambda s: s["x"].isNotNull()))
+        total = lambda f: F.try_divide(F.aggregate(F.transform("_w", f), F.lit(0.0), lambda s, v: s + v), F.aggregate("_w", F.lit(0.0), lambda s, v: s + v["w"]))
+        near = near.withColumn("m1", total(lambda s: s["w"] * s["x"]))
+        about = F.col("m1") if central else F.lit(0.0)
+
+        def power(i: int):  # a second parameter would be the place in the array
+            return lambda s: s["w"] * F.pow(s["x"] - about, i)
+
+        return near.withColumns({f"m{i}": total(power(i)) for i in range(2, r + 1)}).drop("_a", "_w")
     return df.withColumns({f"m{i}": F.avg(F.pow(F.col(col), i)).over(w) for i in range(1, r + 1)})
 
 
@@ -117,10 +152,17 @@ def teager(df: DataFrame, col: str = "x") -> DataFrame:
     return inner.withColumn("teager", F.when(F.col("_j") == 1, first).when(F.col("_j") == F.col("_n"), last).otherwise(F.col("_e"))).drop("_e", "_n", "_j")
 
 
-def schmitt(df: DataFrame, low: float, high: float, col: str = "x") -> DataFrame:
-    """State 1 above high, -1 below low, else as before; 0 until either."""
-    state = F.last(F.when(F.col(col) > high, 1).when(F.col(col) < low, -1), ignorenulls=True).over(SEQ().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("state", F.coalesce(state, F.lit(0)))
+def schmitt(df: DataFrame, low: float, high: float, col: str = "x", min_width: int = 0) -> DataFrame:
+    """State 1 above high, -1 below low, else as before; 0 until either. Pulses that the next change ends before min_width samples are left out."""
+    so_far = SEQ().rowsBetween(Window.unboundedPreceding, 0)
+    state = F.last(F.when(F.col(col) > high, 1).when(F.col(col) < low, -1), ignorenulls=True).over(so_far)
+    d = df.withColumn("state", F.coalesce(state, F.lit(0)))
+    if min_width < 2:
+        return d
+    d = d.withColumn("_at", F.when((F.col("state") != 0) & (F.col("state") != F.lag("state", 1, 0).over(SEQ())), F.col("seq")))
+    d = d.withColumn("_next", F.first("_at", ignorenulls=True).over(SEQ().rowsBetween(1, Window.unboundedFollowing)))
+    long = F.col("_at").isNotNull() & (F.col("_next").isNull() | (F.col("_next") - F.col("_at") >= min_width))
+    return d.withColumn("state", F.coalesce(F.last(F.when(long, F.col("state")), ignorenulls=True).over(so_far), F.lit(0))).drop("_at", "_next")
 
 
 def deltas(df: DataFrame, col: str = "x") -> DataFrame:

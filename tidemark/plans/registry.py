@@ -83,8 +83,10 @@ over_samples("median3", win.median3, "median", f"SELECT rec_id, seq, round(list_
 over_samples("teager", win.teager, "teager", f", e AS (SELECT *, x * x - lag(x) OVER w * lead(x) OVER w AS e, row_number() OVER w AS j, count(*) OVER (PARTITION BY rec_id) AS n FROM s {W}) SELECT rec_id, seq, round(CASE WHEN j = 1 THEN 2 * lead(e, 1) OVER w - lead(e, 2) OVER w WHEN j = n THEN 2 * lag(e, 1) OVER w - lag(e, 2) OVER w ELSE e END, 7) + 0.0 AS teager FROM e {W}", 7)
 over_samples("peak_normalize", ag.peak_normalize, "x", ", m AS (SELECT rec_id, max(abs(x)) AS p FROM s GROUP BY 1) SELECT s.rec_id, seq, round(CASE WHEN p > 0 THEN x / p ELSE x END, 7) + 0.0 AS x FROM s JOIN m ON m.rec_id = s.rec_id", 7)
 over_samples("schmitt", lambda d: win.schmitt(d, 20.0, 60.0), "state", "SELECT rec_id, seq, CAST(coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x < 20 THEN -1 END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS state FROM s")
+over_samples("schmitt_min_width", lambda d: win.schmitt(d, 20.0, 60.0, min_width=4), "state", ", c AS (SELECT rec_id, seq, coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x < 20 THEN -1 END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS c FROM s), h AS (SELECT *, c <> 0 AND c <> coalesce(lag(c) OVER (PARTITION BY rec_id ORDER BY seq), 0) AS h FROM c), e AS (SELECT rec_id, seq, c, lead(seq) OVER (PARTITION BY rec_id ORDER BY seq) AS nxt FROM h WHERE h), k AS (SELECT * FROM e WHERE nxt IS NULL OR nxt - seq >= 4) SELECT s.rec_id, s.seq, CAST(coalesce((SELECT arg_max(c, k.seq) FROM k WHERE k.rec_id = s.rec_id AND k.seq <= s.seq), 0) AS INTEGER) AS state FROM s")
 over_samples("moving_max", lambda d: win.moving_max(d, 5), "running_max", "SELECT rec_id, seq, round(max(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS 4 PRECEDING), 4) AS running_max FROM s")
 over_samples("moving_moments", lambda d: win.moving_moments(d, 2, 6), "m1 m2", "SELECT rec_id, seq, round(avg(x) OVER v, 7) AS m1, round(avg(x * x) OVER v, 7) AS m2 FROM s WINDOW v AS (PARTITION BY rec_id ORDER BY seq ROWS 5 PRECEDING)", 7)
+over_samples("moving_moments_weighted", lambda d: win.moving_moments(d, 2, 3, weights=[1.0, 2.0, 3.0], central=True), "m1 m2", ", w AS (SELECT rec_id, seq, x, seq AS p, 3 AS w FROM s UNION ALL SELECT rec_id, seq, x, seq + 1, 2 FROM s UNION ALL SELECT rec_id, seq, x, seq + 2, 1 FROM s), m AS (SELECT rec_id, p, sum(w * x) / sum(w) AS m1 FROM w GROUP BY 1, 2) SELECT s.rec_id, s.seq, round(any_value(m1), 5) AS m1, round(sum(w.w * pow(w.x - m1, 2)) / sum(w.w), 5) AS m2 FROM s JOIN m ON m.rec_id = s.rec_id AND m.p = s.seq JOIN w ON w.rec_id = s.rec_id AND w.p = s.seq GROUP BY 1, 2", 5)
 over_samples("signed_power", lambda d: win.signed_power(d.withColumn("x", F.col("x") - 50), 0.5), "powered", "SELECT rec_id, seq, round(sign(x - 50) * pow(abs(x - 50), 0.5), 4) + 0.0 AS powered FROM s")
 over_samples("rr_intervals", win.rr_intervals, "rr", f", q AS (SELECT rec_id, seq, lead(t) OVER w - t AS rr FROM s {W}) SELECT rec_id, seq, round(rr, 3) AS rr FROM q WHERE rr IS NOT NULL", 3)
 over_samples("beat_time", lambda d: win.beat_time(d.withColumn("rr", F.col("x") / 100), True), "t", "SELECT rec_id, seq, round(sum(x / 100) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - first_value(x / 100) OVER (PARTITION BY rec_id ORDER BY seq), 4) + 0.0 AS t FROM s")
@@ -120,6 +122,8 @@ add("min_duration", lambda s, d: rel.min_duration(orders_spans(s, d), 45).select
 
 # frames and aggregates
 add("frames", lambda s, d: rounded(ag.frames(samples(s, d), 10, 4).select("rec_id", "frame", "k", "x")), f"WITH {S}{FR.format('s', 10, 4)} SELECT rec_id, frame, k, round(x, 4) AS x FROM f")
+add("frames_reflected", lambda s, d: rounded(ag.frames(samples(s, d).select("rec_id", "seq", "x"), 10, 4, "reflect").select("rec_id", "frame", "k", "x")),
+    f"WITH {S}, n AS (SELECT rec_id, count(*) AS n, greatest(CAST(floor((count(*) - 10) / 4.0) AS BIGINT) + 1, 0) AS f FROM s GROUP BY 1), t AS (SELECT *, f + CASE WHEN n > f * 4 + 6 AND n < f * 4 + 10 THEN 1 ELSE 0 END AS fs FROM n), g AS (SELECT rec_id, n, unnest(range(0, fs)) AS frame FROM t), k AS (SELECT *, unnest(range(0, 10)) AS k FROM g), p AS (SELECT rec_id, frame, k, n, (frame * 4 + k) % (2 * n) AS q FROM k) SELECT p.rec_id, frame, k, round(x, 4) AS x FROM p JOIN s ON s.rec_id = p.rec_id AND s.seq = CASE WHEN q < n THEN q ELSE 2 * n - 1 - q END")
 add("frame_energy", lambda s, d: rounded(ag.frame_energy(ag.frames(samples(s, d), 10, 4)), 6), f"WITH {S}{FR.format('s', 10, 4)} SELECT rec_id, frame, round(sum(x * x), 6) AS energy FROM f GROUP BY 1, 2")
 add("zcr", lambda s, d: rounded(ag.zcr(ag.frames(axes(samples(s, d)), 10, 4))), f"WITH {AXES}{FR.format('a', 10, 4)}, c AS (SELECT rec_id, frame, CASE WHEN sign(x) <> sign(lag(x) OVER (PARTITION BY rec_id, frame ORDER BY k)) THEN 1.0 WHEN k > 0 THEN 0.0 END AS c FROM f) SELECT rec_id, frame, round(avg(c), 4) AS zcr FROM c GROUP BY 1, 2")
 add("overlap_add", lambda s, d: rounded(ag.overlap_add(ag.frames(samples(s, d), 10, 5).withColumn("v", F.col("x") * ag.window_weight("hann", 10)), 5)), f"WITH {S}{FR.format('s', 10, 5)} SELECT rec_id, frame * 5 + k AS seq, round(sum(x * (0.5 - 0.5 * cos(2 * pi() * k / 10))), 4) + 0.0 AS x FROM f GROUP BY 1, 2")
@@ -140,6 +144,7 @@ add("quartiles_mid", lambda s, d: rounded(ag.quartiles_mid(samples(s, d), "rec_i
 add("confusion", lambda s, d: ag.confusion(table(s, d, "labels"), "quality", "toxic"), "SELECT CAST(sum((quality = 1 AND toxic = 1)::INT) AS BIGINT) AS tp, CAST(sum((quality = 1 AND toxic = 0)::INT) AS BIGINT) AS fp, CAST(sum((quality = 0 AND toxic = 1)::INT) AS BIGINT) AS fn, CAST(sum((quality = toxic)::INT) AS BIGINT) AS correct, count(*) AS total FROM labels")
 add("hist_nd", lambda s, d: ag.hist_nd(table(s, d, "lineitem"), ["l_quantity", "l_discount"], [10, 5], [0.0, -0.01], [51.0, 0.12]), "SELECT CAST(ceil(l_quantity * 10 / 51.0) AS BIGINT) AS bin_l_quantity, CAST(ceil((l_discount + 0.01) * 5 / (CAST(0.12 AS DOUBLE) + 0.01)) AS BIGINT) AS bin_l_discount, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING bin_l_quantity BETWEEN 1 AND 10 AND bin_l_discount BETWEEN 1 AND 5")
 add("entropy", lambda s, d: rounded(ag.entropy(table(s, d, "lineitem"), ["l_returnflag"], ["l_linestatus"]), 6), "WITH j AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_linestatus, count(*) AS n FROM lineitem GROUP BY 1) SELECT round((SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM j) - (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM g), 6) AS entropy")
+add("entropy_by", lambda s, d: rounded(ag.entropy(table(s, d, "lineitem"), ["l_returnflag"], by=["l_linestatus"], steps=[0.25]), 6), "WITH j AS (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_linestatus, round(log2(sum(n)) - sum(n * log2(n)) / sum(n) - 2, 6) AS entropy FROM j GROUP BY 1")
 add("log_sum_exp", lambda s, d: rounded(ag.log_sum_exp(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 6), "WITH m AS (SELECT l_returnflag, max(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(max(m) + ln(sum(exp(l_quantity - m))), 6) AS lse FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
 add("moments", lambda s, d: rounded(ag.moments(table(s, d, "lineitem"), "l_returnflag", "l_quantity"), 2), "WITH r AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1), c AS (SELECT l_returnflag, max(m) AS m, avg(pow(l_quantity - m, 2)) AS c2, avg(pow(l_quantity - m, 3)) AS c3, avg(pow(l_quantity - m, 4)) AS c4 FROM lineitem JOIN r USING (l_returnflag) GROUP BY 1) SELECT l_returnflag, round(m, 2) AS mean, round(c2, 2) AS c2, round(c3, 2) + 0.0 AS c3, round(c4, 2) AS c4, round(c4 - 3 * c2 * c2, 2) AS k4 FROM c")
 add("energy_confidence", lambda s, d: ag.energy_confidence(samples(s, d).withColumn("energy", F.col("x") * F.col("x"))).select("rec_id", "seq", "label", "level"), f"WITH {S}, r AS (SELECT rec_id, seq, label, x * x AS e, row_number() OVER (PARTITION BY label ORDER BY x * x) AS rn, count(*) OVER (PARTITION BY label) AS n FROM s), m AS (SELECT *, greatest(least((n + 1) * 0.25::DOUBLE, n), 1) AS a, greatest(least((n + 1) * 0.75::DOUBLE, n), 1) AS b FROM r), q AS (SELECT label, max(CASE WHEN rn = floor(a) THEN e END) AS l1, max(CASE WHEN rn = least(floor(a) + 1, n) THEN e END) AS h1, max(CASE WHEN rn = floor(b) THEN e END) AS l3, max(CASE WHEN rn = least(floor(b) + 1, n) THEN e END) AS h3, max(a) AS a, max(b) AS b FROM m GROUP BY 1), t AS (SELECT label, l1 + (h1 - l1) * (a - floor(a)) AS q1, l3 + (h3 - l3) * (b - floor(b)) AS q3 FROM q) SELECT rec_id, seq, label, CAST((e > q3 + 1.5 * (q3 - q1))::INT + (e > q3 + 3 * (q3 - q1))::INT AS INTEGER) AS level FROM r JOIN t USING (label)")
@@ -181,8 +186,8 @@ add("long_windows", lambda s, d: iv.long_windows(truth(s, d), 20).select("rec_id
 
 # scalars
 add("shex2dec", lambda s, d: table(s, d, "events").select("event_id", scales.shex2dec(F.lpad(F.hex(F.col("event_id") * 37 % 65536), 4, "0")).alias("v")), "SELECT event_id, CASE WHEN event_id * 37 % 65536 > 32768 THEN event_id * 37 % 65536 - 65536 ELSE event_id * 37 % 65536 END AS v FROM events")
-add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f")).alias("bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
-    "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(69 + 12 * log2(nullif(abs(f), 0) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
+add("frequency_scales", lambda s, d: rounded(table(s, d, "events").withColumn("f", F.col("value") * 40 - 500).select("event_id", scales.hz_to_mel(F.col("f")).alias("mel"), scales.mel_to_hz(F.col("f")).alias("hz"), scales.hz_to_bark(F.col("f"), "linear", "linear").alias("bark"), scales.hz_to_bark(F.col("f")).alias("bark_smooth"), scales.bark_to_hz(F.col("value") / 5).alias("from_bark"), scales.hz_to_midi(F.col("f")).alias("midi"), scales.midi_to_hz(F.col("value") / 10).alias("from_midi")), 3),
+    "WITH e AS (SELECT event_id, value, value * 40 - 500 AS f FROM events), b AS (SELECT *, 26.81 * abs(f) / (1960 + abs(f)) - 0.53 AS b, CASE WHEN abs(value / 5) < 3 THEN 3 - (1 - sqrt(greatest(1 - 4 * 0.53 / pow(3.53, 2) * (3 - abs(value / 5)), 0))) / (2 * 0.53 / pow(3.53, 2)) WHEN abs(value / 5) > 21.65 THEN (abs(value / 5) + 5.1) / 1.25 WHEN abs(value / 5) > 19.4 THEN 19.4 + 8 * (sqrt(1 + (abs(value / 5) - 19.4) / 4) - 1) ELSE abs(value / 5) END AS r FROM e) SELECT event_id, round(sign(f) * ln(1 + abs(f) / 700) * 1127.01048, 3) + 0.0 AS mel, round(sign(f) * 700 * (exp(abs(f) / 1127.01048) - 1), 3) + 0.0 AS hz, round(sign(f) * CASE WHEN b < 2 THEN b + 0.15 * (2 - b) WHEN b > 20.1 THEN b + 0.22 * (b - 20.1) ELSE b END, 3) + 0.0 AS bark, round(sign(f) * CASE WHEN b < 3 THEN b + 0.53 / pow(3.53, 2) * pow(3 - b, 2) WHEN b > 21.4 THEN 1.25 * b - 5.1 WHEN b > 19.4 THEN b + pow(b - 19.4, 2) / 16 ELSE b END, 3) + 0.0 AS bark_smooth, round(CASE WHEN r < 26.28 THEN sign(value) * 1960 * (r + 0.53) / (26.28 - r) END, 3) + 0.0 AS from_bark, round(69 + 12 * log2(nullif(abs(f), 0) / 440), 3) + 0.0 AS midi, round(440 * pow(2, (value / 10 - 69) / 12), 3) AS from_midi FROM b")
 
 add("file_names", lambda s, d: table(s, d, "customer").withColumn("f", F.concat(F.lit("acc_exp"), "c_custkey", F.lit("_user"), "c_nationkey", F.lit(".v1.txt"))).select("c_custkey", F.element_at(scales.name_numbers(F.col("f")), 1).alias("exp"), F.element_at(scales.name_numbers(F.col("f")), 2).alias("user"), scales.strip_ext(F.col("f")).alias("stem")), "SELECT c_custkey, c_custkey AS exp, CAST(c_nationkey AS BIGINT) AS \"user\", 'acc_exp' || c_custkey || '_user' || c_nationkey || '.v1' AS stem FROM customer")
 add("at_offset", lambda s, d: table(s, d, "events").select("event_id", F.unix_micros(scales.at_offset(F.col("ts").cast("timestamp"), F.col("value"))).alias("us")), "SELECT event_id, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS us FROM events")
@@ -203,6 +208,7 @@ add("prosody_summary", lambda s, d: rounded(ag.prosody_summary(samples(s, d).sel
 E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM e GROUP BY 1, 2)"
 add("distances", lambda s, d: rounded(vec.nearest(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding"), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, arg_min(center, d) AS center, round(min(d), 4) AS distance FROM d GROUP BY 1")
 add("all_distances", lambda s, d: rounded(vec.distances(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "embedding").select("vec_id", "center", "distance"), 4), f"WITH {E} SELECT vec_id, c.label AS center, round(sum(pow(v - m, 2)), 4) AS distance FROM e JOIN c USING (k) GROUP BY 1, 2")
+add("row_distances", lambda s, d: rounded(vec.row_distances(table(s, d, "embeddings"), table(s, d, "embeddings").withColumn("vec_id", F.col("vec_id") + 1), "vec_id", "embedding", root=True), 4), "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding) AS v FROM embeddings) SELECT a.vec_id, round(sqrt(sum(pow(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), 2))), 4) AS distance FROM e a JOIN e b ON a.vec_id = b.vec_id + 1 AND a.k = b.k GROUP BY 1")
 add("kmeans", lambda s, d: rounded(vec.kmeans_step(table(s, d, "embeddings"), vec.class_means(table(s, d, "embeddings"), "embedding", "label"), "vec_id", "embedding").select("center", F.posexplode("mean").alias("k", "m")), 4), f"WITH {E}, d AS (SELECT vec_id, c.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), n AS (SELECT vec_id, arg_min(center, d) AS center FROM d GROUP BY 1) SELECT center, CAST(k AS INTEGER) AS k, round(avg(v), 4) + 0.0 AS m FROM e JOIN n USING (vec_id) GROUP BY 1, 2")
 #: Rounds of a codebook's k-means, as kmeans_lbg has them.
 ROUNDS = 5

@@ -86,6 +86,39 @@ def stream_ema(stream: DataFrame, lam: float) -> DataFrame:
     return _with_state(stream, ["x"], "seq bigint, ema double", step)
 
 
+def stream_active_level(stream: DataFrame, fs: float, margin: float = 15.9) -> DataFrame:
+    """(rec_id, seq, level_db, activity) after each micro-batch that has samples of a recording: active_level's result over all of its samples so far, the last at
+    seq. The state is the envelope's two smoothings, its last 200 ms, and counts by 3 dB. No level yet, no row."""
+    k, hold = np.exp(-1 / (0.03 * fs)), int(0.2 * fs)
+
+    def step(rows, state):
+        p, q, tail, bins, energy, n = state if state is not None else (0.0, 0.0, np.empty(0), {}, 0.0, 0)
+        x, env = rows["x"].to_numpy(float), []
+        for v in np.abs(x).tolist():
+            p = k * p + (1 - k) * v
+            q = k * q + (1 - k) * p
+            env.append(q)
+        env = np.concatenate([tail, env])
+        held = pd.Series(env).rolling(hold + 1, min_periods=1).max().to_numpy()[len(tail) :]
+        b, m = np.unique(np.floor(20 * np.log10(held[held > 0]) / 3), return_counts=True)
+        for one, more in zip(b.tolist(), m.tolist(), strict=True):
+            bins[one] = bins.get(one, 0) + more
+        energy, n = energy + float(x @ x), n + len(x)
+        out = []
+        if bins and energy > 0:
+            t = 3.0 * np.array(sorted(bins, reverse=True))
+            a = 10 * np.log10(energy / np.cumsum([bins[v] for v in sorted(bins, reverse=True)]))
+            over = np.flatnonzero(a - t >= margin)
+            if len(over):
+                i, d = over[0], a - t
+                at = (d[i] - margin) / (d[i] - d[i - 1]) if i else 0.0
+                level = a[i] + at * (a[i - 1] - a[i]) if i else a[i]
+                out = [(int(rows["seq"].iloc[-1]), level, energy / n / 10 ** (level / 10))]
+        return pd.DataFrame(out, columns=["seq", "level_db", "activity"]), (p, q, env[-hold:] if hold else env[:0], bins, energy, n)
+
+    return _with_state(stream, ["x"], "seq bigint, level_db double, activity double", step)
+
+
 def stream_enhance(stream: DataFrame) -> DataFrame:
     """Frames (rec_id, seq, v) with noise taken out by the log-spectral estimator; noise and gains go on from batch to batch."""
 
