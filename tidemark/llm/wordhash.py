@@ -43,3 +43,20 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += words[i : i + n]
     return mix(out)
+
+
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes of texts back to back, and where each text's runs begin (len(off) bounds)."""
+    edge = np.zeros(len(inside) + 1, bool)
+    if len(inside):
+        edge[0] = edge[-1] = True
+        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        edge[off] = True
+    at = np.flatnonzero(edge)
+    own = inside[at[:-1]] if len(at) else np.zeros(0, bool)
+    starts, ends = at[:-1][own], at[1:][own]
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
