@@ -80,11 +80,11 @@ def test_repeated_texts_get_equal_scores(spark, scored):
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5.0, 1), (2, "", 5.0, 1), (None, "word " * 300_000, 5.0, 1), (2, "", 5.0, 1), (3, "UP!! UP!!", 5.0, 1)], "doc_id long, text string, score double, quality int")
     for labelled in ("1=0", "quality = 1"):
-        model = qk.learn(docs, docs.where(labelled).select("text", "quality"))
+        model = qk.learn(docs, docs.where(labelled).select("doc_id", "quality"))
         got = qk.score(docs, model)
         assert got.columns == ["doc_id", "text", "quality", "score"]
         rows = got.collect()
         assert len(rows) == 5 and {r.score for r in rows} == ({0.5} if labelled == "1=0" else {1.0})
         assert qk.score(docs.limit(0), model).count() == 0
-    model = qk.learn(docs.limit(0), docs.selectExpr("text", "CAST(NULL AS INT) AS quality"))
+    model = qk.learn(docs.limit(0), docs.selectExpr("doc_id", "CAST(NULL AS INT) AS quality"))
     assert {r.score for r in qk.score(docs, model).collect()} == {0.5}

@@ -5,7 +5,7 @@ equal kind as one) and repeats of the word before. Words and shapes are hashed t
 (1 + ln tf) * idf, brought to length one and joined. Document frequencies are summed over all documents.
 
 The latent space is the leading RANK right singular vectors of the labelled rows' vectors (a seeded subspace iteration), and labelled rows become points in it. At most about
-MOST_ROWS rows of each class are taken, by hash of text, copies once; that bounds what is broadcast. Every document is projected, brought to length one and rounded to
+MOST_ROWS keys of each class are taken, by their hash, and copies of a text once; that bounds what is broadcast. Every document is projected, brought to length one and rounded to
 2^-20, so that cosines against all labelled points are exact integers in float64, computed in blocks. Its neighbours are the K nearest points and all that lie as near as the
 K-th; their labels are weighted by similarity (0 if negative) and by how many labelled rows of its class a point stands for. The score is the share of label 1.
 
@@ -108,14 +108,16 @@ def votes(p: np.ndarray, known: np.ndarray, label: np.ndarray, weight: np.ndarra
     return np.where(total > 0, near @ label / np.where(total > 0, total, 1.0), base)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> dict:
-    """The model from the texts of docs (frequencies) and the labelled rows (text, label)."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> dict:
+    """The model from the texts of docs (frequencies) and labels (key, label) of some of them. Keys to learn from are drawn first, so that no text is shuffled to be labelled."""
     df, n = frequencies(docs, text)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) == 1).cast("int").alias("y"))
-    count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(label) == 1).cast("int").alias("y")).distinct()
+    count = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, int(min(1.0, most_rows / max(count.get(1, 0), 1)) * (1 << 30))).otherwise(int(min(1.0, most_rows / max(count.get(0, 0), 1)) * (1 << 30)))
-    some = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < share).dropDuplicates(["h", "y"])
+    drawn = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share)  # about 2 * most_rows keys
+    some = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
+    some = some.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])
 
     def build(batches):
         for part, data, off in text_slices(batches, "text", 1 << 20):
@@ -160,8 +162,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", k: int = K) -> DataF
 
 def train_on(docs: DataFrame, labels: DataFrame) -> dict:
     """Learns from the rows of labels whose crc32(doc_id as text) mod 5 is not 0."""
-    own = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("quality").alias("_y"))
-    return learn(docs, docs.select("doc_id", "text").join(own, "doc_id").select("text", F.col("_y").alias("quality")))
+    return learn(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "quality"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
