@@ -1,106 +1,102 @@
 """Speech and heart-beat steps: enhancement, voice activity, pitch, formants, wavelet bands, R peaks. Frames (rec_id, seq, v or power) are
-rows; recursions run over the frames of one recording or chunk in a numpy helper, everything that needs no order is a Column function."""
+rows; recursions run over chunks of frames (chunks.py), everything that needs no order is a Column function."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import intervals, windows
-from tidemark.operators.signal import group_events, noise_step, per_recording
+from tidemark.operators import aggregates as ag
+from tidemark.operators import chunks, intervals, windows
+from tidemark.operators.chunks import CHUNK
+from tidemark.operators.noise import MinimumStatistics, estimator_gains, speech_odds, subtraction_gains
+from tidemark.operators.signal import NOISE_START, group_events, noise_step, power_spectrum
+from tidemark.sources.scratch import cut
 
 
-def expint(x: np.ndarray) -> np.ndarray:
-    """Exponential integral E1 for positive x: a series up to 1, a continued fraction beyond."""
-    x = np.maximum(np.asarray(x, float), 1e-12)
-    small, out = np.minimum(x, 1.0), np.empty_like(x)
-    term, total = np.ones_like(x), np.zeros_like(x)
-    for k in range(1, 25):
-        term = -term * small / k
-        total -= term / k
-    series = -np.euler_gamma - np.log(small) + total
-    big, tail = np.maximum(x, 1.0), np.zeros_like(x)
-    for k in range(60, 0, -1):
-        tail = k / (1 + k / (big + tail))
-    out = np.where(x <= 1, series, np.exp(-big) / (big + tail))
-    return out
+def enhance(frames: DataFrame, kind: str = "mmse", inc: float = 0.016, tracker: str | None = None, size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, v): frames (inc seconds apart) of a root-windowed signal with noise taken out; kind mmse: log-spectral estimator, amplitude and perceptual: estimators of the amplitude,
+    plain and weighed by its inverse, specsub: magnitude subtraction. tracker mmse or minstat: how the noise is followed (by default minstat for specsub)."""
+    by_least = (tracker or ("minstat" if kind == "specsub" else "mmse")) == "minstat"
+    follow = MinimumStatistics(inc)
 
+    def run(pdf, state):
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        spec = np.fft.rfft(x, axis=1)
+        power = np.abs(spec) ** 2
+        noise, gain = state or (None, None)
+        estimate, noise = follow.run(power, noise, int(pdf["seq"].iloc[0] - pdf["_first"].iloc[0])) if by_least else noise_step(power, noise)
+        if kind == "specsub":
+            g = subtraction_gains(power, estimate)
+        else:
+            g, gain = estimator_gains(power, estimate, gain, kind, inc)
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "v": list(np.fft.irfft(spec * g, x.shape[1], axis=1))}), (noise, gain)
 
-#: Frames from whose mean the smoothing starts.
-MINSTAT_START = 10
+    rows = chunks.chunked(frames.select("rec_id", "seq", "v"), max(size, NOISE_START))
+    rows = rows.join(chunks.extent(frames), "rec_id") if by_least else rows
+    return chunks.recursion(rows, run, "seq bigint, v array<double>")
 
 
-def noise_minstat(power: np.ndarray, span: int = 60, smooth: float = 0.85, bias: float = 2.0, state: list | None = None) -> tuple[np.ndarray, list]:
-    """Noise spectra as bias times the least smoothed power of the last span frames, and the state to go on from (those frames' smoothed powers).
-    The first frames are smoothed from the mean of the first MINSTAT_START."""
-    recent, out = list(state or []), np.empty_like(power)
-    last = recent[-1] if recent else power[:MINSTAT_START].mean(axis=0)
-    for i, y in enumerate(power):
-        last = smooth * last + (1 - smooth) * y
-        recent = [*recent[-(span - 1) :], last]
-        out[i] = bias * np.min(recent, axis=0)
-    return out, recent
+def noise_minstat(spectra: DataFrame, inc: float = 0.016, size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, noise ARRAY<DOUBLE>) of frames (rec_id, seq, power ARRAY<DOUBLE>) inc seconds apart, by minimum statistics."""
+    tracker = MinimumStatistics(inc)
 
+    def run(pdf, state):
+        out, state = tracker.run(np.stack(pdf["power"].to_numpy()), state, int(pdf["seq"].iloc[0] - pdf["_first"].iloc[0]))
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "noise": list(out)}), state
 
-def log_mmse_gain(power: np.ndarray, noise: np.ndarray, before: np.ndarray | None = None, a: float = 0.98) -> tuple[np.ndarray, np.ndarray]:
-    """Gains per frame and bin of the log-spectral estimator with decision-directed prior ratios, and the state to go on from."""
-    out, u = np.empty_like(power), np.ones(power.shape[1]) if before is None else before
-    for i in range(len(power)):
-        post = np.minimum(power[i] / np.maximum(noise[i], 1e-30), 1000.0)
-        prior = np.maximum(a * u + (1 - a) * np.maximum(post - 1, 0), 1e-3)
-        g = np.minimum(prior / (1 + prior) * np.exp(0.5 * expint(post * prior / (1 + prior))), 10)
-        out[i], u = g, post * g * g
-    return out, u
+    rows = chunks.chunked(spectra.select("rec_id", "seq", "power"), size).join(chunks.extent(spectra), "rec_id")
+    return chunks.recursion(rows, run, "seq bigint, noise array<double>")
 
 
-def enhance(frames: DataFrame, kind: str = "mmse") -> DataFrame:
-    """(rec_id, seq, v): frames of a root-windowed signal with noise taken out; kind mmse: log-spectral estimator, specsub: power subtraction."""
+def speech_frames(audio: DataFrame, fs: float, inc: float = 0.01, overlap: int = 2, root: bool = False, tail: str | None = None) -> DataFrame:
+    """(rec_id, seq, v) of samples (rec_id, seq from 0, x): frames of overlap * inc seconds, inc apart, times a Hamming window (or its root) scaled so that its squares at all frames over a sample
+    sum to one."""
+    hop = round(inc * fs)
+    n = hop * overlap
+    w = np.hamming(n + 1)[:-1] ** (0.5 if root else 1.0)
+    w = w / np.sqrt((w[::hop] ** 2).sum())
+    framed = ag.frames(audio.select("rec_id", "seq", "x"), n, hop, tail).groupBy("rec_id", F.col("frame").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("a"))
+    return framed.select("rec_id", F.col("seq").cast("bigint").alias("seq"), F.zip_with("a.x", F.array(*map(F.lit, w.tolist())), lambda x, y: x * y).alias("v"))
 
-    def run(pdf):
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        spec = np.fft.rfft(x, axis=1)
-        power = np.abs(spec) ** 2
-        if kind == "mmse":
-            gain, _ = log_mmse_gain(power, noise_step(power, None)[0])
-        else:
-            gain = np.sqrt(np.maximum(1 - noise_minstat(power)[0] / np.maximum(power, 1e-30), 0.01))
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "v": list(np.fft.irfft(spec * gain, x.shape[1], axis=1))})
 
-    return per_recording(frames, run, "seq bigint, v array<double>", ["v"])
+def enhance_audio(audio: DataFrame, fs: float, kind: str = "mmse", inc: float = 0.016, tracker: str | None = None, size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, x): samples (rec_id, seq from 0, x) with noise taken out: root-windowed frames (the last filled up by reflection), enhance(), the window again, and overlapping frames added."""
+    hop = round(inc * fs)
+    w = np.hamming(2 * hop + 1)[:-1] ** 0.5
+    w = w / np.sqrt((w[::hop] ** 2).sum())
+    clean = enhance(speech_frames(audio, fs, inc, 2, True, "reflect"), kind, inc, tracker, size)
+    each = clean.select("rec_id", F.col("seq").alias("frame"), F.posexplode(F.zip_with("v", F.array(*map(F.lit, w.tolist())), lambda x, y: x * y)).alias("k", "v"))
+    ends = audio.groupBy("rec_id").agg(F.max("seq").alias("_last"))
+    return ag.overlap_add(each, hop).join(ends, "rec_id").where("seq <= _last").drop("_last")
 
 
-def vad_probabilities(power: np.ndarray, state: tuple | None = None, stay: float = 0.98, enter: float = 0.02) -> tuple[np.ndarray, tuple]:
-    """Speech probabilities of frames by a likelihood ratio with a two-state chain, and the state to go on from."""
-    odds, u, recent = state or (0.0, None, None)
-    noise, recent = noise_minstat(power, state=recent)
-    post = np.minimum(power / np.maximum(noise, 1e-30), 1000.0)[:, 1:]
-    out = np.empty(len(post))
-    for i, g in enumerate(post):
-        prior = np.full(len(g), 3e-3) if u is None else np.maximum(0.98 * u + 0.02 * np.maximum(g - 1, 0), 3e-3)
-        ratio = float(np.mean(g * prior / (1 + prior) - np.log1p(prior)))
-        u = (prior / (1 + prior)) ** 2 * g
-        p = 1 / (1 + np.exp(-odds))
-        before = p * stay + (1 - p) * enter
-        odds = float(np.clip(np.log(before / (1 - before)) + ratio, -30, 30))
-        out[i] = 1 / (1 + np.exp(-odds))
-    return out, (odds, u, recent)
+def vad(frames: DataFrame, threshold: float = 0.7, inc: float = 0.01, size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, p, label): label 1 where the speech probability is over the threshold, from frames' powers (inc seconds apart): likelihood ratios over minimum statistics, with
+    a two-state chain that lets speech ring out."""
+    tracker = MinimumStatistics(inc)
 
+    def run(pdf, state):
+        power, state = np.stack(pdf["power"].to_numpy()).astype(float), state or (None, None)
+        noise, now = tracker.run(power, state[0], int(pdf["seq"].iloc[0] - pdf["_first"].iloc[0]))
+        p, odds = speech_odds(power, noise, state[1], inc)
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "p": p, "label": (p > threshold).astype(int)}), (now, odds)
 
-def vad(frames: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(rec_id, seq, p, label): label 1 where the speech probability is over the threshold, from frames' powers."""
+    rows = chunks.chunked(frames.select("rec_id", "seq", "power"), size).join(chunks.extent(frames), "rec_id")
+    return chunks.recursion(rows, run, "seq bigint, p double, label int")
 
-    def run(pdf):
-        p, _ = vad_probabilities(np.stack(pdf["power"].to_numpy()).astype(float))
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "p": p, "label": (p > threshold).astype(int)})
 
-    return per_recording(frames, run, "seq bigint, p double, label int", ["power"])
+def vad_sohn(audio: DataFrame, fs: float, threshold: float = 0.7, inc: float = 0.01) -> DataFrame:
+    """vad() of samples (rec_id, seq from 0, x); frame f covers samples from f * inc * fs on."""
+    powers = speech_frames(audio, fs, inc).select("rec_id", "seq", power_spectrum("v").alias("power"))
+    return vad(powers, threshold, inc)
 
 
-def detect_speech(frames: DataFrame, gap: int) -> DataFrame:
+def detect_speech(frames: DataFrame, gap: int, inc: float = 0.01) -> DataFrame:
     """(rec_id, begin, end) in frames: runs of speech, joined where less than gap frames lie between."""
-    runs = windows.label_runs(vad(frames)).where("label = 1")
+    runs = windows.label_runs(vad(frames, inc=inc)).where("label = 1")
     return intervals.coalesce_intervals(runs, gap)
 
 
@@ -159,78 +155,95 @@ def formants(v: Column | str, fs: float, order: int = 14, n: int = 5) -> Column:
 SYM4 = np.array([-0.07576571478927333, -0.02963552764599851, 0.49761866763201545, 0.8037387518059161, 0.29785779560527736, -0.09921954357684722, -0.012603967262037833, 0.0322231006040427])
 
 
-def wavelet_band(x: np.ndarray, levels: tuple[int, ...] = (4, 5)) -> np.ndarray:
-    """The parts of a signal in some detail levels of an undecimated wavelet transform, circular, by its filters' responses."""
-    n = len(x)
-    w = 2 * np.pi * np.arange(n) / n
-    low = lambda f: (SYM4[:, None] * np.exp(-1j * np.arange(8)[:, None] * f)).sum(axis=0) / np.sqrt(2)
-    spec, passed, out = np.fft.fft(x), np.ones(n), np.zeros(n, complex)
-    for level in range(1, max(levels) + 1):
-        share = np.abs(low(w * 2 ** (level - 1))) ** 2
-        if level in levels:
-            out += spec * passed * (1 - share)
-        passed = passed * share
-    return np.real(np.fft.ifft(out))
-
-
-def detect_rpeaks(ecg: DataFrame, fs: float, lam: float = 0.2) -> DataFrame:
-    """(rec_id, begin, end, at, height): beats of samples (rec_id, seq, x). Bands four and five, signed squares, an alternating dither, counts of
-    sign changes against their own average give events; events become groups; each group's largest sample is a peak if it passes the amplitude gate."""
+#: High-pass filter: the low-pass turned round, with every other sign changed.
+SYM4_HIGH = SYM4[::-1] * np.where(np.arange(8) % 2 == 0, -1.0, 1.0)
 
-    def smooth(y: np.ndarray) -> np.ndarray:
-        out, last = np.empty(len(y)), 0.0
-        for i, v in enumerate(y.tolist()):
-            out[i] = last = (1 - lam) * last + lam * v
-        return out
 
-    def run(pdf):
-        e = wavelet_band(pdf["x"].to_numpy(float))
-        e = np.sign(e) * e**2
-        level = smooth(np.abs(e) * 1.1412)
-        d = e + (-1.0) ** np.arange(len(e)) * (level + np.linalg.norm(e) / len(e))
-        count = smooth(np.abs(np.diff(np.sign(d), prepend=np.sign(d[:1]))) / 2)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "x": e * 1.1412, "event": count < smooth(count)})
-
-    prepared = per_recording(ecg, run, "seq bigint, x double, event boolean", ["x"])
-    groups = group_events(prepared, 0.25 * fs, 0.05 * fs)
-    return windows.amplitude_gate(intervals.peak_in_interval(prepared, groups), prepared)
+def swt(x: np.ndarray, levels: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Details of levels 1, 2, ... and what is left, of an undecimated wavelet transform with circular ends: each level's filters have holes of twice the last one's."""
+    details, rest = [], np.asarray(x, float)
+    for level in range(levels):
+        shifted = [np.roll(rest, i << level) for i in range(8)]
+        details.append(sum(h * y for h, y in zip(SYM4_HIGH, shifted, strict=True)))
+        rest = sum(h * y for h, y in zip(SYM4, shifted, strict=True))
+    return details, rest
 
 
-def min_run(runs: DataFrame, least: dict, slack: int = 5) -> DataFrame:
-    """(rec_id, begin, end, label): runs (rec_id, begin, end, label) shorter than their label's least length less slack join the run before, from left to right."""
+def iswt(details: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """The signal of swt's parts: from the last level on, both parts through the turned filters, halved."""
+    for level in reversed(range(len(details))):
+        rest = sum((h * np.roll(rest, -(i << level)) + g * np.roll(details[level], -(i << level))) / 2 for i, (h, g) in enumerate(zip(SYM4, SYM4_HIGH, strict=True)))
+    return rest
 
-    def merge(pdf):
-        out = []
-        for b, e, c in pdf.sort_values("seq")[["seq", "end", "label"]].itertuples(index=False):
-            if out and (e - b + 1 < least.get(c, 0) - slack or out[-1][2] == c):
-                out[-1] = (out[-1][0], e, out[-1][2])
-            else:
-                out.append((b, e, c))
-        return pd.DataFrame(out, columns=["begin", "end", "label"])
 
-    kind = runs.schema["label"].dataType.simpleString()
-    return per_recording(runs.withColumn("seq", F.col("begin").cast("bigint")), merge, f"begin bigint, end bigint, label {kind}", ["end", "label"])
+def wavelet_band(x: np.ndarray, levels: tuple[int, ...] = (4, 5)) -> np.ndarray:
+    """The part of a signal in some detail levels of an undecimated wavelet transform, circular. Deeper levels than the last one kept have no part in it."""
+    details, rest = swt(x, max(levels))
+    return iswt([d if i + 1 in levels else np.zeros_like(d) for i, d in enumerate(details)], np.zeros_like(rest))
+
+
+def swt_band(df: DataFrame, levels: tuple[int, ...] = (4, 5), size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, x): wavelet_band along each recording. Filters up to level l see 7 (2^l - 1) samples on each side, twice; so many neighbours, round the
+    recording's ends, give a chunk its own."""
+    halo = 2 * 7 * ((1 << max(levels)) - 1)
+    size = max(size, halo)
+    kind = df.schema["seq"].dataType.simpleString()
+    d = df.select("rec_id", F.col("seq").cast("bigint").alias("seq"), F.col("x").cast("double").alias("x")).join(chunks.extent(df), "rec_id").withColumn("seq", F.col("seq") - F.col("_first"))
+    long = d.where(F.col("_n") > size)  # shorter recordings are a chunk, whose ends meet of themselves
+    ends = long.where(F.col("seq") < halo).withColumn("seq", F.col("seq") + F.col("_n")).unionByName(long.where(F.col("seq") >= F.col("_n") - halo).withColumn("seq", F.col("seq") - F.col("_n")))
+    rows = chunks.with_halo(d.unionByName(ends), size, halo, halo).withColumn("own", F.col("own") & F.col("seq").between(0, F.col("_n") - 1))
+
+    def run(pdf):
+        own = pdf["own"].to_numpy()
+        return pd.DataFrame({"seq": (pdf["seq"] + pdf["_first"]).to_numpy()[own], "x": wavelet_band(pdf["x"].to_numpy(float), levels)[own]})
+
+    return chunks.per_chunk(rows, run, f"seq {kind}, x double")
 
 
-def active_level(samples: DataFrame, fs: float, margin: float = 15.9) -> DataFrame:
+def detect_rpeaks(ecg: DataFrame, fs: float, lam: float = 0.2, size: int = CHUNK) -> DataFrame:
+    """(rec_id, begin, end, at, height): beats of samples (rec_id, seq, x). Bands four and five, signed squares, an alternating dither, counts of
+    sign changes against their own average give events; events become groups; each group's largest sample is a peak if it passes the amplitude gate."""
+    e = windows.signed_power(swt_band(ecg, (4, 5), size), 2.0).select("rec_id", "seq", F.col("powered").alias("e"), (F.abs("powered") * 1.1412).alias("x"))
+    e = cut(e, "wavelet")
+    level = windows.ema(e, 1 - lam, size=size).withColumnRenamed("ema", "_level")
+    whole = e.groupBy("rec_id").agg((F.sqrt(F.sum(F.col("e") * F.col("e"))) / F.count("*")).alias("_norm"), F.min("seq").alias("_first"))
+    sign = F.when((F.col("seq") - F.col("_first")) % 2 == 0, 1.0).otherwise(-1.0)
+    dithered = e.join(level, ["rec_id", "seq"]).join(whole, "rec_id").withColumn("_s", F.signum(F.col("e") + sign * (F.col("_level") + F.col("_norm"))))
+    w = Window.partitionBy("rec_id", "chunk").orderBy("seq")
+    turned = chunks.with_halo(dithered.select("rec_id", "seq", "_s"), size, 1, 0).withColumn("x", F.coalesce(F.abs(F.col("_s") - F.lag("_s").over(w)) / 2, F.lit(0.0))).where("own").select("rec_id", "seq", "x")
+    count = cut(windows.ema(cut(turned, "turns"), 1 - lam, size=size), "counts")
+    usual = windows.ema(count, 1 - lam, "ema", size=size).withColumnRenamed("ema", "_usual")
+    events = count.join(usual, ["rec_id", "seq"]).select("rec_id", "seq", (F.col("ema") < F.col("_usual")).alias("event"))
+    prepared = cut(e.select("rec_id", "seq", (F.col("e") * 1.1412).alias("x")).join(events, ["rec_id", "seq"]), "events")
+    groups = group_events(prepared, 0.25 * fs, 0.05 * fs, size)
+    return windows.amplitude_gate(intervals.peak_in_interval(prepared, groups), prepared)
+
+
+def min_run(runs: DataFrame, least: dict, slack: int = 5) -> DataFrame:
+    """(rec_id, begin, end, label): runs (rec_id, begin, end, label) shorter than their label's least length less slack join the run before, from left to right; a recording's first run stays.
+    A run that is long enough has its own label whatever comes before, and the others that of the last such: no recursion is left."""
+    w = Window.partitionBy("rec_id").orderBy("begin")
+    short = F.coalesce(F.create_map(*(F.lit(v) for kv in least.items() for v in kv))[F.col("label")], F.lit(0)) - slack if least else F.lit(-slack)
+    kept = F.when((F.col("end") - F.col("begin") + 1 >= short) | (F.row_number().over(w) == 1), F.struct("label"))
+    own = runs.withColumn("_label", F.last(kept, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["label"])
+    new = (~F.col("_label").eqNullSafe(F.lag("_label").over(w)) | (F.row_number().over(w) == 1)).cast("int")
+    own = own.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.groupBy("rec_id", "_run").agg(F.min("begin").cast("bigint").alias("begin"), F.max_by("end", "begin").cast("bigint").alias("end"), F.first("_label").alias("label")).drop("_run")
+
+
+def active_level(samples: DataFrame, fs: float, margin: float = 15.9, size: int = CHUNK) -> DataFrame:
     """(rec_id, level_db, activity): active speech level and the share of active time. An envelope of two 30 ms smoothings is held for 200 ms; the
     level is where the mean power over samples above a threshold lies margin dB over that threshold, between thresholds 3 dB apart."""
     k = np.exp(-1 / (0.03 * fs))
 
-    def envelope(pdf):
-        p = q = 0.0
-        out = []
-        for v in np.abs(pdf["x"].to_numpy(float)).tolist():
-            p = k * p + (1 - k) * v
-            q = k * q + (1 - k) * p
-            out.append(q)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "env": out, "x": pdf["x"].to_numpy(float)})
-
-    held = per_recording(samples, envelope, "seq bigint, env double, x double", ["x"]).withColumn("held", F.max("env").over(windows.SEQ().rowsBetween(-int(0.2 * fs), 0)))
+    # two smoothings one after the other
+    smooth = chunks.Linear([[k, 0.0], [(1 - k) * k, k]], [1 - k, (1 - k) ** 2], [0.0, 1.0])
+    env = chunks.linear_scan(samples.select("rec_id", "seq", F.abs(F.col("x").cast("double")).alias("x")), smooth, "x", "env", size)
+    hold = int(0.2 * fs)
+    near = Window.partitionBy("rec_id", "chunk").orderBy("seq").rowsBetween(-hold, 0)
+    held = chunks.with_halo(env, max(size, hold), hold, 0).withColumn("held", F.max("env").over(near)).where("own").join(samples.select("rec_id", "seq", "x"), ["rec_id", "seq"])
     top = held.groupBy("rec_id").agg(F.sum(F.col("x") * F.col("x")).alias("energy"), F.count("*").alias("n"))
     bins = held.where("held > 0").groupBy("rec_id", F.floor(20 * F.log10("held") / 3).alias("bin")).agg(F.count("*").alias("m"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("rec_id").orderBy(F.desc("bin"))
     c = bins.withColumn("above", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(top, "rec_id")
     c = c.withColumns({"a": 10 * F.log10(F.expr("try_divide(energy, above)")), "t": F.col("bin") * 3.0}).withColumn("d", F.col("a") - F.col("t"))

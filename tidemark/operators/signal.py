@@ -1,27 +1,19 @@
-"""Steps of signals that are recursions or transforms: each recording's (or frame's) rows go through a small numpy helper inside a
-Spark plan. Recordings are cut by the caller where one is too long for a task."""
+"""Steps of signals that are recursions or transforms: a chunk's (or frame's) rows go through a small numpy helper inside a Spark plan. Recordings of any length
+are cut into chunks (chunks.py), so that one recording runs in as many tasks as it has chunks; results don't depend on the chunks' size."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import SEQ
-
-
-def per_recording(df: DataFrame, run, added: str, cols: list[str]) -> DataFrame:
-    """(rec_id, *added) from run(rows ordered by seq) -> DataFrame without rec_id."""
-    kind = df.schema["rec_id"].dataType.simpleString()
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(pdf.sort_values("seq"))
-        out.insert(0, "rec_id", pdf["rec_id"].iloc[0])
-        return out
-
-    return df.select("rec_id", "seq", *cols).groupBy("rec_id").applyInPandas(group, f"rec_id {kind}, {added}")
-
+from tidemark.operators import chunks
+from tidemark.operators.chunks import CHUNK
+from tidemark.operators.windows import SEQ, label_runs
+from tidemark.sources.scratch import cut
 
 def tridiagonal(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Solves lower a, main b, upper c for d."""
@@ -72,24 +64,34 @@ def makima(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (1 + 2 * u) * (1 - u) ** 2 * y[k] + u * (1 - u) ** 2 * h * s[k] + u**2 * (3 - 2 * u) * y[k + 1] + u**2 * (u - 1) * h * s[k + 1]
 
 
-def _resampled(df: DataFrame, fs: float, how, only_above: bool) -> DataFrame:
+def _resampled(df: DataFrame, fs: float, how, halo: int, only_above: bool, size: int) -> DataFrame:
+    ends = chunks.extent(df, F.min_by("t", "seq").alias("_t0"), F.max_by("t", "seq").alias("_t1"))
+    rows = chunks.with_halo(df.select("rec_id", "seq", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")), size, halo, halo).join(ends, "rec_id")
+
     def run(pdf):
-        t, x = pdf["t"].to_numpy(float), pdf["x"].to_numpy(float)
-        if len(t) < 2 or only_above and (len(t) - 1) / (t[-1] - t[0]) <= fs:
-            return pd.DataFrame({"seq": np.arange(len(t)), "t": t, "x": x})
-        at = t[0] + np.arange(int(np.floor((t[-1] - t[0]) * fs + 1e-9)) + 1) / fs
-        return pd.DataFrame({"seq": np.arange(len(at)), "t": at, "x": how(t, x, at)})
+        own, (first, n, t0, t1) = pdf["own"].to_numpy(), pdf.iloc[0][["_first", "_n", "_t0", "_t1"]]
+        t, x = pdf["t"].to_numpy(), pdf["x"].to_numpy()
+        if n < 2 or only_above and (n - 1) / (t1 - t0) <= fs:
+            return pd.DataFrame({"seq": pdf["seq"].to_numpy()[own] - int(first), "t": t[own], "x": x[own]})
+        last = int(np.flatnonzero(own)[-1])
+        a, b = t[own][0], t[last + 1] if last + 1 < len(t) else np.inf  # the chunk answers for times from its first row to the next chunk's
+        k = np.arange(max(0, int(np.floor((a - t0) * fs)) - 1), int(min(np.floor((t1 - t0) * fs + 1e-9), np.ceil((min(b, t1) - t0) * fs) + 1)) + 1)
+        at = t0 + k / fs
+        keep = (at >= a) & (at < b)
+        return pd.DataFrame({"seq": k[keep], "t": at[keep], "x": how(t, x, at[keep])})
 
-    return per_recording(df, run, "seq bigint, t double, x double", ["t", "x"])
+    return chunks.per_chunk(rows, run, "seq bigint, t double, x double")
 
 
-def resample_spline(df: DataFrame, fs: float, only_above: bool = False) -> DataFrame:
-    """Samples (t, x) on a regular grid of rate fs; only_above leaves recordings that aren't faster as they are."""
-    return _resampled(df, fs, spline, only_above)
+def resample_spline(df: DataFrame, fs: float, only_above: bool = False, size: int = CHUNK) -> DataFrame:
+    """Samples (t, x) on a regular grid of rate fs; only_above leaves recordings that aren't faster as they are. A sample's part in the spline at least halves
+    from one sample to the next, so that 64 neighbours on each side give a chunk its spline to the last bit."""
+    return _resampled(df, fs, spline, 64, only_above, size)
 
 
-def resample_makima(df: DataFrame, fs: float) -> DataFrame:
-    return _resampled(df, fs, makima, False)
+def resample_makima(df: DataFrame, fs: float, size: int = CHUNK) -> DataFrame:
+    """The same by modified Akima slopes, which see three neighbours."""
+    return _resampled(df, fs, makima, 4, False, size)
 
 
 def butterworth3(cut: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -100,32 +102,28 @@ def butterworth3(cut: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
     return [one, (np.array([k * k, 2 * k * k, k * k]) / n, np.array([1, 2 * (k * k - 1) / n, (1 - k + k * k) / n]))]
 
 
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A recursive filter from the steady state of the first sample."""
-    y, n = np.empty(len(x)), len(b)
-    gain = b.sum() / a.sum()
-    px, py = [x[0]] * (n - 1), [x[0] * gain] * (n - 1)
-    for i, v in enumerate(x.tolist()):
-        y[i] = w = b[0] * v + sum(b[j + 1] * px[j] - a[j + 1] * py[j] for j in range(n - 1))
-        px, py = [v, *px[:-1]], [w, *py[:-1]]
-    return y
+def section(b: np.ndarray, a: np.ndarray) -> chunks.Linear:
+    """A recursive filter of up to two steps back, as a recursion of the filtered input's last values."""
+    n = len(a)
+    step = np.zeros((n, n))
+    step[0, : n - 1] = -a[1:]
+    step[1:, :-1] += np.eye(n - 1)
+    return chunks.Linear(step, np.eye(n)[0], b)
 
 
-def lowpass_zero_phase(df: DataFrame, fs: float, cut: float = 20.0) -> DataFrame:
-    """Third-order Butterworth, forwards and backwards, over ends reflected about themselves."""
-    sections = butterworth3(cut, fs)
-
-    def run(pdf):
-        x = pdf["x"].to_numpy(float)
-        pad = min(12, len(x) - 1)
-        y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad else x
-        for _ in range(2):
-            for b, a in sections:
-                y = filtered(b, a, y)
-            y = y[::-1]
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "x": y[pad : pad + len(x)]})
-
-    return per_recording(df, run, "seq bigint, x double", ["x"])
+def lowpass_zero_phase(df: DataFrame, fs: float, cut_hz: float = 20.0, size: int = CHUNK) -> DataFrame:
+    """Third-order Butterworth, forwards and backwards, over ends reflected about themselves by 12 samples (by all but one, of shorter recordings)."""
+    one, two = (section(b, a) for b, a in butterworth3(cut_hz, fs))
+    system = chunks.in_series(one, two)
+    x = F.col("x").cast("double")
+    ends = chunks.extent(df, F.min_by(x, "seq").alias("_x0"), F.max_by(x, "seq").alias("_x1"))
+    d = df.select("rec_id", F.col("seq").cast("bigint").alias("seq"), x.alias("x")).join(ends, "rec_id").withColumns({"_p": F.col("seq") - F.col("_first"), "_pad": F.least(F.lit(12), F.col("_n") - 1)})
+    before = d.where("_p BETWEEN 1 AND _pad").select("rec_id", (F.col("_first") - F.col("_p")).alias("seq"), (2 * F.col("_x0") - F.col("x")).alias("x"))
+    after = d.where("_p BETWEEN _n - 1 - _pad AND _n - 2").select("rec_id", (F.col("_first") + 2 * (F.col("_n") - 1) - F.col("_p")).alias("seq"), (2 * F.col("_x1") - F.col("x")).alias("x"))
+    padded = d.select("rec_id", "seq", "x").unionByName(before).unionByName(after)
+    forwards = cut(chunks.linear_scan(padded, system, "x", "x", size, steady=True), "filtered")
+    both = chunks.linear_scan(forwards, system, "x", "x", size, steady=True, backwards=True)
+    return both.join(ends.select("rec_id", "_first", "_n"), "rec_id").where("seq BETWEEN _first AND _first + _n - 1").select("rec_id", "seq", "x")
 
 
 def smooth_trend(z: np.ndarray, lam: float) -> np.ndarray:
@@ -156,15 +154,16 @@ def smooth_trend(z: np.ndarray, lam: float) -> np.ndarray:
     return y
 
 
-def detrend_priors(df: DataFrame, lam: float = 500.0) -> DataFrame:
-    """x less its smoothness-priors trend, and the trend."""
+def detrend_priors(df: DataFrame, lam: float = 500.0, size: int = CHUNK) -> DataFrame:
+    """x less its smoothness-priors trend, and the trend. A sample's part in the trend dies out as exp(-k / sqrt(2 lam)), so neighbours up to 60 sqrt(lam) give a chunk its own."""
+    halo = int(60 * lam**0.5) + 60
 
     def run(pdf):
-        x = pdf["x"].to_numpy(float)
+        own, x = pdf["own"].to_numpy(), pdf["x"].to_numpy(float)
         trend = smooth_trend(x, lam)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "x": x - trend, "trend": trend})
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[own], "x": (x - trend)[own], "trend": trend[own]})
 
-    return per_recording(df, run, "seq bigint, x double, trend double", ["x"])
+    return chunks.per_chunk(chunks.with_halo(df.select("rec_id", "seq", "x"), max(size, halo), halo, halo), run, "seq bigint, x double, trend double")
 
 
 def burg(x: np.ndarray, order: int) -> tuple[np.ndarray, float]:
@@ -258,7 +257,7 @@ def vad_features(frames: DataFrame, fs: float, n: int = 12) -> DataFrame:
     return d.select("rec_id", "seq", F.concat("_f", "_d", "_dd").alias("feats"))
 
 
-def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0, mode: str = "neighbours", seed: int = 0) -> DataFrame:
+def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0, mode: str = "neighbours", seed: int = 0, size: int = CHUNK) -> DataFrame:
     """Samples with outliers of their window replaced, from left to right, repaired ones counting in later windows: by the mean of their neighbours (mode "neighbours"),
     or by the mean of the earlier samples of their window plus or minus their deviation, the sign drawn by a seeded checksum (mode "earlier"; a recording's first
     sample stays)."""
@@ -283,46 +282,68 @@ def outlier_repair(df: DataFrame, width: int = 16, k: float = 3.0, mode: str = "
         q3 = a[q - 1] if 3 * (n + 1) % 4 == 0 else a[1] if q >= n else (a[q - 1] + a[q]) / 2
         return q1, q3
 
-    def run(pdf):
-        x = pdf["x"].to_numpy(float).copy()
-        n, fixed, side = len(x), np.zeros(len(x), bool), pdf["_sign"].to_numpy()
-        for j in range(1, n + 1) if n > 1 else ():
+    def run(pdf, state):
+        """state: the last samples before the chunk, repaired; places j count from 1 in the recording."""
+        own, seq, x = pdf["own"].to_numpy(), pdf["seq"].to_numpy(), pdf["x"].to_numpy(float)
+        at = int(np.flatnonzero(own)[0])
+        before = x[:at] if state is None else state
+        n, j0 = int(pdf["_n"].iloc[0]), int(seq[at] - pdf["_first"].iloc[0]) + 1
+        y = np.concatenate([before, x[at:]])
+        shift = len(before) - j0 + 1  # place j is y[j - 1 + shift]
+        count, side = int(own.sum()), pdf["_sign"].to_numpy()[own]
+        fixed = np.zeros(count, bool)
+        for i in range(count) if n > 1 else ():
+            j = j0 + i
             lo, hi = bounds(j, n)
-            q1, q3 = quartiles(np.sort(x[max(lo, 1) - 1 : min(hi, n)]))
-            if x[j - 1] < q1 - k * (q3 - q1) or x[j - 1] > q3 + k * (q3 - q1):
+            lo, hi, here = max(lo, 1) - 1 + shift, min(hi, n) + shift, j - 1 + shift
+            q1, q3 = quartiles(np.sort(y[lo:hi]))
+            if y[here] < q1 - k * (q3 - q1) or y[here] > q3 + k * (q3 - q1):
                 if mode == "neighbours":
-                    near = [x[i] for i in (j - 2, j) if 0 <= i < n]
-                    x[j - 1], fixed[j - 1] = sum(near) / len(near), True
+                    near = [y[here + d] for d in (-1, 1) if 1 <= j + d <= n]
+                    y[here], fixed[i] = sum(near) / len(near), True
                 elif j > 1:
-                    before = x[max(lo, 1) - 1 : j - 1]
-                    spread = before.std(ddof=1) if len(before) > 1 else 0.0
-                    x[j - 1], fixed[j - 1] = before.mean() + side[j - 1] * spread, True
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "x": x, "repaired": fixed})
-
-    return per_recording(df.withColumn("_sign", sign), run, "seq bigint, x double, repaired boolean", ["x", "_sign"])
-
-
-def group_events(df: DataFrame, width: float, inner: float) -> DataFrame:
-    """(rec_id, begin, end) of groups of events (rows whose event is true): a group takes the events up to width after its first; groups shorter than inner are widened on both sides."""
-
-    def run(pdf):
-        loc, n, out, a = (pdf.loc[pdf["event"], "seq"].to_numpy() + 1).tolist(), len(pdf), [], 0
-        while a < len(loc) - 1:
-            i = a
-            while i < len(loc) - 1 and loc[i] <= loc[a] + width:
-                i += 1
-            lo, hi = loc[a] - 1, loc[i - 1] + 1
+                    earlier = y[lo:here]
+                    y[here], fixed[i] = earlier.mean() + side[i] * (earlier.std(ddof=1) if len(earlier) > 1 else 0.0), True
+        mine = y[len(before) : len(before) + count]
+        return pd.DataFrame({"seq": seq[own], "x": mine, "repaired": fixed}), np.concatenate([before, mine])[-width - 1 :]
+
+    rows = df.select("rec_id", "seq", F.col("x").cast("double").alias("x")).withColumn("_sign", sign)
+    rows = chunks.with_halo(rows, max(size, width + 1), width + 1, width + 1).join(chunks.extent(df), "rec_id")
+    return chunks.recursion(rows, run, "seq bigint, x double, repaired boolean")
+
+
+def group_events(df: DataFrame, width: float, inner: float, size: int = CHUNK) -> DataFrame:
+    """(rec_id, begin, end) of groups of events (rows whose event is true): a group takes the events up to width after its first; groups shorter than inner are widened on both sides. A
+    recording's last event begins and closes no group."""
+    events = df.where("event").select("rec_id", F.col("seq").cast("bigint").alias("seq"))
+    last = events.groupBy("rec_id").agg(F.max("seq").alias("_last"))
+    rows = df.groupBy("rec_id").agg(F.count("*").alias("_n")).join(last, "rec_id")
+    most = max(size, int(width) + 1)
+    events = chunks.with_halo(events.join(rows, "rec_id").where("seq < _last"), most, 0, int(width) + 1)
+
+    def run(pdf, state):
+        """state: up to where events still belong to the last group that began before the chunk."""
+        own, loc, n, out, a = pdf["own"].to_numpy(), pdf["seq"].to_numpy() + 1, int(pdf["_n"].iloc[0]), [], 0
+        if state is not None:
+            a = int(np.searchsorted(loc, state, "right"))
+        mine = int(own.sum())
+        reach = state
+        while a < mine:
+            reach = loc[a] + width
+            b = int(np.searchsorted(loc, reach, "right"))
+            lo, hi = int(loc[a]) - 1, int(loc[b - 1]) + 1
             if hi - lo <= inner:
-                more = (inner - (loc[i - 1] - loc[a])) / 2
-                lo, hi = int(np.floor(loc[a] - more)), min(n, int(np.ceil(loc[i - 1] + more)))
+                more = (inner - (loc[b - 1] - loc[a])) / 2
+                lo, hi = int(np.floor(loc[a] - more)), min(n, int(np.ceil(loc[b - 1] + more)))
             else:
-                lo, hi = loc[a], loc[i - 1]
+                lo, hi = int(loc[a]), int(loc[b - 1])
             if lo > 0:
                 out.append((lo - 1, hi - 1))
-            a = i
-        return pd.DataFrame(out, columns=["begin", "end"], dtype="int64")
+            a = b
+        over = reach if reach is not None and reach > (int(pdf.loc[own, "chunk"].iloc[0]) + 1) * most else None
+        return pd.DataFrame(out, columns=["begin", "end"], dtype="int64"), over
 
-    return per_recording(df, run, "begin bigint, end bigint", ["event"])
+    return chunks.recursion(events, run, "begin bigint, end bigint")
 
 
 def matched_markers(t: list[float], which: list[int], most: float) -> list[tuple[int, int]]:
@@ -424,26 +445,155 @@ def viterbi_runs(loglik: np.ndarray, min_len: int | list[int]) -> list[tuple[int
     return out[::-1]
 
 
-def viterbi(df: DataFrame, min_len: int | list[int]) -> DataFrame:
-    """(rec_id, begin, end, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>)."""
+#: Steps of a log likelihood: sums of them are exact, so that equal sequences compare equal whatever the chunks.
+LIKELIHOOD_STEP = 2.0**-30
 
-    def run(pdf):
-        return pd.DataFrame(viterbi_runs(np.stack(pdf["loglik"].to_numpy()), min_len), columns=["begin", "end", "label"])
 
-    return per_recording(df, run, "begin bigint, end bigint, label int", ["loglik"])
+class StayDecoder:
+    """The likeliest sequence of viterbi_runs over a chunk of frames, from what the frames before it leave.
 
+    What enters a chunk: the best sums that end in each class at its edge, and the best sum of any class (with that class) at each of the last frames, all less the best at the edge. Going
+    forwards, each frame keeps for each class whether a stay just became long enough there. Going backwards, a chunk is left at its front in one of few ways: c, in the middle of a stay of
+    class c, or k + d * k + c, where a stay of class c began d frames before the front. So a chunk is a map from ways at its end to ways at its front; of the second kind only d counts."""
 
-def viterbi_labels(df: DataFrame) -> DataFrame:
-    """(rec_id, seq, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>, classes ARRAY<STRING>, lens ARRAY<INT>): the class of each frame on the likeliest sequence,
-    each stay as long as its class asks for. classes and lens are equal within a recording."""
+    def __init__(self, lens: list[int]):
+        self.lens, self.k, self.reach = np.asarray(lens), len(lens), int(max(lens))
+        self.step = round(-np.log(self.k + 1) / LIKELIHOOD_STEP)
+        self.start = round(-np.log(self.k) / LIKELIHOOD_STEP)
 
-    def run(pdf):
-        names, label = list(pdf["classes"].iloc[0]), np.empty(len(pdf), dtype=object)
-        for b, e, c in viterbi_runs(np.stack(pdf["loglik"].to_numpy()), list(pdf["lens"].iloc[0])):
-            label[b : e + 1] = names[c]
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "label": label})
+    NEVER = -(1 << 60)
+
+    def forward(self, loglik: np.ndarray, at: int, frames: int, state: tuple | None) -> dict:
+        """loglik: rows of the last frames before the chunk (reach of them, or all there are) and of the chunk; at: the place of the chunk's first frame in the recording."""
+        ll = np.rint(np.clip(loglik, -1e6, 1e6) / LIKELIHOOD_STEP).astype(np.int64)
+        before = len(ll) - frames
+        total = np.concatenate([np.zeros((1, self.k), np.int64), np.cumsum(ll, axis=0)])  # of local frames up to i
+        if state is None:  # the recording's start; elsewhere a guess: any class, long enough
+            begun = at == 0
+            end = np.full(self.k, self.NEVER if begun else 0, np.int64)
+            tops, bests = np.full(self.reach, self.NEVER if begun else 0, np.int64), np.zeros(self.reach, np.int64)
+            tops[-1] = self.start - self.step if begun else 0  # stays that begin with the recording
+        else:
+            end, tops, bests = state
+        tops, bests = np.concatenate([tops, np.empty(frames, np.int64)]), np.concatenate([bests, np.zeros(frames, np.int64)])
+        news, origin = np.zeros((frames, self.k), bool), np.arange(self.k)  # origin: the way at the front from each class's end
+        origins = np.zeros(frames + 1, np.int64)
+        classes = np.arange(self.k)
+        for i in range(frames):
+            t = at + i + 1
+            ago = self.reach + i + 1 - self.lens  # in tops: the edge before the chunk is at reach
+            enter = np.where(self.lens <= t, tops[np.maximum(ago - 1, 0)] + self.step, self.NEVER)
+            lo = np.maximum(before + i + 1 - self.lens, 0)
+            enter = np.where(enter > self.NEVER // 2, enter + total[before + i + 1] - total[lo, classes], self.NEVER)
+            stay = np.where(end > self.NEVER // 2, end + self.step + ll[before + i], self.NEVER)
+            news[i] = enter > stay
+            end = np.where(news[i], enter, stay)
+            local = i + 1 - self.lens  # frames of the chunk before the stay
+            origin = np.where(news[i], np.where(local > 0, origins[np.maximum(local, 0)], self.k - np.minimum(local, 0) * self.k + classes), origin)
+            best = int(np.argmax(end))
+            bests[self.reach + i], origins[i + 1] = best, origin[best]
+            top = end[best]
+            if top > self.NEVER // 2:  # sums stay small
+                end = np.where(end > self.NEVER // 2, end - top, self.NEVER)
+                tops[: self.reach + i] = np.where(tops[: self.reach + i] > self.NEVER // 2, tops[: self.reach + i] - top, self.NEVER)
+                top = 0
+            tops[self.reach + i] = top
+        ways = np.concatenate([origin, [origins[frames - d] if d < frames else self.k + (d - frames) * self.k for d in range(self.reach)]])
+        return {"state": (end, tops[-self.reach :], bests[-self.reach :]), "news": news, "bests": bests, "ways": ways, "last": int(np.argmax(end))}
+
+    def labels(self, f: dict, way: int) -> np.ndarray:
+        """The classes of a chunk's frames, from the way at its end."""
+        frames = len(f["news"])
+        out, i, c = np.full(frames, (way - self.k) % self.k), frames, way
+        if way >= self.k:
+            i -= (way - self.k) // self.k
+            c = int(f["bests"][self.reach + i - 1]) if i > 0 else -1
+        while i > 0:
+            here = np.flatnonzero(f["news"][:i, c])
+            new = int(here[-1]) if len(here) else -1
+            if new < 0:
+                out[:i] = c
+                break
+            begin = max(0, new + 1 - int(self.lens[c]))
+            out[begin:i] = c
+            i = begin if new + 1 - int(self.lens[c]) > 0 else 0
+            c = int(f["bests"][self.reach + i - 1]) if i > 0 else -1
+        return out
+
+
+def _decoded(df: DataFrame, lens_of, cols: list[str], size: int) -> DataFrame:
+    """(rec_id, seq, _class): the class's number of each frame (rec_id, seq, loglik) on the likeliest sequence; lens_of(rows) gives the classes' least stays."""
+    longest = df.agg(F.max(cols[0])).first()[0] if cols else max(lens_of(None))
+    if longest is None:
+        return df.select("rec_id", "seq", F.lit(0).alias("_class")).where("false")
+    size = max(size, int(longest))
+    rows = chunks.with_halo(df.select("rec_id", "seq", "loglik", *[c for c in df.columns if c == "_lens"]), size, int(longest), 0)
+    rows = rows.join(chunks.extent(df), "rec_id")
+
+    def forward(pdf, state):
+        own = pdf["own"].to_numpy()
+        d, loglik = StayDecoder(lens_of(pdf)), np.stack(pdf["loglik"].to_numpy()).astype(float)
+        at, frames = int(pdf["seq"].to_numpy()[own][0] - pdf["_first"].iloc[0]), int(own.sum())
+        keep = len(loglik) - frames - min(d.reach, len(loglik) - frames)
+        return d, d.forward(loglik[keep:], at, frames, state)
+
+    def run(pdf, state):
+        return None, forward(pdf, state)[1]["state"]
+
+    states = chunks.fixpoint(rows, run, 0.0)
+
+    def ways(pdf, state):
+        _, f = forward(pdf, state)
+        return pd.DataFrame({"chunk": [pdf.loc[pdf["own"], "chunk"].iloc[0]], "_ways": [f["ways"]], "_best": [f["last"]], "_k": [len(f["ways"]) - len(f["state"][1])]}), None
+
+    def follow(pdf):
+        pdf = pdf.sort_values("chunk", ascending=False)
+        way, out, k = int(pdf["_best"].iloc[0]), [], int(pdf["_k"].iloc[0])
+        for w in pdf["_ways"]:
+            out.append(way)
+            way = int(w[way if way < k else k + (way - k) // k])
+        return pdf.assign(_way=out)[["rec_id", "chunk", "_way"]]
+
+    maps = cut(chunks.from_states(rows, states, ways, "chunk bigint, _ways array<bigint>, _best bigint, _k bigint"), "chunk-ways")
+    left = cut(maps.groupBy("rec_id").applyInPandas(follow, f"rec_id {chunks.key_type(df)}, chunk bigint, _way bigint").join(states, ["rec_id", "chunk"]), "chunk-ways")  # a row a chunk
+
+    def label(pdf, own):
+        pdf = pdf.sort_values("seq")
+        if not len(pdf) or not len(own):
+            return pd.DataFrame({"rec_id": [], "seq": [], "_class": []})
+        mine, way = pdf["own"].to_numpy(), int(own["_way"].iloc[0])
+        d, f = forward(pdf, pickle.loads(own["state"].iloc[0]))
+        n = int(pdf["_n"].iloc[0])
+        if n < d.lens.min():  # shorter than any stay: one chunk
+            out = np.full(n, int(np.argmax(np.stack(pdf["loglik"].to_numpy()).astype(float).sum(axis=0))))
+        else:
+            out = d.labels(f, way)
+        return pd.DataFrame({"rec_id": pdf["rec_id"][mine], "seq": pdf["seq"][mine], "_class": out})
 
-    return per_recording(df, run, "seq bigint, label string", ["loglik", "classes", "lens"])
+    kind = df.schema["seq"].dataType.simpleString()
+    return rows.groupBy("rec_id", "chunk").cogroup(left.groupBy("rec_id", "chunk")).applyInPandas(label, f"rec_id {chunks.key_type(df)}, seq {kind}, _class int")
+
+
+def viterbi(df: DataFrame, min_len: int | list[int], size: int = CHUNK) -> DataFrame:
+    """(rec_id, begin, end, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>), in places from 0: the sequence of viterbi_runs."""
+
+    def lens(pdf):
+        if pdf is None:
+            return [min_len] if np.isscalar(min_len) else list(min_len)
+        return [min_len] * len(pdf["loglik"].iloc[0]) if np.isscalar(min_len) else list(min_len)
+
+    d = df.select("rec_id", "seq", "loglik")
+    found = cut(_decoded(d, lens, [], size), "decoded").join(chunks.extent(d), "rec_id")
+    return label_runs(found.select("rec_id", (F.col("seq") - F.col("_first")).cast("bigint").alias("seq"), F.col("_class").alias("label"))).select("rec_id", "begin", "end", "label")
+
+
+def viterbi_labels(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(rec_id, seq, label) from frames (rec_id, seq, loglik ARRAY<DOUBLE>, classes ARRAY<STRING>, lens ARRAY<INT>): the class of each frame on the likeliest sequence,
+    each stay as long as its class asks for. classes and lens are equal within a recording."""
+    d = df.select("rec_id", "seq", "loglik", F.col("lens").alias("_lens"))
+    found = _decoded(d, lambda pdf: list(pdf["_lens"].iloc[0]), [F.array_max("_lens")], size)
+    names = df.groupBy("rec_id").agg(F.first("classes").alias("_names"))
+    return found.join(names, "rec_id").select("rec_id", "seq", F.element_at("_names", F.col("_class") + 1).alias("label"))
 
 
 #: Frames whose mean is the first noise estimate.
@@ -466,14 +616,14 @@ def noise_step(power: np.ndarray, state: dict | None, smooth: float = 0.8, prese
     return out, {"noise": noise, "mean": mean}
 
 
-def noise_mmse(spectra: DataFrame) -> DataFrame:
+def noise_mmse(spectra: DataFrame, size: int = CHUNK) -> DataFrame:
     """(rec_id, seq, noise ARRAY<DOUBLE>) from frames (rec_id, seq, power ARRAY<DOUBLE>)."""
 
-    def run(pdf):
-        out, _ = noise_step(np.stack(pdf["power"].to_numpy()), None)
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "noise": list(out)})
+    def run(pdf, state):
+        out, state = noise_step(np.stack(pdf["power"].to_numpy()), state)
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "noise": list(out)}), state
 
-    return per_recording(spectra, run, "seq bigint, noise array<double>", ["power"])
+    return chunks.recursion(chunks.chunked(spectra.select("rec_id", "seq", "power"), max(size, NOISE_START)), run, "seq bigint, noise array<double>")
 
 
 def gmm_em(x: np.ndarray, k: int, iterations: int = 350, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:

@@ -215,15 +215,8 @@ def stitch_chunks(segs: DataFrame, chunk_len: int) -> DataFrame:
         "begin": F.col("begin") + F.col("chunk") * chunk_len, "end": F.col("end") + F.col("chunk") * chunk_len, "label": F.col("label") + F.col("_before")}).drop("_before")
 
 
-def ema(df: DataFrame, lam: float, col: str = "x") -> DataFrame:
-    """(rec_id, seq, ema): y = lam y(-1) + (1 - lam) x, from zero; a true recursion, so one pass over each recording's rows."""
-
-    def run(pdf):
-        pdf, y, out = pdf.sort_values("seq"), 0.0, []
-        for v in pdf[col].tolist():
-            y = lam * y + (1 - lam) * v
-            out.append(y)
-        return pdf.assign(ema=out)[["rec_id", "seq", "ema"]]
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.groupBy("rec_id").applyInPandas(run, f"rec_id {types['rec_id']}, seq {types['seq']}, ema double")
+def ema(df: DataFrame, lam: float, col: str = "x", size: int | None = None) -> DataFrame:
+    """(rec_id, seq, ema): y = lam y(-1) + (1 - lam) x, from zero, over recordings of any length."""
+    from tidemark.operators import chunks  # its Spark jobs need nothing of this module
+
+    return chunks.linear_scan(df, chunks.Linear([[lam]], [1 - lam], [1.0]), col, "ema", size or chunks.CHUNK)
