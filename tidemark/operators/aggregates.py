@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import at_ranks
+from tidemark.operators.vectors import _few
 from tidemark.operators.windows import REC, q1_of, q3_of
+from tidemark.sources.scratch import cut
 
 
 def with_tail(df: DataFrame, size: int, hop: int, tail: str, col: str = "x") -> DataFrame:
@@ -78,13 +81,21 @@ def band_powers(psd: DataFrame, fs: float, key: tuple[str, ...] = ("rec_id", "wi
     return psd.groupBy(*key).agg(*agg, (F.avg("p") * fs / 2 * 1e6).alias("tp")).withColumn("lf_hf", F.expr("try_divide(lf, hf)"))
 
 
+def quantiles_n1(df: DataFrame, key: str, col: str, named: dict[str, float]) -> DataFrame:
+    """(key, a column for each name): quantiles of rank (n + 1) p, interpolated; ranks outside 1..n are clamped. Rows are counted and picked by at_ranks, so no key's rows meet in one task."""
+    n = df.where(F.col(col).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    ps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in named.items()))
+    m = F.greatest(F.least((F.col("_n") + 1) * F.col("q.p"), F.col("_n").cast("double")), F.lit(1.0))
+    wanted = cut(n.withColumn("q", F.explode(ps)).select(key, "q.name", m.alias("_m"), F.floor(m).alias("_lo"), F.least(F.floor(m) + 1, F.col("_n")).alias("_hi")), "wanted-ranks")
+    found = cut(at_ranks(df, wanted.select(key, F.explode(F.array("_lo", "_hi")).alias("rank")), key, col).select(key, "rank", F.col("value").cast("double").alias("value")), "found-ranks")
+    both = wanted.join(found.select(key, F.col("rank").alias("_lo"), F.col("value").alias("_a")), [key, "_lo"]).join(found.select(key, F.col("rank").alias("_hi"), F.col("value").alias("_b")), [key, "_hi"])
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_m") - F.col("_lo"))
+    return both.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in named))
+
+
 def quantile_n1(df: DataFrame, key: str, col: str, p: float) -> DataFrame:
     """Quantile of rank (n + 1) p, interpolated; ranks outside 1..n are clamped."""
-    w = Window.partitionBy(key)
-    r = df.where(F.col(col).isNotNull()).withColumns({"_rn": F.row_number().over(w.orderBy(col)), "_n": F.count("*").over(w)})
-    r = r.withColumn("_m", F.greatest(F.least((F.col("_n") + 1) * F.lit(p), F.col("_n").cast("double")), F.lit(1.0)))
-    lo, hi = F.max(F.when(F.col("_rn") == F.floor("_m"), F.col(col))), F.max(F.when(F.col("_rn") == F.least(F.floor("_m") + 1, F.col("_n")), F.col(col)))
-    return r.groupBy(key).agg((lo + (hi - lo) * (F.max("_m") - F.floor(F.max("_m")))).alias("quantile"))
+    return quantiles_n1(df, key, col, {"quantile": p})
 
 
 def quartiles_mid(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -95,9 +106,9 @@ def quartiles_mid(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def energy_confidence(framed: DataFrame, key: str = "label", energy: str = "energy") -> DataFrame:
     """Frames with their class's thresholds Q3 + 1.5 IQR and Q3 + 3 IQR, and where they lie: 0 under, 1 between, 2 over."""
-    q1, q3 = quantile_n1(framed, key, energy, 0.25).withColumnRenamed("quantile", "q1"), quantile_n1(framed, key, energy, 0.75).withColumnRenamed("quantile", "q3")
-    t = q1.join(q3, key).select(key, (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("mild"), (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("extreme"))
-    return framed.join(F.broadcast(t), key).withColumn("level", (F.col(energy) > F.col("mild")).cast("int") + (F.col(energy) > F.col("extreme")).cast("int"))
+    t = quantiles_n1(framed, key, energy, {"q1": 0.25, "q3": 0.75})
+    t = t.select(key, (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("mild"), (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("extreme"))
+    return framed.join(_few(t), key).withColumn("level", (F.col(energy) > F.col("mild")).cast("int") + (F.col(energy) > F.col("extreme")).cast("int"))
 
 
 def confusion(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -109,8 +120,8 @@ def confusion(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFr
 def prosody_summary(df: DataFrame, key: str, pitch: str = "pitch", harmonicity: str = "harmonicity", f4: str = "f4", f5: str = "f5", dispersion: str = "dispersion") -> DataFrame:
     """Per segment: median, 5 % quantile and mean of pitch, mean harmonicity, spread, 5 % quantile and mean of formants four and five, mean dispersion."""
     out = df.groupBy(key).agg(F.avg(pitch).alias("pitch_mean"), F.avg(harmonicity).alias("harmonicity_mean"), *(f(c).alias(f"{n}_{s}") for c, n in ((f4, "f4"), (f5, "f5")) for f, s in ((F.stddev_samp, "std"), (F.avg, "mean"))), F.avg(dispersion).alias("dispersion_mean"))
-    for c, p, n in ((pitch, 0.5, "pitch_median"), (pitch, 0.05, "pitch_p05"), (f4, 0.05, "f4_p05"), (f5, 0.05, "f5_p05")):
-        out = out.join(quantile_n1(df, key, c, p).withColumnRenamed("quantile", n), key)
+    for c, named in ((pitch, {"pitch_median": 0.5, "pitch_p05": 0.05}), (f4, {"f4_p05": 0.05}), (f5, {"f5_p05": 0.05})):
+        out = out.join(quantiles_n1(df, key, c, named), key)
     return out
 
 
@@ -126,11 +137,15 @@ def n_clusters(segs: DataFrame) -> DataFrame:
 
 
 def normalize_balanced(df: DataFrame, cls: str, col: str, order: str) -> DataFrame:
-    """z-scores by the mean and deviation over equally long beginnings of the classes, less their mean over all rows."""
-    w = Window.partitionBy(cls)
-    least = df.groupBy(cls).count().agg(F.min("count").alias("_least"))
-    r = df.withColumn("_rn", F.row_number().over(w.orderBy(order)))
-    stats = r.join(F.broadcast(least), F.col("_rn") <= F.col("_least")).agg(F.avg(col).alias("_mu"), F.stddev_samp(col).alias("_sd"))
+    """z-scores by the mean and deviation over equally long beginnings of the classes, less their mean over all rows. A class's beginning ends at the value of order whose rank is the
+    smallest class's size; rows that tie there share what is left of the beginning."""
+    counts = df.where(F.col(cls).isNotNull()).groupBy(cls).agg(F.count("*").alias("_m"))
+    least = counts.agg(F.min("_m")).first()[0]
+    ends = at_ranks(df, counts.select(cls, F.lit(least).alias("rank")), cls, order).select(cls, F.col("value").alias("_end"), ((F.lit(least) - F.col("below")) / F.col("ties")).alias("_part"))
+    share = F.when(F.col(order) < F.col("_end"), 1.0).when(F.col(order) == F.col("_end"), F.col("_part")).otherwise(0.0)
+    r = df.join(_few(cut(ends, "class-ends")), cls).withColumn("_w", share).where(F.col("_w") > 0)
+    mean = r.agg((F.sum(F.col("_w") * F.col(col)) / F.sum("_w")).alias("_mu"))
+    stats = r.join(F.broadcast(mean), F.lit(True)).agg(F.first("_mu").alias("_mu"), F.sqrt(F.sum(F.col("_w") * F.pow(F.col(col) - F.col("_mu"), 2)) / (F.sum("_w") - 1)).alias("_sd"))
     z = df.join(F.broadcast(stats), F.lit(True)).withColumn("_z", F.expr(f"try_divide({col} - _mu, _sd)"))  # one row
     mean = z.agg(F.avg("_z").alias("_mean"))
     return z.join(F.broadcast(mean), F.lit(True)).withColumn("z", F.col("_z") - F.col("_mean")).drop("_mu", "_sd", "_z", "_mean")

@@ -213,7 +213,7 @@ def detect_rpeaks(ecg: DataFrame, fs: float, lam: float = 0.2, size: int = CHUNK
     turned = chunks.with_halo(dithered.select("rec_id", "seq", "_s"), size, 1, 0).withColumn("x", F.coalesce(F.abs(F.col("_s") - F.lag("_s").over(w)) / 2, F.lit(0.0))).where("own").select("rec_id", "seq", "x")
     count = cut(windows.ema(cut(turned, "turns"), 1 - lam, size=size), "counts")
     usual = windows.ema(count, 1 - lam, "ema", size=size).withColumnRenamed("ema", "_usual")
-    events = count.join(usual, ["rec_id", "seq"]).select("rec_id", "seq", (F.col("ema") < F.col("_usual")).alias("event"))
+    events = count.join(usual, ["rec_id", "seq"]).select("rec_id", "seq", (F.col("ema") < F.col("_usual") - 1e-9).alias("event"))
     prepared = cut(e.select("rec_id", "seq", (F.col("e") * 1.1412).alias("x")).join(events, ["rec_id", "seq"]), "events")
     groups = group_events(prepared, 0.25 * fs, 0.05 * fs, size)
     return windows.amplitude_gate(intervals.peak_in_interval(prepared, groups), prepared)

@@ -1,6 +1,6 @@
 """Speech, silence and noise by class models that are fitted again to each recording, and speakers by merging with frames assigned anew between merges.
 Recordings are keyed tables of frames; models are rows (rec_id, label, comp, weight, mean, var), joined by recording. Rounds are few and fixed, and each
-cuts its lineage by a checkpoint."""
+cuts its lineage by a table in the shared folder."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregates import quantile_n1
+from tidemark.operators.aggregates import quantile_n1, quantiles_n1
 from tidemark.operators.models import merge_round
 from tidemark.operators.signal import fit_gmm, viterbi_labels
+from tidemark.sources.scratch import cut
 
 #: Components of each class's first mixture, and its least stay in frames of 10 ms.
 COMPONENTS = {"noise": 8, "silence": 6, "speech": 12}
@@ -113,26 +114,17 @@ def relabel(frames: DataFrame, params: DataFrame, vector: str, least: dict | int
     return frames.drop("label").join(out, ["rec_id", "seq"])
 
 
-def quantiles(df: DataFrame, key: str, col: str, **named: float) -> DataFrame:
-    """One row a key with quantiles by rank (n + 1) p under the given names."""
-    out = None
-    for name, p in named.items():
-        q = quantile_n1(df, key, col, p).withColumnRenamed("quantile", name)
-        out = q if out is None else out.join(q, key)
-    return out
-
-
 def confident_background(frames: DataFrame, level: float) -> DataFrame:
     """Silent and noisy frames (energy, zcr) that there's little doubt about, by recording. Silence: energy not over its third quartile by more than 1.5 ranges.
     Noise: frames called noise, and silent ones over by more than 3 ranges, whose energy is over that bound and not under the quantile level of
     them all, and whose crossings are not under the silence's third quartile by 1.5 ranges more. Recordings without silence give nothing."""
     silent = frames.where("label = 'silence'")
-    e = quantiles(silent, "rec_id", "energy", q1=0.25, q3=0.75).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_mild"), (4 * F.col("q3") - 3 * F.col("q1")).alias("_far"))
+    e = quantiles_n1(silent, "rec_id", "energy", {"q1": 0.25, "q3": 0.75}).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_mild"), (4 * F.col("q3") - 3 * F.col("q1")).alias("_far"))
     d = frames.where("label IN ('silence', 'noise')").join(e, "rec_id")
     calm = d.where("label = 'silence' AND energy <= _mild").drop("_mild", "_far")
     loud = d.where("label = 'noise' OR energy > _far").withColumn("label", F.lit("noise"))
     loud = loud.join(quantile_n1(loud, "rec_id", "energy", level).withColumnRenamed("quantile", "_q"), "rec_id").where("energy >= _far AND energy >= _q").drop("_mild", "_far", "_q")
-    z = quantiles(calm, "rec_id", "zcr", q1=0.25, q3=0.75).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_z"))
+    z = quantiles_n1(calm, "rec_id", "zcr", {"q1": 0.25, "q3": 0.75}).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_z"))
     return calm.unionByName(loud.join(z, "rec_id").where("zcr >= _z").drop("_z"))
 
 
@@ -154,42 +146,42 @@ def vad_hmm(frames: DataFrame, bootstrap: DataFrame, vector: str = "feats", seed
     """(rec_id, seq, label) of frames (rec_id, seq, feats ARRAY, energy, zcr). Labels come from the bootstrap models first; then silence and noise are fitted
     again on confident frames, then all three on their own frames, rounds each. Where speech and noise in one mixture have a larger BIC (drop_noise
     "larger": noise counts as speech where it is unlike it) or a smaller one ("smaller") than in two, the noise model is dropped and the others are fitted again. A class that a recording has too few frames for keeps its model from before. Confidence is told by
-    frame, not by windows of a quarter of a second. Needs a checkpoint folder on the context. No frames, no rows."""
+    frame, not by windows of a quarter of a second. No frames, no rows."""
     most = {**{c: k for c, k in COMPONENTS.items() if c != "speech"}, "speech": OWN_SPEECH} if components is None else components
     least = least or LEAST_FRAMES
     base = frames.select("rec_id", "seq", vector, "energy", "zcr")
     names = ["rec_id", "label", "comp", "weight", "mean", "var"]
     params = base.select("rec_id").distinct().crossJoin(F.broadcast(bootstrap.select(*names[1:])))  # a model's rows are few: MOST_NUMBERS bounds them
-    now = relabel(base, params, vector, least).checkpoint()
+    now = cut(relabel(base, params, vector, least))
 
     def renewed(params: DataFrame, fits: DataFrame) -> DataFrame:
         return params.join(fits.select("rec_id", "label").distinct(), ["rec_id", "label"], "left_anti").unionByName(fits.select(*names))
 
     background = {c: k for c, k in most.items() if c != "speech"}
     for i in range(rounds[0] + 1):  # the first time only the loudest quarter is noise, then ever more
-        params = renewed(params, own_models(confident_background(now, 0.75 if i == 0 else max(0.7 - 0.1 * i, 0.4)), vector, background, seed)).checkpoint()
-        now = relabel(base, params, vector, least).checkpoint()
+        params = cut(renewed(params, own_models(confident_background(now, 0.75 if i == 0 else max(0.7 - 0.1 * i, 0.4)), vector, background, seed)))
+        now = cut(relabel(base, params, vector, least))
     fits = None
     for _ in range(rounds[1]):
-        fits = own_models(now, vector, most, seed).checkpoint()
-        params = renewed(params, fits).checkpoint()
-        now = relabel(base, params, vector, least).checkpoint()
+        fits = cut(own_models(now, vector, most, seed))
+        params = cut(renewed(params, fits))
+        now = cut(relabel(base, params, vector, least))
     if fits is None or "noise" not in most:
         return now.select("rec_id", "seq", "label")
     apart = fits.where("label IN ('speech', 'noise') AND comp = 0").groupBy("rec_id").agg(F.sum("bic").alias("apart"), F.count("*").alias("n")).where("n = 2")
     both = now.where("label IN ('speech', 'noise')").withColumn("label", F.lit("both"))
     joint = own_models(both, vector, {"both": most["speech"] + most["noise"]}, seed).where("comp = 0").select("rec_id", F.col("bic").alias("joint"))
-    same = apart.join(joint, "rec_id").where({"larger": "joint > apart", "smaller": "joint < apart"}[drop_noise]).select("rec_id").checkpoint()
-    params = params.join(same.withColumn("label", F.lit("noise")), ["rec_id", "label"], "left_anti").checkpoint()
+    same = cut(apart.join(joint, "rec_id").where({"larger": "joint > apart", "smaller": "joint < apart"}[drop_noise]).select("rec_id"))
+    params = cut(params.join(same.withColumn("label", F.lit("noise")), ["rec_id", "label"], "left_anti"))
     redo = base.join(same, "rec_id", "left_semi")
     done = now.join(same, "rec_id", "left_anti").select("rec_id", "seq", "label")
     if same.isEmpty():
         return done
     params = params.join(same, "rec_id", "left_semi")
-    now = relabel(redo, params, vector, least).checkpoint()
+    now = cut(relabel(redo, params, vector, least))
     for _ in range(rounds[2]):
-        params = renewed(params, own_models(now, vector, {c: k for c, k in most.items() if c != "noise"}, seed)).checkpoint()
-        now = relabel(redo, params, vector, least).checkpoint()
+        params = cut(renewed(params, own_models(now, vector, {c: k for c, k in most.items() if c != "noise"}, seed)))
+        now = cut(relabel(redo, params, vector, least))
     return done.unionByName(now.select("rec_id", "seq", "label"))
 
 
@@ -206,12 +198,12 @@ def resegment(frames: DataFrame, g: int, least: int, seed: int = 0) -> DataFrame
 
 def diarise(frames: DataFrame, g: int, least: int = 250, rounds: int = 25, seed: int = 0) -> DataFrame:
     """frames (rec_id, seq, label, v) after training, assignment and merging in turn: each round fits the labels' mixtures, assigns frames anew and merges the pair of
-    the least change of BIC, if not over zero. Ends when no recording merges. Needs a checkpoint folder on the context."""
+    the least change of BIC, if not over zero. Ends when no recording merges."""
     own = frames.select("rec_id", "seq", "label", "v")
     for _ in range(rounds):
-        own = resegment(own, g, least, seed).checkpoint()
+        own = cut(resegment(own, g, least, seed))
         before = own.select("rec_id", "label").distinct().count()
-        own = merge_round(own, g).select("rec_id", "seq", "label", "v").checkpoint()
+        own = cut(merge_round(own, g).select("rec_id", "seq", "label", "v"))
         if own.select("rec_id", "label").distinct().count() == before:
             break
     return own

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.relational import folds
 from tidemark.operators.signal import fit_gmm, select_gmm
 from tidemark.operators.vectors import score_gmm
+from tidemark.sources.scratch import cut
 
 MOVEMENT_FEATURES = ("body_energy_ave", "body_abs_mean", "body_std")
 STRESS_FEATURES = ("mean_rr", "rmssd", "pnn50", "skewness", "lf", "hf", "lf_hf")
@@ -64,10 +67,10 @@ def merge_round(frames: DataFrame, g: int) -> DataFrame:
 
 
 def merge_clusters(frames: DataFrame, g: int, rounds: int = 25) -> DataFrame:
-    """merge_round until nothing changes; each round is checkpointed."""
+    """merge_round until nothing changes; each round is a table in the shared folder."""
     before = frames.select("rec_id", "label").distinct().count()
     for _ in range(rounds):
-        frames = merge_round(frames, g).checkpoint()
+        frames = cut(merge_round(frames, g))
         now = frames.select("rec_id", "label").distinct().count()
         if now == before:
             break
@@ -86,30 +89,33 @@ def drop_worst(feats: DataFrame, params: DataFrame, key: str, vector: str, share
     return feats.join(s.join(F.broadcast(cut), F.col("log_density") > F.col("_c")).select(key), key, "left_semi")
 
 
-def kmeans_harmonic_step(x: DataFrame, centers: DataFrame, key: str, vector: str, e: float = 4.0) -> DataFrame:
-    """(center, mean) after one round of k-harmonic means: a row weighs d^(-e-2) / (sum of d^-e)^2 in each of few centres."""
-    all_ = centers.agg(F.collect_list(F.struct("center", "mean")).alias("_c"))
-    d = f"transform(_c, c -> greatest(sqrt(aggregate(zip_with(cast({vector} AS array<double>), c.mean, (a, b) -> (a - b) * (a - b)), 0D, (a, b) -> a + b)), 1e-9D))"
-    w = x.join(F.broadcast(all_), F.lit(True)).withColumn("_d", F.expr(d)).withColumn("_s", F.expr(f"aggregate(_d, 0D, (s, d) -> s + pow(d, -{e}D))"))
-    each = w.select(F.col(vector).alias("_v"), F.explode(F.expr(f"zip_with(_c, _d, (c, d) -> named_struct('center', c.center, 'w', pow(d, -{e + 2}D) / (_s * _s)))")).alias("q"))
-    sums = each.select("q.center", "q.w", F.posexplode("_v").alias("k", "v")).groupBy("center", "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return sums.groupBy("center").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("a")).select("center", F.col("a.m").alias("mean"))
-
-
-def lda_fit(df: DataFrame, vector: str, label: str, n: int):
-    """Matrix [place, n] of the n directions with the largest ratio of scatter between classes to scatter within; sums by Spark, a small eigenproblem here."""
-    import numpy as np
-
-    e = df.select(F.monotonically_increasing_id().alias("_r"), label, F.col(vector).alias("_v"))
-    size = df.select(F.size(vector)).first()[0]
-    cols = [F.sum(F.col("_v")[i].cast("double")).alias(f"s{i}") for i in range(size)]
-    sums = e.groupBy(label).agg(F.count("*").alias("n"), *cols).collect()
-    each = e.select(F.posexplode("_v").alias("i", "a"), "_v").select("i", "a", F.posexplode("_v").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("q")).collect()
-    total = np.zeros((size, size))
-    for r in each:
-        total[r["i"], r["j"]] = r["q"]
-    counts = np.array([r["n"] for r in sums], float)
-    m = np.array([[r[f"s{i}"] for i in range(size)] for r in sums]) / counts[:, None]
+def lda_fit(df: DataFrame, vector: str, label: str, n: int) -> np.ndarray:
+    """Matrix [place, n] of the n directions with the largest ratio of scatter between classes to scatter within. Each task adds up its rows' products in one matrix and its classes' sums; tasks'
+    sums are added by place, and a small eigenproblem is solved here. Null vectors and labels are left out."""
+    rows = df.select(F.col(label).cast("string").alias("c"), F.col(vector).cast("array<double>").alias("v")).where("c IS NOT NULL AND v IS NOT NULL")
+
+    def add_up(batches):
+        total, classes = None, {}
+        for b in batches:
+            if not len(b):
+                continue
+            z = np.stack(b["v"].to_numpy())
+            total = z.T @ z if total is None else total + z.T @ z
+            for c, own in b.groupby("c").indices.items():
+                m, s = classes.get(c, (0, 0.0))
+                classes[c] = (m + len(own), s + z[own].sum(axis=0))
+        if total is not None:
+            yield pd.DataFrame({"c": [None, *classes], "n": [0, *(m for m, _ in classes.values())], "s": [total.ravel().tolist(), *(s.tolist() for _, s in classes.values())]})
+
+    part = rows.mapInPandas(add_up, "c string, n bigint, s array<double>")
+    sums = part.select("c", "n", F.posexplode("s").alias("k", "a")).groupBy("c", "k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    got = sums.groupBy("c").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "a"))).alias("s")).collect()  # a row a class, and one of places squared
+    one = {r["c"]: (r["n"], np.array([q["a"] for q in r["s"]])) for r in got}
+    total = one.pop(None)[1]
+    size = round(len(total) ** 0.5)
+    total = total.reshape(size, size)
+    counts = np.array([m for m, _ in one.values()], float)
+    m = np.array([s for _, s in one.values()]) / counts[:, None]
     grand = counts @ m / counts.sum()
     within = total - (m * counts[:, None]).T @ m
     between = ((m - grand) * counts[:, None]).T @ (m - grand)

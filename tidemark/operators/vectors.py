@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def distances(x: DataFrame, centers: DataFrame, vector: str, weights: list[float
         raise ValueError(f"more than {FEW} centres: their distances to all rows are an all-pairs join; use nearest on groups of centres")
     w = F.array(*(F.lit(float(v)) for v in weights)) if weights else None
     d = squared_distance(F.col(vector).cast("array<double>"), F.col("mean"), w)
-    return x.join(F.broadcast(centers), F.lit(True)).withColumn("distance", F.sqrt(d) if root else d)
+    return x.join(F.broadcast(centers), F.lit(True)).withColumn("distance", F.sqrt(d) if root else d)  # counted above
 
 
 def row_distances(x: DataFrame, y: DataFrame, key: str, vector: str, weights: list[float] | None = None, root: bool = False) -> DataFrame:
@@ -54,27 +56,92 @@ def row_distances(x: DataFrame, y: DataFrame, key: str, vector: str, weights: li
     return both.select(key, (F.sqrt(d) if root else d).alias("distance"))
 
 
-def nearest(x: DataFrame, centers: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, center, distance): the nearest centre, found within the row: the few centres come as one array."""
+def with_nearest(x: DataFrame, centers: DataFrame, vector: str) -> DataFrame:
+    """Rows with their nearest centre and its squared distance, found within the row: the few centres come as one array, so no row is shuffled. Of equally near centres the first."""
+    if centers.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} centres don't go to every row; use nearest on groups of centres")
     all_ = centers.agg(F.collect_list(F.struct("center", "mean")).alias("_c"))
     best = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector).cast("array<double>"), c["mean"]).alias("distance"), c["center"].alias("center"))))
-    return x.join(F.broadcast(all_), F.lit(True)).select(key, best.alias("_b")).select(key, "_b.center", "_b.distance")
+    return x.join(F.broadcast(all_), F.lit(True)).withColumn("_b", best).withColumns({"center": F.col("_b.center"), "distance": F.col("_b.distance")}).drop("_b", "_c")
+
+
+def nearest(x: DataFrame, centers: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, center, distance) of with_nearest."""
+    return with_nearest(x.select(key, vector), centers, vector).select(key, "center", "distance")
 
 
 def kmeans_step(x: DataFrame, centers: DataFrame, key: str, vector: str) -> DataFrame:
-    """(center, mean) after one round; a centre without rows drops out."""
-    own = x.join(nearest(x, centers, key, vector).select(key, "center"), key)
-    return means(own, vector, "center").select("center", "mean")
+    """(center, mean) after one round; a centre without rows drops out (kmeans moves it)."""
+    return means(with_nearest(x.select(key, vector), centers, vector), vector, "center").select("center", "mean")
 
 
-def kmeans(x: DataFrame, centers: DataFrame, key: str, vector: str, rounds: int) -> DataFrame:
-    """Rounds of k-means; centres are collected each round (few by contract), which cuts the lineage."""
+def kmeans(x: DataFrame, centers: DataFrame, key: str, vector: str, rounds: int, errors: list[float] | None = None) -> DataFrame:
+    """(center, mean) after rounds of k-means, or when a round changes nothing. Centres without rows move to the rows farthest from their own centres (of equally far ones those of the least keys),
+    rows on a centre left out; without such a row a centre stays, so that none is ever lost. errors, if given, gets each round's mean squared distance. Centres are collected each
+    round (few by contract), which cuts the lineage."""
+    spark = x.sparkSession
     for _ in range(rounds):
-        step = kmeans_step(x, centers, key, vector)
-        centers = x.sparkSession.createDataFrame(step.collect(), step.schema)
+        near = with_nearest(x.select(key, vector), centers, vector)
+        before = {r["center"]: [float(v) for v in r["mean"]] for r in centers.collect()}
+        step = means(near, vector, "center").select("center", F.col("mean").cast("array<double>").alias("mean"))
+        now = {r["center"]: r["mean"] for r in step.collect()}
+        lost = sorted(before.keys() - now.keys())
+        if lost:
+            far = near.where("distance > 0").orderBy(F.desc("distance"), key).limit(len(lost)).select(F.col(vector).cast("array<double>").alias("v")).collect()
+            now |= {c: r["v"] for c, r in zip(lost, far, strict=False)}
+            now |= {c: before[c] for c in lost[len(far) :]}
+        if errors is not None:
+            errors.append(near.agg(F.avg("distance")).first()[0])
+        centers = spark.createDataFrame(sorted(now.items()), step.schema)
+        if now == before:
+            break
     return centers
 
 
+def kmeans_harmonic(x: DataFrame, centers: DataFrame, vector: str, e: float = 4.0, rounds: int = 50, tolerance: float = 1e-3, errors: list[float] | None = None) -> DataFrame:
+    """(center, mean) of k-harmonic means: a row weighs d^(-e-2) / (sum of d^-e)^2 in each of few centres, d its distance. Ends when the mean of 1 / (sum of d^-e) falls by no more than tolerance of
+    itself, or after rounds. Each task adds up a sum for each centre and place; errors, if given, gets that mean of each round."""
+    spark = x.sparkSession
+    names = [r["center"] for r in centers.orderBy("center").collect()]
+    c = np.array([r["mean"] for r in centers.orderBy("center").collect()], float)
+    if len(names) > FEW:
+        raise ValueError(f"more than {FEW} centres don't go to every task")
+    rows = x.select(F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    last = None
+    for _ in range(rounds):
+
+        def add_up(batches, c=c):
+            sums, n, g = np.zeros((len(c), c.shape[1] + 1)), 0, 0.0
+            for b in batches:
+                if not len(b):
+                    continue
+                z = np.stack(b["v"].to_numpy())
+                d2 = np.maximum((z**2).sum(axis=1)[:, None] - 2 * z @ c.T + (c**2).sum(axis=1), 0.0)
+                least = d2.min(axis=1, keepdims=True)
+                r = np.where(d2 > least, least / np.where(d2 > 0, d2, 1.0), 1.0)  # of squares, 1 for the nearest
+                part = (r ** (e / 2)).sum(axis=1, keepdims=True)
+                w = np.maximum(least, 1e-300) ** (e / 2 - 1) * r ** (e / 2 + 1) / part**2
+                sums[:, :-1] += w.T @ z
+                sums[:, -1] += w.sum(axis=0)
+                n, g = n + len(z), g + float((least ** (e / 2) / part).sum())
+            yield pd.DataFrame({"i": range(len(c)), "s": sums.tolist(), "n": [n] + [0] * (len(c) - 1), "g": [g] + [0.0] * (len(c) - 1)})
+
+        each = rows.mapInPandas(add_up, "i int, s array<double>, n bigint, g double")
+        total = each.select("i", "n", "g", F.posexplode("s").alias("k", "a")).groupBy("i", "k").agg(F.sum("a").alias("a"), F.sum("n").alias("n"), F.sum("g").alias("g"))
+        got = total.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("k", "a"))).alias("s"), F.max("n").alias("n"), F.max("g").alias("g")).orderBy("i").collect()  # a row a centre
+        if not got or not got[0]["n"]:
+            break
+        s = np.array([[q["a"] for q in r["s"]] for r in got])
+        c = np.where(s[:, -1:] > 0, s[:, :-1] / np.where(s[:, -1:] > 0, s[:, -1:], 1.0), c)
+        g = got[0]["g"] / got[0]["n"]
+        if errors is not None:
+            errors.append(g)
+        if last is not None and last - g <= tolerance * last:
+            break
+        last = g
+    return spark.createDataFrame(list(zip(names, c.tolist(), strict=True)), f"center {centers.schema['center'].dataType.simpleString()}, mean array<double>")
+
+
 def kmeans_lbg(x: DataFrame, key: str, vector: str, k: int, rounds: int = 5, shift: float = 1e-3) -> DataFrame:
     """Codebook by doubling: each centre splits in two, then rounds of k-means."""
     centers = means(x.withColumn("center", F.lit(0)), vector, "center").select("center", "mean")
@@ -97,6 +164,8 @@ def scatter_traces(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 def score_gmm(x: DataFrame, params: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, log_density, comp): log density under a diagonal mixture and the likeliest component."""
+    if params.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} components don't go to every row")
     all_ = params.agg(F.collect_list(F.struct("comp", "weight", "mean", "var")).alias("_p"))
 
     def log_p(p: Column) -> Column:

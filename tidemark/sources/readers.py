@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import cut
+
 PATIENT = "DeviceID STRING, PatientID INT, Gender STRING, Age INT"
 
 
@@ -26,9 +28,11 @@ def read_acc_text(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_interval_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(exp, user, label, begin, end, row); row orders the lines of the file."""
-    d = spark.read.schema("exp INT, user INT, label INT, begin BIGINT, end BIGINT").option("sep", " ").csv(path)
-    return d.withColumn("row", F.monotonically_increasing_id())
+    """(exp, user, label, begin, end, row); row is the line's place in its file, however the file is split. A label file is read whole."""
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("row", "line")).where(F.trim("line") != "")
+    v = F.split(F.trim("line"), "[ \t]+")
+    names = {"exp": "int", "user": "int", "label": "int", "begin": "bigint", "end": "bigint"}
+    return raw.select(*(v[i].cast(t).alias(c) for i, (c, t) in enumerate(names.items())), F.col("row").cast("bigint").alias("row"))
 
 
 def read_word_times(spark: SparkSession, path: str) -> DataFrame:
@@ -95,12 +99,35 @@ def read_audio(spark: SparkSession, glob: str, chunk_s: float = 300.0) -> DataFr
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(build, "path string, chunk_id int, start bigint, fs int, pcm array<float>")
 
 
+def running_total(df: DataFrame, order: str, col: Column, out: str) -> DataFrame:
+    """df with the sum of col over all rows up to each in the order of a column without ties, and the columns of df: rows are dealt by ranges of order, each range sums on its own, and the sums of the ranges
+    before it (a row each) are added. No task has more than a range."""
+    dealt = cut(df.withColumn("_c", col).repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("_part").agg(F.sum("_c").alias("_s"))
+    before = parts.alias("a").join(F.broadcast(parts.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._s"), F.lit(0)).alias("_before"))  # a row a range
+    return dealt.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.sum("_c").over(own)).drop("_part", "_c", "_before")
+
+
 def mix_tracks(utterances: DataFrame, n_turns: int, seed: int = 0) -> DataFrame:
-    """(turn, speaker, file, length, begin, end): turns drawn by a seeded hash, no speaker's utterance lost in the order, laid end to end."""
-    w = Window.orderBy("file")
-    pool = utterances.withColumn("k", F.row_number().over(w) - 1)
-    n = pool.count()
-    turns = utterances.sparkSession.range(n_turns).select((F.col("id") + 1).alias("turn"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("k"))
-    own = turns.join(F.broadcast(pool), "k").drop("k")
-    total = F.sum("length").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumns({"begin": total - F.col("length") + 1, "end": total})
+    """(turn, speaker, file, length, begin, end) from utterances (file, speaker, length): each turn draws a speaker and then one of their files, all alike, by seeded checksums (with replacement), and turns are laid
+    end to end, in samples counted from 1. No utterances, no turns."""
+    own = utterances.select("file", "speaker", "length").where("file IS NOT NULL AND speaker IS NOT NULL").withColumn("_o", F.struct("speaker", "file"))
+    pool = cut(running_total(own, "_o", F.lit(1), "_k").drop("_o"), "pool")
+    speakers = cut(running_total(pool.groupBy("speaker").agg(F.min("_k").alias("_first"), F.count("*").alias("_files")), "speaker", F.lit(1), "_s"), "speakers")
+    n = speakers.count()
+
+    def drawn(what: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(what), F.col("turn"), F.lit(seed))), 1, 15), 16, 10).cast("bigint")
+
+    turns = utterances.sparkSession.range(1, n_turns + 1).withColumnRenamed("id", "turn").withColumn("_s", F.pmod(drawn("speaker"), F.lit(max(n, 1))) + 1)
+    turns = turns.join(speakers.drop("speaker"), "_s").withColumn("_k", F.col("_first") + F.pmod(drawn("file"), F.col("_files"))).select("turn", "_k")
+    laid = running_total(turns.join(pool, "_k").drop("_k"), "turn", F.col("length"), "end")
+    return laid.select("turn", "speaker", "file", "length", (F.col("end") - F.col("length") + 1).alias("begin"), "end")
+
+
+def mixed_audio(turns: DataFrame, audio: DataFrame) -> DataFrame:
+    """(turn, speaker, start, fs, pcm): the samples of mix_tracks' turns, whose files are the paths of read_audio's chunks; start is a chunk's first sample in the track, from 1. Chunks stay chunks: put in order of start they
+    are the track."""
+    parts = audio.select(F.col("path").alias("file"), F.col("start").alias("_at"), "fs", "pcm")
+    return turns.join(parts, "file").select("turn", "speaker", (F.col("begin") + F.col("_at")).alias("start"), "fs", "pcm")
