@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, signal
+from tidemark.operators import mixtures, models, signal
 from tidemark.sources import readers
 
 
@@ -21,7 +21,7 @@ def test_aic_counts_parameters(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(0, 1, (60, 2)), r.normal(9, 1, (60, 2))])
     df = spark.createDataFrame([("a", [float(a), float(b)]) for a, b in x], "key string, v array<double>")
-    got = {g.k: g for g in signal.aic_table(df, "key", "v", [1, 2]).collect()}
+    got = {g.k: g for g in mixtures.aic_table(df, "key", "v", [1, 2]).collect()}
     assert all(abs(got[k].aic - (2 * (5 * k - 1) - 2 * got[k].loglik)) < 1e-9 for k in (1, 2)) and got[2].aic < got[1].aic
 
 

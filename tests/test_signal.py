@@ -62,7 +62,7 @@ def test_repair_groups_alignment(spark):
     assert sg.marker_stats(pairs).first().n == 6
 
 
-def test_viterbi_and_mixture(spark):
+def test_viterbi(spark):
     r = np.random.default_rng(2)
     truth = np.repeat([0, 1, 0], [30, 25, 40])
     ll = -((np.stack([truth - 0, truth - 1], axis=1) + r.normal(0, 0.6, (95, 2))) ** 2) * 2
@@ -71,32 +71,3 @@ def test_viterbi_and_mixture(spark):
     assert [x[2] for x in runs] == [0, 1, 0] and abs(runs[1][0] - 30) <= 3 and all(b - a + 1 >= 10 for a, b, _ in runs)
     start, trans = sg.build_hmm(2, 3)
     assert start.sum() == 1 and trans[2, 3] == trans[2, 2] == 1 / 3
-    pts = np.concatenate([r.normal(m, 0.3, (60, 2)) for m in ((0, 0), (4, 0), (0, 4))])
-    fits = sg.select_gmm(spark.createDataFrame([("a", p.tolist()) for p in pts], "key string, v array<double>"), "key", "v", [2, 3, 4]).collect()
-    assert len(fits) == 3
-    seen = sg.gmm_em(pts, 3)[3]
-    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:], strict=False))
-
-
-def test_mixtures_take_the_best_of_three_starts_and_go_on_while_bic_falls(spark):
-    r = np.random.default_rng(4)
-    many = np.concatenate([r.normal((3 * (i % 3), 3 * (i // 3)), 0.15, (40, 2)) for i in range(9)])
-    two = np.concatenate([r.normal(m, 0.3, (60, 2)) for m in (0, 4)])
-    data = {"a": many, "b": two, "c": two[55:62]}
-    df = spark.createDataFrame([(k, p.tolist()) for k, x in data.items() for p in x], "key string, v array<double>")
-    starts = lambda x, k: [sg.gmm_em(x, k, 350, i)[3][-1] for i in range(3)]
-    got = sg.fit_gmm(df.where("key = 'a'"), "key", "v", [7]).collect()
-    assert len(got) == 7 and abs(got[0].loglik - max(starts(many, 7))) < 1e-6 and got[0].loglik > starts(many, 7)[0] + 1
-    assert sg.gmm_em.__defaults__[0] == 350
-    chosen = {}
-    for x in sg.select_gmm(df, "key", "v", [2, 3, 4, 5, 6]).collect():
-        chosen.setdefault(x.key, []).append(x)
-    for key, x in data.items():
-        bic = lambda k, x=x: -2 * max(starts(x, k)) + (5 * k - 1) * np.log(len(x))
-        best = min(range(2, 7), key=bic)
-        for k in range(7, min(20, len(x)) + 1):
-            if bic(k) >= bic(best):
-                break
-            best = k
-        assert len(chosen[key]) == best == chosen[key][0].k and sorted(c.comp for c in chosen[key]) == list(range(best))
-    assert len(chosen["a"]) > 6 and len(chosen["c"]) <= 7

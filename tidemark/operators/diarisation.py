@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quantile_n1, quantiles_n1
 from tidemark.operators.models import merge_round
-from tidemark.operators.signal import fit_gmm, viterbi_labels
+from tidemark.operators.mixtures import fit_gmm
+from tidemark.operators.signal import viterbi_labels
 from tidemark.sources.scratch import cut
 
 #: Components of each class's first mixture, and its least stay in frames of 10 ms.
@@ -109,7 +110,7 @@ def class_logliks(frames: DataFrame, params: DataFrame, vector: str, least: dict
 
 
 def relabel(frames: DataFrame, params: DataFrame, vector: str, least: dict | int) -> DataFrame:
-    """Frames with the labels of the likeliest sequence under their recording's models; a recording's frames fit in a task (a chunk)."""
+    """Frames with the labels of the likeliest sequence under their recording's models."""
     out = viterbi_labels(class_logliks(frames.drop("label"), params, vector, least).select("rec_id", "seq", "loglik", "classes", "lens"))
     return frames.drop("label").join(out, ["rec_id", "seq"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import folds
-from tidemark.operators.signal import fit_gmm, select_gmm
+from tidemark.operators.mixtures import ROWS, fit_gmm, fit_packed, pack, select_gmm
 from tidemark.operators.vectors import score_gmm
 from tidemark.sources.scratch import cut
 
@@ -45,37 +45,72 @@ def fold_accuracy(feats: DataFrame, pipeline: Pipeline, key: str, label: str = "
 
 
 def initial_clusters(feats: DataFrame, key: str, vector: str, ks: list[int]) -> DataFrame:
-    """Rows with the component (of the mixture with the least BIC, weights taken as equal) that is likeliest; a key's rows fit in a task."""
+    """Rows with the component (of the mixture with the least BIC, weights taken as equal) that is likeliest; of any number of rows a key."""
     fits = select_gmm(feats, key, vector, ks)
     params = fits.withColumn("weight", F.lit(1.0)).groupBy(key).agg(F.collect_list(F.struct("comp", "weight", "mean", "var")).alias("_p"))
     z = f"aggregate(zip_with(zip_with({vector}, p.mean, (a, b) -> (a - b) * (a - b)), p.var, (d, s) -> d / s + ln(s)), 0D, (a, b) -> a + b)"
     return feats.join(params, key).withColumn("cluster", F.expr(f"array_min(transform(_p, p -> named_struct('d', {z}, 'comp', p.comp))).comp")).drop("_p")
 
 
+class Merging:
+    """Clusters of recordings that are merged by pairs. Frames are packed once by the cluster they begin in; a merge only changes which cluster a beginning belongs to. Scores of clusters and pairs
+    are kept, and a round fits only those that the last one touched; fitted counts the pairs that were."""
+
+    def __init__(self, frames: DataFrame, g: int, rows: int = ROWS):
+        self.g, self.rows, self.fitted = g, rows, 0
+        own = frames.select("rec_id", "label", F.col("v"), F.to_json(F.struct("rec_id", "label")).alias("_src"))
+        self.packed = pack(own, "_src", "v", rows)
+        self.now = cut(own.select("rec_id", F.col("label").alias("_base"), "label", "_src").distinct(), "clusters")
+        self.scores = None
+
+    def _fit(self, members: DataFrame, k: int) -> DataFrame:
+        return fit_packed(self.packed, members, [k], rows=self.rows).where("comp = 0").select("key", "bic")
+
+    def round(self) -> int:
+        """Merges of each recording at most the pair of the least change of BIC, if not over zero; how many were merged."""
+        keys = lambda *c: F.to_json(F.struct("rec_id", *c))
+        names = self.now.select("rec_id", "label").distinct()
+        own = self.now.select(keys("label").alias("key"), F.col("_src").alias("src"))
+        ends = names.select("rec_id", F.col("label").alias("a")).join(names.select("rec_id", F.col("label").alias("b")), "rec_id").where("a < b").withColumn("key", keys("a", "b"))
+        wanted, both = own.select("key").distinct(), ends
+        if self.scores is not None:
+            wanted, both = wanted.join(self.scores, "key", "left_anti"), ends.join(self.scores, "key", "left_anti")
+        both = cut(both, "pairs")
+        self.fitted += both.count()
+        pair = both.join(self.now, "rec_id").where("label = a OR label = b").select("key", F.col("_src").alias("src"))
+        new = self._fit(own.join(wanted, "key", "left_semi"), self.g).unionByName(self._fit(pair, 2 * self.g))
+        self.scores = cut(new if self.scores is None else self.scores.unionByName(new), "scores")
+        at = ends.withColumns({"_ka": keys(F.col("a").alias("label")), "_kb": keys(F.col("b").alias("label"))}).join(self.scores, "key").drop("key")
+        at = at.join(self.scores.select(F.col("key").alias("_ka"), F.col("bic").alias("ba")), "_ka").join(self.scores.select(F.col("key").alias("_kb"), F.col("bic").alias("bb")), "_kb")
+        best = cut(at.withColumn("d", F.col("bic") - F.col("ba") - F.col("bb")).groupBy("rec_id").agg(F.min(F.struct("d", "a", "b")).alias("m")).where("m.d <= 0"), "merges")
+        merged = best.count()
+        if merged:
+            self.now = cut(self.now.join(best, "rec_id", "left").withColumn("label", F.when(F.col("label") == F.col("m.b"), F.col("m.a")).otherwise(F.col("label"))).drop("m"), "clusters")
+            touched = best.select("rec_id", F.explode(F.array("m.a", "m.b")).alias("_t"))
+            gone = touched.select(keys(F.col("_t").alias("label")).alias("key")).unionByName(ends.join(touched, "rec_id").where("a = _t OR b = _t").select("key")).distinct()
+            self.scores = cut(self.scores.join(gone, "key", "left_anti"), "scores")
+        return merged
+
+    def labels(self, frames: DataFrame) -> DataFrame:
+        """The frames with the labels of now."""
+        return frames.withColumnRenamed("label", "_base").join(self.now.select("rec_id", "_base", "label"), ["rec_id", "_base"]).select(*frames.columns)
+
+
 def merge_round(frames: DataFrame, g: int) -> DataFrame:
     """frames (rec_id, label, v) after at most one merge per recording: of all pairs of clusters the one with the least change of BIC, if it is not over
     zero. Clusters are fitted with g Gaussians, pairs with 2 g."""
-    own = fit_gmm(frames.withColumn("_key", F.concat_ws("|", "rec_id", "label")), "_key", "v", [g]).groupBy("_key").agg(F.first("bic").alias("bic"))
-    names = frames.select("rec_id", "label").distinct()
-    pairs = names.select("rec_id", F.col("label").alias("a")).join(names.select("rec_id", F.col("label").alias("b")), "rec_id").where("a < b")
-    both = pairs.join(frames, "rec_id").where("label = a OR label = b").withColumn("_key", F.concat_ws("|", "rec_id", "a", "b"))
-    joint = fit_gmm(both, "_key", "v", [2 * g]).groupBy("_key").agg(F.first("bic").alias("bic"))
-    at = pairs.withColumns({"_key": F.concat_ws("|", "rec_id", "a", "b"), "_ka": F.concat_ws("|", "rec_id", "a"), "_kb": F.concat_ws("|", "rec_id", "b")}).join(joint, "_key").drop("_key")
-    at = at.join(own.select(F.col("_key").alias("_ka"), F.col("bic").alias("ba")), "_ka").join(own.select(F.col("_key").alias("_kb"), F.col("bic").alias("bb")), "_kb")
-    best = at.withColumn("d", F.col("bic") - F.col("ba") - F.col("bb")).groupBy("rec_id").agg(F.min(F.struct("d", "a", "b")).alias("m")).where("m.d <= 0")
-    return frames.join(F.broadcast(best), "rec_id", "left").withColumn("label", F.when(F.col("label") == F.col("m.b"), F.col("m.a")).otherwise(F.col("label"))).drop("m")
+    merging = Merging(frames, g)
+    merging.round()
+    return merging.labels(frames)
 
 
 def merge_clusters(frames: DataFrame, g: int, rounds: int = 25) -> DataFrame:
-    """merge_round until nothing changes; each round is a table in the shared folder."""
-    before = frames.select("rec_id", "label").distinct().count()
+    """Rounds of merge_round until nothing changes; only what a merge touched is fitted again."""
+    merging = Merging(frames, g)
     for _ in range(rounds):
-        frames = cut(merge_round(frames, g))
-        now = frames.select("rec_id", "label").distinct().count()
-        if now == before:
+        if not merging.round():
             break
-        before = now
-    return frames
+    return merging.labels(frames)
 
 
 def drop_worst(feats: DataFrame, params: DataFrame, key: str, vector: str, share: float = 0.1) -> DataFrame:

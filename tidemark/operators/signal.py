@@ -624,74 +624,3 @@ def noise_mmse(spectra: DataFrame, size: int = CHUNK) -> DataFrame:
         return pd.DataFrame({"seq": pdf["seq"].to_numpy(), "noise": list(out)}), state
 
     return chunks.recursion(chunks.chunked(spectra.select("rec_id", "seq", "power"), max(size, NOISE_START)), run, "seq bigint, noise array<double>")
-
-
-def gmm_em(x: np.ndarray, k: int, iterations: int = 350, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
-    """Weights, means, diagonal variances and log likelihoods per step of a mixture, on scaled data; empty components move to the worst rows."""
-    mu, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
-    z = (x - mu) / sd
-    n, d = z.shape
-    r = np.random.default_rng(seed)
-    mean, var, w, seen = z[r.choice(n, k, replace=n < k)], np.ones((k, d)), np.full(k, 1 / k), []
-    for _ in range(iterations):
-        l = np.log(w) - 0.5 * (((z[:, None] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(axis=2)  # noqa: E741
-        top = l.max(axis=1, keepdims=True)
-        p = np.exp(l - top)
-        row = (top + np.log(p.sum(axis=1, keepdims=True)))[:, 0]
-        seen.append(float(row.sum() - n * np.log(sd).sum()))
-        p /= p.sum(axis=1, keepdims=True)
-        s = p.sum(axis=0)
-        empty = s < 1e-3
-        mean = np.where(empty[:, None], mean, p.T @ z / np.maximum(s, 1e-12)[:, None])
-        var = np.where(empty[:, None], var, np.maximum(p.T @ z**2 / np.maximum(s, 1e-12)[:, None] - mean**2, 1 / n**2))
-        mean[empty] = z[np.argsort(row)[: empty.sum()]]
-        w = np.maximum(s, 1e-3) / np.maximum(s, 1e-3).sum()
-        if len(seen) > 1 and seen[-1] - seen[-2] <= 1e-4 * n:
-            break
-    return w, mean * sd + mu, var * sd**2, seen
-
-
-#: Seeded starts of each mixture, and the most components that are tried.
-STARTS, MOST_COMPONENTS = 3, 20
-
-
-def gmm_rows(key: str, value, x: np.ndarray, k: int, seed: int) -> pd.DataFrame:
-    """fit_gmm's rows of one key: the likeliest of STARTS mixtures, of equal ones the first."""
-    w, m, v, seen = max((gmm_em(x, k, seed=seed + i) for i in range(STARTS)), key=lambda fit: fit[3][-1])
-    bic = -2 * seen[-1] + (2 * k * x.shape[1] + k - 1) * np.log(len(x))
-    return pd.DataFrame({key: value, "k": k, "comp": range(k), "weight": w, "mean": list(m), "var": list(v), "loglik": seen[-1], "bic": bic})
-
-
-def fit_gmm(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
-    """(key, k, comp, weight, mean, var, loglik, bic): one mixture per key and number of components; each key's rows fit in a task (a chunk, a cluster)."""
-    kind = df.schema[key].dataType.simpleString()
-    each = df.select(key, F.col(vector).alias("_v")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-
-    def group(pdf):
-        return gmm_rows(key, pdf[key].iloc[0], np.stack(pdf["_v"].to_numpy()).astype(float), int(pdf["k"].iloc[0]), seed)
-
-    return each.groupBy(key, "k").applyInPandas(group, f"{key} {kind}, k int, comp int, weight double, mean array<double>, var array<double>, loglik double, bic double")
-
-
-def aic_table(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
-    """(key, k, loglik, aic, bic) of one mixture per key and number of components: AIC is twice the free parameters less twice the log likelihood."""
-    free = 2 * F.col("k") * F.size("mean") + F.col("k") - 1
-    return fit_gmm(df, key, vector, ks, seed).where("comp = 0").select(key, "k", "loglik", (2 * free - 2 * F.col("loglik")).alias("aic"), "bic")
-
-
-def select_gmm(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
-    """The mixtures of the least BIC per key: of ks, and then, while BIC falls below the least so far, of one component more than
-    the most of ks, two more, and so on up to MOST_COMPONENTS (and to the number of the key's rows)."""
-    fits = fit_gmm(df, key, vector, ks, seed)
-
-    def go_on(fitted, pdf):
-        fitted = fitted[fitted["k"] == fitted.sort_values(["bic", "k"])["k"].iloc[0]]
-        x = np.stack(pdf["_v"].to_numpy()).astype(float)
-        for k in range(max(ks) + 1, min(MOST_COMPONENTS, len(x)) + 1):
-            more = gmm_rows(key, pdf[key].iloc[0], x, k, seed)
-            if not more["bic"].iloc[0] < fitted["bic"].iloc[0]:
-                break
-            fitted = more
-        return fitted
-
-    return fits.groupBy(key).cogroup(df.select(key, F.col(vector).alias("_v")).groupBy(key)).applyInPandas(go_on, fits.schema)
