@@ -91,3 +91,52 @@ def test_tables(spark, sf):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/{sf}/documents.parquet'")
     want = sorted(c.sql(nj.ORACLE).fetchall())
     assert got == want and sum(r[0] != r[2] for r in got) > 10
+
+
+def test_families_of_a_template_are_joined_in_proportion(spark, monkeypatch):
+    """A base with copies, and a template of it with copies of its own beside them: the edits that the template's copies share must not pair them all."""
+    import random
+
+    counts, links = [], nj.star_links
+
+    def counted(members, t):
+        out = links(members, t).cache()
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "star_links", counted)
+    for m in (40, 80, 160):
+        r = random.Random(1)
+        base = [f"w{r.randrange(5000)}" for _ in range(300)]
+        template = [*base]
+        for i in range(10, 290, 20):
+            template[i] = f"t{i}"
+
+        def copies(text, n, r=r):
+            out = []
+            for _ in range(n):
+                own = [*text]
+                for i in r.sample(range(300), 5):
+                    own[i] = f"e{r.randrange(10**9)}"
+                out.append(own)
+            return out
+
+        texts = [" ".join(x) for x in [*copies(base, 2 * m), *copies(template, m)]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {x.doc_id: x.component_id for x in nj.join_groups(docs, k=3, t=(9, 10)).collect()}
+        sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+        root = list(range(len(sets)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 10 * both >= 9 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        assert got == {i: find(i) for i in range(len(sets))}
+    assert counts[2] <= 3 * counts[1] <= 9 * counts[0] and counts[2] <= 6 * 160, counts

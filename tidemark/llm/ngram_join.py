@@ -14,8 +14,9 @@ Every list of classes with a common prefix shingle and like sizes has a hub, the
 groups come to one star. A member is held as its differences from the hub. Elements in which most members differ from the hub
 are turned over, so that the differences are those from the star's middle. With d differences and n shingles, let
 f = d (1 + t) - n (1 - t). Two members link exactly when f + f' <= 2 (1 + t) times the number of differences that they share, so those
-with f + f' <= 0 link as they are, all of them by way of the member with the least f, and any others must share rare edits:
-they are joined on prefixes of their differences, rarest in the star first, and counted exactly. A difference that one
+with f + f' <= 0 link as they are, all of them by way of the member with the least f, and any others must share rare edits,
+which stand in prefixes of their differences, rarest in the star first. Members with such an edit in common are families: they get hubs and middles of their own in the same way, from
+which the edits that they share are no differences. Those that are still in different components are joined on their prefixes, and counted exactly. A difference that one
 member alone has is never shared; most members have so many of those that they are known to have no partner.
 
 Then only candidates of different stars whose ends are still in different components are generated, by the
@@ -305,8 +306,9 @@ def centred(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     return members.select("star", "sig", "n", "d", "m", "shared", "flips").mapInArrow(build, "star binary, sig binary, f bigint, k bigint, gs array<bigint>")
 
 
-def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(a, b): links that join all members (star, sig, n, delta) of each star that links join; a star's hub is a member without differences."""
+def star_halves(members: DataFrame, t: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of members (star, sig, n, delta): (a, b) links of those near enough to their star's middle with the one nearest to it; and (star, sig, f, k, gs, least, far) of those that may
+    have links beside these."""
     c2 = 2 * (t[0] + t[1])
     sized = members.groupBy("star").agg(F.count("*").alias("m"))
     each = members.where("size(delta) > 0").select("star", "sig", F.explode("delta").alias("g"))
@@ -327,12 +329,42 @@ def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     far = cut(far, "far")
     among = far.groupBy("star").agg(F.min("f").alias("least"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
     other = placed.where("f + low.f <= 0").select("star", "sig", "f", "k", "gs").join(among, "star").where(f"f + best <= 0 AND f - {c2} * k + least <= 0").select("star", "sig", "f", "k", "gs", "least", F.lit(False).alias("far"))
-    alive = cut(far.unionByName(other), "alive")
-    listed = alive.select("star", "sig", "f", "k", "far", F.posexplode(F.expr(f"slice(gs, 1, cast(k + 1 - greatest(1, ceil((f + least) / {c2})) AS int))")).alias("i", "g"))
-    x, y = listed.alias("x"), listed.alias("y")
+    return near, far.unionByName(other)
+
+
+def families(listed: DataFrame, members: DataFrame) -> DataFrame:
+    """(star, sig, n, delta): stars inside stars. Members that list a difference in common take the one of them with the fewest differences that they share most with for their hub, and are
+    held by their differences from it, so that edits that a family shares are none."""
+    hubs = listed.groupBy("star", "g").agg(F.min(F.struct("k", "sig")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("star", "g", F.col("hub.sig").alias("hub"))
+    nearest = listed.join(hubs, ["star", "g"]).where("sig != hub").groupBy("star", "sig", "hub").agg(F.count("*").alias("m"))
+    nearest = nearest.groupBy("star", "sig").agg(F.max(F.struct("m", "hub")).alias("x")).select("star", "sig", F.col("x.hub").alias("hub"))
+    own = members.select("star", "sig", "n", "delta")
+    met = nearest.join(own, ["star", "sig"]).join(own.select("star", F.col("sig").alias("hub"), F.col("n").alias("_n"), F.col("delta").alias("_delta")), ["star", "hub"])
+    met = cut(met.select("hub", "sig", "n", F.array_union(F.array_except("delta", "_delta"), F.array_except("_delta", "delta")).alias("delta"), "_n"), "families")
+    centres = met.groupBy("hub").agg(F.first("_n").alias("n")).select(F.col("hub").alias("star"), F.col("hub").alias("sig"), "n", F.expr("cast(array() AS array<bigint>)").alias("delta"))
+    return met.select(F.col("hub").alias("star"), "sig", "n", "delta").unionByName(centres)
+
+
+def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join all members (star, sig, n, delta) of each star that links join; a star's hub is a member without differences. Families are joined by way of their
+    own middles first; then only members that are still apart are paired."""
+    c2 = 2 * (t[0] + t[1])
+    near, alive = star_halves(members, t)
+    alive = cut(alive, "alive")
+    if alive.isEmpty():
+        return near
+    listed = cut(alive.select("star", "sig", "f", "k", "far", F.posexplode(F.expr(f"slice(gs, 1, cast(k + 1 - greatest(1, ceil((f + least) / {c2})) AS int))")).alias("i", "g")), "listed")
+    near = cut(near.unionByName(star_halves(families(listed, members), t)[0]), "near")
+    labels = components(near)
+    at = listed.join(labels, F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
+    # a list's largest component meets only the others
+    parts = cut(at.groupBy("star", "g", "c").agg(F.count("*").alias("m")), "parts")
+    mixed = parts.groupBy("star", "g").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("star", "g", F.col("most.c").alias("most"))
+    at = cut(at.join(mixed, ["star", "g"]), "apart")
+    x, y = at.where("c != most").alias("x"), at.alias("y")
     # the first difference that two share has at most so many after it
-    like = F.expr(f"x.sig < y.sig AND (x.far OR y.far) AND x.f + y.f <= {c2} * least(x.k - x.i, y.k - y.i)")
-    pairs = x.join(y, (F.col("x.star") == F.col("y.star")) & (F.col("x.g") == F.col("y.g")) & like).select("x.star", F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    like = F.expr(f"x.c != y.c AND (x.far OR y.far) AND x.f + y.f <= {c2} * least(x.k - x.i, y.k - y.i)")
+    pairs = x.join(y, (F.col("x.star") == F.col("y.star")) & (F.col("x.g") == F.col("y.g")) & like).select("x.star", F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     ends = [alive.select("star", F.col("sig").alias(s), F.col("f").alias(f"f{s}"), F.col("gs").alias(f"g{s}")) for s in ("a", "b")]
     rest = pairs.join(ends[0], ["star", "a"]).join(ends[1], ["star", "b"]).where(f"fa + fb <= {c2} * size(array_intersect(ga, gb))").select("a", "b")
     return near.unionByName(rest)
