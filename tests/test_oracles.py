@@ -24,7 +24,7 @@ def close(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_equals_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import folds
@@ -31,11 +35,146 @@ def train_movement(feats: DataFrame, label: str = "label"):
     return svm(MOVEMENT_FEATURES, label).fit(feats)
 
 
-def train_stress(feats: DataFrame, label: str = "label", features: tuple[str, ...] = STRESS_FEATURES):
-    return svm(features, label, 3).fit(feats)
+def cubic_weights(n: int, degree: int = 3) -> list[float]:
+    """Square roots of the coefficients of (1 + x . z)^degree, in the order of Spark's polynomial expansion of n places: with them the expansion's products are the kernel's (less its constant). The
+    order is read off the expansion of n primes, whose products tell their factors."""
+    primes = [q for q in range(2, 10 * n + 20) if all(q % d for d in range(2, int(q**0.5) + 1))][:n]
+    out = []
+    for v in _expanded(primes, degree):
+        powers, rest = [], round(v)
+        for q in primes:
+            powers.append(0)
+            while rest % q == 0:
+                rest, powers[-1] = rest // q, powers[-1] + 1
+        c = factorial(degree) // factorial(degree - sum(powers))
+        for k in powers:
+            c //= factorial(k)
+        out.append(c**0.5)
+    return out
+
+
+def _expanded(x: list[float], degree: int) -> list[float]:
+    """PolynomialExpansion of one vector."""
+    one = SparkSession.active().createDataFrame([(Vectors.dense([float(v) for v in x]),)], ["x"])
+    return PolynomialExpansion(degree=degree, inputCol="x", outputCol="y").transform(one).first()["y"].toArray().tolist()
+
+
+#: What is added to the curvature, and how far the steps go, in the search for a better place.
+DAMPING, LENGTHS = (0.0, 0.01, 1.0, 100.0), (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+
+
+def hinge_fit(rows: DataFrame, size: int, box: float, widths: tuple[float, ...] = (2.0, 0.3, 0.03, 0.003, 0.0005), steps: int = 25) -> np.ndarray:
+    """Weights and, last, the intercept that make |w|^2 / 2 + box * sum of hinge losses least, of rows (v ARRAY<DOUBLE>, y 0 or 1). The hinge's corner is rounded over ever smaller widths, and each problem is solved
+    by Newton's steps. A pass over the rows gives a step's gradient and curvature, another the losses that it and shorter ones lead to; tasks send sums of (size + 1)^2 numbers."""
+    w = np.zeros(size + 1)
+
+    def margins(b, w):
+        x = np.concatenate([np.stack(b["v"].to_numpy()), np.ones((len(b), 1))], axis=1)
+        side = np.where(b["y"].to_numpy() > 0.5, 1.0, -1.0)
+        return x, side, 1 - side * (x @ w)
+
+    def loss(z, h):
+        return np.where(z >= h, z, np.where(z > -h, (z + h) ** 2 / (4 * h), 0.0))
+
+    def summed(run) -> np.ndarray:
+        part = rows.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("i", "a")).groupBy("i").agg(F.sum("a").alias("a")).orderBy("i").collect()
+        return np.array([r["a"] for r in part])
+
+    for h in widths:
+        for _ in range(steps):
+
+            def slopes(batches, w=w, h=h):
+                total = np.zeros((size + 1) * (size + 2))
+                for b in batches:
+                    if len(b):
+                        x, side, z = margins(b, w)
+                        near = x[np.abs(z) < h]
+                        total += np.concatenate([-(side * np.clip((z + h) / (2 * h), 0, 1)) @ x, (near.T @ near / (2 * h)).ravel()])
+                yield pd.DataFrame({"s": [total.tolist()]})
+
+            got = summed(slopes)
+            if not len(got):
+                return w
+            flat = np.append(np.ones(size), 0.0)
+            grad, bent = flat * w + box * got[: size + 1], box * got[size + 1 :].reshape(size + 1, size + 1)
+            # where few rows lie in the corner the curvature changes within a step: damped and shortened ones are tried, too
+            moves = np.array([t * -np.linalg.solve(np.diag(flat + 1e-9 + m) + bent, grad) for m in DAMPING for t in LENGTHS] + [np.zeros(size + 1)])
+
+            def along(batches, w=w, h=h, moves=moves):
+                total = np.zeros(len(moves))
+                for b in batches:
+                    if len(b):
+                        x, side, z = margins(b, w)
+                        total += loss(z[:, None] - side[:, None] * (x @ moves.T), h).sum(axis=0)
+                yield pd.DataFrame({"s": [total.tolist()]})
+
+            at = box * summed(along) + 0.5 * ((w + moves)[:, :-1] ** 2).sum(axis=1)
+            best = int(np.argmin(at))
+            if at[-1] - at[best] <= 1e-9 * max(1.0, abs(at[-1])):
+                break
+            w = w + moves[best]
+    return w
+
+
+class KernelMachine:
+    """A fitted KernelSVM: transform adds decision and prediction."""
+
+    def __init__(self, products, weights: np.ndarray):
+        self.products, self.weights = products, weights
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        w = F.array(*(F.lit(float(v)) for v in self.weights[:-1]))
+        decision = F.aggregate(F.zip_with(vector_to_array("_wide"), w, lambda a, b: a * b), F.lit(float(self.weights[-1])), lambda s, a: s + a)
+        wide = self.products.transform(df).withColumn("decision", decision)
+        return wide.select(*df.columns, "decision", (F.col("decision") > 0).cast("double").alias("prediction"))
+
+    def save(self, path: str) -> None:
+        """Stages in the format of Spark's own writer, weights as Parquet; what stood there is replaced."""
+        self.products.write().overwrite().save(f"{path}/products")
+        spark = SparkSession.active()
+        spark.createDataFrame([(i, float(v)) for i, v in enumerate(self.weights)], "place int, weight double").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+    @staticmethod
+    def load(path: str) -> KernelMachine:
+        rows = SparkSession.active().read.parquet(f"{path}/weights").orderBy("place").collect()
+        return KernelMachine(PipelineModel.load(f"{path}/products"), np.array([r["weight"] for r in rows]))
+
+
+class KernelSVM:
+    """A support vector machine with kernel (1 + x . z / scale^2)^degree over standardised features and box constraint box. Few features have few products (119 of seven,
+    at degree 3), so the kernel is written out, each product weighted so that inner products are the kernel's, and the machine is fitted to them as a linear one: its work grows with
+    the rows and not with their square. scale is by default the root of the number of features. Rows with a missing feature are left out."""
+
+    def __init__(self, features: tuple[str, ...], label: str = "label", box: float = 1.0, scale: float | None = None, degree: int = 3):
+        self.features, self.label, self.box, self.scale, self.degree = features, label, box, float(scale or len(features) ** 0.5), degree
+
+    def fit(self, df: DataFrame) -> KernelMachine:
+        n, weights = len(self.features), cubic_weights(len(self.features), self.degree)
+        products = Pipeline(
+            stages=[
+                VectorAssembler(inputCols=list(self.features), outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_standard", withMean=True),
+                ElementwiseProduct(scalingVec=Vectors.dense([1 / self.scale] * n), inputCol="_standard", outputCol="_scaled"), PolynomialExpansion(degree=self.degree, inputCol="_scaled", outputCol="_products"),
+                ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_products", outputCol="_wide"),
+            ]
+        ).fit(df)
+        rows = cut(products.transform(df.where(F.col(self.label).isNotNull())).select(vector_to_array("_wide").alias("v"), F.col(self.label).cast("double").alias("y")), "products")
+        return KernelMachine(products, hinge_fit(rows, len(weights), self.box))
+
+
+def train_stress(feats: DataFrame, label: str = "label", features: tuple[str, ...] = STRESS_FEATURES, box: float = 1.0, scale: float | None = None) -> KernelMachine:
+    return KernelSVM(features, label, box, scale).fit(feats)
+
+
+def fold_predictions(feats: DataFrame, pipeline: Pipeline | KernelSVM, key: str, n: int = 5) -> DataFrame:
+    """Rows with fold and the prediction of a model of the other folds; folds by checksum of the key."""
+    d, out = folds(feats, key, n), None
+    for k in range(n):
+        own = pipeline.fit(d.where(F.col("fold") != k)).transform(d.where(F.col("fold") == k)).select(*d.columns, "prediction")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def fold_accuracy(feats: DataFrame, pipeline: Pipeline, key: str, label: str = "label", n: int = 5) -> list[float]:
+def fold_accuracy(feats: DataFrame, pipeline: Pipeline | KernelSVM, key: str, label: str = "label", n: int = 5) -> list[float]:
     """Accuracy on each fold of a model of the others; folds by checksum of the key."""
     d, out = folds(feats, key, n), []
     for k in range(n):

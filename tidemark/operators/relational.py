@@ -77,12 +77,23 @@ def sample_rows(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
 
 
+#: Weights that sample_weighted sends to every draw, at most.
+FEW_WEIGHTS = 10_000
+
+
 def sample_weighted(weights: DataFrame, key: str, w: str, n: int, seed: int = 0) -> DataFrame:
-    """(draw, key): n draws with replacement, by cumulated weights; the weights' table is small (classes, components)."""
-    total = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    cum = weights.withColumn("hi", F.sum(w).over(total)).withColumn("lo", F.col("hi") - F.col(w)).withColumn("all", F.sum(w).over(Window.partitionBy()))
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("u"))
-    return draws.join(cum, (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi"))).select("draw", key)
+    """(draw, key): n draws with replacement by weights of few keys (classes, components; more than FEW_WEIGHTS raise). A draw is a seeded checksum of its number, so it is the same each time; keys without a positive weight
+    are never drawn. The weights go to the draws as one array."""
+    some = weights.where(F.col(w) > 0).select(key, w)
+    if some.limit(FEW_WEIGHTS + 1).count() > FEW_WEIGHTS:
+        raise ValueError(f"more than {FEW_WEIGHTS} weights")
+    listed = some.agg(F.sort_array(F.collect_list(F.struct(key, w))).alias("_a")).where("size(_a) > 0")
+    sums = F.aggregate("_a", F.expr("cast(array() AS array<double>)"), lambda s, a: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + a[w])))
+    listed = listed.withColumn("_s", sums)  # one row
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("draw"), F.col("draw"), F.lit(seed))), 1, 13), 16, 10).cast("double") / float(16**13)
+    draws = weights.sparkSession.range(n).withColumnRenamed("id", "draw").join(F.broadcast(listed), F.lit(True))
+    at = F.size(F.filter("_s", lambda c: c <= draw * F.element_at("_s", -1)))
+    return draws.select("draw", F.element_at("_a", F.least(at + 1, F.size("_a")))[key].alias(key))
 
 
 def holdout(df: DataFrame, key: str, every: int = 5) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scales
 from tidemark.operators import aggregates as ag
+from tidemark.operators import audio
 from tidemark.operators import intervals as iv
+from tidemark.operators import mixtures, models
 from tidemark.operators import relational as rel
+from tidemark.operators import signal as sig
 from tidemark.operators import vectors as vec
 from tidemark.operators import windows as win
+from tidemark.sources import readers
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {}  # of the queries that SQL can express
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -235,3 +239,116 @@ def _spectra(spark: SparkSession, sf: str) -> DataFrame:
     p = samples(spark, sf).withColumn("b", F.lead("x", 1, 50.0).over(win.SEQ()) + 2).groupBy("rec_id", F.floor(F.col("seq") / 8).alias("g")).agg(F.sort_array(F.collect_list(F.struct("seq", (F.col("x") + 1).alias("a"), "b"))).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
     return p.where(F.size("p") == 8).select("rec_id", "g", scales.dist_is(a, b).alias("itakura_saito"), scales.dist_itakura(a, b).alias("itakura"), scales.dist_cosh(a, b).alias("cosh"))
+
+
+# recursions over recordings, by recursive SQL
+# values of few decimals lie half way between two roundings; 1e-9 more, in both, and the sums' last bits don't decide
+add("ema", lambda s, d: rounded(win.ema(samples(s, d), 0.7).withColumn("ema", F.col("ema") + 1e-9), 6), f"WITH RECURSIVE {S}, r AS (SELECT rec_id, seq, 0.3::DOUBLE * x AS ema FROM s WHERE seq = 0 UNION ALL SELECT s.rec_id, s.seq, 0.7::DOUBLE * r.ema + 0.3::DOUBLE * s.x FROM r JOIN s ON s.rec_id = r.rec_id AND s.seq = r.seq + 1) SELECT rec_id, seq, round(ema + 1e-9, 6) AS ema FROM r")
+add(
+    "group_events", lambda s, d: sig.group_events(samples(s, d).withColumn("event", F.col("x") > 60), 12, 4),
+    f"""WITH RECURSIVE {S}, n AS (SELECT rec_id, count(*) AS n FROM s GROUP BY 1), ev AS (SELECT rec_id, seq + 1 AS loc FROM s WHERE x > 60 QUALIFY seq < max(seq) OVER (PARTITION BY rec_id)),
+    nx AS (SELECT e.rec_id, e.loc, min(f.loc) FILTER (f.loc > e.loc + 12) AS nxt, max(f.loc) FILTER (f.loc <= e.loc + 12) AS last FROM ev e JOIN ev f ON f.rec_id = e.rec_id AND f.loc >= e.loc GROUP BY 1, 2),
+    a AS (SELECT rec_id, min(loc) AS loc FROM ev GROUP BY 1 UNION ALL SELECT a.rec_id, nx.nxt FROM a JOIN nx USING (rec_id, loc) WHERE nx.nxt IS NOT NULL),
+    g AS (SELECT rec_id, CASE WHEN last - loc + 2 > 4 THEN loc ELSE floor(loc - (4 - (last - loc)) / 2.0) END AS lo, CASE WHEN last - loc + 2 > 4 THEN last ELSE least(n, ceil(last + (4 - (last - loc)) / 2.0)) END AS hi FROM a JOIN nx USING (rec_id, loc) JOIN n USING (rec_id))
+    SELECT rec_id, CAST(lo - 1 AS BIGINT) AS "begin", CAST(hi - 1 AS BIGINT) AS "end" FROM g WHERE lo > 0""",
+)
+add(
+    "min_run", lambda s, d: audio.min_run(win.label_runs(samples(s, d).withColumn("label", (F.col("x") > 40).cast("int"))), {0: 4, 1: 3}, 1),
+    f"""WITH {S}, b AS (SELECT rec_id, seq, CAST(x > 40 AS INTEGER) AS label FROM s), c AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY rec_id ORDER BY seq) THEN 1 ELSE 0 END AS ch FROM b)),
+    r AS (SELECT rec_id, run, any_value(label) AS label, min(seq) AS lo, max(seq) AS hi FROM c GROUP BY 1, 2), k AS (SELECT *, last_value(CASE WHEN hi - lo + 1 >= CASE label WHEN 0 THEN 3 ELSE 2 END OR lo = 0 THEN label END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY lo) AS own FROM r),
+    m AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY lo) AS run2 FROM (SELECT *, CASE WHEN own IS DISTINCT FROM lag(own) OVER (PARTITION BY rec_id ORDER BY lo) THEN 1 ELSE 0 END AS ch FROM k)) SELECT rec_id, min(lo)::BIGINT AS "begin", max(hi)::BIGINT AS "end", any_value(own) AS label FROM m GROUP BY rec_id, run2""",
+)
+
+# clustering that loses no centre: an eleventh centre begins where no row is
+FAR = "WITH {e}, c0 AS (SELECT label, k, m FROM c UNION ALL SELECT 10, k, 1000.0 FROM (SELECT DISTINCT k FROM c)), {rounds} SELECT CAST(label AS INTEGER) AS center, CAST(k AS INTEGER) AS k, round(m, 4) + 0.0 AS m FROM c3"
+MOVED = (
+    "d{i} AS (SELECT vec_id, c{i}.label AS center, sum(pow(v - m, 2)) AS d FROM e JOIN c{i} USING (k) GROUP BY 1, 2), n{i} AS (SELECT vec_id, arg_min(center, d) AS center, min(d) AS d FROM d{i} GROUP BY 1), "
+    "u{i} AS (SELECT label, row_number() OVER (ORDER BY label) AS r FROM (SELECT DISTINCT label FROM c{i}) WHERE label NOT IN (SELECT center FROM n{i})), f{i} AS (SELECT vec_id, row_number() OVER (ORDER BY d DESC, vec_id) AS r FROM n{i} WHERE d > 0), "
+    "c{j} AS (SELECT center AS label, k, avg(v) AS m FROM e JOIN n{i} USING (vec_id) GROUP BY 1, 2 UNION ALL SELECT u.label, k, v FROM u{i} u JOIN f{i} f USING (r) JOIN e USING (vec_id))"
+)
+
+
+def _with_a_far_centre(spark: SparkSession, sf: str) -> DataFrame:
+    c = vec.class_means(table(spark, sf, "embeddings"), "embedding", "label")
+    return c.unionByName(c.limit(1).select(F.lit(10).cast(c.schema["center"].dataType).alias("center"), F.transform("mean", lambda v: F.lit(1000.0)).alias("mean")))
+
+
+add("kmeans_moved", lambda s, d: rounded(vec.kmeans(table(s, d, "embeddings"), _with_a_far_centre(s, d), "vec_id", "embedding", 3).select(F.col("center").cast("int").alias("center"), F.posexplode("mean").alias("k", "m")), 4), FAR.format(e=E, rounds=", ".join(MOVED.format(i=i, j=i + 1) for i in range(3))))
+
+
+def _utterances(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), F.col("role").alias("speaker"), F.greatest(F.length("text"), F.lit(1)).cast("bigint").alias("length"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """As many turns as there are utterances."""
+    pool = _utterances(spark, sf)
+    return readers.mix_tracks(pool, pool.count())
+
+
+add(
+    "mix_tracks", _mixed,
+    """WITH u AS (SELECT conv_id * 1000 + turn AS file, role AS speaker, greatest(length(text), 1) AS length FROM conversations), p AS (SELECT *, row_number() OVER (ORDER BY speaker, file) AS k FROM u),
+    sp AS (SELECT speaker, min(k) AS first, count(*) AS files, row_number() OVER (ORDER BY speaker) AS s FROM p GROUP BY speaker), t AS (SELECT unnest(range(1, (SELECT count(*) + 1 FROM u))) AS turn),
+    d AS (SELECT turn, ('0x' || substr(md5('speaker:' || turn || ':0'), 1, 15))::BIGINT % (SELECT count(*) FROM sp) + 1 AS s, ('0x' || substr(md5('file:' || turn || ':0'), 1, 15))::BIGINT AS f FROM t),
+    j AS (SELECT turn, p.speaker, p.file, p.length FROM d JOIN sp USING (s) JOIN p ON p.k = sp.first + d.f % sp.files)
+    SELECT turn, speaker, file, length, sum(length) OVER (ORDER BY turn)::BIGINT - length + 1 AS "begin", sum(length) OVER (ORDER BY turn)::BIGINT AS "end" FROM j""",
+)
+
+
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws of event types as there are events, each type as likely as it is frequent."""
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return rel.sample_weighted(counts, "event_type", "n", table(spark, sf, "events").count())
+
+
+add("sample_weighted", _drawn, "WITH c AS (SELECT event_type, sum(n) OVER (ORDER BY event_type) AS hi, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)), t AS (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS draw), d AS (SELECT draw, ('0x' || substr(md5('draw:' || draw || ':0'), 1, 13))::BIGINT::DOUBLE / pow(16, 13) * (SELECT sum(n) FROM c) AS u FROM t) SELECT draw, event_type FROM d JOIN c ON u >= hi - n AND u < hi")
+add("window_weights", lambda s, d: rounded(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(ag.window_weights("hamming", 8), F.col("l_linenumber").cast("int")).alias("w")), 6), "SELECT l_orderkey, l_linenumber, round(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * (l_linenumber - 1) / 8), 6) AS w FROM lineitem")
+
+
+def _cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples 5 to 25 of each recording, out of chunks of ten samples."""
+    chunks = samples(spark, sf).groupBy("rec_id", F.floor(F.col("seq") / 10).alias("chunk_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "x"))).alias("a")).select("rec_id", "chunk_id", F.col("a.x").alias("pcm"))
+    segs = samples(spark, sf).select("rec_id").distinct().select("rec_id", F.lit(5).alias("begin"), F.lit(25).alias("end"), F.lit(1).alias("label"))
+    return iv.cut_segments(chunks, segs, 10).select("rec_id", "part", F.posexplode("pcm").alias("k", "x"))
+
+
+add("cut_segments", _cut, f"WITH {S} SELECT rec_id, seq // 10 AS part, CAST(CASE WHEN seq < 10 THEN seq - 5 ELSE seq % 10 END AS INTEGER) AS k, x FROM s WHERE seq BETWEEN 5 AND 25")
+add("subject_table", lambda s, d: readers.build_subject_table(*(samples(s, d).select("rec_id", "seq", c) for c in ("x", "t", "label")), samples(s, d).select("rec_id", "seq", (F.col("x") * 2).alias("resp"))), f"WITH {S} SELECT rec_id, seq, x, t, label, x * 2 AS resp FROM s")
+
+
+# without SQL: solutions of equations, recursions over arrays and iterations that it can't express; tests hold them against plain re-computations
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of eight samples as spectra of five bins."""
+    v = samples(spark, sf).groupBy("rec_id", F.floor(F.col("seq") / 8).alias("seq")).agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("k"), "x"))).alias("a")).where("size(a) = 8")
+    return v.select("rec_id", "seq", F.col("a.x").alias("v")).withColumn("power", sig.power_spectrum("v"))
+
+
+def _likelihoods(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("x")
+    return samples(spark, sf).select("rec_id", "seq", F.array(*(-(x - m) * (x - m) / 800 for m in (20.0, 50.0, 90.0))).alias("loglik"))
+
+
+def _stress(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions for a fifth of the recordings of whether most of their samples are over 50, from their mean, deviation and range."""
+    f = samples(spark, sf).groupBy("rec_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), (F.max("x") - F.min("x")).alias("r"), (F.avg((F.col("x") > 50).cast("double")) > 0.4).cast("double").alias("label"))
+    d = rel.folds(f, "rec_id", 5)
+    return models.train_stress(d.where("fold != 0"), features=("m", "s", "r")).transform(d.where("fold = 0")).select("rec_id", "label", "prediction")
+
+
+QUERIES |= {
+    "resample_spline": lambda s, d: sig.resample_spline(samples(s, d).withColumn("t", F.col("seq") / 4.0), 10.0),
+    "resample_makima": lambda s, d: sig.resample_makima(samples(s, d).withColumn("t", F.col("seq") / 4.0), 10.0),
+    "lowpass_zero_phase": lambda s, d: sig.lowpass_zero_phase(samples(s, d), 50.0, 5.0),
+    "detrend_priors": lambda s, d: sig.detrend_priors(samples(s, d), 20.0),
+    "outlier_repair": lambda s, d: sig.outlier_repair(samples(s, d), 16),
+    "viterbi": lambda s, d: sig.viterbi(_likelihoods(s, d), 5),
+    "noise_minstat": lambda s, d: audio.noise_minstat(_frames(s, d)),
+    "enhance": lambda s, d: audio.enhance(_frames(s, d)),
+    "vad": lambda s, d: audio.vad(_frames(s, d)),
+    "swt_band": lambda s, d: audio.swt_band(samples(s, d), (1, 2)),
+    "detect_rpeaks": lambda s, d: audio.detect_rpeaks(samples(s, d), 50.0),
+    "active_level": lambda s, d: audio.active_level(samples(s, d), 20.0),
+    "fit_gmm": lambda s, d: mixtures.fit_gmm(table(s, d, "embeddings").select("label", F.slice("embedding", 1, 4).alias("v")), "label", "v", [2]),
+    "train_stress": _stress,
+}

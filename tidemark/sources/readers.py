@@ -58,7 +58,7 @@ def save_features(df: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """A fitted pipeline of train_movement() or train_stress(), in the format of Spark's own writer; what stood there is replaced."""
+    """A fitted pipeline, as of train_movement(), in the format of Spark's own writer; what stood there is replaced. A KernelMachine of train_stress() has save() and load() of its own."""
     model.write().overwrite().save(path)
 
 
