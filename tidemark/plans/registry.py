@@ -90,7 +90,8 @@ over_samples("schmitt", lambda d: win.schmitt(d, 20.0, 60.0), "state", "SELECT r
 over_samples("schmitt_min_width", lambda d: win.schmitt(d, 20.0, 60.0, min_width=4), "state", ", c AS (SELECT rec_id, seq, coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x < 20 THEN -1 END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS c FROM s), h AS (SELECT *, c <> 0 AND c <> coalesce(lag(c) OVER (PARTITION BY rec_id ORDER BY seq), 0) AS h FROM c), e AS (SELECT rec_id, seq, c, lead(seq) OVER (PARTITION BY rec_id ORDER BY seq) AS nxt FROM h WHERE h), k AS (SELECT * FROM e WHERE nxt IS NULL OR nxt - seq >= 4) SELECT s.rec_id, s.seq, CAST(coalesce((SELECT arg_max(c, k.seq) FROM k WHERE k.rec_id = s.rec_id AND k.seq <= s.seq), 0) AS INTEGER) AS state FROM s")
 over_samples("moving_max", lambda d: win.moving_max(d, 5), "running_max", "SELECT rec_id, seq, round(max(x) OVER (PARTITION BY rec_id ORDER BY seq ROWS 4 PRECEDING), 4) AS running_max FROM s")
 over_samples("moving_moments", lambda d: win.moving_moments(d, 2, 6), "m1 m2", "SELECT rec_id, seq, round(avg(x) OVER v, 7) AS m1, round(avg(x * x) OVER v, 7) AS m2 FROM s WINDOW v AS (PARTITION BY rec_id ORDER BY seq ROWS 5 PRECEDING)", 7)
-over_samples("moving_moments_weighted", lambda d: win.moving_moments(d, 2, 3, weights=[1.0, 2.0, 4.0], central=True), "m1 m2", ", w AS (SELECT rec_id, seq, x, seq AS p, 4 AS w FROM s UNION ALL SELECT rec_id, seq, x, seq + 1, 2 FROM s UNION ALL SELECT rec_id, seq, x, seq + 2, 1 FROM s), m AS (SELECT rec_id, p, sum(w * x) / sum(w) AS m1 FROM w GROUP BY 1, 2) SELECT s.rec_id, s.seq, round(any_value(m1), 5) AS m1, round(sum(w.w * pow(w.x - m1, 2)) / sum(w.w), 5) AS m2 FROM s JOIN m ON m.rec_id = s.rec_id AND m.p = s.seq JOIN w ON w.rec_id = s.rec_id AND w.p = s.seq GROUP BY 1, 2", 5)
+# as for ema below: 1e-9 more, in both, for sums that lie half way between two roundings
+over_samples("moving_moments_weighted", lambda d: win.moving_moments(d, 2, 3, weights=[1.0, 2.0, 3.0], central=True).withColumns({"m1": F.col("m1") + 1e-9, "m2": F.col("m2") + 1e-9}), "m1 m2", ", w AS (SELECT rec_id, seq, x, seq AS p, 3 AS w FROM s UNION ALL SELECT rec_id, seq, x, seq + 1, 2 FROM s UNION ALL SELECT rec_id, seq, x, seq + 2, 1 FROM s), m AS (SELECT rec_id, p, sum(w * x) / sum(w) AS m1 FROM w GROUP BY 1, 2) SELECT s.rec_id, s.seq, round(any_value(m1) + 1e-9, 5) AS m1, round(sum(w.w * pow(w.x - m1, 2)) / sum(w.w) + 1e-9, 5) AS m2 FROM s JOIN m ON m.rec_id = s.rec_id AND m.p = s.seq JOIN w ON w.rec_id = s.rec_id AND w.p = s.seq GROUP BY 1, 2", 5)
 over_samples("signed_power", lambda d: win.signed_power(d.withColumn("x", F.col("x") - 50), 0.5), "powered", "SELECT rec_id, seq, round(sign(x - 50) * pow(abs(x - 50), 0.5), 4) + 0.0 AS powered FROM s")
 over_samples("rr_intervals", win.rr_intervals, "rr", f", q AS (SELECT rec_id, seq, lead(t) OVER w - t AS rr FROM s {W}) SELECT rec_id, seq, round(rr, 3) AS rr FROM q WHERE rr IS NOT NULL", 3)
 over_samples("beat_time", lambda d: win.beat_time(d.withColumn("rr", F.col("x") / 100), True), "t", "SELECT rec_id, seq, round(sum(x / 100) OVER (PARTITION BY rec_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - first_value(x / 100) OVER (PARTITION BY rec_id ORDER BY seq), 4) + 0.0 AS t FROM s")
@@ -336,6 +337,11 @@ def _stress(spark: SparkSession, sf: str) -> DataFrame:
     return models.train_stress(d.where("fold != 0"), features=("m", "s", "r")).transform(d.where("fold = 0")).select("rec_id", "label", "prediction")
 
 
+def _directions(spark: SparkSession, sf: str) -> DataFrame:
+    m = models.lda_fit(table(spark, sf, "embeddings"), "embedding", "label", 2)
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "place int, first double, second double")
+
+
 QUERIES |= {
     "resample_spline": lambda s, d: sig.resample_spline(samples(s, d).withColumn("t", F.col("seq") / 4.0), 10.0),
     "resample_makima": lambda s, d: sig.resample_makima(samples(s, d).withColumn("t", F.col("seq") / 4.0), 10.0),
@@ -351,4 +357,5 @@ QUERIES |= {
     "active_level": lambda s, d: audio.active_level(samples(s, d), 20.0),
     "fit_gmm": lambda s, d: mixtures.fit_gmm(table(s, d, "embeddings").select("label", F.slice("embedding", 1, 4).alias("v")), "label", "v", [2]),
     "train_stress": _stress,
+    "lda_fit": _directions,
 }
