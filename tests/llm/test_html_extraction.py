@@ -87,3 +87,9 @@ def test_tables_and_edges(spark):
     got = hx.extract(odd).collect()
     assert [r.n_chars for r in got[:2]] == [0, 0] and len(got) == 6 and got[2].text.startswith("a < b and c.")
     assert hx.extract(odd.limit(0)).count() == 0
+
+
+def test_formulas_are_text():
+    page = "<main><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number that all of the following lines rely on, and more.</p></article></main>"
+    assert hx.main_text(page).startswith("Let x=2 be a number")
+    assert "never" not in hx.main_text(page.replace("Let", "<svg><text>never</text></svg><noscript>never</noscript>Let"))

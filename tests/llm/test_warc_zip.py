@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import duckdb
+import pytest
 
 from tidemark.llm import warc_zip as wz
 
@@ -43,3 +44,14 @@ def test_tables(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     assert sorted(map(tuple, wz.query(spark, SF).collect())) == sorted(c.sql(wz.ORACLE).fetchall())
+
+
+def test_keys_of_any_text(spark):
+    big = "x" * 1200
+    rows = [("", big), (None, "n"), ("a\r\nWARC-Type: revisit", "y"), ("é: \"quoted\"", big), ("null", "z"), (" ", "s"), ("7", "t")]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id string, url string, html string")
+    got = {r.key: (r.record_type, r.refers_to, r.payload_bytes) for r in wz.read_records(wz.write_archives(pages), "string").collect()}
+    want = {k: ("response", None, len(h)) for k, h in rows}
+    assert got == {**want, "": ("revisit", "é: \"quoted\"", 1200)}
+    with pytest.raises(ValueError, match="double"):
+        wz.read_records(wz.write_archives(pages), "double")

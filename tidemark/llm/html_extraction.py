@@ -9,7 +9,8 @@ to the next ones on the page, the more strongly the nearer they are in the docum
 nothing names a block: a short line between paragraphs of one parent is content, and the same line between links is not.
 The maximum flow's cut with the least cost labels the blocks; those on the source's side are joined by line feeds.
 
-Null and empty html: empty text. Text in scripts, styles, templates, form controls and comments never is a block. A line break inside a
+Null and empty html: empty text. Formulas (math) are text of their block. What stands in for scripts, frames, objects, images' maps and media where a browser can't show them (noscript, object, map, audio, video) is not
+shown and no text. Text in scripts, styles, templates, form controls and comments never is a block. A line break inside a
 block is white space. Unclosed and stray tags are closed as browsers do in the common cases. Ties of the cut go to boilerplate. Whole pages are read, in time that grows with
 their length however deep or broken their tags are. With too few pages to learn from, TEXT_WEIGHTS are taken. Repeated rows get equal results.
 """
@@ -30,7 +31,7 @@ from tidemark.llm.common import table
 #: Tag names of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style template noscript svg math canvas object iframe select textarea button datalist audio video map title head".split())
+SKIPPED_TAGS = frozenset("script style template noscript svg canvas object iframe select textarea button datalist audio video map title head".split())
 RAW_TAGS = frozenset(("script", "style", "textarea", "title", "iframe"))
 #: What a starting tag closes when it is open inside the nearest of the containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}

@@ -8,7 +8,8 @@ spans of records of about SPAN bytes are dealt out evenly to as many tasks as th
 
 Of records with equal payloads of at least LEAST_REVISIT bytes, the one with the largest key is a response and the others
 are revisits that refer to it, without their payload; smaller ones are all responses. Rows that tie on the largest key are all responses. Other columns of pages, whatever their names, are not read. Null
-keys are less than all others; if all keys are null, all are responses. A null html is an empty payload. Urls may be null.
+keys are less than all others; if all keys are null, all are responses. A null html is an empty payload. Urls may be null. Keys are of a type in KEYS and stand in their header as JSON, so
+that null and empty keys differ and line breaks in a key end no header; another type raises.
 
 Archives are written below the shared scratch folder, under names of their own for each attempt; the manifest table names
 those of the attempts that Spark kept, so a lost executor or a repeated task leaves no record twice.
@@ -36,6 +37,8 @@ from tidemark.llm.common import cut, scratch, table
 LEAST_REVISIT = 1000
 #: A task reads about TASK_BYTES of archives, or less while there are cores without work.
 ARCHIVE_BYTES, SPAN, TASK_BYTES = 64 << 20, 1 << 20, 32 << 20
+#: Types that keys may have.
+KEYS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -44,13 +47,13 @@ def record(key, url: str | None, payload: bytes | None, size: int, digest: str,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{digest}')}>"), ("WARC-Date", date), ("WARC-Page-Key", "" if key is None else str(key)),
+        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{digest}')}>"), ("WARC-Date", date), ("WARC-Page-Key", json.dumps(key)),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("Content-Type", "application/http; msgtype=response"),
     ]
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}|{digest}')}>"), ("WARC-Refers-To-Key", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{refers_to}|{digest}')}>"), ("WARC-Refers-To-Key", json.dumps(refers_to))]
     fields.append(("Content-Length", str(len(block))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -214,8 +217,9 @@ def read_records(manifest: DataFrame, key_type: str = "bigint", span: int = SPAN
                     lengths[-1].append(x["length"])
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(spans)), pa.array(spans, pa.int64()), pa.array(lengths, pa.list_(pa.int64()))], ["uri", "at", "lengths"])
 
-    key_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
-    as_key = (lambda x: x) if key_type == "string" else int
+    if key_type not in KEYS:
+        raise ValueError(f"keys of type {key_type} are not read; {', '.join(KEYS)} are")
+    key_arrow = KEYS[key_type]
 
     def parse_span(batches):
         for batch in batches:
@@ -229,8 +233,8 @@ def read_records(manifest: DataFrame, key_type: str = "bigint", span: int = SPAN
                     size = len(payload) if response else int(http.rpartition(b"Content-Length: ")[2])
                     if response and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"a payload in {uri} doesn't have its digest")
-                    key, to = fields["WARC-Page-Key"], fields.get("WARC-Refers-To-Key")
-                    rows.append((as_key(key) if key else None, fields.get("WARC-Target-URI"), fields["WARC-Type"], as_key(to) if to else None, size, digest, payload if response else None))
+                    key, to = (json.loads(fields.get(f, "null")) for f in ("WARC-Page-Key", "WARC-Refers-To-Key"))
+                    rows.append((key, fields.get("WARC-Target-URI"), fields["WARC-Type"], to, size, digest, payload if response else None))
                 cols = list(zip(*rows, strict=True))
                 types = [key_arrow, pa.string(), pa.string(), key_arrow, pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
