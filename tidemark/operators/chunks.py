@@ -64,6 +64,12 @@ def per_chunk(rows: DataFrame, run, added: str) -> DataFrame:
     return rows.groupBy("rec_id", "chunk").applyInPandas(group, f"rec_id {key_type(rows)}, {added}")
 
 
+def one_chunk_each(rows: DataFrame) -> bool:
+    """Whether no recording has more than one chunk: then nothing passes between chunks."""
+    own = rows.where("own") if "own" in rows.columns else rows
+    return own.groupBy("rec_id").agg(F.max("chunk").alias("a"), F.min("chunk").alias("b")).where("a > b").isEmpty()
+
+
 class Linear:
     """s = A s(-1) + b u, y = c . s + d u: a recursion of few states."""
 
@@ -116,7 +122,15 @@ def linear_scan(df: DataFrame, system: Linear, col: str = "x", out: str = "y", s
     """(rec_id, seq, out): the system's outputs along each recording, from a zero state or, if steady, from the state that its first input would keep; backwards from the last row on."""
     rows = chunked(df.select("rec_id", "seq", F.col(col).cast("double").alias("_u")), size)
     turn = slice(None, None, -1) if backwards else slice(None)
-    zero = np.zeros(len(system.b))
+    zero, kind = np.zeros(len(system.b)), df.schema["seq"].dataType.simpleString()
+
+    def whole(pdf):
+        u = pdf["_u"].to_numpy()[turn]
+        y, _ = system.run(u, system.steady(u[0]) if steady else zero)
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy(), out: y[turn]})
+
+    if one_chunk_each(rows):
+        return per_chunk(rows, whole, f"seq {kind}, {out} double")
 
     def summary(pdf):
         u = pdf["_u"].to_numpy()[turn]
@@ -138,7 +152,6 @@ def linear_scan(df: DataFrame, system: Linear, col: str = "x", out: str = "y", s
         y, _ = system.run(pdf["_u"].to_numpy()[turn], np.asarray(own["_s"].iloc[0], float))
         return pd.DataFrame({"rec_id": pdf["rec_id"], "seq": pdf["seq"], out: y[turn]})
 
-    kind = df.schema["seq"].dataType.simpleString()
     return rows.groupBy("rec_id", "chunk").cogroup(states.groupBy("rec_id", "chunk")).applyInPandas(apply, f"rec_id {key_type(df)}, seq {kind}, {out} double")
 
 
@@ -175,6 +188,9 @@ def fixpoint(rows: DataFrame, run, tolerance: float = 1e-12) -> DataFrame:
         return pdf.assign(state=[after[i - 1] if s else state[i] for i, s in enumerate(stale)], after=[None if s else after[i] for i, s in enumerate(stale)])
 
     start = pickle.dumps(None)
+    if one_chunk_each(rows):
+        own = rows.where("own") if "own" in rows.columns else rows
+        return cut(own.select("rec_id", "chunk").distinct().withColumn("state", F.lit(start)), "chunk-states")
     now = rows.groupBy("rec_id", "chunk").applyInPandas(lambda pdf: one(pdf, start), schema)
     while True:
         now = cut(cut(now, "chunk-runs").groupBy("rec_id").applyInPandas(follow, schema), "chunk-states")  # a row a chunk
@@ -201,4 +217,7 @@ def from_states(rows: DataFrame, states: DataFrame, run, added: str) -> DataFram
 
 
 def recursion(rows: DataFrame, run, added: str, tolerance: float = 1e-12) -> DataFrame:
+    """run's rows of recordings from their starts on, whatever their chunks."""
+    if one_chunk_each(rows):
+        return per_chunk(rows, lambda pdf: run(pdf, None)[0], added)
     return from_states(rows, fixpoint(rows, run, tolerance), run, added)

@@ -540,6 +540,7 @@ def _decoded(df: DataFrame, lens_of, cols: list[str], size: int) -> DataFrame:
     def run(pdf, state):
         return None, forward(pdf, state)[1]["state"]
 
+    single = chunks.one_chunk_each(rows)
     states = chunks.fixpoint(rows, run, 0.0)
 
     def ways(pdf, state):
@@ -554,8 +555,8 @@ def _decoded(df: DataFrame, lens_of, cols: list[str], size: int) -> DataFrame:
             way = int(w[way if way < k else k + (way - k) // k])
         return pdf.assign(_way=out)[["rec_id", "chunk", "_way"]]
 
-    maps = cut(chunks.from_states(rows, states, ways, "chunk bigint, _ways array<bigint>, _best bigint, _k bigint"), "chunk-ways")
-    left = cut(maps.groupBy("rec_id").applyInPandas(follow, f"rec_id {chunks.key_type(df)}, chunk bigint, _way bigint").join(states, ["rec_id", "chunk"]), "chunk-ways")  # a row a chunk
+    maps = None if single else cut(chunks.from_states(rows, states, ways, "chunk bigint, _ways array<bigint>, _best bigint, _k bigint"), "chunk-ways")
+    left = states.withColumn("_way", F.lit(-1)) if single else cut(maps.groupBy("rec_id").applyInPandas(follow, f"rec_id {chunks.key_type(df)}, chunk bigint, _way bigint").join(states, ["rec_id", "chunk"]), "chunk-ways")  # a row a chunk
 
     def label(pdf, own):
         pdf = pdf.sort_values("seq")
@@ -567,7 +568,7 @@ def _decoded(df: DataFrame, lens_of, cols: list[str], size: int) -> DataFrame:
         if n < d.lens.min():  # shorter than any stay: one chunk
             out = np.full(n, int(np.argmax(np.stack(pdf["loglik"].to_numpy()).astype(float).sum(axis=0))))
         else:
-            out = d.labels(f, way)
+            out = d.labels(f, f["last"] if way < 0 else way)
         return pd.DataFrame({"rec_id": pdf["rec_id"][mine], "seq": pdf["seq"][mine], "_class": out})
 
     kind = df.schema["seq"].dataType.simpleString()
