@@ -10,7 +10,8 @@ a plausible number of digits (or an @). So no span without either is ever added,
 lose is the end of a span that lies farther than half a window from its last digit or @. It saves nearly all the work.
 
 Null texts are empty. Ties go to the earlier kind. Offsets count code points. Repeated rows get equal results.
-With no row to train on, base spans only. Rows are independent once trained; long texts are read whole.
+With no row to train on, base spans only. Rows are independent once trained. A task holds SLICE_BYTES of texts, or one longer text, and decodes
+MOST_AT_ONCE windows at a time; a longer text's windows are decoded in parts and settled over the whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
@@ -34,6 +35,8 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 TRAIN_ROWS, MOST_WINDOWS, WINDOW, STRIDE, HIDDEN, EMBED = 2000, 6000, 64, 32, 16, 12
+#: Bytes of text that a task holds at once (one text at least), and windows that it decodes at once.
+SLICE_BYTES, MOST_AT_ONCE = 1 << 20, 1 << 14
 #: Least probability, averaged over a span, for a span of the network to be added.
 LIKELY = 0.9
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -83,9 +86,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def char_codes(text: str) -> np.ndarray:
-    """0 to 127: the character; 128: any other letter; 129: any other."""
+    """0 to 127: the character; 128: any other letter; 129: any other. A byte each."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c < 128, c, np.where(c < 0x250, 128, 129)).astype(np.int64)
+    return np.where(c < 128, c, np.where(c < 0x250, 128, 129)).astype(np.uint8)
 
 
 def tags_of(n: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
@@ -225,14 +228,14 @@ class Network:
             c = best[:, :, None] + tr
             back[t] = c.argmax(axis=1)
             best = c.max(axis=1) + s[t]
-        tags = np.empty((n, rows), np.int64)
+        tags = np.empty((n, rows), np.int8)
         tags[-1] = best.argmax(axis=1)
         for t in range(n - 1, 0, -1):
             tags[t - 1] = back[t, np.arange(rows), tags[t]]
-        prob = np.ones((n, rows))
+        prob = np.ones((n, rows), np.float32)
         some = np.flatnonzero((tags > 0).any(axis=0))
         if len(some):
-            prob[:, some] = np.take_along_axis(self.marginals(s[:, some].astype(float))[1], tags[:, some, None], 2)[..., 0]
+            prob[:, some] = np.take_along_axis(self.marginals(s[:, some].astype(float))[1], tags[:, some, None].astype(np.int64), 2)[..., 0]
         return tags, prob
 
 
@@ -244,13 +247,21 @@ def trigger(code: np.ndarray) -> np.ndarray:
     return ((code >= 48) & (code <= 57)) | (code == 64)
 
 
-def windows_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows worth reading, padded with code 130, and where they start."""
+def windows_of(code: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows worth reading (or those at starts), padded with code 130, and where they start."""
+    starts = worth(code) if starts is None else starts
+    if not len(starts):
+        return np.zeros((0, WINDOW), np.uint8), starts
+    lo = int(starts[0])
+    padded = np.concatenate([code[lo : int(starts[-1]) + WINDOW], np.full(WINDOW, 130, np.uint8)])
+    return padded[(starts - lo)[:, None] + np.arange(WINDOW)], starts
+
+
+def worth(code: np.ndarray) -> np.ndarray:
+    """Starts of the windows with a digit or an @."""
     starts = window_starts(len(code))
-    hit = np.concatenate([[0], np.cumsum(trigger(code))])
-    starts = starts[hit[np.minimum(starts + WINDOW, len(code))] > hit[starts]]
-    padded = np.concatenate([code, np.full(WINDOW, 130)])
-    return padded[starts[:, None] + np.arange(WINDOW)], starts
+    hit = np.concatenate([[0], np.cumsum(trigger(code), dtype=np.int32)])
+    return starts[hit[np.minimum(starts + WINDOW, len(code))] > hit[starts]]
 
 
 def spoil(text: str, spans: list[tuple[str, int, int]], r: np.random.Generator) -> str:
@@ -303,51 +314,89 @@ def plausible(kind: str, s: str) -> bool:
     return {"email": "@" in s and len(s) >= 5, "ip": 4 <= n <= 12, "card": 13 <= n <= 19, "phone": 8 <= n <= 15}[kind]
 
 
+class Layers:
+    """What a text's characters have from the windows so far: each from the window in which it lies farthest from an edge."""
+
+    depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.int16)
+
+    def __init__(self, n: int):
+        self.n, self.tag, self.p, self.edge = n, np.zeros(n + WINDOW, np.int8), np.ones(n + WINDOW, np.float32), np.full(n + WINDOW, -1, np.int16)
+
+    def add(self, starts: np.ndarray, tags: np.ndarray, prob: np.ndarray) -> None:
+        for a, t, q in zip(starts.tolist(), tags.T, prob.T, strict=True):
+            at = slice(a, a + WINDOW)
+            own = self.depth + WINDOW * (np.arange(WINDOW) < STRIDE) if a == 0 else self.depth
+            better = own > self.edge[at]
+            self.tag[at], self.p[at], self.edge[at] = np.where(better, t, self.tag[at]), np.where(better, q, self.p[at]), np.where(better, own, self.edge[at])
+
+    def spans(self) -> list[tuple[str, int, int, float]]:
+        """Spans (kind, start, end, mean probability)."""
+        tag = self.tag[: self.n]
+        kind = (tag + 1) // 2
+        cut = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]]).astype(np.int8)))
+        out = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if kind[a]:
+                heads = [int(a), *(int(a) + 1 + np.flatnonzero(tag[a + 1 : b] % 2 == 1)).tolist(), int(b)]
+                out += [(KINDS[kind[a] - 1], u, v, float(self.p[u:v].mean(dtype=float))) for u, v in zip(heads[:-1], heads[1:], strict=True)]
+        return out
+
+
 def reconcile(n: int, starts: np.ndarray, tags: np.ndarray, prob: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """Spans (kind, start, end, mean probability): each character from the window in which it lies farthest from an edge."""
-    tag, p, edge = np.zeros(n + WINDOW, np.int64), np.ones(n + WINDOW), np.full(n + WINDOW, -1)
-    depth = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-    for a, t, q in zip(starts.tolist(), tags.T, prob.T, strict=True):
-        at = slice(a, a + WINDOW)
-        own = depth + WINDOW * ((a == 0) & (np.arange(WINDOW) < STRIDE))
-        better = own > edge[at]
-        tag[at], p[at], edge[at] = np.where(better, t, tag[at]), np.where(better, q, p[at]), np.where(better, own, edge[at])
-    kind = (tag[:n] + 1) // 2
-    cut = np.flatnonzero(np.diff(np.concatenate([[0], kind, [0]])))
-    out = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        if kind[a]:
-            heads = [int(a), *(int(a) + 1 + np.flatnonzero(tag[a + 1 : b] % 2 == 1)).tolist(), int(b)]
-            out += [(KINDS[kind[a] - 1], u, v, float(p[u:v].mean())) for u, v in zip(heads[:-1], heads[1:], strict=True)]
-    return out
+    """Spans of a text of n characters from all its windows."""
+    text = Layers(n)
+    text.add(starts, tags, prob)
+    return text.spans()
 
 
-def added_spans(net: Network, texts: list[str], base: list[list]) -> list[list[tuple[str, int, int]]]:
-    """For each text, the network's spans beyond its base spans."""
-    parts, owner, starts = [], [], []
-    for i, t in enumerate(texts):
-        if _DIGIT.search(t) or "@" in t:
-            x, s = windows_of(char_codes(t))
-            parts.append(x)
-            owner.append(np.full(len(s), i))
-            starts.append(s)
+def added_spans(net: Network, texts: list[str], base: list[list], most: int = MOST_AT_ONCE) -> list[list[tuple[str, int, int]]]:
+    """For each text, the network's spans beyond its base spans. Windows are read at most so many at once; a text with more is read in parts,
+    and the result doesn't depend on the number."""
     out: list[list] = [[] for _ in texts]
-    if not parts:
-        return out
-    x, owner, starts = np.concatenate(parts), np.concatenate(owner), np.concatenate(starts)
-    uniq, back = np.unique(x.astype(np.uint8).view(f"V{WINDOW}").ravel(), return_inverse=True)
-    codes = np.frombuffer(uniq.tobytes(), np.uint8).reshape(-1, WINDOW).astype(np.int64)
-    done = [net.decode(codes[a : a + 2048].T) for a in range(0, len(codes), 2048)]
-    tags, prob = (np.concatenate([d[k] for d in done], axis=1) for k in range(2))
-    for i in np.unique(owner[(tags[:, back] > 0).any(axis=0)]).tolist():
-        own = np.flatnonzero(owner == i)
-        for kind, a, b, q in reconcile(len(texts[i]), starts[own], tags[:, back[own]], prob[:, back[own]]):
+    open_: dict[int, Layers] = {}  # texts read in part
+    ready: list[tuple[int, np.ndarray, np.ndarray, bool]] = []  # (text, its windows, their starts, whether they are its last)
+
+    def accept(i: int, text: Layers) -> None:
+        for kind, a, b, q in text.spans():
             while b > a and texts[i][b - 1] in " .,;":
                 b -= 1
             while b > a and texts[i][a] in " .,;":
                 a += 1
             if q >= LIKELY and plausible(kind, texts[i][a:b]) and all(b <= u or a >= v for _, u, v in base[i]):
                 out[i].append((kind, a, b))
+
+    def read() -> None:
+        uniq, back = np.unique(np.concatenate([r[1] for r in ready]).view(f"V{WINDOW}").ravel(), return_inverse=True)
+        codes = np.frombuffer(uniq.tobytes(), np.uint8).reshape(-1, WINDOW)
+        done = [net.decode(codes[a : a + 2048].T) for a in range(0, len(codes), 2048)]
+        tags, prob = (np.concatenate([d[k] for d in done], axis=1) for k in range(2))
+        some, at = (tags > 0).any(axis=0), 0
+        for i, x, starts, last in ready:
+            own = back[at : at + len(x)]
+            at += len(x)
+            if i not in open_ and last and not some[own].any():
+                continue
+            text = open_.setdefault(i, Layers(len(texts[i])))
+            text.add(starts, tags[:, own], prob[:, own])
+            if last:
+                accept(i, open_.pop(i))
+        ready.clear()
+
+    held = 0
+    for i, t in enumerate(texts):
+        if not (_DIGIT.search(t) or "@" in t):
+            continue
+        code = char_codes(t)
+        starts = worth(code)
+        for lo in range(0, len(starts), most):
+            x, s = windows_of(code, starts[lo : lo + most])
+            if held + len(x) > most and ready:
+                read()
+                held = 0
+            ready.append((i, x, s, lo + most >= len(starts)))
+            held += len(x)
+    if ready:
+        read()
     return out
 
 
@@ -365,19 +414,17 @@ def find(docs: DataFrame, net: Network | None, text: str = "text", masked: str |
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def build(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                raw = part.column(part.schema.get_field_index(text)).to_pylist()
-                texts = [t or "" for t in raw]
-                base = [base_spans(t) for t in texts]
-                more = added_spans(sent.value, texts, base) if sent.value else [[] for _ in texts]
-                cols = [part.column(part.schema.get_field_index(f.name)) for f in keep]
-                cols += [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
-                cols += [pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base]), pa.array([written([*b, *m]) for b, m in zip(base, more, strict=True)])]
-                if masked:
-                    cols.append(pa.array([None if r is None else mask(r, [*b, *m]) for r, b, m in zip(raw, base, more, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keep), *names, *([masked] if masked else [])])
+        for part, _, _ in text_slices(batches, text, SLICE_BYTES):
+            raw = part.column(part.schema.get_field_index(text)).to_pylist()
+            texts = [t or "" for t in raw]
+            base = [base_spans(t) for t in texts]
+            more = added_spans(sent.value, texts, base) if sent.value else [[] for _ in texts]
+            cols = [part.column(part.schema.get_field_index(f.name)) for f in keep]
+            cols += [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
+            cols += [pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base]), pa.array([written([*b, *m]) for b, m in zip(base, more, strict=True)])]
+            if masked:
+                cols.append(pa.array([None if r is None else mask(r, [*b, *m]) for r, b, m in zip(raw, base, more, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in keep), *names, *([masked] if masked else [])])
 
     return docs.mapInArrow(build, types)
 
