@@ -4,16 +4,18 @@ cuts its lineage by a table in the shared folder."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quantile_n1, quantiles_n1
+from tidemark.operators.chunks import CHUNK
 from tidemark.operators.models import merge_round
-from tidemark.operators.mixtures import fit_gmm
+from tidemark.operators.mixtures import fit_gmm, fit_packed, pack
 from tidemark.operators.signal import viterbi_labels
 from tidemark.sources.scratch import cut
 
@@ -24,6 +26,11 @@ LEAST_FRAMES = {"noise": 25, "silence": 25, "speech": 75}
 #: Components of a recording's own speech mixture, and rounds of each step of training.
 OWN_SPEECH, BACKGROUND_ROUNDS, ALL_ROUNDS, FINAL_ROUNDS = 8, 3, 3, 4
 
+#: Frames of a window whose energy tells silence and noise; first number of components of each class where all are fitted, what each round adds, and the most.
+WINDOW_FRAMES = 25
+GROWTH, MOST_GROWN = {"speech": (4, 2), "silence": (2, 1), "noise": (4, 2)}, 10
+GROWTH_WITHOUT_NOISE = {"speech": (6, 2), "silence": (2, 1)}
+
 #: Parameters of a mixture's rows are few, so they go to tasks by closure while they are at most so many numbers.
 MOST_NUMBERS = 200_000
 
@@ -115,73 +122,134 @@ def relabel(frames: DataFrame, params: DataFrame, vector: str, least: dict | int
     return frames.drop("label").join(out, ["rec_id", "seq"])
 
 
-def confident_background(frames: DataFrame, level: float) -> DataFrame:
-    """Silent and noisy frames (energy, zcr) that there's little doubt about, by recording. Silence: energy not over its third quartile by more than 1.5 ranges.
-    Noise: frames called noise, and silent ones over by more than 3 ranges, whose energy is over that bound and not under the quantile level of
-    them all, and whose crossings are not under the silence's third quartile by 1.5 ranges more. Recordings without silence give nothing."""
-    silent = frames.where("label = 'silence'")
-    e = quantiles_n1(silent, "rec_id", "energy", {"q1": 0.25, "q3": 0.75}).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_mild"), (4 * F.col("q3") - 3 * F.col("q1")).alias("_far"))
-    d = frames.where("label IN ('silence', 'noise')").join(e, "rec_id")
-    calm = d.where("label = 'silence' AND energy <= _mild").drop("_mild", "_far")
-    loud = d.where("label = 'noise' OR energy > _far").withColumn("label", F.lit("noise"))
-    loud = loud.join(quantile_n1(loud, "rec_id", "energy", level).withColumnRenamed("quantile", "_q"), "rec_id").where("energy >= _far AND energy >= _q").drop("_mild", "_far", "_q")
-    z = quantiles_n1(calm, "rec_id", "zcr", {"q1": 0.25, "q3": 0.75}).select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_z"))
-    return calm.unionByName(loud.join(z, "rec_id").where("zcr >= _z").drop("_z"))
-
-
-def own_models(frames: DataFrame, vector: str, most: dict, seed: int) -> DataFrame:
-    """(rec_id, label, comp, weight, mean, var, bic) of one mixture per recording and label, with the label's number of components, or fewer for few frames."""
+def numbered(df: DataFrame, keys: list[str], order: str = "seq", size: int = CHUNK) -> DataFrame:
+    """Rows with _i, their rank from 0 among their keys' rows by order (unique there), and _n, how many those are. Ranks are told within stretches of `size` of order and shifted by
+    the counts of the stretches before, so a window holds a stretch at most, or a row a stretch."""
+    d = df.withColumn("_stretch", F.floor(F.col(order) / size))
+    all_of = Window.partitionBy(*keys)
+    so_far = all_of.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*keys, "_stretch").agg(F.count("*").alias("_c"))
+    counts = counts.select(*keys, "_stretch", F.coalesce(F.sum("_c").over(so_far), F.lit(0)).alias("_before"), F.sum("_c").over(all_of).alias("_n"))
+    own = Window.partitionBy(*keys, "_stretch").orderBy(order)
+    return d.join(counts, [*keys, "_stretch"]).withColumn("_i", F.row_number().over(own) - 1 + F.col("_before")).drop("_stretch", "_before")
+
+
+def class_windows(frames: DataFrame, size: int = WINDOW_FRAMES, hop: int = WINDOW_FRAMES // 2) -> DataFrame:
+    """Frames once for each window that they lie in, with _w and _at (their place in it): a recording's frames of one label, put end to end, in windows of size frames, one every hop;
+    frames after the last whole window have none."""
+    d = numbered(frames, ["rec_id", "label"]).where(F.col("_n") >= size)
+    d = d.withColumns({"_from": F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / hop)), "_to": F.least(F.floor(F.col("_i") / hop), F.floor((F.col("_n") - size) / hop))}).where("_from <= _to")
+    return d.withColumn("_w", F.explode(F.sequence("_from", "_to"))).withColumn("_at", F.col("_i") - F.col("_w") * hop).drop("_from", "_to", "_i", "_n")
+
+
+def confident_background(frames: DataFrame, level: float | None = None, size: int = WINDOW_FRAMES, hop: int | None = None, name: str = "windows") -> DataFrame:
+    """Frames (rec_id, seq, label, energy, zcr, ..) of silence and noise that there's little doubt about, once for each window chosen. Windows are class_windows of the frames called
+    silence and of those called noise; a window's energy adds its frames' with squared Hamming weights, its crossings are their mean.
+
+    With a level: silence is the silent windows whose energy is not over their third quartile by more than 1.5 ranges. Noise is, of the noise windows and the silent ones over by more than
+    3 ranges, those not under that bound nor under the quantile `level` of them all. Without a level (nothing but the first labels is known), labels don't count: quartiles are those of the
+    quietest quarter of all windows, silence lies below the first bound, and noise is over the second and not under the median of the loudest quarter. In both, crossings of noise are not
+    under the silence's third quartile by 1.5 ranges more. Recordings without silence give nothing."""
+    apart = cut(class_windows(frames.where("label IN ('silence', 'noise')"), size, hop or size // 2), name)
+    weight = F.pow(0.54 - 0.46 * F.cos(2 * F.pi() * F.col("_at") / size), 2)
+    each = cut(apart.groupBy("rec_id", "label", "_w").agg(F.sum(weight * F.col("energy")).alias("e"), F.avg("zcr").alias("z")), name)
+
+    def bounds(of: DataFrame, col: str) -> DataFrame:
+        q = quantiles_n1(of, "rec_id", col, {"q1": 0.25, "q3": 0.75})
+        return q.select("rec_id", (2.5 * F.col("q3") - 1.5 * F.col("q1")).alias("_mild"), (4 * F.col("q3") - 3 * F.col("q1")).alias("_far"))
+
+    if level is None:
+        q = quantiles_n1(each, "rec_id", "e", {"_low": 0.25, "_high": 0.75})
+        d = each.join(q, "rec_id")
+        d = d.join(bounds(d.where("e <= _low"), "e"), "rec_id").join(quantile_n1(d.where("e >= _high"), "rec_id", "e", 0.5).withColumnRenamed("quantile", "_loud"), "rec_id")
+        calm, loud = d.where("e < _mild"), d.where("e >= _loud AND e > _far")
+    else:
+        d = each.join(bounds(each.where("label = 'silence'"), "e"), "rec_id")
+        calm, loud = d.where("label = 'silence' AND e <= _mild"), d.where("label = 'noise' OR e > _far")
+        loud = loud.join(quantile_n1(loud, "rec_id", "e", level).withColumnRenamed("quantile", "_loud"), "rec_id").where("e >= _far AND e >= _loud")
+    crossing = bounds(calm, "z").select("rec_id", F.col("_mild").alias("_z"))
+    key = ["rec_id", "label", "_w"]
+    chosen = calm.select(*key, F.lit("silence").alias("_new")).unionByName(loud.join(crossing, "rec_id").where("z >= _z").select(*key, F.lit("noise").alias("_new")))
+    return apart.join(chosen, key).withColumn("label", F.col("_new")).select(*frames.columns)
+
+
+def own_models(frames: DataFrame, vector: str, most: dict, seed: int, by_rows: bool = False) -> DataFrame:
+    """(rec_id, label, comp, weight, mean, var, bic) of one mixture per recording and label, with the label's number of components or, by rows, one for each 4 rows a place of the vectors,
+    two at least and that number at most. Of fewer frames than two a component (by rows: than places) no model is made."""
     keyed = frames.withColumn("_key", F.to_json(F.struct("rec_id", "label")))
     kind = frames.schema["rec_id"].dataType.simpleString()
     out = None
     for label, k in sorted(most.items()):
         some = keyed.where(F.col("label") == label)
-        enough = some.groupBy("_key").count().where(F.col("count") >= 2 * k).select("_key")  # of fewer frames no model is made
-        fit = fit_gmm(some.join(enough, "_key", "left_semi"), "_key", vector, [k], seed)
-        fit = fit.select(F.from_json("_key", f"rec_id {kind}").alias("r"), F.lit(label).alias("label"), "comp", "weight", "mean", "var", "bic").select("r.rec_id", "label", "comp", "weight", "mean", "var", "bic")
-        out = fit if out is None else out.unionByName(fit)
+        sizes = some.where(F.col(vector).isNotNull()).groupBy("_key").agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d"))
+        wanted = F.least(F.lit(k), F.greatest(F.lit(2), F.round(F.col("n") / (4 * F.col("d"))))).cast("int") if by_rows else F.lit(k)
+        sizes = cut(sizes.where(F.col("n") >= (F.col("d") if by_rows else 2 * k)).select("_key", wanted.alias("k")), "components")
+        packed = pack(some.join(sizes, "_key", "left_semi"), "_key", vector)
+        for each in [r["k"] for r in sizes.select("k").distinct().orderBy("k").collect()] or [k]:  # k different numbers at most
+            fit = fit_packed(packed, sizes.where(F.col("k") == each).select(F.col("_key").alias("key"), F.col("_key").alias("src")), [each], seed)
+            fit = fit.select(F.from_json("key", f"rec_id {kind}").alias("r"), F.lit(label).alias("label"), "comp", "weight", "mean", "var", "bic").select("r.rec_id", "label", "comp", "weight", "mean", "var", "bic")
+            out = fit if out is None else out.unionByName(fit)
     return out
 
 
-def vad_hmm(frames: DataFrame, bootstrap: DataFrame, vector: str = "feats", seed: int = 0, components: dict | None = None, least: dict | None = None, rounds: tuple[int, int, int] = (BACKGROUND_ROUNDS, ALL_ROUNDS, FINAL_ROUNDS), drop_noise: str = "larger") -> DataFrame:
+def grown(labels, i: int) -> dict:
+    """Components of each class in the i-th round (from 0) in which all are fitted."""
+    return {c: min(first + i * more, MOST_GROWN) for c, (first, more) in (GROWTH if "noise" in labels else GROWTH_WITHOUT_NOISE).items() if c in labels}
+
+
+def vad_hmm(frames: DataFrame, bootstrap: DataFrame, vector: str = "feats", seed: int = 0, components: dict | None = None, least: dict | None = None, rounds: tuple[int, int, int] = (BACKGROUND_ROUNDS, ALL_ROUNDS, FINAL_ROUNDS), drop_noise: str = "larger", window: int = WINDOW_FRAMES) -> DataFrame:
     """(rec_id, seq, label) of frames (rec_id, seq, feats ARRAY, energy, zcr). Labels come from the bootstrap models first; then silence and noise are fitted
-    again on confident frames, then all three on their own frames, rounds each. Where speech and noise in one mixture have a larger BIC (drop_noise
-    "larger": noise counts as speech where it is unlike it) or a smaller one ("smaller") than in two, the noise model is dropped and the others are fitted again. A class that a recording has too few frames for keeps its model from before. Confidence is told by
-    frame, not by windows of a quarter of a second. No frames, no rows."""
+    again on confident windows of so many frames (the first time by thresholds of all windows, then rounds[0] times by class, without frames that the bootstrap called speech), with
+    numbers of components by rows, `components` at most. Then speech is fitted on its windows, and, rounds[1] - 1 times, all classes on their own windows with `grown` numbers. Where speech
+    and noise in one mixture have a larger BIC (drop_noise "larger": noise counts as speech where it is unlike it) or a smaller one ("smaller") than in two, the noise model is dropped and
+    the others are fitted again, rounds[2] - 1 times. A class that a recording has too few frames for keeps its model from before; rounds don't end early where a round chooses the same
+    windows, as later thresholds differ. No frames, no rows."""
     most = {**{c: k for c, k in COMPONENTS.items() if c != "speech"}, "speech": OWN_SPEECH} if components is None else components
     least = least or LEAST_FRAMES
     base = frames.select("rec_id", "seq", vector, "energy", "zcr")
     names = ["rec_id", "label", "comp", "weight", "mean", "var"]
     params = base.select("rec_id").distinct().crossJoin(F.broadcast(bootstrap.select(*names[1:])))  # a model's rows are few: MOST_NUMBERS bounds them
-    now = cut(relabel(base, params, vector, least))
+    now = first = cut(relabel(base, params, vector, least))
+    if first.isEmpty():
+        return first.select("rec_id", "seq", "label")
 
     def renewed(params: DataFrame, fits: DataFrame) -> DataFrame:
         return params.join(fits.select("rec_id", "label").distinct(), ["rec_id", "label"], "left_anti").unionByName(fits.select(*names))
 
+    def windows(now: DataFrame, label: str) -> DataFrame:
+        n = least.get(label, window) if isinstance(least, dict) else least
+        return class_windows(now.where(F.col("label") == label), n, max(n // 2, 1)).select(*now.columns)
+
+    def fitted(now: DataFrame, most: dict, by_rows: bool = False) -> DataFrame:
+        each = [own_models(windows(now, c), vector, {c: k}, seed, by_rows) for c, k in sorted(most.items())]
+        return cut(functools.reduce(DataFrame.unionByName, each))
+
     background = {c: k for c, k in most.items() if c != "speech"}
-    for i in range(rounds[0] + 1):  # the first time only the loudest quarter is noise, then ever more
-        params = cut(renewed(params, own_models(confident_background(now, 0.75 if i == 0 else max(0.7 - 0.1 * i, 0.4)), vector, background, seed)))
+    spoken = first.where("label = 'speech'").select("rec_id", "seq")
+    for i in range(rounds[0] + 1):
+        sure = confident_background(now, None, window) if i == 0 else confident_background(now.join(spoken, ["rec_id", "seq"], "left_anti"), max(0.7 - 0.1 * i, 0.4), window)
+        params = cut(renewed(params, cut(own_models(cut(sure), vector, background, seed, by_rows=True))))
         now = cut(relabel(base, params, vector, least))
-    fits = None
-    for _ in range(rounds[1]):
-        fits = cut(own_models(now, vector, most, seed))
+    for i in range(rounds[1]):
+        fits = fitted(now, {"speech": most["speech"]}, True) if i == 0 else fitted(now, grown(most, i - 1))
         params = cut(renewed(params, fits))
         now = cut(relabel(base, params, vector, least))
-    if fits is None or "noise" not in most:
+    if not rounds[1] or "noise" not in most:
         return now.select("rec_id", "seq", "label")
-    apart = fits.where("label IN ('speech', 'noise') AND comp = 0").groupBy("rec_id").agg(F.sum("bic").alias("apart"), F.count("*").alias("n")).where("n = 2")
-    both = now.where("label IN ('speech', 'noise')").withColumn("label", F.lit("both"))
-    joint = own_models(both, vector, {"both": most["speech"] + most["noise"]}, seed).where("comp = 0").select("rec_id", F.col("bic").alias("joint"))
+    # both models and their union on the same frames: those that are speech or noise now
+    sizes = grown(most, max(rounds[1] - 2, 0))
+    apart = fitted(now, {c: sizes[c] for c in ("speech", "noise")}).where("comp = 0").groupBy("rec_id").agg(F.sum("bic").alias("apart"), F.count("*").alias("n")).where("n = 2")
+    both = windows(now, "speech").unionByName(windows(now, "noise")).withColumn("label", F.lit("both"))
+    joint = own_models(both, vector, {"both": sizes["speech"] + sizes["noise"]}, seed).where("comp = 0").select("rec_id", F.col("bic").alias("joint"))
     same = cut(apart.join(joint, "rec_id").where({"larger": "joint > apart", "smaller": "joint < apart"}[drop_noise]).select("rec_id"))
-    params = cut(params.join(same.withColumn("label", F.lit("noise")), ["rec_id", "label"], "left_anti"))
-    redo = base.join(same, "rec_id", "left_semi")
     done = now.join(same, "rec_id", "left_anti").select("rec_id", "seq", "label")
     if same.isEmpty():
         return done
-    params = params.join(same, "rec_id", "left_semi")
+    params = cut(params.join(same, "rec_id", "left_semi").where("label <> 'noise'"))
+    redo = base.join(same, "rec_id", "left_semi")
     now = cut(relabel(redo, params, vector, least))
-    for _ in range(rounds[2]):
-        params = cut(renewed(params, own_models(now, vector, {c: k for c, k in most.items() if c != "noise"}, seed)))
+    for i in range(rounds[2] - 1):
+        params = cut(renewed(params, fitted(now, grown([c for c in most if c != "noise"], i))))
         now = cut(relabel(redo, params, vector, least))
     return done.unionByName(now.select("rec_id", "seq", "label"))
 
