@@ -113,3 +113,23 @@ def test_alignment_in_chains_and_by_deviations(spark):
     moved = frames[1].withColumn("t", F.col("t") + 0.3)
     near = sg.align_markers(frames[0], moved, 1.0, deviations=2.0).collect()
     assert near and abs(np.median([p.y - p.x for p in near]) - 0.3) < 0.15
+
+
+def test_dense_peaks_by_stretches(spark):
+    """Thinned in stretches of any length, and in any number of rounds a pass, peaks are those of rounds over the whole recording."""
+    r = np.random.default_rng(12)
+    rows, want = [], set()
+    for rec, at, h in ((1, np.cumsum(r.choice([1.0, 2.0, 3.5], 300)), r.integers(0, 6, 300)), (2, np.arange(120.0), np.arange(120)), (3, np.array([4.0]), np.array([1])), (4, np.arange(-40.0, 40.0), np.abs(np.arange(-40, 40)) % 7)):
+        rows += [(rec, float(a), float(b)) for a, b in zip(at, h, strict=True)]
+        left = [(float(a), float(b)) for a, b in zip(at, h, strict=True)]
+        while True:
+            near = [i for i in range(len(left) - 1) if left[i + 1][0] - left[i][0] <= 3.0]
+            if not near:
+                break
+            gone = {i + 1 if left[i][1] >= left[i + 1][1] else i for i in near}
+            left = [p for i, p in enumerate(left) if i not in gone]
+        want |= {(rec, *p) for p in left}
+    peaks = spark.createDataFrame(rows, "rec_id int, at double, height double").repartition(5)
+    for stretch, rounds in ((None, 16), (10.0, 16), (25.0, 1), (7.0, 2)):
+        got = [tuple(p) for p in win.apart_peaks(peaks, 3.0, stretch=stretch, at_once=rounds).collect()]
+        assert len(got) == len(want) and set(got) == want

@@ -6,6 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import cut
+
+#: Rounds in which near peaks are thinned before rows move again.
+AT_ONCE = 16
+
+
 def REC():  # noqa: N802  a window needs a session, so it is made on use
     return Window.partitionBy("rec_id")
 
@@ -98,22 +104,36 @@ def find_peaks(df: DataFrame, valleys: bool = False, col: str = "x", width: floa
     return peaks if width <= 0 else apart_peaks(peaks, width, s)
 
 
-def apart_peaks(peaks: DataFrame, width: float, sign: int = 1) -> DataFrame:
-    """Peaks (rec_id, at, height) thinned by width. Peaks further apart than width never meet, so a recording falls into chains, each a group of its own."""
-    w = Window.partitionBy("rec_id").orderBy("at")
-    far = F.coalesce((F.col("at") - F.lag("at").over(w) > width).cast("int"), F.lit(1))
-    chains = peaks.withColumn("_far", far).withColumn("_chain", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def apart_peaks(peaks: DataFrame, width: float, sign: int = 1, stretch: float | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """Peaks (rec_id, at, height) thinned by width, in rounds: in each, of every two neighbours no further apart the lower goes. Whether a peak is left after a round depends on its
+    neighbours within width, so a stretch of a recording, with one width more than at_once on both sides, has the same peaks after so many rounds as the whole, and tells whether one of its own
+    still has a near neighbour. A round leaves at most every other peak of a dense row, so one pass nearly always suffices; where a near pair is left there is another."""
+    stretch = stretch or max(float(1 << 16), 64 * width)
+    reach = (at_once + 1) * width
+    kind = peaks.schema["rec_id"].dataType.simpleString()
+    names = peaks.select("rec_id", "at", "height").schema
+    schema = f"rec_id {kind}, at {names['at'].dataType.simpleString()}, height {names['height'].dataType.simpleString()}, more boolean"
 
     def thin(pdf):
         pdf = pdf.sort_values("at")
-        while True:
+        for _ in range(at_once):
             at, h = pdf["at"].to_numpy(), pdf["height"].to_numpy() * sign
             near = np.flatnonzero(np.diff(at) <= width)
             if not len(near):
-                return pdf[["rec_id", "at", "height"]]
+                break
             pdf = pdf.drop(pdf.index[np.where(h[near] >= h[near + 1], near + 1, near)])
-
-    return chains.groupBy("rec_id", "_chain").applyInPandas(thin, peaks.schema)
+        gap = np.diff(pdf["at"].to_numpy()) <= width
+        more = np.concatenate([[False], gap]) | np.concatenate([gap, [False]])
+        return pdf.assign(more=more[: len(pdf)])[pdf["_own"]][["rec_id", "at", "height", "more"]]
+
+    left = peaks.select("rec_id", "at", "height")
+    while True:
+        places = F.sequence(F.floor((F.col("at") - reach) / stretch), F.floor((F.col("at") + reach) / stretch))
+        spread = left.withColumn("_place", F.explode(places)).withColumn("_own", F.col("_place") == F.floor(F.col("at") / stretch))
+        done = cut(spread.groupBy("rec_id", "_place").applyInPandas(thin, schema), "peaks")
+        left = done.drop("more")
+        if done.where("more").isEmpty():
+            return left
 
 
 def moving_moments(df: DataFrame, r: int, k: int, col: str = "x", weights: list[float] | None = None, central: bool = False) -> DataFrame:
