@@ -8,6 +8,7 @@ from tidemark.operators import intervals as iv
 from tidemark.operators import signal as sg
 from tidemark.operators import vectors as vec
 from tidemark.operators import windows as win
+from tidemark.plans import registry
 
 
 def recording(spark, x, rec=1):
@@ -133,3 +134,27 @@ def test_dense_peaks_by_stretches(spark):
     for stretch, rounds in ((None, 16), (10.0, 16), (25.0, 1), (7.0, 2)):
         got = [tuple(p) for p in win.apart_peaks(peaks, 3.0, stretch=stretch, at_once=rounds).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_query_of_peaks_apart(spark):
+    """The query's rows, held against rounds over each whole recording."""
+    sf, want = "/root/testdata/sf0.001", []
+    for rec, g in registry.samples(spark, sf).toPandas().groupby("rec_id"):
+        x = g.sort_values("seq")["x"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(x) != 0]))
+        ends = np.append(starts[1:], len(x)) - 1
+        left = []
+        for j in range(1, len(starts) - 1):
+            p, v, q = (x[starts[k]] for k in (j - 1, j, j + 1))
+            if p < v > q:
+                shift = (q - p) / (2 * (2 * v - p - q)) if starts[j] == ends[j] else 0.0
+                left.append(((starts[j] + ends[j]) / 2 + shift, v + (q - p) * shift / 4))
+        while True:
+            near = [i for i in range(len(left) - 1) if left[i + 1][0] - left[i][0] <= 5.0]
+            if not near:
+                break
+            gone = {i + 1 if left[i][1] >= left[i + 1][1] else i for i in near}
+            left = [p for i, p in enumerate(left) if i not in gone]
+        want += [(rec, *p) for p in left]
+    got = sorted((p.rec_id, p.at, p.height) for p in registry.QUERIES["find_peaks_apart"](spark, sf).collect())
+    assert len(got) == len(want) > 50 and np.allclose(got, sorted(want))

@@ -134,9 +134,10 @@ def numbered(df: DataFrame, keys: list[str], order: str = "seq", size: int = CHU
     return d.join(counts, [*keys, "_stretch"]).withColumn("_i", F.row_number().over(own) - 1 + F.col("_before")).drop("_stretch", "_before")
 
 
-def class_windows(frames: DataFrame, size: int = WINDOW_FRAMES, hop: int = WINDOW_FRAMES // 2) -> DataFrame:
-    """Frames once for each window that they lie in, with _w and _at (their place in it): a recording's frames of one label, put end to end, in windows of size frames, one every hop;
+def class_windows(frames: DataFrame, size: int = WINDOW_FRAMES, hop: int | None = None) -> DataFrame:
+    """Frames once for each window that they lie in, with _w and _at (their place in it): a recording's frames of one label, put end to end, in windows of size frames, one every hop (half a window);
     frames after the last whole window have none."""
+    hop = hop or max(size // 2, 1)
     d = numbered(frames, ["rec_id", "label"]).where(F.col("_n") >= size)
     d = d.withColumns({"_from": F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / hop)), "_to": F.least(F.floor(F.col("_i") / hop), F.floor((F.col("_n") - size) / hop))}).where("_from <= _to")
     return d.withColumn("_w", F.explode(F.sequence("_from", "_to"))).withColumn("_at", F.col("_i") - F.col("_w") * hop).drop("_from", "_to", "_i", "_n")
@@ -150,7 +151,7 @@ def confident_background(frames: DataFrame, level: float | None = None, size: in
     3 ranges, those not under that bound nor under the quantile `level` of them all. Without a level (nothing but the first labels is known), labels don't count: quartiles are those of the
     quietest quarter of all windows, silence lies below the first bound, and noise is over the second and not under the median of the loudest quarter. In both, crossings of noise are not
     under the silence's third quartile by 1.5 ranges more. Recordings without silence give nothing."""
-    apart = cut(class_windows(frames.where("label IN ('silence', 'noise')"), size, hop or size // 2), name)
+    apart = cut(class_windows(frames.where("label IN ('silence', 'noise')"), size, hop), name)
     weight = F.pow(0.54 - 0.46 * F.cos(2 * F.pi() * F.col("_at") / size), 2)
     each = cut(apart.groupBy("rec_id", "label", "_w").agg(F.sum(weight * F.col("energy")).alias("e"), F.avg("zcr").alias("z")), name)
 
@@ -218,7 +219,7 @@ def vad_hmm(frames: DataFrame, bootstrap: DataFrame, vector: str = "feats", seed
 
     def windows(now: DataFrame, label: str) -> DataFrame:
         n = least.get(label, window) if isinstance(least, dict) else least
-        return class_windows(now.where(F.col("label") == label), n, max(n // 2, 1)).select(*now.columns)
+        return class_windows(now.where(F.col("label") == label), n).select(*now.columns)
 
     def fitted(now: DataFrame, most: dict, by_rows: bool = False) -> DataFrame:
         each = [own_models(windows(now, c), vector, {c: k}, seed, by_rows) for c, k in sorted(most.items())]

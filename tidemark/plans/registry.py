@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scales
 from tidemark.operators import aggregates as ag
 from tidemark.operators import audio
+from tidemark.operators import diarisation as dia
 from tidemark.operators import intervals as iv
 from tidemark.operators import mixtures, models
 from tidemark.operators import relational as rel
@@ -108,6 +109,8 @@ RUNS = ", c AS (SELECT *, CASE WHEN lag(label) OVER w IS DISTINCT FROM label OR
 add("label_runs", lambda s, d: win.label_runs(samples(s, d)), f"WITH {S}{RUNS} SELECT rec_id, run, min(label) AS label, min(seq) AS \"begin\", max(seq) AS \"end\", count(*) AS n FROM u GROUP BY rec_id, run")
 add("find_peaks", lambda s, d: rounded(win.find_peaks(samples(s, d).withColumn("x", F.floor(F.col("x") / 20).cast("double")))),
     f"WITH {S.replace('value AS x, event_type AS label', 'floor(value / 20) AS label')}{RUNS}, g AS (SELECT rec_id, run, min(label) AS v, min(seq) AS b, max(seq) AS e, count(*) AS n FROM u GROUP BY 1, 2), h AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM g WINDOW w AS (PARTITION BY rec_id ORDER BY run)), i AS (SELECT *, CASE WHEN n = 1 THEN (q - p) / (2 * (2 * v - p - q)) ELSE 0 END AS sh FROM h WHERE p < v AND q < v) SELECT rec_id, round((b + e) / 2 + sh, 4) AS at, round(v + CASE WHEN n = 1 THEN (q - p) * sh / 4 ELSE 0 END, 4) AS height FROM i")
+add("class_windows", lambda s, d: rounded(dia.class_windows(samples(s, d), 10).groupBy("rec_id", "label", F.col("_w").alias("w")).agg(F.min("seq").alias("begin"), F.max("seq").alias("end"), F.sum(F.col("x") * (F.col("_at") + 1)).alias("weighted"))),
+    f"WITH {S}, i AS (SELECT *, row_number() OVER p - 1 AS i, count(*) OVER (PARTITION BY rec_id, label) AS n FROM s WINDOW p AS (PARTITION BY rec_id, label ORDER BY seq)), k AS (SELECT *, i // 5 - unnest([0, 1]) AS w FROM i) SELECT rec_id, label, w, min(seq) AS \"begin\", max(seq) AS \"end\", round(sum(x * (i - 5 * w + 1)), 4) AS weighted FROM k WHERE w >= 0 AND 5 * w + 10 <= n GROUP BY rec_id, label, w")
 add("amplitude_gate", lambda s, d: rounded(win.amplitude_gate(samples(s, d).withColumn("height", F.col("x")), samples(s, d)).select("rec_id", "seq", "height")), f"WITH {S}, r AS (SELECT rec_id, sqrt(avg(x * x)) AS m FROM s GROUP BY 1) SELECT rec_id, seq, round(x, 4) AS height FROM s JOIN r USING (rec_id) WHERE abs(x) >= m")
 
 # relations
@@ -353,6 +356,7 @@ QUERIES |= {
     "enhance": lambda s, d: audio.enhance(_frames(s, d)),
     "vad": lambda s, d: audio.vad(_frames(s, d)),
     "swt_band": lambda s, d: audio.swt_band(samples(s, d), (1, 2)),
+    "find_peaks_apart": lambda s, d: win.find_peaks(samples(s, d), width=5.0),
     "detect_rpeaks": lambda s, d: audio.detect_rpeaks(samples(s, d), 50.0),
     "active_level": lambda s, d: audio.active_level(samples(s, d), 20.0),
     "fit_gmm": lambda s, d: mixtures.fit_gmm(table(s, d, "embeddings").select("label", F.slice("embedding", 1, 4).alias("v")), "label", "v", [2]),
