@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, ngram_join, pii, sentencepiece_sampling, toxicity
-from tidemark.llm.common import cut, scratch, table
+from tidemark.llm.common import Steps, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's output is a table in the shared scratch folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's output is a table in the shared scratch folder, deleted when the next one's is written."""
+    steps, docs = Steps(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name.split()[0].lower()}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = steps.cut(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+        steps.drop_all_but(docs)
     return docs
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,66 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the scratch folder, wherever that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: With it, Spark deletes the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside leave no shuffle files; the session's own setting is put back."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+#: Where the tables lie that jobs wrote as steps.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+class Steps:
+    """The tables between a job's steps, each deleted as soon as no later step reads it, so that the disk holds a few of them at a time.
+
+    A frame that reads a table is of no use after its drop(), so all that depends on it must have been written (or collected) by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """As cut(); of the query that writes df, no shuffle files stay."""
+        path = scratch(self.spark, name)
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        _PATHS[out] = path
+        return self.take(out)
+
+    def take(self, table: DataFrame) -> DataFrame:
+        """What another job's steps left as their result is dropped with this job's tables."""
+        self.tables.append(table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            if path := _PATHS.pop(table, None):
+                delete(self.spark, path)
+        self.tables = [x for x in self.tables if x in _PATHS]
+
+    def drop_all_but(self, kept: DataFrame) -> None:
+        self.drop(*(x for x in self.tables if x is not kept))
+
+
 def give_back() -> None:
     """Return a Python worker's free memory to the system, as the worker lives on for later stages."""
     pa.default_memory_pool().release_unused()

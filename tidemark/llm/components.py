@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
-
 
 #: Labels are broadcast while there are at most so many; beyond, they are joined by shuffles.
 FEW_LABELS = 200_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(v, c) for every end of links (a, b): c is the least v reachable. Labels and links stay on the executors;
-    each round is written to the shared scratch folder, and the driver sees counts. While the labels are few (counted), a round
+    each round is written to the shared scratch folder by cut, and the driver sees counts. While the labels are few (counted), a round
     shuffles once, and its tables have few files."""
     both = cut(links.select("a", "b").where("a != b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a != b")).distinct(), "links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))

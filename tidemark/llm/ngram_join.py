@@ -22,6 +22,8 @@ member alone has is never shared; most members have so many of those that they a
 Then only candidates of different stars whose ends are still in different components are generated, by the
 multi-match rule, and verified on their texts. Components come from least labels with pointer jumping.
 
+Each step's table is deleted once the steps that read it are written; of all of them the result stays.
+
 Null and empty texts, and texts without words: empty set, linked with nothing. With fewer words than a shingle
 has, the whole sequence is the one shingle. Null ids: such rows never name a component, unless it has no other id.
 Repeated rows are one class; each is returned.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
-from tidemark.llm.common import bitmap, cut, in_bitmap, table, text_slices
+from tidemark.llm.common import Steps, bitmap, in_bitmap, table, text_slices
 from tidemark.llm.components import components
 from tidemark.llm.lattice import mix
 
@@ -119,7 +121,8 @@ def corpus_counts(docs: DataFrame, k: int) -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(count)], ["kind", "s", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([2, 3], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([rows, n_words], pa.int64())], ["kind", "s", "n"])
 
-    each = cut(docs.select("text").mapInArrow(build, "kind int, s bigint, n bigint").groupBy("kind", "s").agg(F.sum("n").alias("n")), "corpus-counts")
+    steps = Steps(docs.sparkSession)
+    each = steps.cut(docs.select("text").mapInArrow(build, "kind int, s bigint, n bigint").groupBy("kind", "s").agg(F.sum("n").alias("n")), "corpus-counts")
     size = {r["kind"]: r["n"] for r in each.where("kind >= 2").collect()}
     rows, n_words = size.get(2, 0), size.get(3, 0)
     out = {"words": eighths_of(max(1, n_words))}
@@ -128,6 +131,7 @@ def corpus_counts(docs: DataFrame, k: int) -> dict:
         h = got["s"].to_numpy().view(np.uint64)
         by = np.argsort(h)
         out[name] = (h[by], eighths_of(got["n"].to_numpy()[by] / share))
+    steps.drop(each)
     return out
 
 
@@ -185,6 +189,15 @@ def packed_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text", "t1", "t2").mapInArrow(build, "t1 bigint, t2 bigint, z binary")
 
 
+def texts_of(pairs: DataFrame, ends: tuple[str, ...], keys: DataFrame, docs: DataFrame, steps: Steps) -> DataFrame:
+    """(sig, z): the compressed texts of the classes that are ends of pairs; keys has each class's (sig, t1, t2)."""
+    sigs = pairs.select(F.explode(F.array(*ends)).alias("sig")).distinct()
+    wanted = steps.cut(keys.join(sigs, "sig", "left_semi"), "wanted")
+    texts = steps.cut(packed_texts(docs, bitmap(wanted, "t1")).dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("sig", "z"), "texts")
+    steps.drop(wanted)
+    return texts
+
+
 def repeated_shingles(classes: DataFrame, bits: np.ndarray) -> DataFrame:
     """(number, pos, s): prefix shingles that the bitmap lets through, with the class's number (the first half of its sig;
     were two classes to share one, each would get both's shingles, which adds candidates and loses none)."""
@@ -306,33 +319,33 @@ def centred(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     return members.select("star", "sig", "n", "d", "m", "shared", "flips").mapInArrow(build, "star binary, sig binary, f bigint, k bigint, gs array<bigint>")
 
 
-def star_halves(members: DataFrame, t: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def star_halves(members: DataFrame, t: tuple[int, int], steps: Steps) -> tuple[DataFrame, DataFrame]:
     """Of members (star, sig, n, delta): (a, b) links of those near enough to their star's middle with the one nearest to it; and (star, sig, f, k, gs, least, far) of those that may
     have links beside these."""
     c2 = 2 * (t[0] + t[1])
     sized = members.groupBy("star").agg(F.count("*").alias("m"))
     each = members.where("size(delta) > 0").select("star", "sig", F.explode("delta").alias("g"))
-    again = cut(each.groupBy("star", "g").agg(F.count("*").alias("df")).where("df > 1"), "differences")
+    again = steps.cut(each.groupBy("star", "g").agg(F.count("*").alias("df")).where("df > 1"), "differences")
     shared = each.join(again, ["star", "g"]).groupBy("star", "sig").agg(F.collect_list(F.struct("g", "df")).alias("shared"))
     flips = again.join(sized, "star").where("2 * df > m").groupBy("star").agg(F.collect_list(F.struct("g", "df")).alias("flips"))
     # a star may have a large share of all members: its one row is met in SALTS places
     dealt = F.pmod(F.hash("sig"), F.lit(SALTS)).alias("salt")
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     whole = members.select("star", "sig", "n", F.size("delta").cast("bigint").alias("d")).join(shared, ["star", "sig"], "left").withColumn("salt", dealt)
-    own = cut(centred(whole.join(salted(sized.join(flips, "star", "left")), ["star", "salt"]), t), "centred")
+    own = steps.cut(centred(whole.join(salted(sized.join(flips, "star", "left")), ["star", "salt"]), t), "centred")
     middle = own.groupBy("star").agg(F.min(F.struct("f", "sig")).alias("low"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
     placed = own.withColumn("salt", dealt).join(salted(middle), ["star", "salt"])
     near = placed.where("f + low.f <= 0 AND sig != low.sig").select(F.col("low.sig").alias("a"), F.col("sig").alias("b"))
 
     # pairs with a far end must share differences
     far = placed.where(f"f + low.f > 0 AND f + best <= 0 AND f - {c2} * k + low.f <= 0").select("star", "sig", "f", "k", "gs", F.col("low.f").alias("least"), F.lit(True).alias("far"))
-    far = cut(far, "far")
+    far = steps.cut(far, "far")
     among = far.groupBy("star").agg(F.min("f").alias("least"), F.min(F.expr(f"f - {c2} * k")).alias("best"))
     other = placed.where("f + low.f <= 0").select("star", "sig", "f", "k", "gs").join(among, "star").where(f"f + best <= 0 AND f - {c2} * k + least <= 0").select("star", "sig", "f", "k", "gs", "least", F.lit(False).alias("far"))
     return near, far.unionByName(other)
 
 
-def families(listed: DataFrame, members: DataFrame) -> DataFrame:
+def families(listed: DataFrame, members: DataFrame, steps: Steps) -> DataFrame:
     """(star, sig, n, delta): stars inside stars. Members that list a difference in common take the one of them with the fewest differences that they share most with for their hub, and are
     held by their differences from it, so that edits that a family shares are none."""
     hubs = listed.groupBy("star", "g").agg(F.min(F.struct("k", "sig")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("star", "g", F.col("hub.sig").alias("hub"))
@@ -340,7 +353,7 @@ def families(listed: DataFrame, members: DataFrame) -> DataFrame:
     nearest = nearest.groupBy("star", "sig").agg(F.max(F.struct("m", "hub")).alias("x")).select("star", "sig", F.col("x.hub").alias("hub"))
     own = members.select("star", "sig", "n", "delta")
     met = nearest.join(own, ["star", "sig"]).join(own.select("star", F.col("sig").alias("hub"), F.col("n").alias("_n"), F.col("delta").alias("_delta")), ["star", "hub"])
-    met = cut(met.select("hub", "sig", "n", F.array_union(F.array_except("delta", "_delta"), F.array_except("_delta", "delta")).alias("delta"), "_n"), "families")
+    met = steps.cut(met.select("hub", "sig", "n", F.array_union(F.array_except("delta", "_delta"), F.array_except("_delta", "delta")).alias("delta"), "_n"), "families")
     centres = met.groupBy("hub").agg(F.first("_n").alias("n")).select(F.col("hub").alias("star"), F.col("hub").alias("sig"), "n", F.expr("cast(array() AS array<bigint>)").alias("delta"))
     return met.select(F.col("hub").alias("star"), "sig", "n", "delta").unionByName(centres)
 
@@ -349,54 +362,64 @@ def star_links(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(a, b): links that join all members (star, sig, n, delta) of each star that links join; a star's hub is a member without differences. Families are joined by way of their
     own middles first; then only members that are still apart are paired."""
     c2 = 2 * (t[0] + t[1])
-    near, alive = star_halves(members, t)
-    alive = cut(alive, "alive")
+    steps = Steps(members.sparkSession)
+    near, alive = star_halves(members, t, steps)
+    alive = steps.cut(alive, "alive")
     if alive.isEmpty():
-        return near
-    listed = cut(alive.select("star", "sig", "f", "k", "far", F.posexplode(F.expr(f"slice(gs, 1, cast(k + 1 - greatest(1, ceil((f + least) / {c2})) AS int))")).alias("i", "g")), "listed")
-    near = cut(near.unionByName(star_halves(families(listed, members), t)[0]), "near")
-    labels = components(near)
+        out = steps.cut(near, "star-links")
+        steps.drop_all_but(out)
+        return out
+    listed = steps.cut(alive.select("star", "sig", "f", "k", "far", F.posexplode(F.expr(f"slice(gs, 1, cast(k + 1 - greatest(1, ceil((f + least) / {c2})) AS int))")).alias("i", "g")), "listed")
+    near = steps.cut(near.unionByName(star_halves(families(listed, members, steps), t, steps)[0]), "near")
+    labels = components(near, steps.cut)
     at = listed.join(labels, F.col("sig") == F.col("v"), "left").withColumn("c", F.coalesce("c", "sig")).drop("v")
     # a list's largest component meets only the others
-    parts = cut(at.groupBy("star", "g", "c").agg(F.count("*").alias("m")), "parts")
+    parts = steps.cut(at.groupBy("star", "g", "c").agg(F.count("*").alias("m")), "parts")
     mixed = parts.groupBy("star", "g").agg(F.max(F.struct("m", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("star", "g", F.col("most.c").alias("most"))
-    at = cut(at.join(mixed, ["star", "g"]), "apart")
+    at = steps.cut(at.join(mixed, ["star", "g"]), "apart")
     x, y = at.where("c != most").alias("x"), at.alias("y")
     # the first difference that two share has at most so many after it
     like = F.expr(f"x.c != y.c AND (x.far OR y.far) AND x.f + y.f <= {c2} * least(x.k - x.i, y.k - y.i)")
     pairs = x.join(y, (F.col("x.star") == F.col("y.star")) & (F.col("x.g") == F.col("y.g")) & like).select("x.star", F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     ends = [alive.select("star", F.col("sig").alias(s), F.col("f").alias(f"f{s}"), F.col("gs").alias(f"g{s}")) for s in ("a", "b")]
     rest = pairs.join(ends[0], ["star", "a"]).join(ends[1], ["star", "b"]).where(f"fa + fb <= {c2} * size(array_intersect(ga, gb))").select("a", "b")
-    return near.unionByName(rest)
+    out = steps.cut(near.unionByName(rest), "star-links")
+    steps.drop_all_but(out)
+    return out
 
 
-def roots(hubs: DataFrame) -> DataFrame:
+def roots(hubs: DataFrame, steps: Steps) -> DataFrame:
     """(b, a, root) from (a, b): a is b's hub, and root the hub of hubs that four steps lead to. Hubs have less order than their classes, so there are no cycles."""
-    up = cut(hubs.join(hubs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("v"), F.col("a").alias("r")), "hubs")
+    up = steps.cut(hubs.join(hubs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("v"), F.col("a").alias("r")), "hubs")
     for _ in range(2):
-        up = cut(up.join(up.select(F.col("v").alias("r"), F.col("r").alias("s")), "r", "left").select("v", F.coalesce("s", "r").alias("r")), "hubs")
+        up = steps.cut(up.join(up.select(F.col("v").alias("r"), F.col("r").alias("s")), "r", "left").select("v", F.coalesce("s", "r").alias("r")), "hubs")
     return hubs.join(up.select(F.col("v").alias("a"), "r"), "a", "left").select("b", "a", F.coalesce("r", "a").alias("root"))
 
 
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t: tuple[int, int] = (4, 5)) -> DataFrame:
     """Per row: key, n_shingles, component_id (least key reachable by links). t is the threshold as a fraction (numerator, denominator)."""
     t0, t1 = t
+    steps = Steps(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
     id_type = own.schema["id"].dataType.simpleString()
-    rows = cut(rows_with_prefixes(own, id_type, k, t, corpus_counts(own, k)), "prefixes")
-
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first(F.struct("n", "prefix", "t1", "t2")).alias("x"))
-    classes = cut(classes.select("sig", "first_id", "x.*"), "classes")
-    counts = cut(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    prefixes = steps.cut(rows_with_prefixes(own, id_type, k, t, corpus_counts(own, k)), "prefixes")
+    rows = steps.cut(prefixes.select("id", "n", "sig"), "rows")
+
+    classes = prefixes.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.first(F.struct("n", "prefix", "t1", "t2")).alias("x"))
+    classes = steps.cut(classes.select("sig", "first_id", "x.*"), "classes")
+    steps.drop(prefixes)
+    firsts = steps.cut(classes.select("sig", "first_id"), "firsts")
+    counts = steps.cut(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     each = repeated_shingles(classes, bitmap(counts, "s")).join(counts, "s").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "s", "df"))).alias("shared"))
-    found = cut(numbered(classes.select("sig", "n", "t1", "t2", F.size("prefix").alias("longest"))).join(each, "number"), "shared")
+    found = steps.cut(numbered(classes.select("sig", "n", "t1", "t2", F.size("prefix").alias("longest"))).join(each, "number"), "shared")
+    steps.drop(classes, counts)
     # the least l-prefix length but for l; lookups, and candidates (at most lookups / l), by l
     least = f"(n - (n * {t0} + {t1 - 1}) div {t1})"
     cost = f"array_min(transform(sequence(1, greatest(1, least({MOST_L}, cast((n * {t0} + {t1 - 1}) div {t1} AS int)))), l -> struct(aggregate(filter(shared, x -> x.pos < {least} + l), 0D, (s, x) -> s + x.df - 1) * (1 + {VERIFY_COST} / l) AS cost, l AS l))).l"
     chosen = found.withColumn("l", F.expr(cost)).withColumn("alone", F.col("longest") - F.size("shared"))
-    lists = cut(chosen.select("sig", "n", "l", "alone", F.explode(F.expr(f"filter(transform(shared, (x, i) -> named_struct('s', x.s, 'pos', x.pos, 'u', x.pos - i)), x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", "alone", F.col("x.s").alias("s"), F.col("x.u").alias("u")), "lists")
-    texts = packed_texts(own, bitmap(found, "t1")).dropDuplicates(["t1", "t2"]).join(found.select("sig", "t1", "t2"), ["t1", "t2"]).select("sig", "z")
-    texts = cut(texts, "texts")
+    lists = steps.cut(chosen.select("sig", "n", "l", "alone", F.explode(F.expr(f"filter(transform(shared, (x, i) -> named_struct('s', x.s, 'pos', x.pos, 'u', x.pos - i)), x -> x.pos < {least} + l)")).alias("x")).select("sig", "n", "l", "alone", F.col("x.s").alias("s"), F.col("x.u").alias("u")), "lists")
+    keys = steps.cut(found.select("sig", "t1", "t2"), "keys")
+    steps.drop(found)
 
     # u counts the shingles before a shared one that no other prefix has: its class's partners in that list can't have them
     # either (they would come before the shared one in their prefixes, too), so what two share is among their others.
@@ -406,33 +429,42 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     starred = lists.withColumn("bucket", F.explode(F.array(F.floor(size), F.floor(size + 0.5) + 100_000)))
     hubs = starred.groupBy("s", "bucket").agg(F.min(F.struct("alone", "sig", "n", "u")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     pairs = starred.join(hubs, ["s", "bucket"]).where((F.col("sig") != F.col("hub.sig")) & near("n", "hub.n", "u", "hub.u")).groupBy(F.col("hub.sig").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
-    hubs = roots(cut(pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "nearest"))
-    hubs = cut(hubs, "roots")
-    first = cut(differences(hubs.select(F.col("root").alias("a"), "b"), texts, k), "stars")
+    hubs = roots(steps.cut(pairs.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select("x.a", "b"), "nearest"), steps)
+    hubs = steps.cut(hubs, "roots")
+    texts = texts_of(hubs, ("a", "b", "root"), keys, own, steps)
+    first = steps.cut(differences(hubs.select(F.col("root").alias("a"), "b"), texts, k), "stars")
     second = differences(hubs.where("a != root").join(first.select(F.col("sig").alias("b")), "b", "left_anti").select("a", "b"), texts, k)
-    members = cut(first.unionByName(second), "members")
+    members = steps.cut(first.unionByName(second), "members")
+    steps.drop(first, texts)
     centres = members.groupBy("star").agg(F.first("star_n").alias("n")).select("star", F.col("star").alias("sig"), "n", F.expr("cast(array() AS array<bigint>)").alias("delta"))
-    stars = cut(star_links(members.select("star", "sig", "n", "delta").unionByName(centres), t), "star-links")
-    labels = components(stars)
+    stars = steps.take(star_links(members.select("star", "sig", "n", "delta").unionByName(centres), t))
+    labels = components(stars, steps.cut)
 
     # what is left: candidates in different stars and components
     homes = members.select("sig", "star").unionByName(centres.select("sig", "star").join(members.select("sig"), "sig", "left_anti"))
     at = lists.join(homes, "sig", "left").join(labels, lists["sig"] == labels["v"], "left").select("s", lists["sig"], "n", "l", "u", F.coalesce("c", lists["sig"]).alias("c"), F.coalesce("star", lists["sig"]).alias("star"))
     mixed = at.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("star").alias("one"), F.max("star").alias("two")).where("lo != hi AND one != two").select("s")
-    at = cut(at.join(mixed, "s"), "mixed")
+    at = steps.cut(at.join(mixed, "s"), "mixed")
+    steps.drop(lists)
     x, y = at.alias("x"), at.alias("y")
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.star") != F.col("y.star")) & near("x.n", "y.n", "x.u", "y.u"))
     rest = rest.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.l", "y.l").alias("l")).agg(F.count("*").alias("m")).where("m >= l").select("a", "b")
-    more = cut(verified(rest, texts, k, t), "links")
-    labels = components(stars.unionByName(more))
-
-    names = classes.select("sig", "first_id").join(labels, F.col("sig") == F.col("v"), "left").select("sig", "first_id", F.coalesce("c", "sig").alias("c"))
+    rest = steps.cut(rest, "candidates")
+    steps.drop(at)
+    texts = texts_of(rest, ("a", "b"), keys, own, steps)
+    more = steps.cut(verified(rest, texts, k, t), "links")
+    steps.drop(rest, texts, keys)
+    labels = components(stars.unionByName(more), steps.cut)
+
+    names = firsts.join(labels, F.col("sig") == F.col("v"), "left").select("sig", "first_id", F.coalesce("c", "sig").alias("c"))
     named = names.groupBy("c").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m")).where("m > 1")
     linked = labels.join(named, "c").select(F.col("v").alias("sig"), F.col("component_id").alias("linked_id"))
     alone = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1")
     special = alone.join(linked, "sig", "full").select("sig", F.coalesce("linked_id", "class_id").alias("component_id"))
-    out = rows.select("id", "n", "sig").join(special, "sig", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    out = rows.join(special, "sig", "left")
+    out = steps.cut(out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")), "groups")
+    steps.drop_all_but(out)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
