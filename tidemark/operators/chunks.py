@@ -9,6 +9,8 @@ passes from chunk to chunk goes one of three ways, each exact:
 * fixpoint: for any other recursion. All chunks run from a guess at once; those that another state enters than they ran from run again, all at once, until none does.
   Recursions that forget are done after two rounds; none takes more rounds than a recording has chunks.
 
+by_many serves tables of many short recordings: a call takes many whole chunks, and nothing passes between them.
+
 Tables between rounds have a row a chunk and are written to the shared folder. seq counts a recording's rows one by one; it need not begin at 0.
 """
 
@@ -18,7 +20,8 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import cut
@@ -27,6 +30,8 @@ from tidemark.sources.scratch import cut
 CHUNK = 1 << 16
 #: Samples that a linear recursion takes in one matrix product.
 BLOCK = 64
+#: Rows of short chunks that a task takes into one call.
+TOGETHER = 1 << 17
 
 
 def chunked(df: DataFrame, size: int) -> DataFrame:
@@ -64,6 +69,33 @@ def per_chunk(rows: DataFrame, run, added: str) -> DataFrame:
     return rows.groupBy("rec_id", "chunk").applyInPandas(group, f"rec_id {key_type(rows)}, {added}")
 
 
+def by_many(rows: DataFrame, run) -> DataFrame:
+    """(rec_id, chunk, seq, x) from run(x of some whole chunks by seq, one chunk after another; where each begins) -> as many values. Short chunks share a call, since a
+    call for each would cost more than its rows; a task holds TOGETHER rows and a chunk."""
+    first = F.row_number().over(Window.partitionBy("rec_id", "chunk").orderBy("seq")) == 1
+    rows = rows.select("rec_id", "chunk", "seq", F.col("x").cast("double").alias("x"), first.alias("_first")).sortWithinPartitions("rec_id", "chunk", "seq")
+
+    def call(held):
+        t = pa.Table.from_batches(held)
+        y = run(t["x"].to_numpy(), np.flatnonzero(t["_first"].to_numpy()))
+        return t.drop_columns("_first").set_column(3, "x", pa.array(y, from_pandas=True)).to_batches()
+
+    def task(batches):
+        held, n = [], 0
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            if n + batch.num_rows >= TOGETHER and len(begins) and n + begins[-1]:
+                yield from call([*held, batch.slice(0, begins[-1])])
+                held, n, batch = [], 0, batch.slice(begins[-1])
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from call(held)
+
+    kind = rows.schema["seq"].dataType.simpleString()
+    return rows.mapInArrow(task, f"rec_id {key_type(rows)}, chunk bigint, seq {kind}, x double")
+
+
 def one_chunk_each(rows: DataFrame) -> bool:
     """Whether no recording has more than one chunk: then nothing passes between chunks."""
     own = rows.where("own") if "own" in rows.columns else rows

@@ -15,6 +15,10 @@ from tidemark.operators.chunks import CHUNK
 from tidemark.operators.windows import SEQ, label_runs
 from tidemark.sources.scratch import cut
 
+#: Samples by which a filter's ends are reflected, and the longest recording that is filtered side by side with others.
+ENDS, STEPS = 12, 1024
+
+
 def tridiagonal(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Solves lower a, main b, upper c for d."""
     b, d = b.astype(float).copy(), d.astype(float).copy()
@@ -111,19 +115,73 @@ def section(b: np.ndarray, a: np.ndarray) -> chunks.Linear:
     return chunks.Linear(step, np.eye(n)[0], b)
 
 
+def _at_rest(y: np.ndarray, sections) -> np.ndarray:
+    """Sections one after the other down the columns of y, each at rest on a column's first value."""
+    for b, a in sections:
+        w = [y[0] / a.sum()] * (len(a) - 1)
+        out = np.empty_like(y)
+        for j, v in enumerate(y):
+            for c, p in zip(a[1:], w, strict=True):
+                v = v - c * p
+            out[j] = b[0] * v
+            for c, p in zip(b[1:], w, strict=True):
+                out[j] += c * p
+            w = [v, *w[:-1]]
+        y = out
+    return y
+
+
+def zero_phase(x: np.ndarray, starts: np.ndarray, sections, system: chunks.Linear) -> np.ndarray:
+    """Recordings, one after another in x, filtered forwards and backwards over ends reflected about themselves by ENDS samples (by all but one, of shorter recordings).
+    Those of up to STEPS samples stand side by side, by likeness of length; a longer one is taken in blocks. Either depends on the recording alone."""
+    n = np.diff(np.append(starts, len(x)))
+    pad = np.minimum(ENDS, n - 1)
+    total, out = n + 2 * pad, np.empty(len(x))
+    for i in np.flatnonzero(n > STEPS):
+        v, p = x[starts[i] : starts[i] + n[i]], pad[i]
+        y = np.concatenate([2 * v[0] - v[p:0:-1], v, 2 * v[-1] - v[-2 : -p - 2 : -1]])
+        for _ in range(2):
+            y = system.run(y, system.steady(y[0]))[0][::-1]
+        out[starts[i] : starts[i] + n[i]] = y[p : p + n[i]]
+    like = np.where(n > STEPS, 0, np.ceil(np.log2(total)).astype(int) + 1)
+    for k in np.unique(like[like > 0]):
+        who = like == k
+        at, m, p, whole = starts[who], n[who], pad[who], total[who]
+        row, col = np.arange(whole.max())[:, None], np.arange(len(at))
+        q = np.minimum(row, whole - 1) - p
+        v = x[at + np.where(q < 0, -q, np.where(q >= m, 2 * (m - 1) - q, q))]
+        y = np.where(q < 0, 2 * x[at] - v, np.where(q >= m, 2 * x[at + m - 1] - v, v))
+        turned = np.maximum(whole - 1 - row, 0)
+        y = _at_rest(_at_rest(y, sections)[turned, col], sections)[turned, col]
+        own = (q >= 0) & (q < m) & (row < whole)
+        out[(at + q)[own]] = y[own]
+    return out
+
+
 def lowpass_zero_phase(df: DataFrame, fs: float, cut_hz: float = 20.0, size: int = CHUNK) -> DataFrame:
-    """Third-order Butterworth, forwards and backwards, over ends reflected about themselves by 12 samples (by all but one, of shorter recordings)."""
-    one, two = (section(b, a) for b, a in butterworth3(cut_hz, fs))
-    system = chunks.in_series(one, two)
-    x = F.col("x").cast("double")
-    ends = chunks.extent(df, F.min_by(x, "seq").alias("_x0"), F.max_by(x, "seq").alias("_x1"))
-    d = df.select("rec_id", F.col("seq").cast("bigint").alias("seq"), x.alias("x")).join(ends, "rec_id").withColumns({"_p": F.col("seq") - F.col("_first"), "_pad": F.least(F.lit(12), F.col("_n") - 1)})
-    before = d.where("_p BETWEEN 1 AND _pad").select("rec_id", (F.col("_first") - F.col("_p")).alias("seq"), (2 * F.col("_x0") - F.col("x")).alias("x"))
-    after = d.where("_p BETWEEN _n - 1 - _pad AND _n - 2").select("rec_id", (F.col("_first") + 2 * (F.col("_n") - 1) - F.col("_p")).alias("seq"), (2 * F.col("_x1") - F.col("x")).alias("x"))
-    padded = d.select("rec_id", "seq", "x").unionByName(before).unionByName(after)
-    forwards = cut(chunks.linear_scan(padded, system, "x", "x", size, steady=True), "filtered")
+    """Third-order Butterworth, forwards and backwards, over ends reflected about themselves by 12 samples (by all but one, of shorter recordings). df is read once: each chunk is
+    filtered as if it were a recording, many to a call. Where a recording has other chunks, it is read again and its chunks' maps are composed."""
+    sections = butterworth3(cut_hz, fs)
+    system = chunks.in_series(*(section(b, a) for b, a in sections))
+    rows = df.select("rec_id", F.col("seq").cast("bigint").alias("seq"), F.col("x").cast("double").alias("x"))
+    found = cut(chunks.by_many(chunks.chunked(rows, size), lambda x, starts: zero_phase(x, starts, sections, system)), "filtered")
+    several = cut(found.groupBy(F.col("rec_id").alias("_rec")).agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").select("_rec"), "recordings-of-chunks")
+    if several.isEmpty():
+        return found.select("rec_id", "seq", "x")
+    same = F.col("rec_id").eqNullSafe(F.col("_rec"))
+    long = cut(rows.join(several, same, "left_semi"), "long-recordings")
+    return found.join(several, same, "left_anti").select("rec_id", "seq", "x").unionByName(_lowpass_by_chunks(long, system, size))
+
+
+def _lowpass_by_chunks(d: DataFrame, system: chunks.Linear, size: int) -> DataFrame:
+    ends = chunks.extent(d, F.min_by("x", "seq").alias("_x0"), F.max_by("x", "seq").alias("_x1")).withColumnRenamed("rec_id", "_rec")
+    same = F.col("rec_id").eqNullSafe(F.col("_rec"))
+    p = d.join(ends, same).withColumns({"_p": F.col("seq") - F.col("_first"), "_pad": F.least(F.lit(ENDS), F.col("_n") - 1)})
+    before = p.where("_p BETWEEN 1 AND _pad").select("rec_id", (F.col("_first") - F.col("_p")).alias("seq"), (2 * F.col("_x0") - F.col("x")).alias("x"))
+    after = p.where("_p BETWEEN _n - 1 - _pad AND _n - 2").select("rec_id", (F.col("_first") + 2 * (F.col("_n") - 1) - F.col("_p")).alias("seq"), (2 * F.col("_x1") - F.col("x")).alias("x"))
+    forwards = cut(chunks.linear_scan(d.unionByName(before).unionByName(after), system, "x", "x", size, steady=True), "filtered")
     both = chunks.linear_scan(forwards, system, "x", "x", size, steady=True, backwards=True)
-    return both.join(ends.select("rec_id", "_first", "_n"), "rec_id").where("seq BETWEEN _first AND _first + _n - 1").select("rec_id", "seq", "x")
+    return both.join(ends, same).where("seq BETWEEN _first AND _first + _n - 1").select("rec_id", "seq", "x")
 
 
 def smooth_trend(z: np.ndarray, lam: float) -> np.ndarray:
